@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import mixing_sql, op8_source_mixing
 from .packing import op1_packing
+from .pii import op9_pii
+from .quality import op3_quality_rules
+from .simhash import op5_simhash_dedup
 from .token_files import op10_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_simhash_dedup": op5_simhash_dedup,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_pii": op9_pii,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_source_mixing": mixing_sql()}

@@ -7,14 +7,17 @@ its words in a row, and each distinct word is encoded by the library once per wo
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 import numpy as np
 
 #: Distinct words that one Python worker keeps; the store is emptied when it is full.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 700_000
 #: A word that is one token of its own; it parts the words of one library call.
 SEPARATOR = b"0"
+#: Letters that neither NFC nor lower-casing changes any more, then at most one mark.
+SIMPLE = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
 
 _memos: dict[tuple[str, int], "WordEncoder"] = {}
 
@@ -24,51 +27,89 @@ class WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(vocab)
         self.limit = limit
         self.memo: dict[bytes, bytes] = {}
-        ids = self._ids(SEPARATOR.decode())
-        if len(ids) != 1:
-            raise ValueError(f"{vocab} has no single token for {SEPARATOR!r}")
-        self.separator_id = ids[0]
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if SEPARATOR not in w]
-        for begin in range(0, len(plain), 20_000):
-            part = plain[begin : begin + 20_000]
-            joined = (b" " + SEPARATOR + b" ").join(part).decode()
-            ids = np.array(self._ids(joined), "<u4")
+        self.full = Tokenizer.from_file(vocab)
+        # For words that normalising leaves as they are and that are one pre-token, the same model
+        # without those two steps.
+        self.plain = Tokenizer.from_file(vocab)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = self.full.model.end_of_word_suffix
+        if not suffix:
+            raise ValueError(f"{vocab} doesn't mark where words end")
+        entries = self.full.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(max(entries.values()) + 1, bool)
+        self.is_end[[i for t, i in entries.items() if t.endswith(suffix)]] = True
+        (self.separator_id,) = self._ids(self.full, SEPARATOR.decode())
+        self.marks = {m: np.array(self._ids(self.full, m), "<u4").tobytes() for m in ("", ".", ",")}
+
+    @staticmethod
+    def _ids(tokenizer, text: str) -> list[int]:
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        data = ids.tobytes()
+        self.memo.update(zip(words, map(data.__getitem__, map(slice, (4 * starts).tolist(), (4 * ends).tolist()))))
+
+    def _learn(self, words: set[bytes]) -> None:
+        simple, other = [], []
+        for w in words:
+            found = SIMPLE(w.decode().lower())
+            if found:
+                simple.append((w, found[1].encode(), found[2]))
+            else:
+                other.append(w)
+        self._learn_stems(sorted({stem for _, stem, _ in simple}.difference(self.memo)))
+        memo, marks = self.memo, self.marks
+        memo.update([(w, memo[stem] + marks[mark]) for w, stem, mark in simple])
+        self._learn_parted([w for w in other if SEPARATOR not in w])
+        self._learn_singly([w for w in other if SEPARATOR in w])
+
+    def _learn_stems(self, stems: list[bytes]) -> None:
+        for begin in range(0, len(stems), 20_000):
+            part = stems[begin : begin + 20_000]
+            ids = np.array(self._ids(self.plain, b" ".join(part).decode()), "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(part):
+                self._keep(part, ids, np.concatenate([[0], ends[:-1]]), ends)
+            else:
+                self._learn_singly(part)
+
+    def _learn_parted(self, words: list[bytes]) -> None:
+        for begin in range(0, len(words), 20_000):
+            part = words[begin : begin + 20_000]
+            ids = np.array(self._ids(self.full, (b" " + SEPARATOR + b" ").join(part).decode()), "<u4")
             cuts = np.flatnonzero(ids == self.separator_id)
-            if len(cuts) != len(part) - 1:
+            if len(cuts) == len(part) - 1:
+                self._keep(part, ids, np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]]))
+            else:
                 self._learn_singly(part)
-                continue
-            data = ids.tobytes()
-            starts = [0, *((cuts + 1) * 4).tolist()]
-            ends = [*(cuts * 4).tolist(), len(data)]
-            self.memo.update(zip(part, map(data.__getitem__, map(slice, starts, ends))))
-        self._learn_singly([w for w in words if SEPARATOR in w])
 
     def _learn_singly(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        found = self.full.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text (null: none)."""
         words = [t.split() if t else [] for t in texts]
-        needed = set(chain.from_iterable(words))
-        missing = needed.difference(self.memo)
-        if missing:
-            if len(self.memo) + len(missing) > self.limit:
+        flat = list(chain.from_iterable(words))
+        got = list(map(self.memo.get, flat))
+        gaps = [i for i, g in enumerate(got) if g is None]
+        if gaps:
+            missing = {flat[i] for i in gaps}
+            if len(self.memo) + 2 * len(missing) > self.limit:
                 self.memo.clear()
-                missing = needed
-            self._learn(sorted(missing))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+            self._learn(missing)
+            for i in gaps:
+                got[i] = self.memo[flat[i]]
+        out, at = [], 0
+        for w in words:
+            out.append(b"".join(got[at : at + len(w)]))
+            at += len(w)
+        return out
 
 
 def word_encoder(vocab: str, limit: int = MEMO_WORDS) -> WordEncoder:
