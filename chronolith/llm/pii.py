@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -31,160 +31,155 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 CYCLE_START, CYCLE_DAYS, CYCLE_LEFT, CYCLE_RIGHT = "1800-01-01", 146097, 627, 233
 
 
-def keyed_number(key: Column, *parts: Column) -> Column:
-    """60 keyed bits as a long."""
-    text = F.concat_ws("|", key, *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+# The functions below build SQL text: nested lambdas need names of their own, which SQL can give.
+_numbers = count()
 
 
-def feistel(left: Column, right: Column, a: Column, b: Column, key: Column, tweak: Column) -> Column:
+def lambda_of(body, n: int = 1) -> str:
+    """SQL lambda with ``n`` fresh parameter names, handed to ``body``."""
+    names = [f"v{next(_numbers)}" for _ in range(n)]
+    return f"({', '.join(names)}) -> {body(*names)}" if n > 1 else f"{names[0]} -> {body(*names)}"
+
+
+def let(value: str, body) -> str:
+    """``body`` with ``value`` computed once (a one-element array carries it)."""
+    return f"element_at(transform(array({value}), {lambda_of(body)}), 1)"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def keyed_number(key: str, *parts: str) -> str:
+    """60 keyed bits as a bigint."""
+    return f"cast(conv(substring(sha2(concat_ws('|', {key}, {', '.join(parts)}), 256), 1, 15), 16, 10) AS bigint)"
+
+
+def feistel(left: str, right: str, a: str, b: str, key: str, tweak: str) -> str:
     """A keyed permutation of pairs (left below a, right below b), as struct l, r."""
 
-    def step(pair: Column, i: Column) -> Column:
-        odd = F.struct(((pair["l"] + keyed_number(key, tweak, i, pair["r"])) % a).alias("l"), pair["r"].alias("r"))
-        even = F.struct(pair["l"].alias("l"), ((pair["r"] + keyed_number(key, tweak, i, pair["l"])) % b).alias("r"))
-        return F.when(i % 2 == 1, odd).otherwise(even)
+    def step(p: str, i: str) -> str:
+        odd = f"named_struct('l', ({p}.l + {keyed_number(key, tweak, i, f'{p}.r')}) % {a}, 'r', {p}.r)"
+        even = f"named_struct('l', {p}.l, 'r', ({p}.r + {keyed_number(key, tweak, i, f'{p}.l')}) % {b})"
+        return f"if({i} % 2 = 1, {odd}, {even})"
 
-    start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+    start = f"named_struct('l', cast({left} AS bigint), 'r', cast({right} AS bigint))"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, {lambda_of(step, 2)})"
 
 
-def let(value: Column, use) -> Column:
-    """``use`` with ``value`` computed once (a one-element array carries it)."""
-    return F.transform(F.array(value), use)[0]
+def digits_of(text: str) -> str:
+    return f"regexp_replace({text}, '[^0-9]', '')"
 
 
-def permuted_digits(digits: Column, key: Column, kind: str) -> Column:
+def permuted_digits(digits: str, key: str, kind: str) -> str:
     """The digit string (2 to 18 digits) permuted among strings of its length."""
-    n = F.length(digits)
-    half = (n / 2).cast("int")
-    a, b = F.pow(F.lit(10.0), half).cast("long"), F.pow(F.lit(10.0), n - half).cast("long")
-    pair = feistel(F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, n), a, b, key, F.concat_ws("/", F.lit(kind), n))
-    return let(pair, lambda p: F.concat(F.lpad(p["l"].cast("string"), half, F.lit("0")), F.lpad(p["r"].cast("string"), n - half, F.lit("0"))))
 
+    def body(d: str) -> str:
+        half, rest = f"cast(length({d}) div 2 AS int)", f"cast(length({d}) - length({d}) div 2 AS int)"
+        pair = feistel(
+            f"substring({d}, 1, {half})", f"substring({d}, {half} + 1)", f"cast(pow(10, {half}) AS bigint)", f"cast(pow(10, {rest}) AS bigint)", key, f"concat('{kind}/', length({d}))"
+        )
+        return let(pair, lambda p: f"concat(lpad(cast({p}.l AS string), {half}, '0'), lpad(cast({p}.r AS string), {rest}, '0'))")
 
-def digits_of(text: Column) -> Column:
-    return F.regexp_replace(text, "[^0-9]", "")
+    return let(digits, body)
 
 
-def lay_out(pattern: Column, digits: Column) -> Column:
+def lay_out(pattern: str, digits: str) -> str:
     """``pattern`` with its digits replaced, in order, by ``digits``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
-
-    def step(state: Column, char: Column) -> Column:
-        is_digit = char.between("0", "9") & (F.length(char) == 1)
-        return F.struct(
-            F.concat(state["out"], F.when(is_digit, F.substring(digits, state["at"], F.lit(1))).otherwise(char)).alias("out"),
-            (state["at"] + is_digit.cast("int")).alias("at"),
-        )
 
-    return F.aggregate(F.filter(F.split(pattern, ""), lambda c: c != ""), start, step, lambda s: s["out"])
+    def body(d: str) -> str:
+        def step(s: str, c: str) -> str:
+            return f"if({c} BETWEEN '0' AND '9', named_struct('t', concat({s}.t, substring({d}, {s}.at, 1)), 'at', {s}.at + 1), named_struct('t', concat({s}.t, {c}), 'at', {s}.at))"
 
+        return f"aggregate(filter(split({pattern}, ''), {lambda_of(lambda c: f'{c} <> {quoted(str())}')}), named_struct('t', '', 'at', 1), {lambda_of(step, 2)}, {lambda_of(lambda s: f'{s}.t')})"
 
-def luhn_sum(digits: Column, offset: int) -> Column:
-    """Sum of digits counted from the right; every second one, from place 1 + ``offset``, is doubled."""
-    places = F.transform(F.filter(F.split(F.reverse(digits), ""), lambda c: c != ""), lambda c, i: F.when((i + offset) % 2 == 1, (c.cast("int") * 2) % 10 + (c.cast("int") * 2 / 10).cast("int")).otherwise(c.cast("int")))
-    return F.aggregate(places, F.lit(0), lambda s, x: s + x)
+    return let(digits, body)
 
 
-def is_card(value: Column) -> Column:
-    return luhn_sum(digits_of(value), 0) % 10 == 0
+def luhn_sum(digits: str, doubled: int) -> str:
+    """Sum of digits; of the places 0, 1, ... from the right, the odd (1) or even (0) ones are doubled."""
+    digit = lambda c, i: f"if({i} % 2 = {doubled}, cast({c} AS int) * 2 - if(cast({c} AS int) > 4, 9, 0), cast({c} AS int))"
+    places = f"transform(filter(split(reverse({digits}), ''), {lambda_of(lambda c: f'{c} <> {quoted(str())}')}), {lambda_of(digit, 2)})"
+    return f"aggregate({places}, 0, {lambda_of(lambda s, x: f'{s} + {x}', 2)})"
 
 
-def card_pseudonym(value: Column, key: Column) -> Column:
-    digits = digits_of(value)
-    payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new = let(permuted_digits(payload, key, "card"), lambda d: F.concat(d, ((10 - luhn_sum(d, 1) % 10) % 10).cast("string")))
+def card_pseudonym(value: str, key: str) -> str:
+    """The digits before the check digit are permuted; the check digit is made anew."""
+    payload = f"substring({digits_of(value)}, 1, length({digits_of(value)}) - 1)"
+    new = let(permuted_digits(payload, key, "card"), lambda d: f"concat({d}, cast((10 - {luhn_sum(d, 0)} % 10) % 10 AS string))")
     return lay_out(value, new)
 
 
-def date_parts(value: Column) -> Column:
-    """yyyy-MM-dd text of a date in one of the known layouts; null if there is no such day."""
-    iso = F.regexp_extract(value, "^([0-9]{4})([-/])([0-9]{2})[-/]([0-9]{2})$", 1)
-    ymd = F.concat_ws("-", F.substring(value, 1, 4), F.substring(value, 6, 2), F.substring(value, 9, 2))
-    dmy = F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2))
-    mdy = F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 1, 2), F.substring(value, 4, 2))
-    return F.when(iso != "", ymd).when(value.contains("."), dmy).when(F.try_to_timestamp(mdy, F.lit("yyyy-MM-dd")).isNotNull(), mdy).otherwise(dmy)
+def as_day(year: str, month: str, day: str) -> str:
+    """The date, or null if there is no such day."""
+    return f"cast(try_to_timestamp(concat_ws('-', {year}, {month}, {day}), 'yyyy-MM-dd') AS date)"
 
 
-def day_number(value: Column) -> Column:
-    """Days since CYCLE_START; null outside the cycle or for no real day."""
-    day = F.datediff(F.try_to_timestamp(date_parts(value), F.lit("yyyy-MM-dd")).cast("date"), F.lit(CYCLE_START).cast("date"))
-    return F.when(day.between(0, CYCLE_DAYS - 1), day)
-
+def date_readings(value: str) -> list[tuple[str, str, str]]:
+    """(layout test, date, output format) of each known layout; the first that gives a real day counts."""
+    cut = lambda at, n: f"substring({value}, {at}, {n})"
+    ymd, dmy, mdy = as_day(cut(1, 4), cut(6, 2), cut(9, 2)), as_day(cut(7, 4), cut(4, 2), cut(1, 2)), as_day(cut(7, 4), cut(1, 2), cut(4, 2))
+    return [
+        (f"{cut(5, 1)} = '-'", ymd, "yyyy-MM-dd"),
+        (f"{cut(5, 1)} = '/'", ymd, "yyyy/MM/dd"),
+        (f"{cut(3, 1)} = '.'", dmy, "dd.MM.yyyy"),
+        (f"{cut(3, 1)} = '/' AND {mdy} IS NOT NULL", mdy, "MM/dd/yyyy"),
+        (f"{cut(3, 1)} = '/'", dmy, "dd/MM/yyyy"),
+    ]
 
-def date_pseudonym(value: Column, key: Column) -> Column:
-    def back(p: Column) -> Column:
-        day = F.date_add(F.lit(CYCLE_START).cast("date"), (p["l"] * CYCLE_RIGHT + p["r"]).cast("int"))
-        ambiguous = F.try_to_timestamp(F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 1, 2), F.substring(value, 4, 2)), F.lit("yyyy-MM-dd"))
-        layout = (
-            F.when(F.substring(value, 5, 1) == "-", F.date_format(day, "yyyy-MM-dd"))
-            .when(F.substring(value, 5, 1) == "/", F.date_format(day, "yyyy/MM/dd"))
-            .when(value.contains("."), F.date_format(day, "dd.MM.yyyy"))
-            .when(ambiguous.isNotNull(), F.date_format(day, "MM/dd/yyyy"))
-            .otherwise(F.date_format(day, "dd/MM/yyyy"))
-        )
-        return layout
 
-    def permute(day: Column) -> Column:
-        left = F.floor(day / CYCLE_RIGHT)
-        return let(feistel(left, day % CYCLE_RIGHT, F.lit(CYCLE_LEFT).cast("long"), F.lit(CYCLE_RIGHT).cast("long"), key, F.lit("date")), back)
+def day_number(value: str) -> str:
+    """Days since CYCLE_START; null outside the cycle or for no real day."""
+    day = "CASE " + " ".join(f"WHEN {test} THEN {day}" for test, day, _ in date_readings(value)) + " END"
+    return let(f"datediff({day}, DATE'{CYCLE_START}')", lambda d: f"if({d} BETWEEN 0 AND {CYCLE_DAYS - 1}, {d}, NULL)")
 
-    return let(day_number(value), permute)
 
+def date_pseudonym(value: str, key: str) -> str:
+    def back(p: str) -> str:
+        day = f"date_add(DATE'{CYCLE_START}', cast({p}.l * {CYCLE_RIGHT} + {p}.r AS int))"
+        return "CASE " + " ".join(f"WHEN {test} THEN date_format({day}, '{form}')" for test, _, form in date_readings(value)) + " END"
 
-def is_ip(value: Column) -> Column:
-    return F.forall(F.split(value, "[.]"), lambda x: x.cast("int") <= 255)
+    return let(day_number(value), lambda d: let(feistel(f"{d} div {CYCLE_RIGHT}", f"{d} % {CYCLE_RIGHT}", str(CYCLE_LEFT), str(CYCLE_RIGHT), key, "'date'"), back))
 
 
-def ip_pseudonym(value: Column, key: Column) -> Column:
-    def spread(x: Column) -> Column:
-        pair = feistel(x[0].cast("long") * 256 + x[1].cast("long"), x[2].cast("long") * 256 + x[3].cast("long"), F.lit(65536).cast("long"), F.lit(65536).cast("long"), key, F.lit("ip"))
-        return let(pair, lambda p: F.concat_ws(".", F.shiftright(p["l"], 8), p["l"] % 256, F.shiftright(p["r"], 8), p["r"] % 256))
+def ip_pseudonym(value: str, key: str) -> str:
+    def spread(x: str) -> str:
+        pair = feistel(f"cast({x}[0] AS int) * 256 + cast({x}[1] AS int)", f"cast({x}[2] AS int) * 256 + cast({x}[3] AS int)", "65536", "65536", key, "'ip'")
+        return let(pair, lambda p: f"concat_ws('.', {p}.l div 256, {p}.l % 256, {p}.r div 256, {p}.r % 256)")
 
-    return let(F.split(value, "[.]"), spread)
+    return let(f"split({value}, '[.]')", spread)
 
 
-def phone_pseudonym(value: Column, key: Column) -> Column:
+def phone_pseudonym(value: str, key: str) -> str:
     """The country code stays; the other digits, read as one number, are permuted."""
-    code = digits_of(F.regexp_extract(value, "^[+][0-9]{1,3}(?=[^0-9])", 0))
-    digits = digits_of(value)
-    rest = F.substring(digits, F.length(code) + 1, F.length(digits))
-    rest = F.when(F.length(rest) <= 18, permuted_digits(F.substring(rest, 1, 18), key, "phone")).otherwise(rest)
-    return lay_out(value, F.concat(code, rest))
+    code = digits_of(f"regexp_extract({value}, '^[+][0-9]{{1,3}}(?=[^0-9])', 0)")
+    return let(code, lambda c: lay_out(value, f"concat({c}, {permuted_digits(f'substring({digits_of(value)}, length({c}) + 1)', key, 'phone')})"))
 
 
-def email_pseudonym(value: Column, key: Column) -> Column:
+def email_pseudonym(value: str, key: str) -> str:
     """Case is ignored, so the spellings of an address stay linked."""
-    digest = F.sha2(F.concat_ws("|", key, F.lit("email"), F.lower(value)), 256)
-    return F.concat(F.lit("user."), F.substring(digest, 1, 16), F.lit("@"), F.substring(digest, 17, 8), F.lit(".example"))
+    return let(f"sha2(concat_ws('|', {key}, 'email', lower({value})), 256)", lambda d: f"concat('user.', substring({d}, 1, 16), '@', substring({d}, 17, 8), '.example')")
 
 
-def secret_pseudonym(value: Column, key: Column) -> Column:
-    body = F.concat(F.sha2(F.concat_ws("|", key, F.lit("secret"), F.lower(value)), 256), F.lit(""))
-    body = F.substring(body, F.lit(1), F.length(value))
-    return F.when(value == F.lower(value), body).otherwise(F.upper(body))
+def secret_pseudonym(value: str, key: str) -> str:
+    return let(f"substring(sha2(concat_ws('|', {key}, 'secret', lower({value})), 256), 1, length({value}))", lambda d: f"if({value} = lower({value}), {d}, upper({d}))")
 
 
-def classified(value: Column, key: Column) -> Column:
+def classified(value: str, key: str) -> str:
     """struct kind, new: the first kind whose look and validation both fit; kind null and the value itself if none."""
-    whole = {k: value.rlike(f"^(?:{p})$") for k, p in PATTERNS.items()}
-    rules = (
-        ("email", whole["email"], email_pseudonym(value, key)),
-        ("secret", whole["secret"] & value.rlike("[0-9]"), secret_pseudonym(value, key)),
-        ("date", whole["date"] & day_number(value).isNotNull(), date_pseudonym(value, key)),
-        ("ip", whole["ip"] & is_ip(value), ip_pseudonym(value, key)),
-        ("ssn", whole["ssn"], lay_out(value, permuted_digits(digits_of(value), key, "ssn"))),
-        ("card", whole["card"] & is_card(value), card_pseudonym(value, key)),
-        ("phone", whole["phone"] & F.length(digits_of(value)).between(7, 18), phone_pseudonym(value, key)),
-    )
-    kind = reduce(lambda acc, r: acc.when(r[1], F.lit(r[0])), rules, F.when(F.lit(False), F.lit("")))
-
-    def renamed(k: Column) -> Column:
-        new = reduce(lambda acc, r: acc.when(k == r[0], r[2]), rules, F.when(F.lit(False), F.lit("")))
-        return F.struct(k.alias("kind"), F.coalesce(new, value).alias("new"))
-
-    return let(kind, renamed)
+    checks = {
+        "secret": f"{value} RLIKE '[0-9]'",
+        "date": f"{day_number(value)} IS NOT NULL",
+        "ip": f"forall(split({value}, '[.]'), {lambda_of(lambda x: f'cast({x} AS int) <= 255')})",
+        "card": f"{luhn_sum(digits_of(value), 1)} % 10 = 0",
+        "phone": f"length({digits_of(value)}) BETWEEN 7 AND 18",
+    }
+    new = {
+        "email": email_pseudonym, "secret": secret_pseudonym, "date": date_pseudonym, "ip": ip_pseudonym,
+        "ssn": lambda v, k: lay_out(v, permuted_digits(digits_of(v), k, "ssn")), "card": card_pseudonym, "phone": phone_pseudonym,
+    }
+    cases = " ".join(f"WHEN {value} RLIKE r'^(?:{p})$' AND {checks.get(k, 'true')} THEN named_struct('kind', '{k}', 'new', {new[k](value, key)})" for k, p in PATTERNS.items())
+    return f"CASE {cases} ELSE named_struct('kind', cast(NULL AS string), 'new', {value}) END"
 
 
 def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, text_col: str = "text") -> DataFrame:
@@ -199,15 +194,15 @@ def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, text_col: str = "text") -
     kinds; empty and repeated rows need nothing special; all columns of ``docs`` are kept, and one
     named pii_kinds is replaced.
     """
-    text, keyed = F.col(f"`{text_col}`"), F.lit(key)
-    found = docs.withColumn("pii_kinds", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    found = found.withColumn("pii_kinds", F.transform(F.coalesce("pii_kinds", F.array().cast("array<string>")), lambda v: classified(v, keyed)))
-    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col("pii_kinds"), lambda s, m: F.concat(s, F.coalesce(m["new"], F.lit("")))), "")
-    found = found.withColumn(text_col, F.when(F.size("pii_kinds") > 0, joined).otherwise(text))
-    return found.withColumn("pii_kinds", F.filter(F.col("pii_kinds.kind"), lambda k: k.isNotNull()))
+    text, none = F.col(f"`{text_col}`"), F.array().cast("array<string>")
+    found = docs.withColumn("pii_kinds", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none))
+    found = found.withColumn("pii_kinds", F.expr(f"transform(coalesce(pii_kinds, cast(array() AS array<string>)), {lambda_of(lambda v: classified(v, quoted(key)))})"))
+    pieces = f"zip_with(split(`{text_col}`, r'{ANY}', -1), pii_kinds, {lambda_of(lambda s, m: f'concat({s}, coalesce({m}.new, {quoted(str())}))', 2)})"
+    found = found.withColumn(text_col, F.expr(f"if(size(pii_kinds) > 0, array_join({pieces}, ''), `{text_col}`)"))
+    return found.withColumn("pii_kinds", F.expr(f"filter(pii_kinds.kind, {lambda_of(lambda k: f'{k} IS NOT NULL')})"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("pii_kinds", lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    counts = [F.expr(f"cast(size(filter(pii_kinds, k -> k = '{kind}')) AS bigint)").alias(f"n_{kind}") for kind in KINDS]
     return masked.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_found"), *counts)

@@ -187,28 +187,45 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_r
     qualities every line is content. An empty table gives no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    field = train_field(docs, labels, train_docs)
-    emission, transition = field.emission, field.transition
+    judge = text_judge(train_field(docs, labels, train_docs), min_words, max_repeat_pct, content_share)
     kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "content_words": pa.int64(), "n_lines": pa.int64(), "content_lines": pa.int64()}
 
-    def judge(text: bytes, model: LineField) -> tuple:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            for a, b in chunks(texts, lambda t: len(t or b"")):
+                rows = [(i, *judge(t or b"")) for i, t in zip(ids[a:b], texts[a:b])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
+
+    schema = ", ".join(f"{n} {'boolean' if k == pa.bool_() else 'long'}" for n, k in kinds.items())
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema)
+
+
+def text_judge(field: LineField, min_words: int = 50, max_repeat_pct: int = 50, content_share: float = CONTENT_SHARE):
+    """A function from a UTF-8 text to the result columns after doc_id."""
+
+    def judge(text: bytes) -> tuple:
         lines, words = line_parts(text)
         counts = base_counts(text, lines, words)
-        labelled = model.decode(line_features(lines, words) @ model.emission)
+        labelled = field.decode(line_features(lines, words) @ field.emission)
         content = sum(len(w) for w, y in zip(words, labelled) if y == CONTENT)
         failed = counts[0] < min_words or 100 * counts[4] > max_repeat_pct * counts[0]
         return (*counts, failed, not failed and content >= content_share * counts[0], content, len(lines), labelled.count(CONTENT))
 
+    return judge
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps; nothing is shuffled."""
+    small_batches(docs.sparkSession)
+    judge = text_judge(train_field(docs, labels, train_docs))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LineField(emission, transition)
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for a, b in chunks(texts, lambda t: len(t or b"")):
-                rows = [(i, *judge(t or b"", model)) for i, t in zip(ids[a:b], texts[a:b])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
+            texts = batch.column("text").to_pylist()
+            yield batch.filter(pa.array([judge((t or "").encode())[6] for t in texts], pa.bool_()))
 
-    schema = ", ".join(f"{n} {'boolean' if k == pa.bool_() else 'long'}" for n, k in kinds.items())
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
