@@ -13,6 +13,7 @@ from .packing import op1_packing
 from .pii import op9_pii
 from .quality import op3_quality_rules
 from .simhash import op5_simhash_dedup
+from .suffix_dedup import op7_suffix_dedup
 from .token_files import op10_token_files
 from .topk import TOPK_SQL, op2_topk_search
 
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_html_extraction": op6_html_extraction,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_pii": op9_pii,
     "op10_token_files": op10_token_files,
