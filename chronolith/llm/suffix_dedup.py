@@ -2,9 +2,10 @@
 
 A string of LENGTH bytes has an anchor, the place of its least hashed K-gram, that depends on the
 string alone. Anchors that different texts share are the candidates. What surrounds such an anchor,
-as far as the strings anchored there reach, is its context; contexts that share an anchor are
-grouped and their suffixes sorted (grouping_sort), and runs of suffixes with LENGTH bytes in
-common tell which strings also start in a document with a smaller doc_id.
+as far as the strings anchored there reach, is its context. A context that an earlier document has
+too is removed whole; the different contexts of one anchor meet in the least document that has
+each, their suffixes are sorted (grouping_sort), and runs of suffixes with LENGTH bytes in common
+tell which strings also start in a document with a smaller doc_id.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import materialise, small_batches, table
 from .grouping_sort import suffix_array
@@ -31,7 +33,8 @@ BUCKET_ANCHORS = 1_000_000
 HOT_CONTEXTS = 2_000
 #: Bytes whose suffixes are sorted together, unless one anchor's contexts alone have more.
 SORT_BYTES = 200_000
-WHOLE, COPY = -1, -2
+#: Stands for a mask where the whole text is a copy.
+COPY = -1
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -194,34 +197,106 @@ def shared_anchors(batches: DataFrame, buckets: int) -> DataFrame:
     return spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "batch long, keys binary")
 
 
-def contexts(batches: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """anchor, context, batch, doc (row in the batch), doc_id, start: contexts of shared anchors."""
+def _shared_places(data: bytes, ends: bytes, keys: list[bytes], buckets: int) -> tuple:
+    """The batch's shared anchors in the order of their buckets: places, hashes, buckets, documents and what ``anchors`` gives."""
+    bytes_, starts, stops = _opened(data, ends)
+    at, h, whole = anchors(bytes_, starts, stops)
+    wanted = np.sort(np.frombuffer(b"".join(keys), "<u8"))
+    bucket = (h[at] >> np.uint64(32)) % np.uint64(buckets)
+    short = (bucket << np.uint64(32)) | (h[at] & np.uint64(0xFFFFFFFF))
+    shared = wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short
+    at, bucket = at[shared], bucket[shared].astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    at, bucket = at[order], bucket[order]
+    lo, hi = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for k in range(0, len(at), 50_000):
+        lo[k : k + 50_000], hi[k : k + 50_000] = reach(h, whole, at[k : k + 50_000])
+    some = hi >= lo
+    at, bucket, lo, hi = at[some], bucket[some], lo[some], hi[some]
+    doc = np.searchsorted(stops, at, "right")
+    prints = np.fromiter(map(xxh64_intdigest, (data[x:y] for x, y in zip(lo.tolist(), (hi + LENGTH).tolist()))), np.uint64, len(at))
+    # Contexts of one anchor in this batch, each once: row of each occurrence's (anchor, context).
+    entries, row = np.unique(np.stack([bucket.astype(np.uint64), h[at], prints], axis=1), axis=0, return_inverse=True)
+    return at, lo, hi, doc, starts, h, entries, row.ravel()
+
+
+def context_rules(batches: DataFrame, by_batch: DataFrame, buckets: int) -> DataFrame:
+    """batch, rules: for each context of the batch, the least doc_id that has it and whether its anchor has others.
+
+    Contexts travel as 64-bit prints next to their 64-bit anchors, packed by bucket, each once per
+    batch with its least doc_id; so a passage that a third of all documents share costs its bucket
+    one entry a batch.
+    """
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scatter(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
             for batch, doc_ids, ends, data, keys in zip(*(row.column(c).to_pylist() for c in range(5))):
-                bytes_, starts, stops = _opened(data, ends)
-                at, h, whole = anchors(bytes_, starts, stops)
-                wanted = np.sort(np.frombuffer(b"".join(keys), "<u8"))
-                low = h[at]
-                low = (((low >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (low & np.uint64(0xFFFFFFFF))
-                place = np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)
-                at = at[wanted[place] == low]
-                ids = np.frombuffer(doc_ids, "<i8")
-                for k in range(0, len(at), 50_000):
-                    part = at[k : k + 50_000]
-                    lo, hi = reach(h, whole, part)
-                    part, lo, hi = part[hi >= lo], lo[hi >= lo], hi[hi >= lo]
-                    doc = np.searchsorted(stops, part, "right")
-                    cut = [data[a:b] for a, b in zip(lo.tolist(), (hi + LENGTH).tolist())]
+                _, _, _, doc, _, _, entries, place = _shared_places(data, ends, keys, buckets)
+                if not len(entries):
+                    continue
+                least = np.full(len(entries), np.iinfo(np.int64).max)
+                np.minimum.at(least, place, np.frombuffer(doc_ids, "<i8")[doc])
+                packed = np.column_stack([entries[:, 1:].view(np.int64), least]).astype("<i8")
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(entries[:, 0])) + 1, [len(entries)]]).tolist()
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array(entries[cuts[:-1], 0].astype(np.int64)), "batch": pa.array(np.full(len(cuts) - 1, batch)),
+                    "packed": pa.array([packed[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary()),
+                })
+
+    def rule(bucket: int, sources: list[int], parts: list[bytes]) -> pa.RecordBatch:
+        rows = np.frombuffer(b"".join(parts), "<i8").reshape(-1, 3)
+        order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+        new_anchor = np.ones(len(rows), bool)
+        new_anchor[1:] = rows[order[1:], 0] != rows[order[:-1], 0]
+        new_context = new_anchor.copy()
+        new_context[1:] |= rows[order[1:], 1] != rows[order[:-1], 1]
+        anchor, context = np.cumsum(new_anchor) - 1, np.cumsum(new_context) - 1
+        many = np.bincount(anchor, weights=new_context) > 1
+        out = np.zeros((len(rows), 2), "<i8")
+        out[order, 0] = rows[order, 2][new_context][context]
+        out[order, 1] = many[anchor]
+        ends = np.cumsum([len(p) // 24 for p in parts]).tolist()
+        return pa.RecordBatch.from_pydict({"batch": pa.array(sources, pa.int64()), "bucket": pa.array([bucket] * len(parts), pa.int64()), "rules": pa.array([out[e - len(p) // 24 : e].tobytes() for e, p in zip(ends, parts)], pa.binary())})
+
+    def gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sources, parts = None, [], []
+        for row in rows:
+            for bucket, batch, packed in zip(*(row.column(c).to_pylist() for c in range(3))):
+                if bucket != now:
+                    if parts:
+                        yield rule(now, sources, parts)
+                    now, sources, parts = bucket, [], []
+                sources.append(batch)
+                parts.append(packed)
+        if parts:
+            yield rule(now, sources, parts)
+
+    joined = batches.select("batch", "doc_ids", "ends", "data").join(by_batch.hint("shuffle_hash"), "batch")
+    spread = joined.mapInArrow(scatter, "bucket long, batch long, packed binary")
+    ruled = spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "batch long, bucket long, rules binary")
+    listed = ruled.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "rules"))).alias("r"))
+    return listed.select("batch", F.col("r.rules").alias("rules"))
+
+
+def own_contexts(batches: DataFrame, ruled: DataFrame, buckets: int) -> DataFrame:
+    """anchor, context, least, batch, doc, start: contexts of anchors with several, in the least document that has them."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows:
+            for batch, doc_ids, ends, data, keys, rules in zip(*(row.column(c).to_pylist() for c in range(6))):
+                at, lo, hi, doc, starts, h, _, place = _shared_places(data, ends, keys, buckets)
+                rule = np.frombuffer(b"".join(rules), "<i8").reshape(-1, 2)[place]
+                ids = np.frombuffer(doc_ids, "<i8")[doc]
+                own = np.flatnonzero((ids == rule[:, 0]) & (rule[:, 1] > 0))
+                for k in range(0, len(own), 20_000):
+                    part = own[k : k + 20_000]
                     yield pa.RecordBatch.from_pydict({
-                        "anchor": pa.array(h[part].view(np.int64)), "context": pa.array(cut, pa.binary()), "batch": pa.array(np.full(len(part), batch)),
-                        "doc": pa.array(doc.astype(np.int64)), "doc_id": pa.array(ids[doc]), "start": pa.array(lo - starts[doc]),
+                        "anchor": pa.array(h[at[part]].view(np.int64)), "context": pa.array([data[x:y] for x, y in zip(lo[part].tolist(), (hi[part] + LENGTH).tolist())], pa.binary()),
+                        "least": pa.array(ids[part]), "batch": pa.array(np.full(len(part), batch)), "doc": pa.array(doc[part].astype(np.int64)), "start": pa.array((lo - starts[doc])[part]),
                     })
 
-    by_batch = shared.groupBy("batch").agg(F.collect_list("keys").alias("keys"))
-    joined = batches.select("batch", "doc_ids", "ends", "data").join(by_batch.hint("shuffle_hash"), "batch")
-    return joined.mapInArrow(run, "anchor long, context binary, batch long, doc long, doc_id long, start long")
+    joined = batches.select("batch", "doc_ids", "ends", "data").join(ruled.hint("shuffle_hash"), "batch")
+    return joined.mapInArrow(run, "anchor long, context binary, least long, batch long, doc long, start long")
 
 
 def covered_starts(context: list[bytes], least: np.ndarray) -> np.ndarray:
@@ -293,25 +368,29 @@ def live_contexts(context: list[bytes]) -> np.ndarray:
     return live
 
 
-def sorted_masks(groups: DataFrame) -> DataFrame:
-    """anchor, context, least, mask for anchors with several contexts, by suffix sorting."""
+def sorted_masks(rows: DataFrame) -> DataFrame:
+    """batch, doc, start, mask of contexts (anchor, context, least, batch, doc, start), by suffix sorting."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
-        context = [r[1] for r in rows]
+        distinct: dict[tuple[int, bytes], int] = {}
+        index = [distinct.setdefault((r[0], r[1]), len(distinct)) for r in rows]
+        least = np.zeros(len(distinct), np.int64)
+        least[index] = [r[2] for r in rows]
+        context = [c for _, c in distinct]
         live = np.flatnonzero(live_contexts(context)) if rows else np.zeros(0, np.int64)
         if not len(live):
             return None
-        part = [rows[i] for i in live.tolist()]
-        least = np.array([r[2] for r in part])
-        masks = covered_starts([r[1] for r in part], least)
-        hit = np.flatnonzero(masks)
-        return pa.RecordBatch.from_pydict({"anchor": pa.array([part[i][0] for i in hit], pa.int64()), "context": pa.array([part[i][1] for i in hit], pa.binary()), "mask": pa.array(masks[hit])})
+        masks = np.zeros(len(distinct), np.int64)
+        masks[live] = covered_starts([context[i] for i in live.tolist()], least[live])
+        mask = masks[index]
+        hit = np.flatnonzero(mask).tolist()
+        return pa.RecordBatch.from_pydict({"batch": pa.array([rows[i][3] for i in hit], pa.int64()), "doc": pa.array([rows[i][4] for i in hit], pa.int64()), "start": pa.array([rows[i][5] for i in hit], pa.int64()), "mask": pa.array(mask[hit])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for r in zip(*(batch.column(c).to_pylist() for c in range(6))):
                 if size >= SORT_BYTES and held[-1][0] != r[0]:
                     if (found := solve(held)) is not None:
                         yield found
@@ -321,16 +400,17 @@ def sorted_masks(groups: DataFrame) -> DataFrame:
         if (found := solve(held)) is not None:
             yield found
 
-    return groups.select("anchor", "context", "least").repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(run, "anchor long, context binary, mask long")
+    ordered = rows.select("anchor", "context", "least", "batch", "doc", "start").repartition("anchor").sortWithinPartitions("anchor", "context")
+    return ordered.mapInArrow(run, "batch long, doc long, start long, mask long")
 
 
-def hot_masks(groups: DataFrame) -> DataFrame:
+def hot_masks(rows: DataFrame) -> DataFrame:
     """The same for anchors with very many contexts: equal strings meet by a grouped minimum."""
-    strings = groups.select("anchor", "context", "least", F.explode(F.sequence(F.lit(0), F.length("context") - LENGTH)).alias("at"))
+    strings = rows.select("batch", "doc", "start", "context", "least", F.explode(F.sequence(F.lit(0), F.length("context") - LENGTH)).alias("at"))
     strings = strings.withColumn("string", F.expr(f"substring(context, at + 1, {LENGTH})"))
     lowest = strings.groupBy("string").agg(F.min("least").alias("lowest"))
     hit = strings.join(lowest, "string").where("lowest < least")
-    return hit.groupBy("anchor", "context").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
+    return hit.groupBy("batch", "doc", "start").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
 
 
 def without_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -349,10 +429,7 @@ def without_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int,
     return removed, runs, b"".join(kept)
 
 
-def mask_spans(start: int, length: int, mask: int) -> Iterator[tuple[int, int]]:
-    if mask == WHOLE:
-        yield start, start + length
-        return
+def mask_spans(start: int, mask: int) -> Iterator[tuple[int, int]]:
     k = 0
     while mask >> k:
         if mask >> k & 1:
@@ -396,41 +473,45 @@ def removed_strings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     texts = batches.select("batch", "doc_ids", "ends", "digests").mapInArrow(listed, "batch long, doc long, doc_id long, n_bytes long, digest binary").where(f"n_bytes >= {LENGTH}")
     texts = materialise(texts, "text-digests")
     first = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = texts.join(first, "digest").where("first < doc_id").select("batch", "doc", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), F.lit(COPY).cast("long").alias("mask"))
-
-    found = materialise(contexts(batches, shared_anchors(batches, buckets), buckets), "contexts")
-    groups = found.groupBy("anchor", "context").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    groups = materialise(groups, "context-groups")
-    sizes = groups.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    many = groups.join(sizes, "anchor")
-    masks = sorted_masks(many.where(f"n <= {HOT_CONTEXTS}")).unionByName(hot_masks(many.where(f"n > {HOT_CONTEXTS}")))
-    ruled = groups.join(masks, ["anchor", "context"], "left").where("most > least OR mask IS NOT NULL")
-    ruled = ruled.select("anchor", "context", "least", F.coalesce("mask", F.lit(0)).alias("mask"))
-    hits = found.join(ruled, ["anchor", "context"]).select("batch", "doc", "start", F.length("context").cast("long").alias("length"), F.when(F.col("doc_id") > F.col("least"), WHOLE).otherwise(F.col("mask")).alias("mask"))
-    spans = hits.where("mask <> 0").unionByName(copies).groupBy("batch").agg(F.collect_list(F.struct("doc", "start", "length", "mask")).alias("spans"))
-
+    copies = texts.join(first, "digest").where("first < doc_id").select("batch", "doc", F.lit(0).cast("long").alias("start"), F.lit(COPY).cast("long").alias("mask"))
+
+    shared = materialise(shared_anchors(batches, buckets).groupBy("batch").agg(F.collect_list("keys").alias("keys")), "shared-anchors")
+    rules = materialise(context_rules(batches, shared, buckets), "context-rules")
+    ruled = shared.join(rules, "batch")
+    own = materialise(own_contexts(batches, ruled, buckets), "contexts")
+    sizes = own.groupBy("anchor").agg(F.count("*").alias("n"))
+    hot = sizes.where(f"n > {HOT_CONTEXTS}").select("anchor")
+    masks = sorted_masks(own.join(hot, "anchor", "left_anti")).unionByName(hot_masks(own.join(hot, "anchor", "left_semi")))
+    masked = masks.unionByName(copies)
+    spans = materialise(masked.groupBy("batch").agg(F.collect_list(F.struct("doc", "start", "mask")).alias("spans")), "spans")
     schema = RESULT + (", kept binary" if with_text else "")
     kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
             for i in range(row.num_rows):
-                ids, ends, data = (row.column(c)[i].as_py() for c in range(3))
-                lists = row.column(3)[i]
+                ids, ends, data, keys, rules = (row.column(c)[i].as_py() for c in range(5))
+                lists = row.column(5)[i]
                 of: dict[int, list[tuple[int, int]]] = {}
-                stops = np.frombuffer(ends, "<i8")
+                doc_ids, stops = np.frombuffer(ids, "<i8"), np.frombuffer(ends, "<i8")
                 sizes = np.diff(stops, prepend=0).tolist()
+                if keys and rules:
+                    _, lo, hi, doc, starts, _, _, place = _shared_places(data, ends, keys, buckets)
+                    whole = doc_ids[doc] > np.frombuffer(b"".join(rules), "<i8").reshape(-1, 2)[place, 0]
+                    begin, end = (lo - starts[doc])[whole].tolist(), (hi + LENGTH - starts[doc])[whole].tolist()
+                    for d, x, y in zip(doc[whole].tolist(), begin, end):
+                        of.setdefault(d, []).append((x, y))
                 if lists.is_valid:
-                    fields = lists.values.flatten()
-                    for doc, start, length, mask in zip(*(f.to_pylist() for f in fields)):
-                        of.setdefault(doc, []).extend([(0, sizes[doc])] if mask == COPY else mask_spans(start, length, mask))
+                    for d, start, mask in zip(*(f.to_pylist() for f in lists.values.flatten())):
+                        of.setdefault(d, []).extend([(0, sizes[d])] if mask == COPY else mask_spans(start, mask))
                 out = []
-                for doc, (doc_id, end, size) in enumerate(zip(np.frombuffer(ids, "<i8").tolist(), stops.tolist(), sizes)):
-                    removed, runs, kept = without_spans(data[end - size : end], of.get(doc, []))
+                for d, (doc_id, end, size) in enumerate(zip(doc_ids.tolist(), stops.tolist(), sizes)):
+                    removed, runs, kept = without_spans(data[end - size : end], of.get(d, []))
                     out.append((doc_id, size, removed, runs, hashlib.sha256(kept).hexdigest(), kept)[: len(kinds)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [c.split()[0] for c in schema.split(", ")])
 
-    result = batches.select("batch", "doc_ids", "ends", "data").join(spans.hint("shuffle_hash"), "batch", "left").select("doc_ids", "ends", "data", "spans").mapInArrow(cut, schema)
+    found = ruled.join(spans, "batch", "full")
+    result = batches.select("batch", "doc_ids", "ends", "data").join(found.hint("shuffle_hash"), "batch", "left").select("doc_ids", "ends", "data", "keys", "rules", "spans").mapInArrow(cut, schema)
     nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
     nameless = nameless.select("doc_id", F.length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("data", 256).alias("kept_sha256"), *([F.col("data").alias("kept")] if with_text else []))
     return result.unionByName(nameless)
