@@ -30,7 +30,7 @@ BATCH_BYTES = 2_000_000
 #: Anchors that one bucket of the candidate search gets, on average.
 BUCKET_ANCHORS = 1_000_000
 #: An anchor with more different contexts than this goes by grouped strings, not to one task.
-HOT_CONTEXTS = 2_000
+HOT_CONTEXTS = 200_000
 #: Bytes whose suffixes are sorted together, unless one anchor's contexts alone have more.
 SORT_BYTES = 200_000
 #: Stands for a mask where the whole text is a copy.
@@ -197,30 +197,57 @@ def shared_anchors(batches: DataFrame, buckets: int) -> DataFrame:
     return spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "batch long, keys binary")
 
 
-def _shared_places(data: bytes, ends: bytes, keys: list[bytes], buckets: int) -> tuple:
-    """The batch's shared anchors in the order of their buckets: places, hashes, buckets, documents and what ``anchors`` gives."""
-    bytes_, starts, stops = _opened(data, ends)
-    at, h, whole = anchors(bytes_, starts, stops)
-    wanted = np.sort(np.frombuffer(b"".join(keys), "<u8"))
-    bucket = (h[at] >> np.uint64(32)) % np.uint64(buckets)
-    short = (bucket << np.uint64(32)) | (h[at] & np.uint64(0xFFFFFFFF))
-    shared = wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short
-    at, bucket = at[shared], bucket[shared].astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    at, bucket = at[order], bucket[order]
-    lo, hi = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    for k in range(0, len(at), 50_000):
-        lo[k : k + 50_000], hi[k : k + 50_000] = reach(h, whole, at[k : k + 50_000])
-    some = hi >= lo
-    at, bucket, lo, hi = at[some], bucket[some], lo[some], hi[some]
-    doc = np.searchsorted(stops, at, "right")
-    prints = np.fromiter(map(xxh64_intdigest, (data[x:y] for x, y in zip(lo.tolist(), (hi + LENGTH).tolist()))), np.uint64, len(at))
-    # Contexts of one anchor in this batch, each once: row of each occurrence's (anchor, context).
-    entries, row = np.unique(np.stack([bucket.astype(np.uint64), h[at], prints], axis=1), axis=0, return_inverse=True)
-    return at, lo, hi, doc, starts, h, entries, row.ravel()
-
-
-def context_rules(batches: DataFrame, by_batch: DataFrame, buckets: int) -> DataFrame:
+MARKS = "batch long, at binary, lo binary, hi binary, place binary, entries binary"
+
+
+def shared_marks(batches: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+    """Packed arrays of each batch's shared anchors: places, first and last string starts, and the row of ``entries`` each belongs to.
+
+    entries: bucket, anchor and 64-bit print of each different context, and the least doc_id of the
+    batch that has it, by bucket.
+    """
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows:
+            for batch, doc_ids, ends, data, keys in zip(*(row.column(c).to_pylist() for c in range(5))):
+                bytes_, starts, stops = _opened(data, ends)
+                at, h, whole = anchors(bytes_, starts, stops)
+                wanted = np.sort(np.frombuffer(b"".join(keys), "<u8"))
+                bucket = (h[at] >> np.uint64(32)) % np.uint64(buckets)
+                short = (bucket << np.uint64(32)) | (h[at] & np.uint64(0xFFFFFFFF))
+                at = at[wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short]
+                lo, hi = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                for k in range(0, len(at), 50_000):
+                    lo[k : k + 50_000], hi[k : k + 50_000] = reach(h, whole, at[k : k + 50_000])
+                at, lo, hi = at[hi >= lo], lo[hi >= lo], hi[hi >= lo]
+                if not len(at):
+                    continue
+                anchor = h[at]
+                bucket = ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                prints = np.fromiter(map(xxh64_intdigest, (data[x:y] for x, y in zip(lo.tolist(), (hi + LENGTH).tolist()))), np.uint64, len(at))
+                with np.errstate(over="ignore"):
+                    both = anchor * _M ^ prints
+                _, first, place = np.unique(both, return_index=True, return_inverse=True)
+                order = np.argsort(bucket[first], kind="stable")
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order))
+                place, first = rank[place.ravel()], first[order]
+                least = np.full(len(first), np.iinfo(np.int64).max)
+                np.minimum.at(least, place, np.frombuffer(doc_ids, "<i8")[np.searchsorted(stops, at, "right")])
+                entries = np.column_stack([bucket[first], anchor[first].view(np.int64), prints[first].view(np.int64), least])
+                parts = [at.astype("<u4"), (at - lo).astype(np.uint8), (at - hi).astype(np.int8), place.astype("<u4"), entries.astype("<i8")]
+                yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]], [c.split()[0] for c in MARKS.split(", ")])
+
+    joined = batches.select("batch", "doc_ids", "ends", "data").join(shared.hint("shuffle_hash"), "batch")
+    return joined.mapInArrow(run, MARKS)
+
+
+def _marks(at: bytes, lo: bytes, hi: bytes, place: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    places = np.frombuffer(at, "<u4").astype(np.int64)
+    return places, places - np.frombuffer(lo, np.uint8), places - np.frombuffer(hi, np.int8), np.frombuffer(place, "<u4")
+
+
+def context_rules(marks: DataFrame) -> DataFrame:
     """batch, rules: for each context of the batch, the least doc_id that has it and whether its anchor has others.
 
     Contexts travel as 64-bit prints next to their 64-bit anchors, packed by bucket, each once per
@@ -230,17 +257,12 @@ def context_rules(batches: DataFrame, by_batch: DataFrame, buckets: int) -> Data
 
     def scatter(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
-            for batch, doc_ids, ends, data, keys in zip(*(row.column(c).to_pylist() for c in range(5))):
-                _, _, _, doc, _, _, entries, place = _shared_places(data, ends, keys, buckets)
-                if not len(entries):
-                    continue
-                least = np.full(len(entries), np.iinfo(np.int64).max)
-                np.minimum.at(least, place, np.frombuffer(doc_ids, "<i8")[doc])
-                packed = np.column_stack([entries[:, 1:].view(np.int64), least]).astype("<i8")
+            for batch, data in zip(row.column(0).to_pylist(), row.column(1).to_pylist()):
+                entries = np.frombuffer(data, "<i8").reshape(-1, 4)
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(entries[:, 0])) + 1, [len(entries)]]).tolist()
                 yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array(entries[cuts[:-1], 0].astype(np.int64)), "batch": pa.array(np.full(len(cuts) - 1, batch)),
-                    "packed": pa.array([packed[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary()),
+                    "bucket": pa.array(entries[cuts[:-1], 0]), "batch": pa.array(np.full(len(cuts) - 1, batch)),
+                    "packed": pa.array([entries[x:y, 1:].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary()),
                 })
 
     def rule(bucket: int, sources: list[int], parts: list[bytes]) -> pa.RecordBatch:
@@ -271,63 +293,63 @@ def context_rules(batches: DataFrame, by_batch: DataFrame, buckets: int) -> Data
         if parts:
             yield rule(now, sources, parts)
 
-    joined = batches.select("batch", "doc_ids", "ends", "data").join(by_batch.hint("shuffle_hash"), "batch")
-    spread = joined.mapInArrow(scatter, "bucket long, batch long, packed binary")
+    spread = marks.select("batch", "entries").mapInArrow(scatter, "bucket long, batch long, packed binary")
     ruled = spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "batch long, bucket long, rules binary")
     listed = ruled.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "rules"))).alias("r"))
     return listed.select("batch", F.col("r.rules").alias("rules"))
 
 
-def own_contexts(batches: DataFrame, ruled: DataFrame, buckets: int) -> DataFrame:
+def own_contexts(batches: DataFrame, ruled: DataFrame) -> DataFrame:
     """anchor, context, least, batch, doc, start: contexts of anchors with several, in the least document that has them."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
-            for batch, doc_ids, ends, data, keys, rules in zip(*(row.column(c).to_pylist() for c in range(6))):
-                at, lo, hi, doc, starts, h, _, place = _shared_places(data, ends, keys, buckets)
+            for batch, doc_ids, ends, data, *packed, entries, rules in zip(*(row.column(c).to_pylist() for c in range(10))):
+                _, starts, stops = _opened(data, ends)
+                at, lo, hi, place = _marks(*packed)
                 rule = np.frombuffer(b"".join(rules), "<i8").reshape(-1, 2)[place]
+                doc = np.searchsorted(stops, at, "right")
                 ids = np.frombuffer(doc_ids, "<i8")[doc]
+                anchor = np.frombuffer(entries, "<i8").reshape(-1, 4)[place, 1]
                 own = np.flatnonzero((ids == rule[:, 0]) & (rule[:, 1] > 0))
                 for k in range(0, len(own), 20_000):
                     part = own[k : k + 20_000]
                     yield pa.RecordBatch.from_pydict({
-                        "anchor": pa.array(h[at[part]].view(np.int64)), "context": pa.array([data[x:y] for x, y in zip(lo[part].tolist(), (hi[part] + LENGTH).tolist())], pa.binary()),
+                        "anchor": pa.array(anchor[part]), "context": pa.array([data[x:y] for x, y in zip(lo[part].tolist(), (hi[part] + LENGTH).tolist())], pa.binary()),
                         "least": pa.array(ids[part]), "batch": pa.array(np.full(len(part), batch)), "doc": pa.array(doc[part].astype(np.int64)), "start": pa.array((lo - starts[doc])[part]),
                     })
 
     joined = batches.select("batch", "doc_ids", "ends", "data").join(ruled.hint("shuffle_hash"), "batch")
-    return joined.mapInArrow(run, "anchor long, context binary, least long, batch long, doc long, start long")
+    return joined.select("batch", "doc_ids", "ends", "data", "at", "lo", "hi", "place", "entries", "rules").mapInArrow(run, "anchor long, context binary, least long, batch long, doc long, start long")
 
 
-def covered_starts(context: list[bytes], least: np.ndarray) -> np.ndarray:
-    """Bit k of each context's mask: its string at k also starts in a context with a smaller ``least``.
+def least_of_strings(texts: list[bytes], least: list[int]) -> list[list[int]]:
+    """For each place of each text that starts a whole string: the smallest ``least`` of the texts that have the string.
 
-    The contexts are laid end to end, each closed by a separator of its own; suffixes that begin a
+    The texts are laid end to end, each closed by a separator of its own; suffixes that begin a
     whole string are taken in suffix order, and neighbours that agree in LENGTH bytes form runs.
     """
-    masks = np.zeros(len(context), np.int64)
-    text: list[int] = []
+    out = [[0] * (len(t) - LENGTH + 1) for t in texts]
+    laid: list[int] = []
     owner: list[int] = []
-    base = len(context)
-    for k, c in enumerate(context):
-        text += [base + byte for byte in c]
-        text.append(k)
-        owner += [k] * (len(c) + 1)
-    begins = np.concatenate([[0], np.cumsum([len(c) + 1 for c in context])]).tolist()
+    base = len(texts)
+    for k, t in enumerate(texts):
+        laid += [base + byte for byte in t]
+        laid.append(k)
+        owner += [k] * (len(t) + 1)
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).tolist()
     run: list[tuple[int, int]] = []
     last = b""
 
     def close() -> None:
-        if len(run) > 1:
-            low = min(int(least[k]) for k, _ in run)
-            for k, offset in run:
-                if least[k] > low:
-                    masks[k] |= 1 << offset
+        low = min((least[k] for k, _ in run), default=0)
+        for k, offset in run:
+            out[k][offset] = low
 
-    for place in suffix_array(text):
+    for place in suffix_array(laid):
         k = owner[place]
         offset = place - begins[k]
-        string = context[k][offset : offset + LENGTH]
+        string = texts[k][offset : offset + LENGTH]
         if len(string) < LENGTH:
             continue
         if string != last:
@@ -336,11 +358,11 @@ def covered_starts(context: list[bytes], least: np.ndarray) -> np.ndarray:
             last = string
         run.append((k, offset))
     close()
-    return masks
+    return out
 
 
-def live_contexts(context: list[bytes]) -> np.ndarray:
-    """Which contexts have a string whose hash another context of the list has too."""
+def live_runs(context: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first, last) of runs of string starts whose strings, by their hashes, other contexts of the list have too."""
     joined = np.frombuffer(b"".join(context), np.uint8)
     lengths = np.array([len(c) for c in context])
     owner = np.repeat(np.arange(len(context)), lengths)
@@ -357,34 +379,58 @@ def live_contexts(context: list[bytes]) -> np.ndarray:
             h = h[: max(0, len(h) - size)] * power + h[size:]
             size, power = 2 * size, power * power
     n = len(whole)
-    fits = np.arange(n) + LENGTH <= (begins + lengths)[owner[:n]]
-    hashes, own = whole[fits], owner[:n][fits]
-    order = np.argsort(hashes, kind="stable")
-    hashes, own = hashes[order], own[order]
+    at = np.flatnonzero(np.arange(n) + LENGTH <= (begins + lengths)[owner[:n]])
+    order = np.argsort(whole[at], kind="stable")
+    hashes, own = whole[at][order], owner[at][order]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(hashes)) + 1])
     many = np.minimum.reduceat(own, cuts) != np.maximum.reduceat(own, cuts)
-    live = np.zeros(len(context), bool)
-    live[own[np.repeat(many, np.diff(np.concatenate([cuts, [len(own)]])))]] = True
-    return live
+    live = np.sort(at[order[np.repeat(many, np.diff(np.concatenate([cuts, [len(own)]])))]])
+    if not len(live):
+        return live, live, live
+    new = np.ones(len(live), bool)
+    new[1:] = (np.diff(live) > 1) | (np.diff(owner[live]) > 0)
+    first, last = live[new], live[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(live) - 1]])]
+    return owner[first], first - begins[owner[first]], last - begins[owner[first]]
 
 
 def sorted_masks(rows: DataFrame) -> DataFrame:
     """batch, doc, start, mask of contexts (anchor, context, least, batch, doc, start), by suffix sorting."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
-        distinct: dict[tuple[int, bytes], int] = {}
-        index = [distinct.setdefault((r[0], r[1]), len(distinct)) for r in rows]
-        least = np.zeros(len(distinct), np.int64)
-        least[index] = [r[2] for r in rows]
-        context = [c for _, c in distinct]
-        live = np.flatnonzero(live_contexts(context)) if rows else np.zeros(0, np.int64)
-        if not len(live):
+        if not rows:
             return None
-        masks = np.zeros(len(distinct), np.int64)
-        masks[live] = covered_starts([context[i] for i in live.tolist()], least[live])
-        mask = masks[index]
-        hit = np.flatnonzero(mask).tolist()
-        return pa.RecordBatch.from_pydict({"batch": pa.array([rows[i][3] for i in hit], pa.int64()), "doc": pa.array([rows[i][4] for i in hit], pa.int64()), "start": pa.array([rows[i][5] for i in hit], pa.int64()), "mask": pa.array(mask[hit])})
+        distinct: dict[bytes, int] = {}
+        of: list[list[int]] = []
+        for i, r in enumerate(rows):
+            k = distinct.setdefault(r[1], len(distinct))
+            if k == len(of):
+                of.append([])
+            of[k].append(i)
+        context = list(distinct)
+        # What contexts share is mostly the same text, cut out of different surroundings: each once.
+        texts: dict[bytes, int] = {}
+        least: list[int] = []
+        runs = []
+        for k, a, b in zip(*(x.tolist() for x in live_runs(context))):
+            t = texts.setdefault(context[k][a : b + LENGTH], len(texts))
+            low = min(rows[i][2] for i in of[k])
+            if t == len(least):
+                least.append(low)
+            else:
+                least[t] = min(least[t], low)
+            runs.append((k, a, t))
+        lows = least_of_strings(list(texts), least)
+        ends = [(min(x), max(x)) for x in lows]
+        masks: dict[int, int] = {}
+        for k, a, t in runs:
+            for i in of[k]:
+                own = rows[i][2]
+                if ends[t][1] < own:
+                    masks[i] = masks.get(i, 0) | ((1 << len(lows[t])) - 1) << a
+                elif ends[t][0] < own:
+                    masks[i] = masks.get(i, 0) | sum(1 << a + o for o, low in enumerate(lows[t]) if low < own)
+        hit = list(masks)
+        return pa.RecordBatch.from_pydict({"batch": pa.array([rows[i][3] for i in hit], pa.int64()), "doc": pa.array([rows[i][4] for i in hit], pa.int64()), "start": pa.array([rows[i][5] for i in hit], pa.int64()), "mask": pa.array(list(masks.values()), pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -476,9 +522,11 @@ def removed_strings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     copies = texts.join(first, "digest").where("first < doc_id").select("batch", "doc", F.lit(0).cast("long").alias("start"), F.lit(COPY).cast("long").alias("mask"))
 
     shared = materialise(shared_anchors(batches, buckets).groupBy("batch").agg(F.collect_list("keys").alias("keys")), "shared-anchors")
-    rules = materialise(context_rules(batches, shared, buckets), "context-rules")
-    ruled = shared.join(rules, "batch")
-    own = materialise(own_contexts(batches, ruled, buckets), "contexts")
+    marks_name = f"text_marks_{uuid.uuid4().hex}"
+    shared_marks(batches, shared, buckets).write.option("compression", "zstd").bucketBy(parts, "batch").saveAsTable(marks_name)
+    marks = spark.table(marks_name)
+    ruled = marks.join(materialise(context_rules(marks), "context-rules").hint("shuffle_hash"), "batch")
+    own = materialise(own_contexts(batches, ruled), "contexts")
     sizes = own.groupBy("anchor").agg(F.count("*").alias("n"))
     hot = sizes.where(f"n > {HOT_CONTEXTS}").select("anchor")
     masks = sorted_masks(own.join(hot, "anchor", "left_anti")).unionByName(hot_masks(own.join(hot, "anchor", "left_semi")))
@@ -490,13 +538,14 @@ def removed_strings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
             for i in range(row.num_rows):
-                ids, ends, data, keys, rules = (row.column(c)[i].as_py() for c in range(5))
-                lists = row.column(5)[i]
+                ids, ends, data, *packed, rules = (row.column(c)[i].as_py() for c in range(8))
+                lists = row.column(8)[i]
                 of: dict[int, list[tuple[int, int]]] = {}
                 doc_ids, stops = np.frombuffer(ids, "<i8"), np.frombuffer(ends, "<i8")
                 sizes = np.diff(stops, prepend=0).tolist()
-                if keys and rules:
-                    _, lo, hi, doc, starts, _, _, place = _shared_places(data, ends, keys, buckets)
+                if rules:
+                    at, lo, hi, place = _marks(*packed)
+                    doc, starts = np.searchsorted(stops, at, "right"), stops - np.array(sizes)
                     whole = doc_ids[doc] > np.frombuffer(b"".join(rules), "<i8").reshape(-1, 2)[place, 0]
                     begin, end = (lo - starts[doc])[whole].tolist(), (hi + LENGTH - starts[doc])[whole].tolist()
                     for d, x, y in zip(doc[whole].tolist(), begin, end):
@@ -510,8 +559,9 @@ def removed_strings(docs: DataFrame, with_text: bool = False) -> DataFrame:
                     out.append((doc_id, size, removed, runs, hashlib.sha256(kept).hexdigest(), kept)[: len(kinds)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [c.split()[0] for c in schema.split(", ")])
 
-    found = ruled.join(spans, "batch", "full")
-    result = batches.select("batch", "doc_ids", "ends", "data").join(found.hint("shuffle_hash"), "batch", "left").select("doc_ids", "ends", "data", "keys", "rules", "spans").mapInArrow(cut, schema)
+    texts = batches.select("batch", "doc_ids", "ends", "data")
+    found = texts.join(ruled.drop("entries").hint("shuffle_hash"), "batch", "left").join(spans.hint("shuffle_hash"), "batch", "left")
+    result = found.select("doc_ids", "ends", "data", "at", "lo", "hi", "place", "rules", "spans").mapInArrow(cut, schema)
     nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
     nameless = nameless.select("doc_id", F.length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("data", 256).alias("kept_sha256"), *([F.col("data").alias("kept")] if with_text else []))
     return result.unionByName(nameless)
