@@ -65,18 +65,25 @@ def encode_blocks(values: np.ndarray, percentile: float = PERCENTILE) -> list[by
     return blocks
 
 
-def decode_block(data: bytes | memoryview) -> np.ndarray:
-    low, width, n = _BLOCK.unpack_from(data, 0)
-    at = _BLOCK.size
-    places = np.frombuffer(data, "<u2", n, at)
-    high = np.frombuffer(data, "<u4", n, at + 2 * n)
-    planes = np.unpackbits(np.frombuffer(data, np.uint8, width * BLOCK // 8, at + 6 * n).reshape(width, BLOCK // 8), axis=1)
-    out = np.zeros(BLOCK, np.uint32)
-    for bit in range(width):
-        out |= planes[bit].astype(np.uint32) << np.uint32(bit)
-    if n:
-        out[places] |= high << np.uint32(width)
-    return out + np.uint32(low)
+def decode_blocks(blocks: list[memoryview]) -> np.ndarray:
+    """Values of blocks in a row; blocks of one width are unpacked together."""
+    heads = [_BLOCK.unpack_from(b, 0) for b in blocks]
+    out = np.zeros((len(blocks), BLOCK), np.uint32)
+    widths = np.array([w for _, w, _ in heads], np.int64)
+    for w in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == w)
+        packed = b"".join([blocks[i][len(blocks[i]) - w * BLOCK // 8 :] for i in rows.tolist()]) if w else b""
+        planes = np.unpackbits(np.frombuffer(packed, np.uint8).reshape(len(rows), w, BLOCK // 8), axis=2)
+        part = np.zeros((len(rows), BLOCK), np.uint32)
+        for bit in range(w):
+            part |= planes[:, bit].astype(np.uint32) << np.uint32(bit)
+        out[rows] = part
+    for i, (_, w, n) in enumerate(heads):
+        if n:
+            at = _BLOCK.size
+            out[i, np.frombuffer(blocks[i], "<u2", n, at)] |= np.frombuffer(blocks[i], "<u4", n, at + 2 * n) << np.uint32(w)
+    out += np.array([low for low, _, _ in heads], np.uint32)[:, None]
+    return out.reshape(-1)
 
 
 def encode_segment(doc_ids: list, lengths: list[int], values: np.ndarray) -> bytes:
@@ -108,8 +115,8 @@ class SegmentReader:
         if begin >= end:
             return np.zeros(0, np.uint32)
         first, last = begin // BLOCK, -(-end // BLOCK)
-        parts = [decode_block(self.body[self.starts[k] : self.starts[k + 1]]) for k in range(first, last)]
-        return np.concatenate(parts)[begin - first * BLOCK : end - first * BLOCK]
+        values = decode_blocks([self.body[self.starts[k] : self.starts[k + 1]] for k in range(first, last)])
+        return values[begin - first * BLOCK : end - first * BLOCK]
 
 
 def write_token_files(docs: DataFrame, path: str, vocab: str | None = None, end_id: int = 1) -> None:

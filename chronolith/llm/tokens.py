@@ -8,16 +8,18 @@ its words in a row, and each distinct word is encoded by the library once per wo
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 
-#: Distinct words that one Python worker keeps; the store is emptied when it is full.
-MEMO_WORDS = 700_000
+#: Distinct words of one generation that a Python worker keeps.
+MEMO_WORDS = 450_000
 #: A word that is one token of its own; it parts the words of one library call.
 SEPARATOR = b"0"
-#: Letters that neither NFC nor lower-casing changes any more, then at most one mark.
-SIMPLE = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
+#: A lower-cased word: letters that neither NFC nor lower-casing changes any more, then ASCII marks
+#: only, which are one pre-token; or anything else.
+SIMPLE = re.compile("^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)|.*)$", re.M)
 
 _memos: dict[tuple[str, int], "WordEncoder"] = {}
 
@@ -30,7 +32,9 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.limit = limit
+        # Two generations each: what is looked up moves to the new one, and the old one goes.
         self.memo: dict[bytes, bytes] = {}
+        self.old_memo: dict[bytes, bytes] = {}
         self.full = Tokenizer.from_file(vocab)
         # For words that normalising leaves as they are and that are one pre-token, the same model
         # without those two steps.
@@ -44,39 +48,42 @@ class WordEncoder:
         self.is_end = np.zeros(max(entries.values()) + 1, bool)
         self.is_end[[i for t, i in entries.items() if t.endswith(suffix)]] = True
         (self.separator_id,) = self._ids(self.full, SEPARATOR.decode())
-        self.marks = {m: np.array(self._ids(self.full, m), "<u4").tobytes() for m in ("", ".", ",")}
+        self.stems: dict[str, bytes] = {}
+        self.old_stems: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def _ids(tokenizer, text: str) -> list[int]:
         return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _keep(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        data = ids.tobytes()
-        self.memo.update(zip(words, map(data.__getitem__, map(slice, (4 * starts).tolist(), (4 * ends).tolist()))))
-
-    def _learn(self, words: set[bytes]) -> None:
-        simple, other = [], []
-        for w in words:
-            found = SIMPLE(w.decode().lower())
-            if found:
-                simple.append((w, found[1].encode(), found[2]))
-            else:
-                other.append(w)
-        self._learn_stems(sorted({stem for _, stem, _ in simple}.difference(self.memo)))
-        memo, marks = self.memo, self.marks
-        memo.update([(w, memo[stem] + marks[mark]) for w, stem, mark in simple])
+    @staticmethod
+    def _cut(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+        return map(ids.tobytes().__getitem__, map(slice, (4 * starts).tolist(), (4 * ends).tolist()))
+
+    def _learn(self, words: list[bytes]) -> None:
+        found = SIMPLE.findall(b"\n".join(words).decode().lower())
+        if len(self.stems) >= self.limit:
+            self.old_stems, self.stems = self.stems, {}
+        stems, marks = self.stems, self.marks
+        unknown = {stem for stem, _ in found if stem}.difference(stems)
+        stems.update({stem: self.old_stems[stem] for stem in unknown & self.old_stems.keys()})
+        self._learn_stems(sorted(unknown.difference(stems)))
+        for mark in {mark for stem, mark in found if stem}.difference(marks):
+            marks[mark] = np.array(self._ids(self.full, mark), "<u4").tobytes()
+        self.memo.update([(w, stems[stem] + marks[mark]) for w, (stem, mark) in zip(words, found) if stem])
+        other = [w for w, (stem, _) in zip(words, found) if not stem]
         self._learn_parted([w for w in other if SEPARATOR not in w])
         self._learn_singly([w for w in other if SEPARATOR in w])
 
-    def _learn_stems(self, stems: list[bytes]) -> None:
+    def _learn_stems(self, stems: list[str]) -> None:
         for begin in range(0, len(stems), 20_000):
             part = stems[begin : begin + 20_000]
-            ids = np.array(self._ids(self.plain, b" ".join(part).decode()), "<u4")
+            ids = np.array(self._ids(self.plain, " ".join(part)), "<u4")
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) == len(part):
-                self._keep(part, ids, np.concatenate([[0], ends[:-1]]), ends)
+                self.stems.update(zip(part, self._cut(ids, np.concatenate([[0], ends[:-1]]), ends)))
             else:
-                self._learn_singly(part)
+                self.stems.update((s, np.array(self._ids(self.full, s), "<u4").tobytes()) for s in part)
 
     def _learn_parted(self, words: list[bytes]) -> None:
         for begin in range(0, len(words), 20_000):
@@ -84,7 +91,7 @@ class WordEncoder:
             ids = np.array(self._ids(self.full, (b" " + SEPARATOR + b" ").join(part).decode()), "<u4")
             cuts = np.flatnonzero(ids == self.separator_id)
             if len(cuts) == len(part) - 1:
-                self._keep(part, ids, np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]]))
+                self.memo.update(zip(part, self._cut(ids, np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]]))))
             else:
                 self._learn_singly(part)
 
@@ -99,12 +106,24 @@ class WordEncoder:
         got = list(map(self.memo.get, flat))
         gaps = [i for i, g in enumerate(got) if g is None]
         if gaps:
-            missing = {flat[i] for i in gaps}
-            if len(self.memo) + 2 * len(missing) > self.limit:
-                self.memo.clear()
-            self._learn(missing)
+            if len(self.memo) >= self.limit:
+                self.old_memo, self.memo = self.memo, {}
+                got = list(map(self.memo.get, flat))
+                gaps = range(len(flat))
+            memo, old, missing = self.memo, self.old_memo, set()
             for i in gaps:
-                got[i] = self.memo[flat[i]]
+                word = flat[i]
+                known = old.get(word)
+                if known is None:
+                    missing.add(word)
+                else:
+                    memo[word] = got[i] = known
+            if missing:
+                missing.difference_update(memo)
+                self._learn(list(missing))
+                for i in gaps:
+                    if got[i] is None:
+                        got[i] = memo[flat[i]]
         out, at = [], 0
         for w in words:
             out.append(b"".join(got[at : at + len(w)]))
