@@ -18,6 +18,8 @@ TRAIN_DOCS = 1000
 TRAIN_LINES = 200
 #: Least share of a document's words that must stand in content lines.
 CONTENT_SHARE = 0.5
+#: Half the log-odds of content that a line starts from.
+LEAN = 1.0
 
 # Fixed values.
 SYMBOLS = b"#*$%&|<>"
@@ -25,7 +27,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGITS = b"0123456789"
 CONTINUATION = bytes(range(0x80, 0xC0))
-FEATURES = ("bias", "symbols", "many symbols", "capitals", "digits", "few words", "many words", "sentence end", "repeated line", "marks")
+# Only what speaks against a line: a clean line has no more than the bias.
+FEATURES = ("bias", "symbols", "many symbols", "capitals", "digits", "repeated line", "marks")
 CONTENT, BOILERPLATE = 0, 1
 
 
@@ -41,7 +44,7 @@ def line_features(lines: list[bytes], words: list[list[bytes]]) -> np.ndarray:
         marks = line.count(b"!") + line.count(b"=") + line.count(b"{") + line.count(b"}")
         again = line in seen
         seen.add(line)
-        rows.append((1.0, symbols > 0.2 * k, symbols > k, capitals > 2 * k, digits > k, k < 4, k > 15, line.rstrip()[-1:] in (b".", b"!", b"?"), again, 2 * marks > k))
+        rows.append((1.0, symbols > 0.2 * k, symbols > k, capitals > 2 * k, digits > k, again, 2 * marks > k))
     return np.array(rows, np.float64).reshape(len(rows), len(FEATURES))
 
 
@@ -81,13 +84,14 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 120, rate: float = 0.5, penalty: float = 1e-3) -> LineField:
     """Maximum likelihood by full-gradient steps; every line of a sequence has the sequence's label.
 
-    Rare classes weigh as much as common ones. Without both labels the field calls everything content.
+    Rare classes weigh as much as common ones. The bias is not fitted: it leans to content, so that
+    a line is boilerplate only for a reason. Without both labels everything is content.
     """
     model = LineField(np.zeros((len(FEATURES), 2)), np.zeros((2, 2)))
+    model.emission[0] = (LEAN, -LEAN)
     keep = [i for i, x in enumerate(sequences) if len(x)]
     counts = np.bincount([labels[i] for i in keep], minlength=2)
     if not counts.all():
-        model.emission[0] = (1.0, 0.0)
         return model
     longest = max(len(sequences[i]) for i in keep)
     x = np.zeros((len(keep), longest, len(FEATURES)))
@@ -115,7 +119,9 @@ def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 120, rate:
             beta[:, t] = np.where(pair_mask[:, t, None] > 0, _logsum(model.transition + (s[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
         node = np.exp(alpha + beta - total[:, None, None]) * mask[..., None]
         pair = np.exp(alpha[:, :-1, :, None] + model.transition + (s[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]) * pair_mask[..., None, None]
-        model.emission += rate * (seen_emission - np.einsum("n,nlf,nlk->fk", weight, x, node) - penalty * model.emission) * 4
+        step = seen_emission - np.einsum("n,nlf,nlk->fk", weight, x, node) - penalty * model.emission
+        step[0] = 0
+        model.emission += 4 * rate * step
         model.transition += rate * (seen_transition - np.einsum("n,nljk->jk", weight, pair) - penalty * model.transition)
     return model
 
