@@ -66,23 +66,18 @@ def ownership(rows: DataFrame, commits: DataFrame, names: DataFrame, persons: Da
     return ranked.withColumn("at_risk", (F.col("place") == 1) & (F.col("share") >= CONCENTRATION) & ~F.col("active"))
 
 
-def truck_factor(owned: DataFrame) -> list[str]:
-    """People whose leaving, most knowing first, leaves over half of the files without anyone who knows them.
+def truck_factor(owned: DataFrame) -> DataFrame:
+    """(place, person): people whose leaving, most knowing first, leaves over half of the files without anyone who knows them.
 
-    Each step is two aggregates over the (file, person) pairs, which stay distributed; the driver
-    sees one name and two counts a step.
+    How many files a person knows doesn't change when others leave, so the greedy order is the order
+    by that number, and a file is lost with the last of its people. So no loop is needed: the answer
+    is the place at which the lost files pass the half.
     """
-    knowers = owned.where((F.col("place") == 1) | (F.col("share") >= KNOWLEDGE)).select("file_id", "person").distinct().persist()
-    files = knowers.select("file_id").distinct().count()
-    gone: list[str] = []
-    while files:
-        left = knowers.where(~F.col("person").isin(gone)) if gone else knowers
-        orphaned = files - left.select("file_id").distinct().count()
-        if 2 * orphaned > files:
-            break
-        top = left.groupBy("person").count().orderBy(F.desc("count"), "person").first()
-        if top is None:
-            break
-        gone.append(top["person"])
-    knowers.unpersist()
-    return gone
+    knowers = owned.where((F.col("place") == 1) | (F.col("share") >= KNOWLEDGE)).select("file_id", "person").distinct()
+    # One row a person is numbered, and one row a place summed up.
+    ranks = knowers.groupBy("person").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "person"))).select("person", "place")
+    lost = knowers.join(ranks, "person").groupBy("file_id").agg(F.max("place").alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+    upto = lost.withColumn("orphaned", F.sum("n").over(Window.orderBy("at")))
+    files = lost.agg(F.sum("n").alias("files"))
+    last = upto.crossJoin(F.broadcast(files)).where("orphaned * 2 > files").agg(F.min("at").alias("last"))
+    return ranks.crossJoin(F.broadcast(last)).where("place <= last").select("place", "person")

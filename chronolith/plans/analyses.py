@@ -164,11 +164,15 @@ def ownership(h: History) -> DataFrame:
     return _owned(h).select("file_id", "path", "person", "commits", "churn", "share", F.col("place").cast("bigint").alias("place"), "at_risk")
 
 
-@register("a9_truck_factor")
+TRUCK_CTES = OWNERSHIP_CTES + """,
+knowers AS (SELECT DISTINCT file_id, person FROM owned WHERE place = 1 OR share >= 0.25),
+standing AS (SELECT person, row_number() OVER (ORDER BY count(*) DESC, person) AS place FROM knowers GROUP BY person),
+lost AS (SELECT file_id, max(s.place) AS spot FROM knowers JOIN standing s USING (person) GROUP BY file_id)"""
+
+
+@register("a9_truck_factor", "SELECT place, person FROM standing WHERE place <= (SELECT min(spot) FROM (SELECT spot, sum(count(*)) OVER (ORDER BY spot) AS orphaned FROM lost GROUP BY spot) o WHERE orphaned * 2 > (SELECT count(*) FROM lost))", TRUCK_CTES)
 def truck_factor(h: History) -> DataFrame:
-    """Greedy, so beyond SQL; tested against a small brute force."""
-    names = people.truck_factor(_owned(h))
-    return h.spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "place int, person string")
+    return people.truck_factor(_owned(h)).select(F.col("place").cast("bigint").alias("place"), "person")
 
 
 FIX_CTES = DEFECT_CTES + """,
