@@ -73,7 +73,7 @@ def truck_factor(owned: DataFrame) -> DataFrame:
     by that number, and a file is lost with the last of its people. So no loop is needed: the answer
     is the place at which the lost files pass the half.
     """
-    knowers = owned.where((F.col("place") == 1) | (F.col("share") >= KNOWLEDGE)).select("file_id", "person").distinct()
+    knowers = owned.where((F.col("place") == 1) | (F.col("share") >= KNOWLEDGE)).select("file_id", "person").distinct().checkpoint()
     # One row a person is numbered, and one row a place summed up.
     ranks = knowers.groupBy("person").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "person"))).select("person", "place")
     lost = knowers.join(ranks, "person").groupBy("file_id").agg(F.max("place").alias("at")).groupBy("at").agg(F.count("*").alias("n"))
