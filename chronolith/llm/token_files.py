@@ -51,8 +51,10 @@ def encode_blocks(values: np.ndarray, percentile: float = PERCENTILE) -> list[by
         rows = np.flatnonzero(widths == w)
         part = grid[rows]
         packed = np.empty((len(rows), w, BLOCK // 8), np.uint8)
-        for bit in range(w):
-            packed[:, bit] = np.packbits((part >> np.uint32(bit)).astype(np.uint8) & 1, axis=1)
+        for low_bit in range(0, w, 8):
+            byte = (part >> np.uint32(low_bit)).astype(np.uint8)
+            for bit in range(low_bit, min(w, low_bit + 8)):
+                packed[:, bit] = np.packbits(byte & np.uint8(1 << bit - low_bit), axis=1)  # what isn't zero is a one
         high = part >> np.uint32(w) if w < 32 else np.zeros_like(part)
         counts = np.count_nonzero(high, axis=1)
         at = np.nonzero(high)
@@ -75,8 +77,11 @@ def decode_blocks(blocks: list[memoryview]) -> np.ndarray:
         packed = b"".join([blocks[i][len(blocks[i]) - w * BLOCK // 8 :] for i in rows.tolist()]) if w else b""
         planes = np.unpackbits(np.frombuffer(packed, np.uint8).reshape(len(rows), w, BLOCK // 8), axis=2)
         part = np.zeros((len(rows), BLOCK), np.uint32)
-        for bit in range(w):
-            part |= planes[:, bit].astype(np.uint32) << np.uint32(bit)
+        for low_bit in range(0, w, 8):
+            byte = np.zeros((len(rows), BLOCK), np.uint8)
+            for bit in range(low_bit, min(w, low_bit + 8)):
+                byte |= planes[:, bit] << np.uint8(bit - low_bit)
+            part |= byte.astype(np.uint32) << np.uint32(low_bit)
         out[rows] = part
     for i, (_, w, n) in enumerate(heads):
         if n:
