@@ -17,14 +17,21 @@ DEMO_KEY = "chronolith-demo-key"
 # What each kind looks like (Java syntax). Every alternative starts where no letter,
 # digit or joining mark stands before it, and ends where none follows.
 PATTERNS = {
-    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[\p{L}0-9](?:[\p{L}0-9-]*+[.])++\p{L}{2,24}+",
+    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@(?:[\p{L}0-9][\p{L}0-9-]*+[.]){1,126}\p{L}{2,24}+",
     "secret": r"(?<![\p{L}0-9])(?:[0-9a-f]{32,64}+|[0-9A-F]{32,64}+)(?![\p{L}0-9])",
     "date": r"(?<![\p{L}0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[.][0-9]{2}[.][0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\p{L}0-9/-]|[.][0-9])",
     "ip": r"(?<![\p{L}0-9.])[0-9]{1,3}(?:[.][0-9]{1,3}){3}(?![\p{L}0-9]|[.][0-9])",
     "ssn": r"(?<![\p{L}0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}0-9-])",
     "phone": r"(?<![\p{L}0-9+])(?:[+][0-9]{1,3}[ .-]?)(?:[(][0-9]{1,4}[)][ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\p{L}0-9])|(?<![\p{L}0-9+(-])(?:[(][0-9]{3}[)] ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![\p{L}0-9-])",
-    "card": r"(?<![\p{L}0-9-])[0-9](?:[ -]?[0-9]){12,18}+(?![\p{L}0-9])",
 }
+# Numbers in a row, 13 digits or more, up to one that starts another kind; cards are found inside.
+_NUMBER = "(?!" + "|".join(PATTERNS[k] for k in ("date", "ip", "ssn", "phone")) + r")[0-9]++(?!\p{L})"
+PATTERNS["card"] = rf"(?<![\p{{L}}0-9-])(?=[0-9](?:[ -]?[0-9]){{12}}){_NUMBER}(?:[ -]{_NUMBER})*+"
+#: How cards are written, longest first; a head of the numbers in other groups of three or more counts if none of these is there.
+CARD_LAYOUTS = (r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}", r"[0-9]{4}(?:[ -][0-9]{4}){3}", r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}", r"[0-9]{13,19}")
+CARD_HEADS = tuple(rf"[0-9]{{3,}}(?:[ -][0-9]{{3,}}){{{n}}}" for n in range(5, -1, -1))
+#: Characters that the longest card and what follows it can take.
+CARD_SPAN = 26
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Dates from 1800-01-01 to 2199-12-31: a Gregorian cycle of 146,097 days, which is 627 times 233.
@@ -110,6 +117,37 @@ def card_pseudonym(value: str, key: str) -> str:
     return lay_out(value, new)
 
 
+def is_card(value: str) -> str:
+    return f"(length({digits_of(value)}) BETWEEN 13 AND 19 AND {luhn_sum(digits_of(value), 1)} % 10 = 0)"
+
+
+def first_card(text: str, layouts: tuple[str, ...], *more: str) -> str:
+    """The first of ``more`` and the layouts at the start of ``text`` that is a card; null if none is."""
+    tried = ", ".join([*more, *(f"regexp_extract({text}, r'^{layout}(?![0-9])', 0)" for layout in layouts)])
+    return f"get(filter(array({tried}), {lambda_of(is_card)}), 0)"
+
+
+def cards_replaced(value: str, key: str) -> str:
+    """struct n, new: numbers in a row with the cards among them replaced.
+
+    Cards in a known layout are taken wherever a number starts, so that dates of expiry and other
+    numbers around them don't hide them; only where there is none, all numbers or their head may be one.
+    """
+
+    def step(s: str, _: str) -> str:
+        rest = f"substring({value}, {s}.at, {CARD_SPAN})"
+        number = f"regexp_extract(substring({value}, {s}.at), '^[0-9]+', 0)"
+        after = lambda size: f"substring({value}, {s}.at + {size}, 1)"
+        kept = let(number, lambda t: f"named_struct('at', {s}.at + length({t}) + 1, 'n', {s}.n, 'new', concat({s}.new, {t}, {after(f'length({t})')}))")
+        masked = lambda c: f"named_struct('at', {s}.at + length({c}) + 1, 'n', {s}.n + 1, 'new', concat({s}.new, {card_pseudonym(c, key)}, {after(f'length({c})')}))"
+        found = let(first_card(rest, CARD_LAYOUTS), lambda c: f"if({c} IS NULL, {kept}, {masked(c)})")
+        return f"if({s}.at > length({value}), {s}, {found})"
+
+    walk = f"aggregate(sequence(1, size(split({value}, '[ -]'))), named_struct('at', 1, 'n', 0, 'new', ''), {lambda_of(step, 2)})"
+    head = let(first_card(value, CARD_HEADS, value), lambda c: f"if({c} IS NULL, named_struct('n', 0, 'new', {value}), named_struct('n', 1, 'new', concat({card_pseudonym(c, key)}, substring({value}, length({c}) + 1))))")
+    return let(walk, lambda w: f"if({w}.n > 0, named_struct('n', {w}.n, 'new', {w}.new), {head})")
+
+
 def as_day(year: str, month: str, day: str) -> str:
     """The date, or null if there is no such day."""
     return f"cast(try_to_timestamp(concat_ws('-', {year}, {month}, {day}), 'yyyy-MM-dd') AS date)"
@@ -166,20 +204,25 @@ def secret_pseudonym(value: str, key: str) -> str:
 
 
 def classified(value: str, key: str) -> str:
-    """struct kind, new: the first kind whose look and validation both fit; kind null and the value itself if none."""
+    """struct kinds, new: the first kind whose look and validation both fit; no kinds and the value itself if none.
+
+    Only numbers in a row can hold more than one value, all of them cards.
+    """
     checks = {
         "secret": f"{value} RLIKE '[0-9]'",
         "date": f"{day_number(value)} IS NOT NULL",
         "ip": f"forall(split({value}, '[.]'), {lambda_of(lambda x: f'cast({x} AS int) <= 255')})",
-        "card": f"{luhn_sum(digits_of(value), 1)} % 10 = 0",
         "phone": f"length({digits_of(value)}) BETWEEN 7 AND 18",
     }
     new = {
         "email": email_pseudonym, "secret": secret_pseudonym, "date": date_pseudonym, "ip": ip_pseudonym,
-        "ssn": lambda v, k: lay_out(v, permuted_digits(digits_of(v), k, "ssn")), "card": card_pseudonym, "phone": phone_pseudonym,
+        "ssn": lambda v, k: lay_out(v, permuted_digits(digits_of(v), k, "ssn")), "phone": phone_pseudonym,
     }
-    cases = " ".join(f"WHEN {value} RLIKE r'^(?:{p})$' AND {checks.get(k, 'true')} THEN named_struct('kind', '{k}', 'new', {new[k](value, key)})" for k, p in PATTERNS.items())
-    return f"CASE {cases} ELSE named_struct('kind', cast(NULL AS string), 'new', {value}) END"
+    cases = " ".join(f"WHEN {value} RLIKE r'^(?:{p})$' AND {checks.get(k, 'true')} THEN named_struct('kinds', array('{k}'), 'new', {new[k](value, key)})" for k, p in PATTERNS.items() if k != "card")
+    none = f"named_struct('kinds', cast(array() AS array<string>), 'new', {value})"
+    # By its letters: what follows a number may be what kept it from being another kind.
+    cards = let(cards_replaced(value, key), lambda c: f"named_struct('kinds', array_repeat('card', {c}.n), 'new', {c}.new)")
+    return f"CASE {cases} WHEN {value} RLIKE '^[0-9]+(?:[ -][0-9]+)*$' THEN {cards} ELSE {none} END"
 
 
 def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, text_col: str = "text") -> DataFrame:
@@ -199,7 +242,7 @@ def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, text_col: str = "text") -
     found = found.withColumn("pii_kinds", F.expr(f"transform(coalesce(pii_kinds, cast(array() AS array<string>)), {lambda_of(lambda v: classified(v, quoted(key)))})"))
     pieces = f"zip_with(split(`{text_col}`, r'{ANY}', -1), pii_kinds, {lambda_of(lambda s, m: f'concat({s}, coalesce({m}.new, {quoted(str())}))', 2)})"
     found = found.withColumn(text_col, F.expr(f"if(size(pii_kinds) > 0, array_join({pieces}, ''), `{text_col}`)"))
-    return found.withColumn("pii_kinds", F.expr(f"filter(pii_kinds.kind, {lambda_of(lambda k: f'{k} IS NOT NULL')})"))
+    return found.withColumn("pii_kinds", F.expr("flatten(pii_kinds.kinds)"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,3 +137,17 @@ def test_pseudonyms_are_a_permutation(spark):
 
 def test_pseudonyms_of_an_empty_table(spark):
     assert pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_values_with_something_after_them(spark):
+    cards = ["4111 1111 1111 1111 12/27", "4111111111111111 2025-01-02", "12 4111 1111 1111 1111 123", "4222222222222 4111 1111 1111 1111", "4111-1111-1111-1111 28.02.1999", "3782 822463 10005 12/27", "41111111 11111111 12/27", "4111111111111111 12th"]
+    mails = ["write to john@example.com.", "john@example.com.5 more", "john@mail.example.com. Then", "(john@example.com)"]
+    plain = ["4111 1111 1111 1112 12/27", "john@example", "john@.com", "10 20 30 40 50 60 70 80 90 10 20 30"]
+    docs = spark.createDataFrame(list(enumerate(cards + mails + plain)), "doc_id long, text string")
+    rows = [r for r in pseudonymise(docs).orderBy("doc_id").collect()]
+    kinds = [r.pii_kinds for r in rows]
+    assert kinds == [["card"], ["card", "date"], ["card"], ["card", "card"], ["card", "date"], ["card"], ["card"], ["card"], *[["email"]] * 4, *[[]] * 4]
+    out = [r.text for r in rows]
+    assert not any("1111" in t.replace(" ", "").replace("-", "") or "john" in t for t in out[:12])
+    assert out[0].endswith(" 12/27") and luhn(out[0][:19]) and out[2].startswith("12 ") and out[2].endswith(" 123") and luhn(out[2][3:22])
+    assert out[7].endswith(" 12th") and out[8].endswith(".example.") and out[9].endswith(".example.5 more") and out[12:] == plain
