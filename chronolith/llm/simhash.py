@@ -186,12 +186,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, seed:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, groups: DataFrame | None = None, **options) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group of near copies.
 
-    Rows that repeat a doc_id stay or go together; rows without a doc_id stay.
+    ``groups`` has doc_id and component_id; without it they are the ``near_duplicates``. Rows that
+    repeat a doc_id stay or go together; rows without a doc_id stay.
     """
-    groups = near_duplicates(docs, **options)
+    groups = near_duplicates(docs, **options) if groups is None else groups
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 

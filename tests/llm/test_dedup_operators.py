@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from chronolith.llm.components import connected_components
 from chronolith.llm.grouping_sort import suffix_array
+from chronolith.llm.near_copies import near_copies
 from chronolith.llm.simhash import link_fingerprints, near_duplicates, one_of_each, simhash
 from chronolith.llm.suffix_dedup import LENGTH, hot_masks, removed_strings, sorted_masks
 
@@ -128,3 +129,38 @@ def test_hot_anchors_get_the_same_masks(spark):
     sort = lambda df: sorted((r.batch, r.doc, r.start, r.mask) for r in df.collect())
     assert sort(sorted_masks(table)) == sort(hot_masks(table)) != []
     assert np.all([r.mask > 0 for r in sorted_masks(table).collect()])
+
+
+def test_near_copies_against_brute_force(spark):
+    random.seed(11)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for g in range(25):
+        base = [f"w{random.randrange(4000)}" for _ in range(random.randint(3, 150))] + (passage if g % 2 else [])
+        for k in range(8):
+            words = list(base)
+            for _ in range(k // 2 * len(words) // 100 + (k > 0)):
+                words[random.randrange(len(words))] = f"x{random.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(900, None), (901, ""), (902, rows[9][1].upper()), (903, "a b"), (903, rows[20][1])]
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles(t) for _, t in rows]
+    similar = lambda a, b: sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    parts = plain_components(range(len(rows)), similar)
+    expected = sorted((i, min(rows[j][0] for j in parts if parts[j] == parts[k])) for k, (i, _) in enumerate(rows))
+    docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.component_id) for r in near_copies(docs).collect()) == expected
+    assert near_copies(docs.limit(0)).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    changed = [*words[:40], "other", *words[41:120], "more", *words[121:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(reversed(words)))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
