@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..functions.levels import level_name, level_rank, round3
 
+#: Levels that the DuckDB SQL spells out; the operators follow renames to their end.
 RENAME_HOPS = 6
 REACH_DEPTH = 5
 
 
-def rename_lineage(roots: DataFrame, changes: DataFrame, max_hops: int = RENAME_HOPS) -> DataFrame:
+def rename_lineage(roots: DataFrame, changes: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(root, file_id, until): each file with the paths it was renamed from, each up to its rename.
 
     A level is one join of the frontier with the rename rows (a small part of all changes); a
-    predecessor that is reached twice keeps its first bound: least hops, then earliest rename.
+    predecessor that is reached twice keeps its first bound: least hops, then earliest rename. Cycles
+    end there, and without ``max_hops`` the loop ends when no new predecessor is found.
     """
     renames = changes.where("status = 'renamed' AND previous_file_id IS NOT NULL").select("file_id", F.col("previous_file_id").alias("previous"), F.col("committed_at").alias("renamed_at"), F.col("id").alias("change_id"))
     seen = frontier = roots.select(F.col("id").alias("root"), F.col("id").alias("file_id"), F.lit(None).cast("timestamp_ntz").alias("until"))
     first = Window.partitionBy("root", "previous").orderBy("renamed_at", "change_id")
-    for _ in range(max_hops):
+    for _ in count() if max_hops is None else range(max_hops):
         step = frontier.join(renames, "file_id").where("until IS NULL OR renamed_at <= until")
         step = step.withColumn("n", F.row_number().over(first)).where("n = 1").select("root", F.col("previous").alias("file_id"), F.col("renamed_at").cast("timestamp_ntz").alias("until"))
         # Written out, so that a level's plan doesn't hold all levels before it.
@@ -37,7 +41,7 @@ def is_pure_rename(unknown: int = 0) -> Column:
     return (F.col("status") == "renamed") & (F.coalesce("additions", F.lit(unknown)) + F.coalesce("deletions", F.lit(unknown)) == 0)
 
 
-def lineage_changes(files: DataFrame, changes: DataFrame, since: str | None = None, max_hops: int = RENAME_HOPS) -> DataFrame:
+def lineage_changes(files: DataFrame, changes: DataFrame, since: str | None = None, max_hops: int | None = None) -> DataFrame:
     """Content changes of each live file and its former paths: root, path and the change's columns."""
     live = files.where("NOT deleted")
     lineage = rename_lineage(live, changes, max_hops)
@@ -48,7 +52,7 @@ def lineage_changes(files: DataFrame, changes: DataFrame, since: str | None = No
     return rows.join(live.select(F.col("id").alias("root"), "path"), "root")
 
 
-def file_activity(files: DataFrame, changes: DataFrame, since: str | None = None, max_hops: int = RENAME_HOPS) -> DataFrame:
+def file_activity(files: DataFrame, changes: DataFrame, since: str | None = None, max_hops: int | None = None) -> DataFrame:
     """file_id, path, commits, churn, binary_changes, last_changed_at of live files with a change."""
     return activity_of(lineage_changes(files, changes, since, max_hops))
 

@@ -182,3 +182,10 @@ def test_unknown_attribute_of_history(spark):
 
     with pytest.raises(AttributeError):
         History(spark, "/nowhere").nothing
+
+
+def test_long_rename_lineage(spark):
+    rows = [(k, k, k + 1, f"2024-01-{28 - k:02d} 00:00:00") for k in range(1, 10)] + [(10, 10, 1, "2024-01-01 00:00:00")]
+    changes = spark.createDataFrame(rows, "id long, file_id long, previous_file_id long, at string").selectExpr("id", "file_id", "previous_file_id", "'renamed' AS status", "cast(at AS timestamp_ntz) AS committed_at")
+    found = activity.rename_lineage(spark.createDataFrame([(1,)], "id long"), changes)
+    assert sorted(r.file_id for r in found.collect()) == list(range(1, 11))
