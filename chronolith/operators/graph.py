@@ -40,13 +40,13 @@ def allowed_steps(relations: DataFrame, route: str) -> DataFrame:
     return oriented(relations).where(rule)
 
 
-def traverse(starts: DataFrame, relations: DataFrame, route: str, max_depth: int = 4, max_paths: int = 50, max_fan_out: int = 25, min_confidence: float = 0.0) -> DataFrame:
+def traverse(starts: DataFrame, relations: DataFrame, route: str, max_depth: int = 4, max_paths: int | None = 50, max_fan_out: int | None = 25, min_confidence: float = 0.0) -> DataFrame:
     """(start, nodes, links, depth, confidence, level, cut): maximal paths of each start, all starts at once.
 
     ``starts`` has one column, key. Paths have no cycle, multiply confidences and take the weakest
     level. Each step follows the ``max_fan_out`` strongest links of each kind, each start keeps its
-    ``max_paths`` strongest paths; ``cut`` says why a path may go on. Depth is small, so the loop is
-    a few joins; a level holds at most four times max_paths paths a start.
+    ``max_paths`` strongest paths; ``cut`` says why a path may go on. None means no such cap. Depth is
+    small, so the loop is a few joins; a level holds at most four times max_paths paths a start.
     """
     steps = allowed_steps(relations, route).persist()
     frontier = starts.select(F.col("key").alias("start"), F.array("key").alias("nodes"), F.array().cast("array<bigint>").alias("links"), F.lit(1.0).alias("confidence"), F.lit(0).alias("rank"), F.lit("").alias("cut"))
@@ -60,18 +60,26 @@ def traverse(starts: DataFrame, relations: DataFrame, route: str, max_depth: int
             ended = frontier.join(more, ["start", "nodes"], "left").withColumn("cut", F.when(F.col("more"), f"stopped at depth {max_depth}").otherwise(F.col("cut"))).drop("more")
             done = ended if done is None else done.unionByName(ended)
             break
-        numbered = links.withColumn("n", F.row_number().over(strongest)).withColumn("of", F.count("*").over(Window.partitionBy("start", "nodes", "relation", "direction")))
-        kept = numbered.where((F.col("n") <= max_fan_out) & (F.col("confidence") * F.col("c") >= min_confidence))
-        cut = F.when(F.col("of") > max_fan_out, F.concat(F.lit(f"followed {max_fan_out} of "), F.col("of").cast("string"))).otherwise(F.col("cut"))
+        kept, cut = links, F.col("cut")
+        if max_fan_out is not None:
+            numbered = links.withColumn("n", F.row_number().over(strongest)).withColumn("of", F.count("*").over(Window.partitionBy("start", "nodes", "relation", "direction")))
+            kept = numbered.where(F.col("n") <= max_fan_out)
+            cut = F.when(F.col("of") > max_fan_out, F.concat(F.lit(f"followed {max_fan_out} of "), F.col("of").cast("string"))).otherwise(cut)
+        kept = kept.where(F.col("confidence") * F.col("c") >= min_confidence)
         grown = kept.select("start", F.concat("nodes", F.array("to_key")).alias("nodes"), F.concat("links", F.array("id")).alias("links"), (F.col("confidence") * F.col("c")).alias("confidence"), F.greatest("rank", "r").alias("rank"), cut.alias("cut"), F.col("nodes").alias("parent"))
         ended = frontier.join(grown.select("start", F.col("parent").alias("nodes")).distinct(), ["start", "nodes"], "left_anti")
         if depth:
             done = ended if done is None else done.unionByName(ended)
-        widest = Window.partitionBy("start").orderBy(F.desc("confidence"), "nodes")
+        frontier = grown.drop("parent")
+        if max_paths is not None:
+            widest = Window.partitionBy("start").orderBy(F.desc("confidence"), "nodes")
+            frontier = frontier.withColumn("n", F.row_number().over(widest)).where(F.col("n") <= 4 * max_paths).drop("n")
         # Written out, so that a level's plan doesn't hold all levels before it.
-        frontier = grown.drop("parent").withColumn("n", F.row_number().over(widest)).where(F.col("n") <= 4 * max_paths).drop("n").checkpoint()
+        frontier = frontier.checkpoint()
     final = Window.partitionBy("start").orderBy(F.desc("confidence"), F.desc(F.size("nodes")), "nodes")
-    ended = done.where(F.size("nodes") > 1).withColumn("n", F.row_number().over(final)).where(F.col("n") <= max_paths)
+    ended = done.where(F.size("nodes") > 1)
+    if max_paths is not None:
+        ended = ended.withColumn("n", F.row_number().over(final)).where(F.col("n") <= max_paths)
     return ended.select("start", "nodes", "links", (F.size("nodes") - 1).alias("depth"), "confidence", level_name(F.col("rank")).alias("level"), "cut")
 
 

@@ -34,19 +34,19 @@ def _paths(table: DataFrame) -> DataFrame:
 @register("g1_traverse_origin", PATHS_SQL, route_ctes(3, ORIGIN_LINKS, "SELECT 'symbol:' || id AS key FROM symbols WHERE id % 10 = 1"), recursive=True)
 def traverse_origin(h: History) -> DataFrame:
     starts = h.symbols.where("id % 10 = 1").select(F.concat(F.lit("symbol:"), F.col("id").cast("string")).alias("key"))
-    return _paths(graph.traverse(starts, h.relations, "origin", max_depth=3, max_paths=10_000, max_fan_out=10_000))
+    return _paths(graph.traverse(starts, h.relations, "origin", max_depth=3, max_paths=None, max_fan_out=None))
 
 
 @register("g3_traverse_history", PATHS_SQL, route_ctes(1, _IN + "relation = 'MODIFIES'", "SELECT 'file:' || id AS key FROM files WHERE id % 20 = 3"), recursive=True)
 def traverse_history(h: History) -> DataFrame:
     starts = h.files.where("id % 20 = 3").select(F.concat(F.lit("file:"), F.col("id").cast("string")).alias("key"))
-    return _paths(graph.traverse(starts, h.relations, "history", max_depth=1, max_paths=10_000, max_fan_out=10_000))
+    return _paths(graph.traverse(starts, h.relations, "history", max_depth=1, max_paths=None, max_fan_out=None))
 
 
 @register("g4_traverse_callers", PATHS_SQL, route_ctes(4, _IN + "relation = 'CALLS'", "SELECT 'symbol:' || id AS key FROM symbols WHERE id % 10 = 3"), recursive=True)
 def traverse_callers(h: History) -> DataFrame:
     starts = h.symbols.where("id % 10 = 3").select(F.concat(F.lit("symbol:"), F.col("id").cast("string")).alias("key"))
-    return _paths(graph.traverse(starts, h.relations, "callers", max_depth=4, max_paths=10_000, max_fan_out=10_000))
+    return _paths(graph.traverse(starts, h.relations, "callers", max_depth=4, max_paths=None, max_fan_out=None))
 
 
 @register("g1_traverse_capped")

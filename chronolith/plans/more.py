@@ -24,7 +24,7 @@ def vertex_labels(h: History) -> DataFrame:
 @register("g5_traverse_impact", PATHS_SQL, route_ctes(3, _IN + "relation = 'CONTAINS' AND target_type = 'symbol' UNION ALL " + _IN + "relation = 'IMPORTS'", "SELECT 'symbol:' || id AS key FROM symbols WHERE id % 40 = 7"), recursive=True)
 def traverse_impact(h: History) -> DataFrame:
     starts = h.symbols.where("id % 40 = 7").select(graph.key(F.lit("symbol"), F.col("id")).alias("key"))
-    return _paths(graph.traverse(starts, h.relations, "impact", max_depth=3, max_paths=10_000, max_fan_out=10_000))
+    return _paths(graph.traverse(starts, h.relations, "impact", max_depth=3, max_paths=None, max_fan_out=None))
 
 
 @register("q7_question_kinds", """

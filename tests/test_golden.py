@@ -189,3 +189,9 @@ def test_long_rename_lineage(spark):
     changes = spark.createDataFrame(rows, "id long, file_id long, previous_file_id long, at string").selectExpr("id", "file_id", "previous_file_id", "'renamed' AS status", "cast(at AS timestamp_ntz) AS committed_at")
     found = activity.rename_lineage(spark.createDataFrame([(1,)], "id long"), changes)
     assert sorted(r.file_id for r in found.collect()) == list(range(1, 11))
+
+
+def test_traversal_without_caps_keeps_every_path(spark):
+    relations = spark.range(10_500).selectExpr("id", "'MODIFIES' AS relation", "'commit' AS source_type", "id AS source_id", "'file' AS target_type", "1L AS target_id", "1.0D AS confidence", "'FACT' AS level")
+    starts = spark.createDataFrame([("file:1",)], "key string")
+    assert graph.traverse(starts, relations, "history", max_depth=1, max_paths=None, max_fan_out=None).count() == 10_500
