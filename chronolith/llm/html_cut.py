@@ -18,8 +18,8 @@ from .common import chunks, small_batches, table
 
 #: Pages, and text blocks of each, that the block classifier is fitted on at most (chosen by a hash of page_id).
 TRAIN_PAGES, TRAIN_BLOCKS = 400, 200
-#: Log-odds of a block inside marked-up article or boilerplate elements, and the most that its text may say.
-HINT, TEXT_LIMIT = 4.0, 3.0
+#: Log-odds of a block inside marked-up article or boilerplate elements, and the most that its text may say (more, so that the cut decides).
+HINT, TEXT_LIMIT = 4.0, 5.0
 #: Log-odds of a block that no element or class says anything about: nothing is dropped without a reason.
 UNMARKED = 1.5
 #: Capacities of the edges between blocks: next to each other, in the same element, in the same container.
@@ -41,6 +41,8 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: Names that tell what an element has or what state it is in, not what it is.
+STATE_NAME = re.compile(r"(?:.*--)?(?:has|with|no)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled)", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -76,9 +78,15 @@ def zone_of(tag: str, attributes: str, outer: int, in_article: bool) -> int:
     role = found.get("role", "").lower()
     if role in BOILERPLATE_ROLES:
         return -1
-    words = {w.lower() for key in ("class", "id") for w in NAME_PARTS.findall(html.unescape(found.get(key, "")))}
-    if words & STRONG_WORDS or words & WEAK_WORDS and not words & CONTENT_WORDS and not zone > 0:
+    names = [n for key in ("class", "id") for n in html.unescape(found.get(key, "")).split() if not STATE_NAME.fullmatch(n)]
+    words = {w.lower() for n in names for w in NAME_PARTS.findall(n)}
+    # Strong words and an article weigh two, other words one; an article with as much against it is a comment or the like.
+    against = 2 * len(words & STRONG_WORDS) + len(words & WEAK_WORDS)
+    speaks = len(words & CONTENT_WORDS) + 2 * (zone > 0)
+    if against > speaks or tag == "article" and words & STRONG_WORDS and against == speaks:
         return -1
+    if outer < 0 and not against and len(words & CONTENT_WORDS) > 1:
+        return zone
     if role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
         return 1
     return zone or outer
@@ -140,7 +148,7 @@ def page_blocks(page: str) -> list[Block]:
                 end_block()
             stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             if tag != "head" or stop:
-                at = stop.end() if stop else n
+                at = stop.end() if stop else n if tag in ("script", "style") else at
             continue
         if tag in VOID:
             if tag == "br":

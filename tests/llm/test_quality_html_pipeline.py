@@ -131,3 +131,19 @@ def test_pipeline(spark):
 
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def test_class_words_are_weighed():
+    text = "<p>A first sentence of the text, which is long enough.</p><p>And a second one follows it here.</p>"
+    whole = main_text(f"<article>{text}</article>")
+    assert whole.count("\n") == 1
+    for around in ("article class='post has-sidebar comments-open'", "div class='layout with-sidebar'", "div class='layout layout--with-sidebar'", "main class='content ads-enabled'", "div class='sidebar'><div class='post-content'"):
+        assert main_text(f"<{around}>{text}") == whole
+    for around in ("div class='sidebar'", "div class='post-comments'", "article class='comment'", "div id='main-nav'"):
+        assert main_text(f"<{around}>{text}") == ""
+
+
+def test_unclosed_raw_elements_end_at_their_tag():
+    for tag in ("button", "select", "object", "video", "audio", "svg", "iframe"):
+        assert main_text(f"<article><p>Before it.</p><{tag}><p>After it.</p></article>") == "Before it.\nAfter it."
+    assert main_text("<article><p>Before it.</p><script>var x = 1;</article>") == "Before it."
