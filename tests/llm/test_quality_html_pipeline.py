@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from chronolith.llm import registry
-from chronolith.llm.html_cut import PRIOR, extract_main_text, main_text, minimum_cut, page_blocks
+from chronolith.llm.html_cut import block_gains, extract_main_text, label_blocks, main_text, minimum_cut, page_blocks
 from chronolith.llm.quality import LineField, base_counts, kept_documents, line_parts, quality_rules, repeated_words
 
 
@@ -107,11 +109,71 @@ def test_extraction_edge_cases(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+class PlainArticle(HTMLParser):
+    """Another way to the main text of well-formed pages: the words in article, a block a paragraph or heading."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("article", "h1", "p"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.handle_data(" ")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in ("h1", "p"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
 def test_extraction_of_the_given_pages(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     for r in extract_main_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
-        body = r.html.split("<article>")[1].split("</article>")[0]
-        assert r.text == main_text(f"<article>{body}</article>", PRIOR) and "<" not in r.text
+        plain = PlainArticle()
+        plain.feed(r.html)
+        assert r.text == "\n".join(" ".join(b.split()) for b in plain.blocks if b.strip())
+
+
+LONG = "<p>A long paragraph of words that says something about the matter in hand.</p>"
+LINK = "<p><a href=x>See the list</a></p>"
+
+
+def test_the_cut_changes_labels():
+    """What a block says by itself is overruled by its neighbours, and only where they are close enough."""
+    changed = 0
+    for page, kept in ((f"<div>{LONG}{LINK}{LONG}</div>", 3), (f"<div>{LONG}{LONG}</div><div>{LINK * 5}</div>", 2), (f"<article>{LONG}<p class='search'><a href=x>Find it</a></p>{LONG}</article>", 3)):
+        blocks = page_blocks(page)
+        labels = label_blocks(blocks)
+        assert sum(labels) == kept
+        changed += sum((g >= 0) != y for g, y in zip(block_gains(blocks), labels))
+    assert changed == 2
+
+
+def test_names_are_judged_whole():
+    for name in ("social-history", "main-comment-text", "responsive-share-index story"):
+        assert main_text(f"<article>{LONG}<div class='{name}'>{LONG}</div></article>").count("\n") == 1
+    for name in ("share-buttons", "post-comments", "comment-list", "comment-body", "related-posts", "ad-300x250", "newsletter-signup"):
+        assert main_text(f"<article>{LONG}<div class='{name}'>{LONG}</div></article>").count("\n") == 0
+
+
+def test_broken_markup_loses_no_text():
+    assert main_text(f'<div>{LONG}<a href="foo>link</a> and the rest of it.</div>').endswith("\nlink and the rest of it.")
+    assert main_text("<article><p>First.</p><button>Save<p>Second.</p>").split("\n") == ["First.", "Save", "Second."]
+    assert main_text("<main><p>One.<svg><p>Two.</main>") == "One.\nTwo."
+
+
+@pytest.mark.parametrize("page", ["<div>" * 10_000 + "<p>text</p>", ("<div class='ad'>Buy now.</div>" + LONG) * 5000, "<button>a<p>b" * 10_000, "<a href=\"x'y>b</a>'" * 10_000, "<svg>" * 10_000, LONG * 10_000])
+def test_very_long_pages_take_seconds(page):
+    begin = time.process_time()
+    main_text(page)
+    assert time.process_time() - begin < 8
 
 
 def test_pipeline(spark):
