@@ -7,12 +7,14 @@ from itertools import count
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 #: Feistel rounds; ten is what published format-preserving ciphers of this shape use.
 ROUNDS = 10
-#: A stand-in for a secret; a production job passes its own.
+#: What the registered query and the pipeline use; a production job reads a secret of its own.
 DEMO_KEY = "chronolith-demo-key"
+#: Column that carries the key through the plan, as data.
+KEY = "__pii_key"
 
 # What each kind looks like (Java syntax). Every alternative starts where no letter,
 # digit or joining mark stands before it, and ends where none follows.
@@ -34,8 +36,12 @@ CARD_HEADS = tuple(rf"[0-9]{{3,}}(?:[ -][0-9]{{3,}}){{{n}}}" for n in range(5, -
 CARD_SPAN = 26
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Dates from 1800-01-01 to 2199-12-31: a Gregorian cycle of 146,097 days, which is 627 times 233.
-CYCLE_START, CYCLE_DAYS, CYCLE_LEFT, CYCLE_RIGHT = "1800-01-01", 146097, 627, 233
+#: Dates from 1800-01-01 to 2199-12-31: a Gregorian cycle of 146,097 days, which is 189 times 773.
+CYCLE_START, CYCLE_DAYS, CYCLE_LEFT, CYCLE_RIGHT = "1800-01-01", 146097, 189, 773
+#: Days after the twelfth of a month in the cycle: 9 times 9833. A slash date with such a day first can't have its month first.
+FIRST_YEAR, LATE_FROM, LATE_DAYS, LATE_LEFT, LATE_RIGHT = 1800, 13, 88497, 9, 9833
+#: Second groups of taxpayer numbers that start with a nine.
+ITIN_GROUPS = tuple([*range(50, 66), *range(70, 89), *range(90, 93), *range(94, 100)])
 
 
 # The functions below build SQL text: nested lambdas need names of their own, which SQL can give.
@@ -154,30 +160,81 @@ def as_day(year: str, month: str, day: str) -> str:
 
 
 def date_readings(value: str) -> list[tuple[str, str, str]]:
-    """(layout test, date, output format) of each known layout; the first that gives a real day counts."""
+    """(layout test, date, output format) of each known layout; the first that gives a real day counts.
+
+    The strings of each layout are permuted among themselves, so pseudonyms of different ones never
+    meet: a slash date is read month first if it can be, and the others have a day after the twelfth.
+    """
     cut = lambda at, n: f"substring({value}, {at}, {n})"
     ymd, dmy, mdy = as_day(cut(1, 4), cut(6, 2), cut(9, 2)), as_day(cut(7, 4), cut(4, 2), cut(1, 2)), as_day(cut(7, 4), cut(1, 2), cut(4, 2))
     return [
         (f"{cut(5, 1)} = '-'", ymd, "yyyy-MM-dd"),
         (f"{cut(5, 1)} = '/'", ymd, "yyyy/MM/dd"),
         (f"{cut(3, 1)} = '.'", dmy, "dd.MM.yyyy"),
-        (f"{cut(3, 1)} = '/' AND {mdy} IS NOT NULL", mdy, "MM/dd/yyyy"),
-        (f"{cut(3, 1)} = '/'", dmy, "dd/MM/yyyy"),
+        (f"{cut(3, 1)} = '/' AND cast({cut(1, 2)} AS int) <= 12", mdy, "MM/dd/yyyy"),
+        (f"{cut(3, 1)} = '/'", dmy, LATE),
     ]
 
 
+#: Output format of slash dates with the day first.
+LATE = "dd/MM/yyyy"
+
+
 def day_number(value: str) -> str:
     """Days since CYCLE_START; null outside the cycle or for no real day."""
     day = "CASE " + " ".join(f"WHEN {test} THEN {day}" for test, day, _ in date_readings(value)) + " END"
     return let(f"datediff({day}, DATE'{CYCLE_START}')", lambda d: f"if({d} BETWEEN 0 AND {CYCLE_DAYS - 1}, {d}, NULL)")
 
 
+def late_before(month: str) -> str:
+    """Days after the twelfth in the ``month`` months before it in the cycle."""
+    return f"(datediff(make_date({FIRST_YEAR} + cast({month} AS int) div 12, cast({month} AS int) % 12 + 1, 1), DATE'{CYCLE_START}') - {LATE_FROM - 1} * {month})"
+
+
+def late_permuted(day: str, key: str) -> str:
+    """The date ``day`` (after the twelfth) permuted among all such days of the cycle."""
+    month = f"((year({day}) - {FIRST_YEAR}) * 12 + month({day}) - 1)"
+    rank = let(month, lambda m: f"{late_before(m)} + day({day}) - {LATE_FROM}")
+    # Twice, cut each way: a part of nine values alone would mix little.
+    once = let(rank, lambda r: let(feistel(f"{r} div {LATE_RIGHT}", f"{r} % {LATE_RIGHT}", str(LATE_LEFT), str(LATE_RIGHT), key, "'late date'"), lambda p: f"{p}.l * {LATE_RIGHT} + {p}.r"))
+    twice = let(once, lambda r: let(feistel(f"{r} div {LATE_LEFT}", f"{r} % {LATE_LEFT}", str(LATE_RIGHT), str(LATE_LEFT), key, "'late date again'"), lambda p: f"{p}.l * {LATE_LEFT} + {p}.r"))
+
+    def as_date(r: str) -> str:
+        # Months have 18.4 such days on average and are never more than one off that.
+        guess = let(f"cast({r} * 4800 div {LATE_DAYS} AS int)", lambda g: f"filter(array({g} + 1, {g}, {g} - 1), {lambda_of(lambda m: f'{m} BETWEEN 0 AND 4799 AND {late_before(m)} <= {r}')})[0]")
+        return let(guess, lambda m: f"date_add(make_date({FIRST_YEAR} + {m} div 12, {m} % 12 + 1, {LATE_FROM}), cast({r} - {late_before(m)} AS int))")
+
+    return let(twice, as_date)
+
+
 def date_pseudonym(value: str, key: str) -> str:
-    def back(p: str) -> str:
-        day = f"date_add(DATE'{CYCLE_START}', cast({p}.l * {CYCLE_RIGHT} + {p}.r AS int))"
-        return "CASE " + " ".join(f"WHEN {test} THEN date_format({day}, '{form}')" for test, _, form in date_readings(value)) + " END"
+    def back(d: str) -> str:
+        any_day = let(feistel(f"{d} div {CYCLE_RIGHT}", f"{d} % {CYCLE_RIGHT}", str(CYCLE_LEFT), str(CYCLE_RIGHT), key, "'date'"), lambda p: f"date_add(DATE'{CYCLE_START}', cast({p}.l * {CYCLE_RIGHT} + {p}.r AS int))")
+        late = let(f"date_add(DATE'{CYCLE_START}', {d})", lambda day: late_permuted(day, key))
+        return "CASE " + " ".join(f"WHEN {test} THEN date_format({late if form == LATE else any_day}, '{form}')" for test, _, form in date_readings(value)) + " END"
+
+    return let(day_number(value), back)
+
 
-    return let(day_number(value), lambda d: let(feistel(f"{d} div {CYCLE_RIGHT}", f"{d} % {CYCLE_RIGHT}", str(CYCLE_LEFT), str(CYCLE_RIGHT), key, "'date'"), back))
+def is_ssn(value: str) -> str:
+    """Numbers that may be issued: social security numbers, or taxpayer numbers, which start with a nine."""
+    area, group, serial = f"substring({value}, 1, 3)", f"substring({value}, 5, 2)", f"substring({value}, 8)"
+    return f"if({area} < '900', {area} NOT IN ('000', '666') AND {group} <> '00' AND {serial} <> '0000', cast({group} AS int) IN {ITIN_GROUPS})"
+
+
+def ssn_pseudonym(value: str, key: str) -> str:
+    """Permuted among the numbers that may be issued; a taxpayer number stays one."""
+    area, group, serial = (f"cast(substring({value}, {at}) AS int)" for at in ("1, 3", "5, 2", "8"))
+    groups = f"array{ITIN_GROUPS}"
+    plain = let(
+        feistel(f"({area} - if({area} < 666, 1, 2)) * 99 + {group} - 1", f"{serial} - 1", str(898 * 99), "9999", key, "'ssn'"),
+        lambda p: f"concat_ws('-', lpad({p}.l div 99 + if({p}.l div 99 < 665, 1, 2), 3, '0'), lpad({p}.l % 99 + 1, 2, '0'), lpad({p}.r + 1, 4, '0'))",
+    )
+    nine = let(
+        feistel(f"({area} - 900) * {len(ITIN_GROUPS)} + array_position({groups}, {group}) - 1", serial, str(100 * len(ITIN_GROUPS)), "10000", key, "'itin'"),
+        lambda p: f"concat_ws('-', {p}.l div {len(ITIN_GROUPS)} + 900, {groups}[cast({p}.l % {len(ITIN_GROUPS)} AS int)], lpad({p}.r, 4, '0'))",
+    )
+    return f"if({area} < 900, {plain}, {nine})"
 
 
 def ip_pseudonym(value: str, key: str) -> str:
@@ -213,10 +270,11 @@ def classified(value: str, key: str) -> str:
         "date": f"{day_number(value)} IS NOT NULL",
         "ip": f"forall(split({value}, '[.]'), {lambda_of(lambda x: f'cast({x} AS int) <= 255')})",
         "phone": f"length({digits_of(value)}) BETWEEN 7 AND 18",
+        "ssn": is_ssn(value),
     }
     new = {
         "email": email_pseudonym, "secret": secret_pseudonym, "date": date_pseudonym, "ip": ip_pseudonym,
-        "ssn": lambda v, k: lay_out(v, permuted_digits(digits_of(v), k, "ssn")), "phone": phone_pseudonym,
+        "ssn": ssn_pseudonym, "phone": phone_pseudonym,
     }
     cases = " ".join(f"WHEN {value} RLIKE r'^(?:{p})$' AND {checks.get(k, 'true')} THEN named_struct('kinds', array('{k}'), 'new', {new[k](value, key)})" for k, p in PATTERNS.items() if k != "card")
     none = f"named_struct('kinds', cast(array() AS array<string>), 'new', {value})"
@@ -225,27 +283,37 @@ def classified(value: str, key: str) -> str:
     return f"CASE {cases} WHEN {value} RLIKE '^[0-9]+(?:[ -][0-9]+)*$' THEN {cards} ELSE {none} END"
 
 
-def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, keys: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced and ``pii_kinds``, the kinds found in order.
 
-    Numbers (card numbers that pass the Luhn sum, IPv4 addresses, phone and social security numbers)
-    and real dates of 1800 to 2199 are permuted by a keyed Feistel network within their format:
-    length, separators and check digit stay valid, different values stay different, and equal values
-    get equal pseudonyms in every document. E-mail addresses and long hexadecimal secrets get keyed
-    digests. What fails its validation stays as it is, and so does the rest of the text. Each row is
-    changed on its own: no shuffle, whatever the table's size or skew. Null text stays null with no
-    kinds; empty and repeated rows need nothing special; all columns of ``docs`` are kept, and one
-    named pii_kinds is replaced.
+    ``keys`` has one row and one column, the secret; it is read as a scalar subquery, so it stands in
+    no plan, log or query text (no row or a null is an error, and so are two rows). Numbers (card
+    numbers that pass the Luhn sum, IPv4 addresses, phone numbers, social security and taxpayer
+    numbers that may be issued) and real dates of 1800 to 2199 are permuted by a keyed Feistel
+    network within their format: length, separators and check digit stay valid, different values
+    stay different, and equal values get equal pseudonyms in every document. A day has one pseudonym
+    in all layouts but dd/MM/yyyy with a day after the twelfth, which must stay such dates. E-mail
+    addresses and long hexadecimal secrets get keyed digests. What fails its validation stays as it
+    is, and so does the rest of the text. Each row is changed on its own: no shuffle, whatever the
+    table's size or skew. Null text stays null with no kinds; empty and repeated rows need nothing
+    special; all columns of ``docs`` are kept, and one named pii_kinds is replaced.
     """
     text, none = F.col(f"`{text_col}`"), F.array().cast("array<string>")
-    found = docs.withColumn("pii_kinds", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none))
-    found = found.withColumn("pii_kinds", F.expr(f"transform(coalesce(pii_kinds, cast(array() AS array<string>)), {lambda_of(lambda v: classified(v, quoted(key)))})"))
+    key = F.coalesce(keys.select(F.col(keys.columns[0]).cast("string")).scalar(), F.raise_error(F.lit("there is no key")))
+    found = docs.withColumn(KEY, key)
+    found = found.withColumn("pii_kinds", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none))
+    found = found.withColumn("pii_kinds", F.expr(f"transform(coalesce(pii_kinds, cast(array() AS array<string>)), {lambda_of(lambda v: classified(v, KEY))})"))
     pieces = f"zip_with(split(`{text_col}`, r'{ANY}', -1), pii_kinds, {lambda_of(lambda s, m: f'concat({s}, coalesce({m}.new, {quoted(str())}))', 2)})"
     found = found.withColumn(text_col, F.expr(f"if(size(pii_kinds) > 0, array_join({pieces}, ''), `{text_col}`)"))
-    return found.withColumn("pii_kinds", F.expr("flatten(pii_kinds.kinds)"))
+    return found.withColumn("pii_kinds", F.expr("flatten(pii_kinds.kinds)")).drop(KEY)
+
+
+def demo_keys(spark: SparkSession) -> DataFrame:
+    """One row with DEMO_KEY, in the shared folder."""
+    return materialise(spark.range(1).select(F.lit(DEMO_KEY).alias("key")), "pii-key")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masked = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    masked = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), demo_keys(spark))
     counts = [F.expr(f"cast(size(filter(pii_kinds, k -> k = '{kind}')) AS bigint)").alias(f"n_{kind}") for kind in KINDS]
     return masked.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_found"), *counts)

@@ -1,13 +1,14 @@
 """Top-k search, source mixing and pseudonyms."""
 
 import datetime
+import hashlib
 import re
 
 import numpy as np
 import pytest
 
 from chronolith.llm.mixing import DIMENSIONS, TEMPER, mix_sources, rake
-from chronolith.llm.pii import pseudonymise
+from chronolith.llm.pii import ROUNDS, pseudonymise
 from chronolith.llm.topk import exact_top_k
 
 
@@ -103,9 +104,13 @@ PII = [
 ]
 
 
+def keys(spark, *found):
+    return spark.createDataFrame([(k,) for k in found or ("secret-k0",)], "key string")
+
+
 def test_pseudonyms(spark):
     docs = spark.createDataFrame([(i, t, "keep", 7) for i, t in enumerate(PII)], "doc_id long, text string, source string, pii_kinds int")
-    rows = {r.doc_id: r for r in pseudonymise(docs, key="k1").collect()}
+    rows = {r.doc_id: r for r in pseudonymise(docs, keys(spark, "k1")).collect()}
     out = {i: r.text for i, r in rows.items()}
     assert {i: r.pii_kinds for i, r in rows.items()} == {0: ["card", "card"], 1: [], 2: ["ip"], 3: ["phone", "phone"], 4: ["email"], 5: ["date"] * 3, 6: ["ssn"], 7: ["secret"], 8: [], 9: [], 10: [], 11: ["phone"]}
     assert all(r.source == "keep" for r in rows.values())
@@ -123,20 +128,71 @@ def test_pseudonyms(spark):
     assert dates[1] == day.strftime("%d.%m.%Y") and dates[2] == day.strftime("%Y/%m/%d") and dates[0] != "1999-02-28"
     assert re.fullmatch(r"ssn \d{3}-\d\d-\d{4}", out[6]) and out[6] != PII[6]
     assert re.fullmatch(r'token = "[0-9a-f]{40}"###', out[7]) and out[7] != PII[7]
-    other = {r.doc_id: r.text for r in pseudonymise(docs, key="k2").collect()}
+    other = {r.doc_id: r.text for r in pseudonymise(docs, keys(spark, "k2")).collect()}
     assert other[0] != out[0]
 
 
-def test_pseudonyms_are_a_permutation(spark):
-    rows = [(i, f"ip 10.0.{i // 256}.{i % 256} ssn {i:03d}-00-0000") for i in range(600)]
-    dates = [(1000 + i, (datetime.date(1990, 1, 1) + datetime.timedelta(days=i)).isoformat()) for i in range(600)]
-    docs = spark.createDataFrame(rows + dates, "doc_id long, text string")
-    found = [r.text for r in pseudonymise(docs).collect()]
-    assert len(set(found)) == 1200
+def plain_feistel(left, right, a, b, key, tweak):
+    """The network written out with integers."""
+    for i in range(1, ROUNDS + 1):
+        half = right if i % 2 else left
+        number = int(hashlib.sha256(f"{key}|{tweak}|{i}|{half}".encode()).hexdigest()[:15], 16)
+        left, right = ((left + number) % a, right) if i % 2 else (left, (right + number) % b)
+    return left, right
+
+
+def test_pseudonyms_equal_a_plain_feistel(spark):
+    docs = spark.createDataFrame([(0, "ip 10.1.2.3"), (1, "1999-02-28"), (2, "ssn 123-45-6789")], "doc_id long, text string")
+    out = [r.text for r in pseudonymise(docs, keys(spark, "k")).orderBy("doc_id").collect()]
+    left, right = plain_feistel(10 * 256 + 1, 2 * 256 + 3, 65536, 65536, "k", "ip")
+    assert out[0] == f"ip {left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    day = (datetime.date(1999, 2, 28) - datetime.date(1800, 1, 1)).days
+    left, right = plain_feistel(day // 773, day % 773, 189, 773, "k", "date")
+    assert out[1] == (datetime.date(1800, 1, 1) + datetime.timedelta(left * 773 + right)).isoformat()
+    left, right = plain_feistel(122 * 99 + 44, 6788, 898 * 99, 9999, "k", "ssn")
+    area = left // 99
+    assert out[2] == f"ssn {area + (1 if area < 665 else 2):03d}-{left % 99 + 1:02d}-{right + 1:04d}"
+
+
+def test_every_date_has_a_pseudonym_of_its_own(spark):
+    """All strings of the cycle in every layout: as many real dates out as in, and in the same layout."""
+    days = spark.range(146097).selectExpr("date_add(DATE'1800-01-01', cast(id AS int)) AS day")
+    for form in ("dd.MM.yyyy",):  # the other layouts with one reading share its permutation
+        texts = days.selectExpr(f"date_format(day, '{form}') AS text")
+        assert pseudonymise(texts, keys(spark)).where(f"try_to_timestamp(text, '{form}') IS NOT NULL").select("text").distinct().count() == 146097
+    slashes = days.selectExpr("explode(array(date_format(day, 'dd/MM/yyyy'), date_format(day, 'MM/dd/yyyy'))) AS text").distinct()
+    out = pseudonymise(slashes, keys(spark)).where("array_size(pii_kinds) = 1 AND coalesce(try_to_timestamp(text, 'MM/dd/yyyy'), try_to_timestamp(text, 'dd/MM/yyyy')) IS NOT NULL")
+    assert slashes.count() == out.select("text").distinct().count() == 234594
+
+
+def test_numbers_are_permuted_among_valid_ones(spark):
+    rows = [(i, f"ip 10.0.{i // 256}.{i % 256} ssn {i + 1 + (i > 664):03d}-01-0001") for i in range(800)]
+    nines = [(2000 + i, f"{900 + i % 100}-{(50, 65, 70, 88, 99)[i % 5]}-{i:04d}") for i in range(400)]
+    wrong = [(5000, "000-12-3456"), (5001, "666-12-3456"), (5002, "123-00-4567"), (5003, "123-45-0000"), (5004, "900-12-3456")]
+    docs = spark.createDataFrame(rows + nines + wrong, "doc_id long, text string")
+    found = {r.doc_id: r.text for r in pseudonymise(docs, keys(spark)).collect()}
+    assert len(set(found.values())) == 1205
+    assert all(found[i] == t for i, t in wrong)
+    groups = {*range(50, 66), *range(70, 89), *range(90, 93), *range(94, 100)}
+    for i, _ in rows:
+        area, group, serial = found[i].split(" ssn ")[1].split("-")
+        assert area not in ("000", "666") and area < "900" and group != "00" and serial != "0000" and len(area + group + serial) == 9
+    for i, t in nines:
+        area, group, serial = found[i].split("-")
+        assert found[i] != t and area >= "900" and int(group) in groups and len(area + group + serial) == 9
+
+
+def test_the_key_is_in_no_plan_and_must_be_there(spark):
+    docs = spark.createDataFrame([(1, "ip 10.0.0.1", "x")], "doc_id long, text string, pii_kinds string")
+    masked = pseudonymise(docs, keys(spark, "secret-k9"))
+    assert "secret-k9" not in masked._jdf.queryExecution().toString() and masked.columns == docs.columns
+    for wrong in (keys(spark).limit(0), spark.createDataFrame([(None,)], "key string"), keys(spark, "a", "b")):
+        with pytest.raises(Exception, match="key|MULTIPLE|SCALAR|more than one row"):
+            pseudonymise(docs, wrong).collect()
 
 
 def test_pseudonyms_of_an_empty_table(spark):
-    assert pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert pseudonymise(spark.createDataFrame([], "doc_id long, text string"), keys(spark)).count() == 0
 
 
 def test_values_with_something_after_them(spark):
@@ -144,7 +200,7 @@ def test_values_with_something_after_them(spark):
     mails = ["write to john@example.com.", "john@example.com.5 more", "john@mail.example.com. Then", "(john@example.com)"]
     plain = ["4111 1111 1111 1112 12/27", "john@example", "john@.com", "10 20 30 40 50 60 70 80 90 10 20 30"]
     docs = spark.createDataFrame(list(enumerate(cards + mails + plain)), "doc_id long, text string")
-    rows = [r for r in pseudonymise(docs).orderBy("doc_id").collect()]
+    rows = [r for r in pseudonymise(docs, keys(spark)).orderBy("doc_id").collect()]
     kinds = [r.pii_kinds for r in rows]
     assert kinds == [["card"], ["card", "date"], ["card"], ["card", "card"], ["card", "date"], ["card"], ["card"], ["card"], *[["email"]] * 4, *[[]] * 4]
     out = [r.text for r in rows]
