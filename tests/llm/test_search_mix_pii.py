@@ -2,7 +2,9 @@
 
 import datetime
 import hashlib
+import math
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -13,29 +15,48 @@ from chronolith.llm.topk import exact_top_k
 
 
 def plain_top(rows, k=10):
-    whole = {i: [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v] for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    out = {}
-    for q, a in whole.items():
+    end = 2**63 - 1
+    whole = [(n, i, [math.floor(1024 * Fraction(float(np.float32(x)))) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(np.float32(x)) for x in v)]
+    out = []
+    for n, q, a in whole:
         if q % 100 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole.items() if i != q and len(a) == len(b))
-            out[q] = [(i, -s) for s, i in scored[:k]]
-    return out
+            scored = sorted((-max(-end, min(end, sum(x * y for x, y in zip(a, b)))), i) for m, i, b in whole if m != n and len(a) == len(b))
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
 
 
-@pytest.mark.parametrize("dims,big", [(64, 1.0), (7, 1.0), (40, 1e5)])
+def found_top(table, **options):
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in exact_top_k(table, **options).collect())
+
+
+@pytest.mark.parametrize("dims,big", [(64, 1.0), (7, 1.0), (40, 1e5), (18, 1e8)])
 def test_top_k_against_brute_force(spark, dims, big):
     rng = np.random.default_rng(dims)
-    vectors = (rng.normal(size=(900, dims)) * big).astype(np.float32)
+    vectors = (rng.normal(size=(700, dims)) * big).astype(np.float32)
     vectors[3] = vectors[100]
     vectors[5:30] = vectors[200]  # ties
     rows = [(i * 4, v.tolist()) for i, v in enumerate(vectors)]
     rows += [(100_001, None), (100_100, [None] * dims), (100_200, [float("nan")] * dims), (100_300, [float("inf")] * dims), (None, [1.0] * dims), (100_400, [1.0])]
     table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(5)
-    found: dict = {}
-    for r in exact_top_k(table).orderBy("query_id", "rank").collect():
-        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
-        assert r.rank == len(found[r.query_id])
-    assert found == {q: top for q, top in plain_top(rows).items() if top}
+    assert found_top(table) == plain_top(rows)
+
+
+def test_top_k_in_many_waves_and_from_seeds(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i * 20, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 33)).astype(np.float32))]
+    rows += [rows[10], rows[15]]  # rows that share an id, one a query
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    expected = plain_top(rows)
+    for options in ({"wave_bytes": 8 * 33 * 8}, {"seed_rows": 60}, {"wave_bytes": 8 * 33 * 30, "seed_rows": 3}):
+        assert found_top(table, **options) == expected
+
+
+def test_top_k_of_very_large_components(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i * 50, v.tolist()) for i, v in enumerate((rng.normal(size=(60, 20)) * 1e30).astype(np.float32))]
+    rows += [(i * 50 + 1, v.tolist()) for i, v in enumerate((rng.normal(size=(60, 20)) * 1e-30).astype(np.float32))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert found_top(table) == plain_top(rows)
 
 
 def test_top_k_of_few_or_no_vectors(spark):
