@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronolith.llm.mixing import DIMENSIONS, TEMPER, mix_sources, rake
 from chronolith.llm.pii import ROUNDS, pseudonymise
@@ -87,21 +88,79 @@ def test_mixing_keeps_rows_and_meets_its_budget(spark):
     assert mix_sources(docs.limit(0)).count() == 0
 
 
+def plain_rake(cells, wanted, budget):
+    """Bounded fitting in plain Python: the scale of a value is found by halving."""
+    raw = {c: t * budget for c, t in cells.items()}
+    for _ in range(400):
+        for d in range(3):
+            for value, want in wanted[d].items():
+                part = [c for c in cells if c[d] == value]
+                low, high = 0.0, 1e9
+                for _ in range(80):
+                    middle = (low + high) / 2
+                    low, high = (middle, high) if sum(min(cells[c], middle * raw[c]) for c in part) < want else (low, middle)
+                for c in part:
+                    raw[c] *= high
+    return {c: min(1.0, raw[c] / t) for c, t in cells.items()}
+
+
+def raked(spark, cells, **options):
+    table = spark.createDataFrame([(*c, t) for c, t in cells.items()], "mix_source string, mix_lang string, mix_topic string, tokens long")
+    frame, miss = rake(table, **options)
+    return {(r.mix_source, r.mix_lang, r.mix_topic): r for r in frame.collect()}, miss
+
+
 def test_raked_marginals(spark):
     rng = np.random.default_rng(1)
-    cells = [(f"s{a}", f"l{b}", f"t{c}", int(rng.integers(50, 5000))) for a in range(5) for b in range(3) for c in range(4)]
-    table = spark.createDataFrame(cells, "mix_source string, mix_lang string, mix_topic string, tokens long")
-    rows = rake(table, TEMPER, 15, 0.3).collect()
-    total = sum(r.tokens for r in rows)
-    for d in DIMENSIONS:
+    cells = {(f"s{a}", f"l{b}", f"t{c}"): int(rng.integers(50, 5000)) for a in range(5) for b in range(3) for c in range(4)}
+    rows, miss = raked(spark, cells, budget_share=0.3)
+    total = sum(cells.values())
+    assert miss <= 1e-6
+    for i, d in enumerate(DIMENSIONS):
         share: dict = {}
-        weight: dict = {}
-        for r in rows:
-            share[r[f"mix_{d}"]] = share.get(r[f"mix_{d}"], 0) + r.tokens / total
-            weight[r[f"mix_{d}"]] = weight.get(r[f"mix_{d}"], 0) + r.weight
+        got: dict = {}
+        for c, r in rows.items():
+            share[c[i]] = share.get(c[i], 0) + r.tokens / total
+            got[c[i]] = got.get(c[i], 0) + r.expected / (0.3 * total)
         target = {k: v ** TEMPER[d] for k, v in share.items()}
         for k in share:
-            assert abs(weight[k] - target[k] / sum(target.values())) < 1e-6
+            assert abs(got[k] - target[k] / sum(target.values())) < 2e-6
+
+
+def test_full_cells_are_made_up_within_their_values(spark):
+    """Cells of graded sizes, targets that fill the small ones: the budget and every marginal still hold."""
+    cells = {(f"s{a}", f"l{b}", f"t{c}"): 10 ** (1 + a) * (1 + b) * (2 + c) for a in range(4) for b in range(2) for c in range(3)}
+    targets = {"source": {"s3": 0.93, "s2": 0.06}, "lang": {"l0": 0.4, "l1": 0.6}, "topic": {"t0": 0.2, "t1": 0.3, "t2": 0.5}}
+    rows, miss = raked(spark, cells, targets=targets, budget_share=0.8)
+    total = sum(cells.values())
+    budget = 0.8 * total
+    left = {s: sum(t for c, t in cells.items() if c[0] == s) for s in ("s0", "s1")}
+    wanted = [
+        {"s3": 0.93 * budget, "s2": 0.06 * budget, **{s: 0.01 * budget * t / sum(left.values()) for s, t in left.items()}},
+        {"l0": 0.4 * budget, "l1": 0.6 * budget},
+        {"t0": 0.2 * budget, "t1": 0.3 * budget, "t2": 0.5 * budget},
+    ]
+    assert miss <= 1e-6 and sum(r.expected for r in rows.values()) == pytest.approx(budget, rel=1e-5)
+    assert sum(r.probability >= 1 for r in rows.values()) > 0
+    for c, p in plain_rake(cells, wanted, 0.8).items():
+        assert rows[c].probability == pytest.approx(p, abs=2e-4)
+
+
+def test_targets_beyond_what_there_is(spark):
+    cells = {("small", "en", "t"): 100, ("big", "en", "t"): 800, ("other", "en", "t"): 100}
+    rows, miss = raked(spark, cells, targets={"source": {"small": 0.5, "big": 0.4, "other": 0.1}}, budget_share=0.5)
+    # The small source is taken whole; 400 of 500 are left to the others, four to one, and the other has but 100.
+    assert miss < 1e-6 and [rows[c].expected for c in cells] == pytest.approx([100, 320, 80])
+    apart = {("a", "en", "x"): 100, ("b", "fr", "y"): 100}
+    with pytest.warns(UserWarning, match="misses its target"):
+        _, miss = raked(spark, apart, targets={"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "fr": 0.9}}, budget_share=0.2, max_rounds=6)
+    assert miss > 0.1
+
+
+def test_many_cells_and_a_topic_column(spark):
+    docs = mixed_documents(spark).withColumn("subject", F.expr("if(doc_id % 4 = 0, null, concat('topic ', doc_id % 4))"))
+    found = [sorted((r.doc_id, r.mix_tokens, r.mix_topic, round(r.probability, 9), r.sampled) for r in mix_sources(docs, topic="subject", small_cells=n).collect()) for n in (10**6, 0)]
+    assert found[0] == found[1] and {r[2] for r in found[0]} == {"", "topic 1", "topic 2", "topic 3"}
 
 
 def luhn(text):
