@@ -10,7 +10,9 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from chronolith.llm.common import fresh_path
-from chronolith.llm.counts import BPE, WORDS, TokenRollup, inserts, revisions, roll_up
+from pyspark.sql import functions as F
+
+from chronolith.llm.counts import BPE, WORDS, TokenRollup, deletes, inserts, moves, revisions, roll_up
 from chronolith.llm.packing import CapacityTree, first_fit_decreasing, pack_documents
 from chronolith.llm.token_files import BLOCK, SegmentReader, encode_segment, read_token_files, write_token_files
 from chronolith.llm.tokens import WordEncoder, vocabulary
@@ -139,3 +141,41 @@ def test_batches_commit_once(spark):
     assert [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()] == [(2, 14)]
     with pytest.raises(ValueError):
         rollup.commit("../x", deltas)
+
+
+def test_totals_are_kept_in_a_snapshot(spark):
+    rollup = TokenRollup(spark, fresh_path(spark, "test-snapshots"))
+    rows = spark.createDataFrame([("a", "en", 5, "x"), (None, "en", 7, "y")], "source string, lang string, tokens long, docs string")
+    assert not rollup.compact()
+    assert rollup.commit("b1", inserts(rows, WORDS, rows["tokens"])) and rollup.compact() and not rollup.compact()
+    moved = rows.where("source = 'a'")
+    assert rollup.commit("b2", moves(moved, WORDS, (F.col("source"), F.col("lang"), F.col("tokens")), (F.lit("b"), F.lit("fr"), F.col("tokens") + 3)))
+    expected = [("b", "fr", 1, 8), (None, "en", 1, 7)]
+    key = lambda r: (r[0] or "", r)
+    assert sorted(summed_any(rollup), key=key) == sorted(expected, key=key)
+    assert rollup.compact() and not rollup.commit("b1", inserts(rows, WORDS, rows["tokens"]))
+    assert rollup.vacuum() == 3 and sorted(summed_any(rollup), key=key) == sorted(expected, key=key)
+    assert rollup.commit("b3", deletes(rows.where("source IS NULL"), WORDS, F.col("tokens")))
+    assert summed_any(rollup) == [("b", "fr", 1, 8)]
+
+
+def summed_any(rollup):
+    return [(r.source, r.lang, r.n_docs, r.n_tokens) for r in rollup.totals().collect()]
+
+
+def test_rivals_and_failed_attempts_count_once(spark, monkeypatch):
+    path = fresh_path(spark, "test-rivals")
+    first, second = TokenRollup(spark, path), TokenRollup(spark, path)
+    rows = spark.createDataFrame([("a", "en", 5)], "source string, lang string, n long")
+    deltas = inserts(rows, WORDS, rows["n"])
+    deltas.write.parquet(f"{path}/data/b1-left-by-a-failure")
+    monkeypatch.setattr(second, "batches", list)  # has looked before the first committed
+    assert first.commit("b1", deltas) and not second.commit("b1", deltas)
+    assert summed_any(first) == [("a", "en", 1, 5)]
+    broken = deltas.withColumn("tokens", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        first.commit("b2", broken)
+    assert first.batches() == ["b1"] and first.commit("b2", deltas) and summed_any(first) == [("a", "en", 2, 10)]
+    number = first._state()[0]
+    assert first.compact() and not first._mark(f"snapshots/{number:012d}", ["data/other"])
+    assert summed_any(first) == [("a", "en", 2, 10)]
