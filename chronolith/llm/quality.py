@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import chunks, small_batches, table
 
-#: Labelled documents that the model is fitted on at most, chosen by a hash of doc_id.
+#: Labelled documents that the model is fitted on at most, chosen by a hash of doc_id; all their lines count.
 TRAIN_DOCS = 1000
-#: Lines of one document that fitting looks at, at most (decoding looks at all).
-TRAIN_LINES = 200
+#: Lines that fitting chains together; a longer document is several chains.
+CHAIN = 64
 #: Least share of a document's words that must stand in content lines.
 CONTENT_SHARE = 0.5
 #: Half the log-odds of content that a line starts from.
@@ -81,35 +81,52 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 120, rate: float = 0.5, penalty: float = 1e-3) -> LineField:
-    """Maximum likelihood by full-gradient steps; every line of a sequence has the sequence's label.
+#: The feature rows there can be: a line is the number of one of them. The bias is always there.
+ROWS = np.array([[1, *map(int, f"{i:0{len(FEATURES) - 1}b}")] for i in range(2 ** (len(FEATURES) - 1))], np.float64)
+
+
+def feature_codes(features: np.ndarray) -> np.ndarray:
+    """Numbers in ROWS of feature rows."""
+    return (features[:, 1:] @ 2 ** np.arange(len(FEATURES) - 2, -1, -1)).astype(np.uint8)
+
+
+def fit(documents: list[np.ndarray], labels: list[int], rounds: int = 120, rate: float = 0.5, penalty: float = 1e-3) -> LineField:
+    """Maximum likelihood by full-gradient steps; every line of a document (its feature codes) has the document's label.
 
     Rare classes weigh as much as common ones. The bias is not fitted: it leans to content, so that
     a line is boilerplate only for a reason. Without both labels everything is content.
     """
     model = LineField(np.zeros((len(FEATURES), 2)), np.zeros((2, 2)))
     model.emission[0] = (LEAN, -LEAN)
-    keep = [i for i, x in enumerate(sequences) if len(x)]
+    keep = [i for i, x in enumerate(documents) if len(x)]
     counts = np.bincount([labels[i] for i in keep], minlength=2)
     if not counts.all():
         return model
-    longest = max(len(sequences[i]) for i in keep)
-    x = np.zeros((len(keep), longest, len(FEATURES)))
-    mask = np.zeros((len(keep), longest))
-    for row, i in enumerate(keep):
-        x[row, : len(sequences[i])] = sequences[i]
-        mask[row, : len(sequences[i])] = 1
-    y = np.array([labels[i] for i in keep])
+    # Chains that are equal, with their labels, are one with more weight; a document counts once, however long.
+    found: dict[tuple[bytes, int], float] = {}
+    for i in keep:
+        codes = documents[i]
+        for begin in range(0, len(codes), CHAIN):
+            key = (codes[begin : begin + CHAIN].tobytes(), labels[i])
+            found[key] = found.get(key, 0.0) + 1 / (2 * counts[labels[i]] * len(codes))
+    chains = sorted(found)
+    longest = max(len(c) for c, _ in chains)
+    code = np.zeros((len(chains), longest), np.int64)
+    mask = np.zeros((len(chains), longest))
+    for row, (c, _) in enumerate(chains):
+        code[row, : len(c)] = np.frombuffer(c, np.uint8)
+        mask[row, : len(c)] = 1
     lengths = mask.sum(axis=1).astype(int)
-    weight = (len(keep) / (2 * counts[y])) / lengths  # a document counts once, however long
-    weight /= weight.sum()
-    one = np.eye(2)[y]
-    seen_emission = np.einsum("n,nlf,nk->fk", weight, x, one)
+    weight = np.array([found[c] for c in chains])
+    one = np.eye(2)[[y for _, y in chains]]
+    per_line = weight[:, None] * mask
+    by_code = lambda node: np.stack([np.bincount(code.ravel(), (per_line * node[..., k]).ravel(), len(ROWS)) for k in (0, 1)], axis=1)
+    seen_emission = ROWS.T @ by_code(np.broadcast_to(one[:, None, :], (*code.shape, 2)))
     seen_transition = np.einsum("n,nj,nk->jk", weight * (lengths - 1), one, one)
     pair_mask = mask[:, 1:]
-    last = np.arange(len(keep)), lengths - 1
+    last = np.arange(len(chains)), lengths - 1
     for _ in range(rounds):
-        s = x @ model.emission
+        s = (ROWS @ model.emission)[code]
         alpha, beta = np.zeros_like(s), np.zeros_like(s)
         alpha[:, 0] = s[:, 0]
         for t in range(1, longest):
@@ -117,9 +134,9 @@ def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 120, rate:
         total = _logsum(alpha[last], 1)
         for t in range(longest - 2, -1, -1):
             beta[:, t] = np.where(pair_mask[:, t, None] > 0, _logsum(model.transition + (s[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
-        node = np.exp(alpha + beta - total[:, None, None]) * mask[..., None]
+        node = np.exp(alpha + beta - total[:, None, None])
         pair = np.exp(alpha[:, :-1, :, None] + model.transition + (s[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]) * pair_mask[..., None, None]
-        step = seen_emission - np.einsum("n,nlf,nlk->fk", weight, x, node) - penalty * model.emission
+        step = seen_emission - ROWS.T @ by_code(node) - penalty * model.emission
         step[0] = 0
         model.emission += 4 * rate * step
         model.transition += rate * (seen_transition - np.einsum("n,nljk->jk", weight, pair) - penalty * model.transition)
@@ -173,13 +190,11 @@ def train_field(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, quality in zip(*(batch.column(c).to_pylist() for c in range(2))):
-                lines, words = line_parts(text or b"")
-                data = line_features(lines[:TRAIN_LINES], words[:TRAIN_LINES]).astype(np.int8).tobytes()
+                data = feature_codes(line_features(*line_parts(text or b""))).tobytes()
                 yield pa.RecordBatch.from_pydict({"data": pa.array([data], pa.binary()), "quality": pa.array([quality], pa.int64())})
 
     found = sorted(rows.mapInArrow(run, "data binary, quality long").collect())
-    sequences = [np.frombuffer(bytes(r.data), np.int8).reshape(-1, len(FEATURES)).astype(np.float64) for r in found]
-    return fit(sequences, [CONTENT if r.quality else BOILERPLATE for r in found])
+    return fit([np.frombuffer(bytes(r.data), np.uint8) for r in found], [CONTENT if r.quality else BOILERPLATE for r in found])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, content_share: float = CONTENT_SHARE, train_docs: int = TRAIN_DOCS) -> DataFrame:
