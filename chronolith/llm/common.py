@@ -16,12 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a fresh temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset and all runs on one machine (tests), a fresh temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
             found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -39,6 +41,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate results of one operator, each written once in the shared folder; ``clear`` removes them all."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.number = spark, fresh_path(spark, name), 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.number += 1
+        path = f"{self.path}/{self.number:03d}-{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small_batches(spark: SparkSession, records: int = 512) -> None:
     """Arrow batches of at most ``records`` rows, so that long texts don't pile up in one batch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

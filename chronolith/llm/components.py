@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +27,17 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, write: Callable[[DataFrame, str], DataFrame] = materialise) -> DataFrame:
     """(node, component) for each node of an edge table (u long, v long); component: its smallest node.
 
     Minimum finding is a grouped aggregate with map-side combine, so a node with very many edges
-    costs its task one row per map task. Stops when a round changes nothing. Edges with a null end
+    costs its task one row per map task. Each round is kept by ``write``; stops when one changes nothing. Edges with a null end
     and self-loops are ignored; an empty table gives no rows.
     """
-    edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = write(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(edges)
     while mark[0]:
-        edges = materialise(_small_star(_large_star(edges).where("u <> v").distinct()).distinct(), "edges")
+        edges = write(_small_star(_large_star(edges).where("u <> v").distinct()).distinct(), "edges")
         mark, before = _mark(edges), mark
         if mark == before:
             break

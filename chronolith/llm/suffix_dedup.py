@@ -1,11 +1,12 @@
 """Op 7: bytes of repeated long strings, found by sorting the suffixes of candidate passages.
 
 A string of LENGTH bytes has an anchor, the place of its least hashed K-gram, that depends on the
-string alone. Anchors that different texts share are the candidates. What surrounds such an anchor,
-as far as the strings anchored there reach, is its context. A context that an earlier document has
-too is removed whole; the different contexts of one anchor meet in the least document that has
-each, their suffixes are sorted (grouping_sort), and runs of suffixes with LENGTH bytes in common
-tell which strings also start in a document with a smaller doc_id.
+string alone. Copies of whole texts are settled first; anchors that different ones of the other
+texts share are the candidates. What surrounds such an anchor, as far as the strings anchored there
+reach, is its context. A context that an earlier document has too is removed whole (told by 128-bit
+prints next to the 64-bit anchor); the different contexts of one anchor meet in the least document
+that has each, their suffixes are sorted (grouping_sort), and runs of suffixes with LENGTH bytes in
+common tell which strings also start in a document with a smaller doc_id.
 """
 
 from __future__ import annotations
@@ -18,19 +19,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest
 
-from .common import materialise, small_batches, table
+from .common import Scratch, fresh_path, small_batches, table
 from .grouping_sort import suffix_array
 
 LENGTH, K = 50, 24
 WINDOW = LENGTH - K + 1
-#: Bytes of text in one batch row; what a task holds of a batch is about 50 times this.
+#: Bytes of text in one batch row, but for longer texts, and bytes that are searched for anchors at a time; that takes about 50 times as much.
 BATCH_BYTES = 2_000_000
 #: Anchors that one bucket of the candidate search gets, on average.
 BUCKET_ANCHORS = 1_000_000
-#: An anchor with more different contexts than this goes by grouped strings, not to one task.
-HOT_CONTEXTS = 200_000
+#: An anchor with more different contexts than this is split by the bytes around it.
+HOT_CONTEXTS = 2_000
+#: Places that a hot anchor may have in a string: strings of one range share the bytes around the anchor that all of them have.
+RANGES = ((0, 8), (9, 17), (18, 26))
 #: Bytes whose suffixes are sorted together, unless one anchor's contexts alone have more.
 SORT_BYTES = 200_000
 #: Stands for a mask where the whole text is a copy.
@@ -134,42 +137,80 @@ def text_batches(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "batch long, doc_ids binary, ends binary, digests binary, data binary")
 
 
+def pieces(starts: np.ndarray, stops: np.ndarray, live: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(from, to, docs, starts, ends) of parts of a batch, of about BATCH_BYTES each; starts and ends count from ``from``.
+
+    A longer text is cut with an overlap, so that each of its strings starts in exactly one part.
+    """
+    held: list[tuple[int, int, int]] = []
+    size = 0
+    for doc in np.flatnonzero(live & (stops - starts >= LENGTH)).tolist():
+        stop = int(stops[doc])
+        for begin in range(int(starts[doc]), stop - LENGTH + 1, BATCH_BYTES):
+            end = min(stop, begin + BATCH_BYTES + LENGTH - 1)
+            held.append((doc, begin, end))
+            size += end - begin
+            if size >= BATCH_BYTES:
+                yield _part(held)
+                held, size = [], 0
+    if held:
+        yield _part(held)
+
+
+def _part(held: list[tuple[int, int, int]]) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    found = np.array(held, np.int64)
+    base = int(found[0, 1])
+    return base, int(found[-1, 2]), found[:, 0], found[:, 1] - base, found[:, 2] - base
+
+
+def _live(count: int, copies: bytes | None) -> np.ndarray:
+    live = np.ones(count, bool)
+    if copies:
+        live[np.frombuffer(copies, "<u4")] = False
+    return live
+
+
 def _opened(data: bytes, ends: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     e = np.frombuffer(ends, "<i8")
     return np.frombuffer(data, np.uint8), np.concatenate([[0], e[:-1]]), e
 
 
-def shared_anchors(batches: DataFrame, buckets: int) -> DataFrame:
+def shared_anchors(batches: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
     """batch, keys: of each batch, the (shortened) hashes of anchors that another text has too.
 
-    Hashes travel as packed arrays, by bucket. A shortened hash may name a few anchors too many;
-    those fall out when their contexts are compared.
+    ``copies`` (batch, copies) are texts that take no part. Hashes travel as packed arrays, by
+    bucket, each next to the place of its text in the batch. A shortened hash may name a few anchors
+    too many; those fall out when their contexts are compared.
     """
 
     def scatter(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
-            for batch, ends, digests, data in zip(*(row.column(c).to_pylist() for c in range(4))):
+            for batch, ends, data, gone in zip(*(row.column(c).to_pylist() for c in range(4))):
                 bytes_, starts, stops = _opened(data, ends)
-                at, h, _ = anchors(bytes_, starts, stops)
-                if not len(at):
-                    continue
-                key = h[at]
-                bucket = (key >> np.uint64(32)).astype(np.int64) % buckets
-                text = np.frombuffer(digests, "<u4").reshape(-1, 4)[np.searchsorted(stops, at, "right"), 0]
-                pairs = np.stack([key.astype(np.uint32), text], axis=1).astype("<u4")
-                order = np.argsort(bucket, kind="stable")
-                bucket, pairs = bucket[order], pairs[order]
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array(bucket[cuts[:-1]]), "batch": pa.array(np.full(len(cuts) - 1, batch)),
-                    "pairs": pa.array([pairs[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary()),
-                })
+                for base, end, docs, begins, ends_ in pieces(starts, stops, _live(len(stops), gone)):
+                    at, h, _ = anchors(bytes_[base:end], begins, ends_)
+                    if not len(at):
+                        continue
+                    key = h[at]
+                    bucket = (key >> np.uint64(32)).astype(np.int64) % buckets
+                    text = docs[np.searchsorted(ends_, at, "right")]
+                    pairs = np.stack([key.astype(np.uint32), text.astype(np.uint32)], axis=1).astype("<u4")
+                    order = np.argsort(bucket, kind="stable")
+                    bucket, pairs = bucket[order], pairs[order]
+                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+                    yield pa.RecordBatch.from_pydict({
+                        "bucket": pa.array(bucket[cuts[:-1]]), "batch": pa.array(np.full(len(cuts) - 1, batch)),
+                        "pairs": pa.array([pairs[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary()),
+                    })
 
-    def compare(bucket: int, sources: list[int], parts: list[bytes]) -> pa.RecordBatch | None:
+    def compare(bucket: int, batches_: list[int], parts: list[bytes]) -> pa.RecordBatch | None:
         pairs = np.frombuffer(b"".join(parts), "<u4").reshape(-1, 2)
-        source = np.repeat(np.arange(len(parts)), [len(p) // 8 for p in parts])
+        number = {batch: k for k, batch in enumerate(dict.fromkeys(batches_))}
+        sources = list(number)
+        source = np.repeat([number[b] for b in batches_], [len(p) // 8 for p in parts])
         order = np.argsort(pairs[:, 0], kind="stable")
-        key, text, source = pairs[order, 0], pairs[order, 1], source[order]
+        key, source = pairs[order, 0], source[order]
+        text = (source.astype(np.uint64) << np.uint64(32)) | pairs[order, 1]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
         sizes = np.diff(np.concatenate([cuts, [len(key)]]))
         shared = np.repeat(np.minimum.reduceat(text, cuts) != np.maximum.reduceat(text, cuts), sizes)
@@ -193,53 +234,57 @@ def shared_anchors(batches: DataFrame, buckets: int) -> DataFrame:
         if parts and (found := compare(now, sources, parts)) is not None:
             yield found
 
-    spread = batches.select("batch", "ends", "digests", "data").mapInArrow(scatter, "bucket long, batch long, pairs binary")
+    joined = batches.select("batch", "ends", "data").join(copies.hint("shuffle_hash"), "batch", "left")
+    spread = joined.select("batch", "ends", "data", "copies").mapInArrow(scatter, "bucket long, batch long, pairs binary")
     return spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "batch long, keys binary")
 
 
 MARKS = "batch long, at binary, lo binary, hi binary, place binary, entries binary"
 
 
-def shared_marks(batches: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+def shared_marks(batches: DataFrame, copies: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     """Packed arrays of each batch's shared anchors: places, first and last string starts, and the row of ``entries`` each belongs to.
 
-    entries: bucket, anchor and 64-bit print of each different context, and the least doc_id of the
+    entries: bucket, anchor and 128-bit print of each different context, and the least doc_id of the
     batch that has it, by bucket.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
-            for batch, doc_ids, ends, data, keys in zip(*(row.column(c).to_pylist() for c in range(5))):
+            for batch, doc_ids, ends, data, gone, keys in zip(*(row.column(c).to_pylist() for c in range(6))):
                 bytes_, starts, stops = _opened(data, ends)
-                at, h, whole = anchors(bytes_, starts, stops)
                 wanted = np.sort(np.frombuffer(b"".join(keys), "<u8"))
-                bucket = (h[at] >> np.uint64(32)) % np.uint64(buckets)
-                short = (bucket << np.uint64(32)) | (h[at] & np.uint64(0xFFFFFFFF))
-                at = at[wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short]
-                lo, hi = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-                for k in range(0, len(at), 50_000):
-                    lo[k : k + 50_000], hi[k : k + 50_000] = reach(h, whole, at[k : k + 50_000])
-                at, lo, hi = at[hi >= lo], lo[hi >= lo], hi[hi >= lo]
+                found = []
+                for base, end, docs, begins, ends_ in pieces(starts, stops, _live(len(stops), gone)):
+                    at, h, whole = anchors(bytes_[base:end], begins, ends_)
+                    bucket = (h[at] >> np.uint64(32)) % np.uint64(buckets)
+                    short = (bucket << np.uint64(32)) | (h[at] & np.uint64(0xFFFFFFFF))
+                    known = wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short
+                    at, bucket = at[known], bucket[known]
+                    lo, hi = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                    for k in range(0, len(at), 50_000):
+                        lo[k : k + 50_000], hi[k : k + 50_000] = reach(h, whole, at[k : k + 50_000])
+                    ok = hi >= lo
+                    at, lo, hi, bucket = at[ok], lo[ok], hi[ok], bucket[ok]
+                    found.append((at + base, lo + base, hi + base, bucket.astype(np.int64), h[at].view(np.int64), docs[np.searchsorted(ends_, at, "right")]))
+                at, lo, hi, bucket, anchor, doc = (np.concatenate(c) for c in zip(*found)) if found else [np.zeros(0, np.int64)] * 6
                 if not len(at):
                     continue
-                anchor = h[at]
-                bucket = ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                prints = np.fromiter(map(xxh64_intdigest, (data[x:y] for x, y in zip(lo.tolist(), (hi + LENGTH).tolist()))), np.uint64, len(at))
-                with np.errstate(over="ignore"):
-                    both = anchor * _M ^ prints
-                _, first, place = np.unique(both, return_index=True, return_inverse=True)
-                order = np.argsort(bucket[first], kind="stable")
-                rank = np.empty_like(order)
-                rank[order] = np.arange(len(order))
-                place, first = rank[place.ravel()], first[order]
-                least = np.full(len(first), np.iinfo(np.int64).max)
-                np.minimum.at(least, place, np.frombuffer(doc_ids, "<i8")[np.searchsorted(stops, at, "right")])
-                entries = np.column_stack([bucket[first], anchor[first].view(np.int64), prints[first].view(np.int64), least])
+                prints = np.frombuffer(b"".join(map(xxh3_128_digest, (data[x:y] for x, y in zip(lo.tolist(), (hi + LENGTH).tolist())))), "<i8").reshape(-1, 2)
+                order = np.lexsort((prints[:, 1], prints[:, 0], anchor, bucket))
+                first = np.ones(len(at), bool)
+                first[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in (anchor, prints[:, 0], prints[:, 1])], axis=0)
+                place = np.empty(len(at), np.int64)
+                place[order] = np.cumsum(first) - 1
+                chosen = order[first]
+                least = np.full(len(chosen), np.iinfo(np.int64).max)
+                np.minimum.at(least, place, np.frombuffer(doc_ids, "<i8")[doc])
+                entries = np.column_stack([bucket[chosen], anchor[chosen], prints[chosen], least])
                 parts = [at.astype("<u4"), (at - lo).astype(np.uint8), (at - hi).astype(np.int8), place.astype("<u4"), entries.astype("<i8")]
                 yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]], [c.split()[0] for c in MARKS.split(", ")])
 
-    joined = batches.select("batch", "doc_ids", "ends", "data").join(shared.hint("shuffle_hash"), "batch")
-    return joined.mapInArrow(run, MARKS)
+    joined = batches.select("batch", "doc_ids", "ends", "data").join(copies.hint("shuffle_hash"), "batch", "left").join(shared.hint("shuffle_hash"), "batch")
+    return joined.select("batch", "doc_ids", "ends", "data", "copies", "keys").mapInArrow(run, MARKS)
 
 
 def _marks(at: bytes, lo: bytes, hi: bytes, place: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -250,7 +295,7 @@ def _marks(at: bytes, lo: bytes, hi: bytes, place: bytes) -> tuple[np.ndarray, n
 def context_rules(marks: DataFrame) -> DataFrame:
     """batch, rules: for each context of the batch, the least doc_id that has it and whether its anchor has others.
 
-    Contexts travel as 64-bit prints next to their 64-bit anchors, packed by bucket, each once per
+    Contexts travel as 128-bit prints next to their 64-bit anchors, packed by bucket, each once per
     batch with its least doc_id; so a passage that a third of all documents share costs its bucket
     one entry a batch.
     """
@@ -258,7 +303,7 @@ def context_rules(marks: DataFrame) -> DataFrame:
     def scatter(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
             for batch, data in zip(row.column(0).to_pylist(), row.column(1).to_pylist()):
-                entries = np.frombuffer(data, "<i8").reshape(-1, 4)
+                entries = np.frombuffer(data, "<i8").reshape(-1, 5)
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(entries[:, 0])) + 1, [len(entries)]]).tolist()
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array(entries[cuts[:-1], 0]), "batch": pa.array(np.full(len(cuts) - 1, batch)),
@@ -266,19 +311,20 @@ def context_rules(marks: DataFrame) -> DataFrame:
                 })
 
     def rule(bucket: int, sources: list[int], parts: list[bytes]) -> pa.RecordBatch:
-        rows = np.frombuffer(b"".join(parts), "<i8").reshape(-1, 3)
-        order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+        rows = np.frombuffer(b"".join(parts), "<i8").reshape(-1, 4)
+        order = np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))
+        after, before = rows[order[1:]], rows[order[:-1]]
         new_anchor = np.ones(len(rows), bool)
-        new_anchor[1:] = rows[order[1:], 0] != rows[order[:-1], 0]
+        new_anchor[1:] = after[:, 0] != before[:, 0]
         new_context = new_anchor.copy()
-        new_context[1:] |= rows[order[1:], 1] != rows[order[:-1], 1]
+        new_context[1:] |= (after[:, 1] != before[:, 1]) | (after[:, 2] != before[:, 2])
         anchor, context = np.cumsum(new_anchor) - 1, np.cumsum(new_context) - 1
         many = np.bincount(anchor, weights=new_context) > 1
         out = np.zeros((len(rows), 2), "<i8")
-        out[order, 0] = rows[order, 2][new_context][context]
+        out[order, 0] = rows[order, 3][new_context][context]
         out[order, 1] = many[anchor]
-        ends = np.cumsum([len(p) // 24 for p in parts]).tolist()
-        return pa.RecordBatch.from_pydict({"batch": pa.array(sources, pa.int64()), "bucket": pa.array([bucket] * len(parts), pa.int64()), "rules": pa.array([out[e - len(p) // 24 : e].tobytes() for e, p in zip(ends, parts)], pa.binary())})
+        ends = np.cumsum([len(p) // 32 for p in parts]).tolist()
+        return pa.RecordBatch.from_pydict({"batch": pa.array(sources, pa.int64()), "bucket": pa.array([bucket] * len(parts), pa.int64()), "rules": pa.array([out[e - len(p) // 32 : e].tobytes() for e, p in zip(ends, parts)], pa.binary())})
 
     def gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sources, parts = None, [], []
@@ -300,7 +346,7 @@ def context_rules(marks: DataFrame) -> DataFrame:
 
 
 def own_contexts(batches: DataFrame, ruled: DataFrame) -> DataFrame:
-    """anchor, context, least, batch, doc, start: contexts of anchors with several, in the least document that has them."""
+    """anchor, context, left (the anchor's place in it), least, batch, doc, start: contexts of anchors with several, in the least document that has them."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
@@ -310,17 +356,33 @@ def own_contexts(batches: DataFrame, ruled: DataFrame) -> DataFrame:
                 rule = np.frombuffer(b"".join(rules), "<i8").reshape(-1, 2)[place]
                 doc = np.searchsorted(stops, at, "right")
                 ids = np.frombuffer(doc_ids, "<i8")[doc]
-                anchor = np.frombuffer(entries, "<i8").reshape(-1, 4)[place, 1]
+                anchor = np.frombuffer(entries, "<i8").reshape(-1, 5)[place, 1]
                 own = np.flatnonzero((ids == rule[:, 0]) & (rule[:, 1] > 0))
                 for k in range(0, len(own), 20_000):
                     part = own[k : k + 20_000]
                     yield pa.RecordBatch.from_pydict({
                         "anchor": pa.array(anchor[part]), "context": pa.array([data[x:y] for x, y in zip(lo[part].tolist(), (hi[part] + LENGTH).tolist())], pa.binary()),
-                        "least": pa.array(ids[part]), "batch": pa.array(np.full(len(part), batch)), "doc": pa.array(doc[part].astype(np.int64)), "start": pa.array((lo - starts[doc])[part]),
+                        "left": pa.array((at - lo)[part]), "least": pa.array(ids[part]), "batch": pa.array(np.full(len(part), batch)), "doc": pa.array(doc[part].astype(np.int64)), "start": pa.array((lo - starts[doc])[part]),
                     })
 
     joined = batches.select("batch", "doc_ids", "ends", "data").join(ruled.hint("shuffle_hash"), "batch")
-    return joined.select("batch", "doc_ids", "ends", "data", "at", "lo", "hi", "place", "entries", "rules").mapInArrow(run, "anchor long, context binary, least long, batch long, doc long, start long")
+    return joined.select("batch", "doc_ids", "ends", "data", "at", "lo", "hi", "place", "entries", "rules").mapInArrow(run, "anchor long, context binary, left long, least long, batch long, doc long, start long")
+
+
+def split_hot(rows: DataFrame) -> DataFrame:
+    """The contexts of hot anchors in parts, by the range that the anchor's place in a string is in.
+
+    Strings of a range share some bytes before and after the anchor, which become part of the key,
+    so that contexts meet where they can have a string in common and few of them meet in vain.
+    """
+    parts = []
+    for number, (low, high) in enumerate(RANGES):
+        begin, last = f"greatest(0, left - {high})", f"least(length(context) - {LENGTH}, left - {low})"
+        around = f"substring(context, cast(left - {low} + 1 AS int), {low + LENGTH - high})"
+        parts.append(f"named_struct('key', xxhash64(anchor, {number}, {around}), 'begin', {begin}, 'last', {last})")
+    each = rows.withColumn("part", F.explode(F.expr(f"array({', '.join(parts)})"))).where("part.last >= part.begin")
+    cut = f"substring(context, cast(part.begin + 1 AS int), cast(part.last - part.begin + {LENGTH} AS int))"
+    return each.selectExpr("part.key AS anchor", f"{cut} AS context", "least", "batch", "doc", "start + part.begin AS start")
 
 
 def least_of_strings(texts: list[bytes], least: list[int]) -> list[list[int]]:
@@ -489,21 +551,23 @@ def mask_spans(start: int, mask: int) -> Iterator[tuple[int, int]]:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removed_strings(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def removed_strings(docs: DataFrame, with_text: bool = False, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary, if ``with_text``).
 
     Removes each byte of a document's UTF-8 text that lies in a string of 50 bytes which also starts
     in a document with a smaller doc_id; overlaps count, matches stay inside documents, and strings
-    are judged on the input. Texts that are equal as a whole are one text to the candidate search,
-    and all but the smallest doc_id's lose everything (under 50 bytes: nothing). Null text is empty;
-    rows that share a doc_id don't count against each other; rows without a doc_id lose nothing and
-    count against none. Other columns are ignored; an empty table gives no rows.
+    are judged on the input. Texts that are equal as a whole (by 128-bit digests) lose everything,
+    but for the smallest doc_id's (under 50 bytes: nothing). Null text is empty; rows that share a
+    doc_id don't count against each other; rows without a doc_id lose nothing and count against
+    none. A text of any length is searched in parts that overlap. Other columns are ignored; an
+    empty table gives no rows. The result is written once; all tables on the way are removed.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    name = f"text_batches_{uuid.uuid4().hex}"
+    scratch = Scratch(spark, "suffix-dedup")
+    name, marks_name = (f"{kind}_{uuid.uuid4().hex}" for kind in ("text_batches", "text_marks"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Bucketed, so that the two joins below move only what joins the texts, not the texts.
+    # Bucketed, so that the joins below move only what joins the texts, not the texts.
     text_batches(docs).write.option("compression", "zstd").bucketBy(parts, "batch").saveAsTable(name)
     batches = spark.table(name)
     total = batches.select(F.sum(F.length("data"))).first()[0] or 0
@@ -517,21 +581,27 @@ def removed_strings(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"batch": pa.array(np.full(n, batch)), "doc": pa.array(np.arange(n)), "doc_id": pa.array(np.frombuffer(ids, "<i8")), "n_bytes": pa.array(sizes), "digest": pa.array([digests[16 * i : 16 * i + 16] for i in range(n)], pa.binary())})
 
     texts = batches.select("batch", "doc_ids", "ends", "digests").mapInArrow(listed, "batch long, doc long, doc_id long, n_bytes long, digest binary").where(f"n_bytes >= {LENGTH}")
-    texts = materialise(texts, "text-digests")
+    texts = scratch.write(texts, "text-digests")
     first = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = texts.join(first, "digest").where("first < doc_id").select("batch", "doc", F.lit(0).cast("long").alias("start"), F.lit(COPY).cast("long").alias("mask"))
+    copied = scratch.write(texts.join(first, "digest").where("first < doc_id").groupBy("batch").agg(F.collect_list("doc").alias("docs")), "copies")
+
+    def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows:
+            yield pa.RecordBatch.from_arrays([row.column(0), pa.array([np.array(d, "<u4").tobytes() for d in row.column(1).to_pylist()], pa.binary())], ["batch", "copies"])
 
-    shared = materialise(shared_anchors(batches, buckets).groupBy("batch").agg(F.collect_list("keys").alias("keys")), "shared-anchors")
-    marks_name = f"text_marks_{uuid.uuid4().hex}"
-    shared_marks(batches, shared, buckets).write.option("compression", "zstd").bucketBy(parts, "batch").saveAsTable(marks_name)
+    copies = scratch.write(copied.mapInArrow(packed, "batch long, copies binary"), "packed-copies")
+    shared = scratch.write(shared_anchors(batches, copies, buckets).groupBy("batch").agg(F.collect_list("keys").alias("keys")), "shared-anchors")
+    shared_marks(batches, copies, shared, buckets).write.option("compression", "zstd").bucketBy(parts, "batch").saveAsTable(marks_name)
     marks = spark.table(marks_name)
-    ruled = marks.join(materialise(context_rules(marks), "context-rules").hint("shuffle_hash"), "batch")
-    own = materialise(own_contexts(batches, ruled), "contexts")
-    sizes = own.groupBy("anchor").agg(F.count("*").alias("n"))
-    hot = sizes.where(f"n > {HOT_CONTEXTS}").select("anchor")
-    masks = sorted_masks(own.join(hot, "anchor", "left_anti")).unionByName(hot_masks(own.join(hot, "anchor", "left_semi")))
-    masked = masks.unionByName(copies)
-    spans = materialise(masked.groupBy("batch").agg(F.collect_list(F.struct("doc", "start", "mask")).alias("spans")), "spans")
+    ruled = marks.join(scratch.write(context_rules(marks), "context-rules").hint("shuffle_hash"), "batch")
+    own = scratch.write(own_contexts(batches, ruled), "contexts")
+    hot = own.groupBy("anchor").agg(F.count("*").alias("n")).where(f"n > {hot_contexts}").select("anchor")
+    split = scratch.write(split_hot(own.join(hot, "anchor", "left_semi")), "split-contexts")
+    # What is the same in 42 of 50 bytes more often than that goes by grouped strings.
+    hotter = split.groupBy("anchor").agg(F.count("*").alias("n")).where(f"n > {hot_contexts}").select("anchor")
+    masks = sorted_masks(own.join(hot, "anchor", "left_anti").drop("left").unionByName(split.join(hotter, "anchor", "left_anti"))).unionByName(hot_masks(split.join(hotter, "anchor", "left_semi")))
+    whole = copied.select("batch", F.explode("docs").alias("doc"), F.lit(0).cast("long").alias("start"), F.lit(COPY).cast("long").alias("mask"))
+    spans = scratch.write(masks.unionByName(whole).groupBy("batch").agg(F.collect_list(F.struct("doc", "start", "mask")).alias("spans")), "spans")
     schema = RESULT + (", kept binary" if with_text else "")
     kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
 
@@ -564,7 +634,12 @@ def removed_strings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     result = found.select("doc_ids", "ends", "data", "at", "lo", "hi", "place", "rules", "spans").mapInArrow(cut, schema)
     nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
     nameless = nameless.select("doc_id", F.length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("data", 256).alias("kept_sha256"), *([F.col("data").alias("kept")] if with_text else []))
-    return result.unionByName(nameless)
+    path = fresh_path(spark, "removed-strings")
+    result.unionByName(nameless).write.option("compression", "zstd").parquet(path)
+    for table_name in (name, marks_name):
+        spark.sql(f"DROP TABLE {table_name}")
+    scratch.clear()
+    return spark.read.schema(schema).parquet(path)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from chronolith.llm import suffix_dedup
 from chronolith.llm.components import connected_components
 from chronolith.llm.grouping_sort import suffix_array
 from chronolith.llm.near_copies import near_copies
@@ -93,6 +95,48 @@ def plain_removal(rows):
     return out
 
 
+def removal(docs, **options):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in removed_strings(docs, **options).collect()}
+
+
+def test_parts_of_long_texts(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 400)
+    starts, stops = np.array([0, 3000, 3010]), np.array([3000, 3010, 3100])
+    parts = list(suffix_dedup.pieces(starts, stops, np.array([True] * 3)))
+    seen = [(doc, base + b + k) for base, _, docs, begins, ends in parts for doc, b, e in zip(docs, begins, ends) for k in range(e - b - LENGTH + 1)]
+    assert sorted(seen) == [(0, k) for k in range(3000 - LENGTH + 1)] + [(2, 3010 + k) for k in range(90 - LENGTH + 1)]
+    assert all(end - base <= 2 * (400 + LENGTH) for base, end, *_ in parts)
+
+
+def test_a_long_text_is_searched_in_parts(spark):
+    """Passages of another document at and around every cut of a text of several parts."""
+    random.seed(9)
+    letters = lambda n: bytes(random.choices(b"abcdefgh ", k=n)).decode()
+    first, size = letters(3000), suffix_dedup.BATCH_BYTES
+    long = list(letters(2 * size + 5000))
+    for at in (10, size - 900, size - 40, size + 700, 2 * size - 130, 2 * size + 2000):
+        long[at : at + 120] = first[at % 2800 : at % 2800 + 120]
+    data = "".join(long)
+    known = {first[k : k + LENGTH] for k in range(len(first) - LENGTH + 1)}
+    covered = bytearray(len(data))
+    for k in range(len(data) - LENGTH + 1):
+        if data[k : k + LENGTH] in known:
+            covered[k : k + LENGTH] = b"\1" * LENGTH
+    docs = spark.createDataFrame([(1, first), (2, data)], "doc_id long, text string")
+    found = removal(docs)
+    assert found[1][1] == 0 and found[2][1] == sum(covered) >= 6 * 120 and found[2][2] == 6
+
+
+def test_one_anchor_with_very_many_contexts():
+    """Sorting takes what a split leaves at most, in little time; a split by surrounding bytes bounds it."""
+    random.seed(4)
+    gram = b"the same twenty-four by."
+    contexts = [bytes(random.choices(b"abcdef", k=26)) + gram + bytes(random.choices(b"abcdef", k=26)) for _ in range(suffix_dedup.HOT_CONTEXTS)]
+    begin = time.process_time()
+    suffix_dedup.least_of_strings(contexts, list(range(len(contexts))))
+    assert time.process_time() - begin < 10
+
+
 def test_removed_strings_against_brute_force(spark):
     random.seed(7)
     words = ["alpha", "beta", "ünï", "gamma", "the", "of", "x"]
@@ -104,9 +148,11 @@ def test_removed_strings_against_brute_force(spark):
         rows.append((i * 2, own[:150] + passage[cut : cut + random.randrange(30, 150)] + own[150:]))
     rows += [(500, rows[3][1]), (501, rows[3][1]), (502, None), (503, ""), (504, "a" * 300), (505, "a" * 120), (506, "short"), (507, "short"), (508, rows[5][1][:-1])]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_bytes int").repartition(3)
-    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in removed_strings(docs, with_text=True).collect()}
-    assert found == plain_removal(rows)
+    expected = plain_removal(rows)
+    assert removal(docs, with_text=True) == expected
+    assert removal(docs, hot_contexts=1) == expected  # anchors are split, and grouped if that isn't enough
     assert removed_strings(docs.limit(0)).count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("text_")]
 
 
 def test_rows_without_doc_id_or_with_the_same(spark):
