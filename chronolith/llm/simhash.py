@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, small_batches, table
+from .common import Scratch, chunks, materialise, small_batches, table
 from .components import connected_components
 
 BITS, SEGMENTS = 64, 4
@@ -19,6 +19,8 @@ WIDTH = BITS // SEGMENTS
 LINK_ROWS = 200_000
 #: Pairs that are compared at once.
 PAIR_ROWS = 2_000_000
+#: Fingerprints with the same two first segments whose partners are looked up bit by bit; fewer are compared in pairs.
+PROBED_RUN = 4096
 
 
 def simhash(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -61,6 +63,18 @@ def chain_budgets(distance: int) -> list[int]:
     return [k * distance // SEGMENTS for k in range(1, SEGMENTS + 1)]
 
 
+def chain_masks(distance: int) -> list[int]:
+    """All differences within the distance that keep to the chain budgets, the first segment being on top."""
+    budgets = chain_budgets(distance)
+    masks = []
+    for size in range(1, distance + 1):
+        for bits in combinations(range(BITS - WIDTH), size):  # the first segment has no difference
+            mask = sum(1 << b for b in bits)
+            if all((mask >> BITS - k * WIDTH).bit_count() <= budgets[k - 1] for k in range(2, SEGMENTS + 1)):
+                masks.append(mask)
+    return masks
+
+
 def ring_pairs(ring: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (a < b) in a sorted array of rotated fingerprints that pass every chain budget.
 
@@ -68,17 +82,29 @@ def ring_pairs(ring: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np
     a chain, for some rotation, whose first segment is equal (budget 0), whose first two differ
     by at most their budget, and so on. Partners are looked up by the first two segments: equal, or
     one bit apart in the second; the other budgets prune what is found, and the last is the full check.
+    Where very many agree in those, each looks for what the budgets allow instead, so the work is in
+    proportion to their number. ``ring`` has no value twice.
     """
     budgets = chain_budgets(distance)
     if budgets[0] != 0 or budgets[1] > 1:
         raise ValueError("distance must be below 4")
     top = (ring >> np.uint64(2 * WIDTH)).astype(np.uint64)
+    first = np.flatnonzero(np.r_[True, top[1:] != top[:-1]]) if len(ring) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(ring)))
+    crowded = np.repeat(sizes > PROBED_RUN, sizes)
+    if crowded.any():
+        own = np.flatnonzero(crowded)
+        for mask in chain_masks(distance):
+            wanted = ring[own] ^ np.uint64(mask)
+            at = np.minimum(np.searchsorted(ring, wanted), len(ring) - 1)
+            ok = (ring[at] == wanted) & ((own < at) | ~crowded[at])
+            yield np.minimum(own[ok], at[ok]), np.maximum(own[ok], at[ok])
     probes = [0] + ([1 << bit for bit in range(WIDTH)] if budgets[1] else [])
     for flip in probes:
         wanted = top ^ np.uint64(flip)
         lo, hi = np.searchsorted(top, wanted, "left"), np.searchsorted(top, wanted, "right")
         lo = np.maximum(lo, np.arange(1, len(ring) + 1))  # each pair once
-        counts = np.maximum(hi - lo, 0)
+        counts = np.where(crowded, 0, np.maximum(hi - lo, 0))
         rows = np.flatnonzero(counts)
         ends = np.cumsum(counts[rows])
         begin = 0
@@ -90,7 +116,7 @@ def ring_pairs(ring: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np
             a = np.repeat(part, n)
             b = np.repeat(lo[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             diff = ring[a] ^ ring[b]
-            ok = np.ones(len(a), bool)
+            ok = ~crowded[b]
             for k in range(2, SEGMENTS + 1):
                 ok[ok] = popcount(diff[ok] >> np.uint64(BITS - k * WIDTH)) <= budgets[k - 1]
             yield a[ok], b[ok]
@@ -125,6 +151,12 @@ def link_fingerprints(nodes: DataFrame, distance: int = 2) -> DataFrame:
     """
 
     def link(data: pa.Table) -> pa.RecordBatch | None:
+        chain = data["bucket"].to_numpy() >> WIDTH
+        found = [link_chain(data.filter(pa.array(chain == c))) for c in np.unique(chain)]
+        edges = np.concatenate(found, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["u", "v"]) if edges.size else None
+
+    def link_chain(data: pa.Table) -> np.ndarray:
         ring, node = data["ring"].to_numpy().view(np.uint64), data["node"].to_numpy()
         order = np.argsort(ring, kind="stable")
         ring, node = ring[order], node[order]
@@ -137,7 +169,7 @@ def link_fingerprints(nodes: DataFrame, distance: int = 2) -> DataFrame:
         np.minimum.at(least, labels, node)
         root = least[labels]
         linked = root != node
-        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(root[linked])], ["u", "v"]) if linked.any() else None
+        return np.stack([node[linked], root[linked]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -176,14 +208,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, seed:
     of any size is one row in the linking step. Null and wordless texts have fingerprint zero and
     link like any other. One row for each input row, repeated rows included; rows without a doc_id
     take no part in links and have their fingerprint's component, if any other row gives it one.
-    Other columns are ignored. An empty table gives no rows.
+    Other columns are ignored. An empty table gives no rows. The result is written once; what was
+    written on the way is removed.
     """
-    marked = materialise(fingerprints(docs, shingle, seed), "fingerprints")
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    marked = scratch.write(fingerprints(docs, shingle, seed), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("node"))
     edges = link_fingerprints(nodes.where("node is not null"), distance)
-    labels = connected_components(edges)
+    labels = connected_components(edges, scratch.write)
     named = nodes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = materialise(marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "near-duplicates-found")
+    scratch.clear()
+    return found
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame | None = None, **options) -> DataFrame:

@@ -9,11 +9,12 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from chronolith.llm import simhash as simhash_module
 from chronolith.llm import suffix_dedup
 from chronolith.llm.components import connected_components
 from chronolith.llm.grouping_sort import suffix_array
 from chronolith.llm.near_copies import near_copies
-from chronolith.llm.simhash import link_fingerprints, near_duplicates, one_of_each, simhash
+from chronolith.llm.simhash import link_fingerprints, near_duplicates, one_of_each, ring_pairs, simhash
 from chronolith.llm.suffix_dedup import LENGTH, hot_masks, removed_strings, sorted_masks
 
 
@@ -65,6 +66,24 @@ def test_links_of_fingerprints(spark):
     assert {i: found.get(i, i) for i in nodes} == expected
 
 
+def test_crowded_rings_give_the_same_pairs(monkeypatch):
+    random.seed(6)
+    base = random.getrandbits(64)
+    ring = {base}
+    while len(ring) < 400:
+        x = base
+        for _ in range(random.randint(1, 6)):
+            x ^= 1 << random.choice((0, 1, 2, 3, 20, 21, 33, 34, 40))
+        ring.add(x)
+    ring = np.array(sorted(ring), np.uint64)
+    pairs = lambda: {(int(a), int(b)) for x, y in ring_pairs(ring, 2) for a, b in zip(x, y)}
+    found = pairs()
+    assert len(found) > 1000 and all((int(ring[a]) ^ int(ring[b])).bit_count() <= 2 for a, b in found)
+    for limit in (0, 3, 20):
+        monkeypatch.setattr(simhash_module, "PROBED_RUN", limit)
+        assert pairs() == found
+
+
 def test_near_duplicates_edge_cases(spark):
     rows = [(5, "A b c d"), (3, "a B c d"), (9, None), (8, ""), (7, "other words here now"), (7, "other words here now"), (None, "a b c d")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
