@@ -32,6 +32,8 @@ BATCH_BYTES = 2_000_000
 BUCKET_ANCHORS = 1_000_000
 #: An anchor with more different contexts than this is split by the bytes around it.
 HOT_CONTEXTS = 2_000
+#: Hot anchors (8 bytes each) that are broadcast at most; more are joined by a shuffle.
+SENT_ANCHORS = 1_000_000
 #: Places that a hot anchor may have in a string: strings of one range share the bytes around the anchor that all of them have.
 RANGES = ((0, 8), (9, 17), (18, 26))
 #: Bytes whose suffixes are sorted together, unless one anchor's contexts alone have more.
@@ -369,6 +371,12 @@ def own_contexts(batches: DataFrame, ruled: DataFrame) -> DataFrame:
     return joined.select("batch", "doc_ids", "ends", "data", "at", "lo", "hi", "place", "entries", "rules").mapInArrow(run, "anchor long, context binary, left long, least long, batch long, doc long, start long")
 
 
+def many_contexts(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """anchor: those with more than ``limit`` contexts; sent to all tasks if they are few enough, so that theirs stay apart."""
+    found = scratch.write(rows.groupBy("anchor").agg(F.count("*").alias("n")).where(f"n > {limit}").select("anchor"), "hot-anchors")
+    return F.broadcast(found) if found.count() <= SENT_ANCHORS else found
+
+
 def split_hot(rows: DataFrame) -> DataFrame:
     """The contexts of hot anchors in parts, by the range that the anchor's place in a string is in.
 
@@ -595,10 +603,10 @@ def removed_strings(docs: DataFrame, with_text: bool = False, hot_contexts: int
     marks = spark.table(marks_name)
     ruled = marks.join(scratch.write(context_rules(marks), "context-rules").hint("shuffle_hash"), "batch")
     own = scratch.write(own_contexts(batches, ruled), "contexts")
-    hot = own.groupBy("anchor").agg(F.count("*").alias("n")).where(f"n > {hot_contexts}").select("anchor")
+    hot = many_contexts(own, hot_contexts, scratch)
     split = scratch.write(split_hot(own.join(hot, "anchor", "left_semi")), "split-contexts")
     # What is the same in 42 of 50 bytes more often than that goes by grouped strings.
-    hotter = split.groupBy("anchor").agg(F.count("*").alias("n")).where(f"n > {hot_contexts}").select("anchor")
+    hotter = many_contexts(split, hot_contexts, scratch)
     masks = sorted_masks(own.join(hot, "anchor", "left_anti").drop("left").unionByName(split.join(hotter, "anchor", "left_anti"))).unionByName(hot_masks(split.join(hotter, "anchor", "left_semi")))
     whole = copied.select("batch", F.explode("docs").alias("doc"), F.lit(0).cast("long").alias("start"), F.lit(COPY).cast("long").alias("mask"))
     spans = scratch.write(masks.unionByName(whole).groupBy("batch").agg(F.collect_list(F.struct("doc", "start", "mask")).alias("spans")), "spans")
