@@ -520,13 +520,19 @@ def sorted_masks(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "batch long, doc long, start long, mask long")
 
 
-def hot_masks(rows: DataFrame) -> DataFrame:
-    """The same for anchors with very many contexts: equal strings meet by a grouped minimum."""
+def hot_masks(rows: DataFrame, scratch: Scratch, often: int = HOT_CONTEXTS // 4) -> DataFrame:
+    """The same for what very many contexts share around an anchor: equal strings meet by a grouped minimum.
+
+    Strings found more than ``often`` are sent to all tasks, if they are few enough, and the others joined.
+    """
     strings = rows.select("batch", "doc", "start", "context", "least", F.explode(F.sequence(F.lit(0), F.length("context") - LENGTH)).alias("at"))
-    strings = strings.withColumn("string", F.expr(f"substring(context, at + 1, {LENGTH})"))
-    lowest = strings.groupBy("string").agg(F.min("least").alias("lowest"))
-    hit = strings.join(lowest, "string").where("lowest < least")
-    return hit.groupBy("batch", "doc", "start").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
+    strings = strings.select("batch", "doc", "start", "at", "least", F.expr(f"substring(context, at + 1, {LENGTH})").alias("string"))
+    lowest = strings.groupBy("string").agg(F.min("least").alias("lowest"), F.max("least").alias("highest"), F.count("*").alias("n"))
+    lowest = scratch.write(lowest.where("lowest < highest").drop("highest"), "lowest")
+    common, rare = lowest.where(f"n > {often}").drop("n"), lowest.where(f"n <= {often}").drop("n")
+    common = F.broadcast(common) if common.count() <= SENT_ANCHORS else common
+    found = strings.join(common, "string").unionByName(strings.join(common, "string", "left_anti").join(rare, "string"))
+    return found.where("lowest < least").groupBy("batch", "doc", "start").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
 
 
 def without_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -607,7 +613,7 @@ def removed_strings(docs: DataFrame, with_text: bool = False, hot_contexts: int
     split = scratch.write(split_hot(own.join(hot, "anchor", "left_semi")), "split-contexts")
     # What is the same in 42 of 50 bytes more often than that goes by grouped strings.
     hotter = many_contexts(split, hot_contexts, scratch)
-    masks = sorted_masks(own.join(hot, "anchor", "left_anti").drop("left").unionByName(split.join(hotter, "anchor", "left_anti"))).unionByName(hot_masks(split.join(hotter, "anchor", "left_semi")))
+    masks = sorted_masks(own.join(hot, "anchor", "left_anti").drop("left").unionByName(split.join(hotter, "anchor", "left_anti"))).unionByName(hot_masks(split.join(hotter, "anchor", "left_semi"), scratch))
     whole = copied.select("batch", F.explode("docs").alias("doc"), F.lit(0).cast("long").alias("start"), F.lit(COPY).cast("long").alias("mask"))
     spans = scratch.write(masks.unionByName(whole).groupBy("batch").agg(F.collect_list(F.struct("doc", "start", "mask")).alias("spans")), "spans")
     schema = RESULT + (", kept binary" if with_text else "")

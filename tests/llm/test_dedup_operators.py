@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from chronolith.llm import simhash as simhash_module
 from chronolith.llm import suffix_dedup
+from chronolith.llm.common import Scratch
 from chronolith.llm.components import connected_components
 from chronolith.llm.grouping_sort import suffix_array
 from chronolith.llm.near_copies import near_copies
@@ -192,7 +193,8 @@ def test_hot_anchors_get_the_same_masks(spark):
     rows = list({r[1]: r for r in reversed(rows)}.values())
     table = spark.createDataFrame(rows, "anchor long, context binary, least long, batch long, doc long, start long")
     sort = lambda df: sorted((r.batch, r.doc, r.start, r.mask) for r in df.collect())
-    assert sort(sorted_masks(table)) == sort(hot_masks(table)) != []
+    scratch = Scratch(spark, "test-hot")
+    assert sort(sorted_masks(table)) == sort(hot_masks(table, scratch)) == sort(hot_masks(table, scratch, often=2)) != []
     assert np.all([r.mask > 0 for r in sorted_masks(table).collect()])
 
 
