@@ -30,8 +30,8 @@ WINDOW = LENGTH - K + 1
 BATCH_BYTES = 2_000_000
 #: Anchors that one bucket of the candidate search gets, on average.
 BUCKET_ANCHORS = 1_000_000
-#: An anchor with more different contexts than this is split by the bytes around it.
-HOT_CONTEXTS = 2_000
+#: An anchor with more different contexts than the first is split by the bytes around it; a part with more than the second goes by grouped strings.
+HOT_CONTEXTS, HOTTEST_CONTEXTS = 2_000, 20_000
 #: Hot anchors (8 bytes each) that are broadcast at most; more are joined by a shuffle.
 SENT_ANCHORS = 1_000_000
 #: Places that a hot anchor may have in a string: strings of one range share the bytes around the anchor that all of them have.
@@ -565,7 +565,7 @@ def mask_spans(start: int, mask: int) -> Iterator[tuple[int, int]]:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removed_strings(docs: DataFrame, with_text: bool = False, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+def removed_strings(docs: DataFrame, with_text: bool = False, hot_contexts: int = HOT_CONTEXTS, hottest_contexts: int = HOTTEST_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary, if ``with_text``).
 
     Removes each byte of a document's UTF-8 text that lies in a string of 50 bytes which also starts
@@ -612,7 +612,7 @@ def removed_strings(docs: DataFrame, with_text: bool = False, hot_contexts: int
     hot = many_contexts(own, hot_contexts, scratch)
     split = scratch.write(split_hot(own.join(hot, "anchor", "left_semi")), "split-contexts")
     # What is the same in 42 of 50 bytes more often than that goes by grouped strings.
-    hotter = many_contexts(split, hot_contexts, scratch)
+    hotter = many_contexts(split, hottest_contexts, scratch)
     masks = sorted_masks(own.join(hot, "anchor", "left_anti").drop("left").unionByName(split.join(hotter, "anchor", "left_anti"))).unionByName(hot_masks(split.join(hotter, "anchor", "left_semi"), scratch))
     whole = copied.select("batch", F.explode("docs").alias("doc"), F.lit(0).cast("long").alias("start"), F.lit(COPY).cast("long").alias("mask"))
     spans = scratch.write(masks.unionByName(whole).groupBy("batch").agg(F.collect_list(F.struct("doc", "start", "mask")).alias("spans")), "spans")

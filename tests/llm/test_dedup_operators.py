@@ -170,7 +170,8 @@ def test_removed_strings_against_brute_force(spark):
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_bytes int").repartition(3)
     expected = plain_removal(rows)
     assert removal(docs, with_text=True) == expected
-    assert removal(docs, hot_contexts=1) == expected  # anchors are split, and grouped if that isn't enough
+    for hottest in (1, 20_000):  # anchors are split, and grouped if that isn't enough
+        assert removal(docs, hot_contexts=1, hottest_contexts=hottest) == expected
     assert removed_strings(docs.limit(0)).count() == 0
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("text_")]
 
