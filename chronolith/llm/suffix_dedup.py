@@ -492,6 +492,11 @@ def sorted_masks(rows: DataFrame) -> DataFrame:
         lows = least_of_strings(list(texts), least)
         ends = [(min(x), max(x)) for x in lows]
         masks: dict[int, int] = {}
+        for c, same in zip(context, of):  # parts of different contexts may be equal as a whole
+            low = min(rows[i][2] for i in same)
+            for i in same:
+                if low < rows[i][2]:
+                    masks[i] = (1 << len(c) - LENGTH + 1) - 1
         for k, a, t in runs:
             for i in of[k]:
                 own = rows[i][2]
