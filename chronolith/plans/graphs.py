@@ -92,9 +92,9 @@ def unreachable(h: History) -> DataFrame:
     return h.commits.select("id").join(known, "id", "left_anti")
 
 
-@register("j8_neighbours", "SELECT 'out' AS direction, relation, count(*) AS n FROM relations WHERE source_type = 'file' AND source_id % 50 = 7 GROUP BY relation UNION ALL SELECT 'in', relation, count(*) FROM relations WHERE target_type = 'file' AND target_id % 50 = 7 GROUP BY relation")
+@register("j8_neighbours", "SELECT 'out' AS direction, relation, count(*) AS n FROM relations WHERE source_type = 'file' GROUP BY relation UNION ALL SELECT 'in', relation, count(*) FROM relations WHERE target_type = 'file' GROUP BY relation")
 def neighbours(h: History) -> DataFrame:
-    ends = graph.oriented(h.relations).where("from_type = 'file' AND cast(substring_index(from_key, ':', -1) AS bigint) % 50 = 7")
+    ends = graph.oriented(h.relations).where("from_type = 'file'")
     return ends.groupBy("direction", "relation").agg(F.count("*").alias("n"))
 
 
@@ -116,9 +116,9 @@ def commit_context(h: History) -> DataFrame:
     return h.commits.select("id", text.first_paragraph(F.col("body")).alias("paragraph")).join(d, "id", "left").fillna(0, ["resolves", "mentions"])
 
 
-@register("q3_timeline", "SELECT c.file_id, strftime(c.committed_at, '%Y-%m-%d') AS day, count(DISTINCT c.commit_id) AS commits, count(DISTINCT d.type || d.number) AS discussions FROM dated_changes c LEFT JOIN discussions d ON d.commit_id = c.commit_id WHERE c.file_id % 10 = 1 GROUP BY 1, 2")
+@register("q3_timeline", "SELECT c.file_id, strftime(c.committed_at, '%Y-%m-%d') AS day, count(DISTINCT c.commit_id) AS commits, count(DISTINCT d.type || d.number) AS discussions FROM dated_changes c LEFT JOIN discussions d ON d.commit_id = c.commit_id GROUP BY 1, 2")
 def timeline(h: History) -> DataFrame:
-    rows = h.dated_changes.where("file_id % 10 = 1").join(h.discussions.select("commit_id", F.concat("type", "number").alias("talk")), "commit_id", "left")
+    rows = h.dated_changes.join(h.discussions.select("commit_id", F.concat("type", "number").alias("talk")), "commit_id", "left")
     return rows.groupBy("file_id", text.day(F.col("committed_at")).alias("day")).agg(F.countDistinct("commit_id").alias("commits"), F.countDistinct("talk").alias("discussions"))
 
 

@@ -14,10 +14,10 @@ from .registry import register
 
 
 @register("j9_vertex_labels", """
-SELECT k.key, coalesce(v.label, k.key || ' (missing)') AS label FROM (SELECT DISTINCT target_type || ':' || target_id AS key FROM relations WHERE source_id % 25 = 3) k
+SELECT k.key, coalesce(v.label, k.key || ' (missing)') AS label FROM (SELECT DISTINCT target_type || ':' || target_id AS key FROM relations) k
 LEFT JOIN (SELECT 'commit:' || id AS key, substr(sha, 1, 7) || ' ' || subject AS label FROM commits UNION ALL SELECT 'file:' || id, path FROM files UNION ALL SELECT 'symbol:' || id, kind || ' ' || qualified_name FROM symbols) v USING (key)""")
 def vertex_labels(h: History) -> DataFrame:
-    keys = h.relations.where("source_id % 25 = 3").select(graph.key(F.col("target_type"), F.col("target_id")).alias("key")).distinct()
+    keys = h.relations.select(graph.key(F.col("target_type"), F.col("target_id")).alias("key")).distinct()
     return stories.labelled(keys, stories.vertices(h.commits, h.files, h.symbols)).select("key", "label")
 
 
@@ -141,9 +141,9 @@ def copy_eligible(h: History) -> DataFrame:
     return h.symbols.where(F.col("kind").isin("class", "method", "function") & (F.col("end_line") - F.col("start_line") + 1 >= 3)).select("id")
 
 
-@register("m7_symbol_change_commits", "SELECT symbol_id, array_to_string(list(commit_id ORDER BY commit_id), ',') AS commits FROM symbol_versions WHERE symbol_id % 20 = 3 GROUP BY symbol_id")
+@register("m7_symbol_change_commits", "SELECT symbol_id, array_to_string(list(commit_id ORDER BY commit_id), ',') AS commits FROM symbol_versions GROUP BY symbol_id")
 def symbol_change_commits(h: History) -> DataFrame:
-    rows = h.symbol_versions.where("symbol_id % 20 = 3").groupBy("symbol_id").agg(F.array_sort(F.collect_list("commit_id")).alias("c"))
+    rows = h.symbol_versions.groupBy("symbol_id").agg(F.array_sort(F.collect_list("commit_id")).alias("c"))
     return rows.select("symbol_id", F.array_join(F.col("c").cast("array<string>"), ",").alias("commits"))
 
 

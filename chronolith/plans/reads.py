@@ -47,9 +47,9 @@ def by_number(h: History) -> DataFrame:
     return both.groupBy("type", "number").agg(F.count("*").alias("n"))
 
 
-@register("p7_search_files", "SELECT id, path, deleted FROM files WHERE contains(lower(path), 'steel') ORDER BY deleted, path LIMIT 50")
+@register("p7_search_files", "SELECT id, path, deleted FROM files WHERE contains(lower(path), 'widget') ORDER BY deleted, path LIMIT 50")
 def search_files(h: History) -> DataFrame:
-    return search.search_files(h.files, "STEEL", 50).select("id", "path", "deleted")
+    return search.search_files(h.files, "WIDGET", 50).select("id", "path", "deleted")
 
 
 @register("p8_recent_commits", "SELECT id, strftime(committed_at, '%Y-%m-%d') AS day FROM commits ORDER BY committed_at DESC, id DESC LIMIT 30")
@@ -88,11 +88,11 @@ def pure_renames(h: History) -> DataFrame:
     return h.changes.where("status = 'renamed'").select("id", activity.is_pure_rename().alias("pure"), activity.is_pure_rename(1).alias("pure_for_why"))
 
 
-@register("p18_binding_reach", "SELECT s.id, b.imported, b.imported IN ('*', 'default') OR b.imported = s.qualified_name OR starts_with(s.qualified_name, b.imported || '.') OR starts_with(b.imported, s.qualified_name || '.') OR NOT list_contains(d.names, b.imported) AS reaches FROM symbols s JOIN (SELECT file_id, list(DISTINCT qualified_name) AS names FROM symbols GROUP BY file_id) d USING (file_id) JOIN (SELECT unnest(['*', 'Cart', 'fn_3', 'fn_3.x', 'other']) AS imported) b ON true WHERE s.id % 50 = 0")
+@register("p18_binding_reach", "SELECT s.id, b.imported, b.imported IN ('*', 'default') OR b.imported = s.qualified_name OR starts_with(s.qualified_name, b.imported || '.') OR starts_with(b.imported, s.qualified_name || '.') OR NOT list_contains(d.names, b.imported) AS reaches FROM symbols s JOIN (SELECT file_id, list(DISTINCT qualified_name) AS names FROM symbols GROUP BY file_id) d USING (file_id) JOIN (SELECT unnest(['*', 'Cart', 'fn_3', 'fn_3.x', 'other']) AS imported) b ON true")
 def binding_reach(h: History) -> DataFrame:
     defined = h.symbols.groupBy("file_id").agg(F.collect_set("qualified_name").alias("names"))
     names = F.array(*map(F.lit, ["*", "Cart", "fn_3", "fn_3.x", "other"]))
-    rows = h.symbols.where("id % 50 = 0").join(defined, "file_id").withColumn("imported", F.explode(names))
+    rows = h.symbols.join(defined, "file_id").withColumn("imported", F.explode(names))
     return rows.select("id", "imported", search.binding_may_reach(F.col("imported"), F.col("qualified_name"), F.col("names")).alias("reaches"))
 
 
@@ -232,11 +232,13 @@ def override(h: History) -> DataFrame:
 
 @register("j23_mutual_lineage", """
 SELECT min(born) AS born, min(removed) AS removed, commit_id FROM (
-SELECT v.commit_id, v.content_hash, CASE WHEN v.symbol_id % 2 = 0 THEN v.symbol_id END AS born, CASE WHEN v.symbol_id % 2 = 1 THEN v.symbol_id END AS removed FROM symbol_versions v) x
+SELECT v.commit_id % 200 AS commit_id, v.content_hash, CASE WHEN v.symbol_id % 2 = 0 THEN v.symbol_id END AS born, CASE WHEN v.symbol_id % 2 = 1 THEN v.symbol_id END AS removed FROM symbol_versions v) x
 GROUP BY commit_id, content_hash HAVING count(born) = 1 AND count(removed) = 1""")
 def mutual_lineage(h: History) -> DataFrame:
-    born = h.symbol_versions.where("symbol_id % 2 = 0").select("commit_id", "content_hash", F.col("symbol_id").alias("born"))
-    removed = h.symbol_versions.where("symbol_id % 2 = 1").select("commit_id", "content_hash", F.col("symbol_id").alias("removed"))
+    """Symbols born and removed with one text, one of each; two hundred changes stand for commits large enough to hold both."""
+    change = (F.col("commit_id") % 200).alias("commit_id")
+    born = h.symbol_versions.where("symbol_id % 2 = 0").select(change, "content_hash", F.col("symbol_id").alias("born"))
+    removed = h.symbol_versions.where("symbol_id % 2 = 1").select(change, "content_hash", F.col("symbol_id").alias("removed"))
     return search.mutually_unique(born, removed, ["commit_id", "content_hash"]).select("born", "removed", "commit_id")
 
 
