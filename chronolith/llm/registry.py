@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op11_token_alignment
+from .bpe import op12_bpe_round_trip
+from .codes import codes_sql, op13_vector_codes
 from .counts import op4_token_counts
 from .html_cut import op6_html_extraction
 from .mixing import mixing_sql, op8_source_mixing
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_pii": op9_pii,
     "op10_token_files": op10_token_files,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_bpe_round_trip": op12_bpe_round_trip,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_topk_search": TOPK_SQL, "op8_source_mixing": mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_topk_search": TOPK_SQL, "op8_source_mixing": mixing_sql(), "op13_vector_codes": codes_sql()}

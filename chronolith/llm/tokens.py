@@ -25,7 +25,7 @@ SIMPLE = re.compile("^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)|.
 _memos: dict[tuple[str, int], "WordEncoder"] = {}
 
 
-def _lowered(text: bytes) -> bytes:
+def lowered(text: bytes) -> bytes:
     """``text`` with A-Z lower-cased, as the vocabulary's normaliser does, so that fewer words are different.
 
     Not where it could matter when that is done: before combining marks (U+0300 to U+036F), which
@@ -121,7 +121,7 @@ class WordEncoder:
                 gc.enable()
 
     def _encode(self, texts: list[bytes | None]) -> list[bytes]:
-        words = [_lowered(t).split() if t else [] for t in texts]
+        words = [lowered(t).split() if t else [] for t in texts]
         flat = list(chain.from_iterable(words))
         got = list(map(self.memo.get, flat))
         gaps = [i for i, g in enumerate(got) if g is None]
