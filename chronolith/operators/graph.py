@@ -128,21 +128,3 @@ def neighbourhood(starts: DataFrame, relations: DataFrame, depth: int = 2) -> tu
     ends = relations.withColumns({"from_key": key(F.col("source_type"), F.col("source_id")), "to_key": key(F.col("target_type"), F.col("target_id"))})
     inside = ends.join(seen.select(F.col("key").alias("from_key")), "from_key", "left_semi").join(seen.select(F.col("key").alias("to_key")), "to_key", "left_semi")
     return seen, inside
-
-
-def reachable(starts: DataFrame, parents: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Commits reachable from ``starts`` (commit_id) over ``parents`` (commit_id, parent_id).
-
-    Round k adds what lies exactly 2^k steps from anything nearer, so a history of n commits takes
-    log n rounds, and a linear one never has more than n jumps.
-    """
-    jump = parents.select("commit_id", "parent_id").distinct()
-    seen = starts.select("commit_id").distinct()
-    count = seen.count()
-    for _ in range(max_rounds):
-        seen = seen.join(jump, "commit_id").select(F.col("parent_id").alias("commit_id")).unionByName(seen).distinct().checkpoint()
-        count, before = seen.count(), count
-        if count == before:
-            break
-        jump = jump.alias("a").join(jump.alias("b"), F.col("a.parent_id") == F.col("b.commit_id")).select("a.commit_id", "b.parent_id").distinct().checkpoint()
-    return seen

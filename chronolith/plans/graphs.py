@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import levels, text
-from ..operators import graph, linking
+from ..operators import commit_graph, graph, linking
 from ..sources.driver_tables import History
 from ..streaming import ingest
 from .registry import register
@@ -86,10 +86,9 @@ def neighbourhood(h: History) -> DataFrame:
 @register("g10_unreachable_commits", "SELECT id FROM commits WHERE id NOT IN (SELECT id FROM back)", """tip AS (SELECT max(id) AS id FROM commits),
 back AS (SELECT id FROM tip UNION SELECT p.parent_id FROM back b JOIN (SELECT id AS commit_id, id - 32 AS parent_id FROM commits UNION ALL SELECT id, id - 1 FROM commits WHERE id % 4 = 0) p ON p.commit_id = b.id)""", recursive=True)
 def unreachable(h: History) -> DataFrame:
-    parents = h.commits.select(F.col("id").alias("commit_id"), (F.col("id") - 32).alias("parent_id")).unionByName(h.commits.where("id % 4 = 0").select(F.col("id").alias("commit_id"), (F.col("id") - 1).alias("parent_id")))
-    tip = h.commits.agg(F.max("id").alias("commit_id"))
-    known = graph.reachable(tip, parents).withColumnRenamed("commit_id", "id")
-    return h.commits.select("id").join(known, "id", "left_anti")
+    parents = h.commits.select(F.col("id").alias("commit_id"), (F.col("id") - 32).alias("parent_id"), F.lit(0).alias("ordinal")).unionByName(h.commits.where("id % 4 = 0").select(F.col("id").alias("commit_id"), (F.col("id") - 1).alias("parent_id"), F.lit(1).alias("ordinal")))
+    places, cross = commit_graph.commit_graph(h.commits.select(F.col("id").alias("commit_id"), F.col("id").alias("number")), parents)
+    return commit_graph.unreachable(h.commits.agg(F.max("id").alias("commit_id")), places, cross).select(F.col("commit_id").alias("id"))
 
 
 @register("j8_neighbours", "SELECT 'out' AS direction, relation, count(*) AS n FROM relations WHERE source_type = 'file' GROUP BY relation UNION ALL SELECT 'in', relation, count(*) FROM relations WHERE target_type = 'file' GROUP BY relation")

@@ -38,6 +38,11 @@ SELECT o_orderkey AS id, md5(cast(o_orderkey AS string)) AS sha,
     WHEN 2 THEN concat('This reverts commit ', substr(md5(cast(o_orderkey - 1 AS string)), 1, 12), '.')
     WHEN 3 THEN concat('Relates to PROJ-', cast(o_orderkey % 90 + 1 AS string)) ELSE '' END AS body
 FROM orders JOIN customer ON o_custkey = c_custkey""",
+    # Lane 0 of 32 is the main branch; the others hold branches of four commits, of which two in three are merged.
+    "commit_parents": """
+SELECT id AS commit_id, CASE WHEN id % 32 <> 0 AND cast((id - id % 32) / 32 + id % 32 AS bigint) % 4 = 0 THEN id - id % 32 - 32 ELSE id - 32 END AS parent_id, 0 AS ordinal FROM commits WHERE id >= 32
+UNION ALL SELECT m.id, b.id, cast(b.id % 32 AS int) FROM commits b JOIN commits m ON m.id = b.id - b.id % 32 + 32
+WHERE b.id % 32 <> 0 AND b.id % 32 % 3 <> 0 AND cast((b.id - b.id % 32) / 32 + b.id % 32 AS bigint) % 4 = 3""",
     "files": """
 SELECT p_partkey AS id,
   concat(CASE WHEN p_partkey % 13 = 0 THEN 'dist/' WHEN p_partkey % 17 = 0 THEN 'docs/' WHEN p_partkey % 11 = 0 THEN 'src/tests/' ELSE 'src/' END,

@@ -141,13 +141,6 @@ def test_traversal_bounds(spark):
     assert {r.nodes[1]: r.cut for r in shallow} == {"commit:5": "", "commit:6": "", "commit:7": "stopped at depth 1"}
 
 
-def test_reachability(spark):
-    ready(spark)
-    parents = spark.createDataFrame([(i, i - 1) for i in range(2, 40)] + [(30, 100), (100, 101), (200, 1)], "commit_id long, parent_id long")
-    tip = spark.createDataFrame([(35,)], "commit_id long")
-    assert {r.commit_id for r in graph.reachable(tip, parents).collect()} == {*range(1, 36), 100, 101}
-
-
 def test_log_records(spark, tmp_path):
     head = ["a" * 40, "p" * 40, "Ann", "a@x", "2026-01-01T09:00:00+02:00", "Ann", "2026-01-01T09:00:00+02:00", "subject", "body\n"]
     raw = ":100644 100644 1a 2b M\0src/a.ts\0:100644 100644 1a 2b R100\0old.ts\0new.ts\0:000000 100644 00 2b A\0x.png\0" + "3\t1\tsrc/a.ts\0" + "0\t0\t\0old.ts\0new.ts\0" + "-\t-\tx.png\0"
