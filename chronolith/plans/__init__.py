@@ -1,6 +1,6 @@
 """Query plans: importing this package registers every query."""
 
-from . import analyses, ancestry, derivations, graphs, more, reads, retractions, texts  # noqa: F401
+from . import analyses, ancestry, derivations, graphs, more, reads, retractions, streams, texts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,14 +164,22 @@ def test_coverage_and_manifests(spark):
 
 def test_incremental_ingest_takes_each_key_once(spark, tmp_path):
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    take = lambda: ingest.ingest_new(ingest.stream_of(spark, source, 1), target, state, "sha")
     spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "sha long, v string").write.parquet(source)
-    ingest.ingest_new(spark, source, target, state, "sha")
+    take()
     spark.createDataFrame([(2, "b"), (3, "c")], "sha long, v string").write.mode("append").parquet(source)
-    ingest.ingest_new(spark, source, target, state, "sha")
-    ingest.ingest_new(spark, source, target, state, "sha")
+    take()
+    take()
     assert sorted(r.sha for r in spark.read.parquet(target).collect()) == [1, 2, 3]
 
 
+def test_a_single_file_is_streamed_without_its_siblings(spark, tmp_path):
+    for name, n in (("events.parquet", 3), ("events.parquet2.parquet", 5)):
+        pq.write_table(pa.table({"sha": list(range(n))}), tmp_path / name)
+    ingest.ingest_new(ingest.stream_of(spark, str(tmp_path / "events.parquet")), str(tmp_path / "out"), str(tmp_path / "state"), "sha")
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
 def test_unknown_attribute_of_history(spark):
     from chronolith.sources.driver_tables import History
 
