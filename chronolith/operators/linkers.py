@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,26 +47,44 @@ def tracker_links(commits: DataFrame, issues: DataFrame) -> DataFrame:
     return keys.join(issues.select("number").distinct(), "number").select("commit_id", "number")
 
 
+def only_partners(own: DataFrame, other: DataFrame, by: list[str], apart: str | None) -> DataFrame:
+    """commit_id, symbol_id and partner of each row of ``own`` that fits one row of ``other`` alone.
+
+    Rows fit that share ``by`` and, with ``apart``, differ in it. Candidates are counted and their
+    ids summed, with those of the same ``apart`` taken off, so no pairs are made within a group.
+    """
+    sums = lambda keys, n, s: other.groupBy(*keys).agg(F.count("*").alias(n), F.sum(F.col("symbol_id").cast("decimal(38,0)")).alias(s))
+    counted = own.join(sums(by, "n", "s"), by)
+    if apart:
+        counted = counted.join(sums([*by, apart], "same", "same_s"), [*by, apart], "left").fillna(0, ["same"]).withColumn("same_s", F.coalesce("same_s", F.lit(0)))
+        counted = counted.withColumn("n", F.col("n") - F.col("same")).withColumn("s", F.col("s") - F.col("same_s"))
+    return counted.where("n = 1").select("commit_id", "symbol_id", F.col("s").cast("long").alias("partner"))
+
+
+#: (method, level, confidence, columns that agree, column that differs), strongest first.
+LINEAGE_RULES = (
+    ("moved", "DERIVED", RENAMED, ["commit_id", "kind", "qualified_name", "shape"], "file_id"),
+    ("renamed", "DERIVED", RENAMED, ["commit_id", "kind", "file_id", "shape"], None),
+    ("moved-with-edits", "INFERRED", MOVED, ["commit_id", "kind", "qualified_name"], "file_id"),
+)
+
+
 def symbol_lineage(born: DataFrame, removed: DataFrame) -> DataFrame:
     """(commit_id, born, removed, method, level, confidence): which removed symbol a new one continues.
 
-    Both sides: commit_id, symbol_id, file_id, kind, qualified_name, shape. First, the same shape in
-    the same file (a rename); then, of what is left, the same name in another file (a move with
-    edits). Only a match that is the one candidate of both sides counts.
+    Both sides: commit_id, symbol_id, file_id, kind, qualified_name, shape. First the same name and
+    shape in another file (moved unchanged); then, of what is left, the same shape in the same file
+    (a rename); at last the same name in another file (moved with edits). Only a match that is the
+    one candidate of both sides counts; a null name or shape fits nothing.
     """
-    new = born.select("commit_id", "kind", F.col("symbol_id").alias("born"), F.col("file_id").alias("new_file"), F.col("qualified_name").alias("new_name"), F.col("shape").alias("new_shape"))
-    old = removed.select("commit_id", "kind", F.col("symbol_id").alias("removed"), F.col("file_id").alias("old_file"), F.col("qualified_name").alias("old_name"), F.col("shape").alias("old_shape"))
-
-    def unique_pairs(pairs: DataFrame) -> DataFrame:
-        one_new = pairs.groupBy("commit_id", "born").agg(F.count("*").alias("n"), F.min("removed").alias("removed")).where("n = 1").drop("n")
-        claims = pairs.groupBy("commit_id", "removed").agg(F.count("*").alias("m"))
-        return one_new.join(claims, ["commit_id", "removed"]).where("m = 1").select("commit_id", "born", "removed")
-
-    shapes = new.where("new_shape IS NOT NULL").join(old, ["commit_id", "kind"]).where("new_file = old_file AND new_shape = old_shape")
-    renamed = unique_pairs(shapes.select("commit_id", "born", "removed"))
-    left_new = new.join(renamed.select("commit_id", "born"), ["commit_id", "born"], "left_anti")
-    left_old = old.join(renamed.select("commit_id", "removed"), ["commit_id", "removed"], "left_anti")
-    names = left_new.join(left_old, ["commit_id", "kind"]).where("new_file <> old_file AND new_name = old_name")
-    moved = unique_pairs(names.select("commit_id", "born", "removed"))
-    first = renamed.select("*", F.lit("renamed").alias("method"), F.lit("DERIVED").alias("level"), F.lit(RENAMED).alias("confidence"))
-    return first.unionByName(moved.select("*", F.lit("moved-with-edits").alias("method"), F.lit("INFERRED").alias("level"), F.lit(MOVED).alias("confidence")))
+    names = ["commit_id", "symbol_id", "file_id", "kind", "qualified_name", "shape"]
+    left, right = born.select(*names).distinct(), removed.select(*names).distinct()
+    found = []
+    for method, level, confidence, by, apart in LINEAGE_RULES:
+        there = " AND ".join(f"{c} IS NOT NULL" for c in by)
+        mine, theirs = only_partners(left.where(there), right.where(there), by, apart), only_partners(right.where(there), left.where(there), by, apart)
+        both = mine.toDF("commit_id", "born", "removed").join(theirs.toDF("commit_id", "removed", "born"), ["commit_id", "born", "removed"]).checkpoint()
+        found.append(both.select("commit_id", "born", "removed", F.lit(method).alias("method"), F.lit(level).alias("level"), F.lit(confidence).alias("confidence")))
+        left = left.join(both.select("commit_id", F.col("born").alias("symbol_id")), ["commit_id", "symbol_id"], "left_anti")
+        right = right.join(both.select("commit_id", F.col("removed").alias("symbol_id")), ["commit_id", "symbol_id"], "left_anti")
+    return reduce(DataFrame.unionByName, found)

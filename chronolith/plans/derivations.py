@@ -32,18 +32,18 @@ def tracker_links(h: History) -> DataFrame:
     return linkers.tracker_links(h.commits, h.discussions.where("provider = 'jira'"))
 
 
-_LINEAGE = """sides AS (SELECT v.commit_id, v.symbol_id, s.file_id, s.kind, s.qualified_name, v.content_hash AS shape, v.symbol_id % 2 = 0 AS born FROM symbol_versions v JOIN symbols s ON s.id = v.symbol_id WHERE s.kind <> 'variable'),
-shapes AS (SELECT b.commit_id, b.symbol_id AS born, r.symbol_id AS removed FROM sides b JOIN sides r ON b.commit_id = r.commit_id AND b.kind = r.kind AND b.file_id = r.file_id AND b.shape = r.shape AND b.born AND NOT r.born),
-renamed AS (SELECT commit_id, born, removed FROM (SELECT *, count(*) OVER (PARTITION BY commit_id, born) AS n, count(*) OVER (PARTITION BY commit_id, removed) AS m FROM shapes) x WHERE n = 1 AND m = 1),
-names AS (SELECT b.commit_id, b.symbol_id AS born, r.symbol_id AS removed FROM sides b JOIN sides r ON b.commit_id = r.commit_id AND b.kind = r.kind AND b.file_id <> r.file_id AND b.qualified_name = r.qualified_name AND b.born AND NOT r.born
-  WHERE (b.commit_id, b.symbol_id) NOT IN (SELECT (commit_id, born) FROM renamed) AND (r.commit_id, r.symbol_id) NOT IN (SELECT (commit_id, removed) FROM renamed)),
-moved AS (SELECT commit_id, born, removed FROM (SELECT *, count(*) OVER (PARTITION BY commit_id, born) AS n, count(*) OVER (PARTITION BY commit_id, removed) AS m FROM names) x WHERE n = 1 AND m = 1)"""
+_PAIRS = "SELECT b.commit_id, b.symbol_id AS born, r.symbol_id AS removed FROM lineage_sides b JOIN lineage_sides r ON b.commit_id = r.commit_id AND b.kind = r.kind AND b.born AND NOT r.born AND {fits}"
+_ALONE = "SELECT commit_id, born, removed FROM (SELECT *, count(*) OVER (PARTITION BY commit_id, born) AS n, count(*) OVER (PARTITION BY commit_id, removed) AS m FROM ({pairs}) p) x WHERE n = 1 AND m = 1"
+_FREE = " WHERE (b.commit_id, b.symbol_id) NOT IN (SELECT (commit_id, born) FROM {0}) AND (r.commit_id, r.symbol_id) NOT IN (SELECT (commit_id, removed) FROM {0})"
+_LINEAGE = f"""moved AS ({_ALONE.format(pairs=_PAIRS.format(fits="b.file_id <> r.file_id AND b.qualified_name = r.qualified_name AND b.shape = r.shape"))}),
+renamed AS ({_ALONE.format(pairs=_PAIRS.format(fits="b.file_id = r.file_id AND b.shape = r.shape") + _FREE.format("moved"))}),
+earlier AS (SELECT * FROM moved UNION ALL SELECT * FROM renamed),
+edited AS ({_ALONE.format(pairs=_PAIRS.format(fits="b.file_id <> r.file_id AND b.qualified_name = r.qualified_name") + _FREE.format("earlier"))})"""
 
 
-@register("e7_symbol_lineage", "SELECT *, 'renamed' AS method, 'DERIVED' AS level, 0.9::DOUBLE AS confidence FROM renamed UNION ALL SELECT *, 'moved-with-edits', 'INFERRED', 0.6::DOUBLE FROM moved", _LINEAGE)
+@register("e7_symbol_lineage", "SELECT *, 'moved' AS method, 'DERIVED' AS level, 0.9::DOUBLE AS confidence FROM moved UNION ALL SELECT *, 'renamed', 'DERIVED', 0.9::DOUBLE FROM renamed UNION ALL SELECT *, 'moved-with-edits', 'INFERRED', 0.6::DOUBLE FROM edited", _LINEAGE)
 def symbol_lineage(h: History) -> DataFrame:
-    rows = h.symbol_versions.join(h.symbols.where("kind <> 'variable'").withColumnRenamed("id", "symbol_id"), "symbol_id").withColumnRenamed("content_hash", "shape")
-    return linkers.symbol_lineage(rows.where("symbol_id % 2 = 0"), rows.where("symbol_id % 2 = 1"))
+    return linkers.symbol_lineage(h.lineage_sides.where("born"), h.lineage_sides.where("NOT born"))
 
 
 @register("e12_relative_imports", """

@@ -231,15 +231,12 @@ def override(h: History) -> DataFrame:
 
 
 @register("j23_mutual_lineage", """
-SELECT min(born) AS born, min(removed) AS removed, commit_id FROM (
-SELECT v.commit_id % 200 AS commit_id, v.content_hash, CASE WHEN v.symbol_id % 2 = 0 THEN v.symbol_id END AS born, CASE WHEN v.symbol_id % 2 = 1 THEN v.symbol_id END AS removed FROM symbol_versions v) x
-GROUP BY commit_id, content_hash HAVING count(born) = 1 AND count(removed) = 1""")
+SELECT min(symbol_id) FILTER (born) AS born, min(symbol_id) FILTER (NOT born) AS removed, commit_id FROM lineage_sides
+GROUP BY commit_id, kind, shape HAVING count(*) FILTER (born) = 1 AND count(*) FILTER (NOT born) = 1""")
 def mutual_lineage(h: History) -> DataFrame:
-    """Symbols born and removed with one text, one of each; two hundred changes stand for commits large enough to hold both."""
-    change = (F.col("commit_id") % 200).alias("commit_id")
-    born = h.symbol_versions.where("symbol_id % 2 = 0").select(change, "content_hash", F.col("symbol_id").alias("born"))
-    removed = h.symbol_versions.where("symbol_id % 2 = 1").select(change, "content_hash", F.col("symbol_id").alias("removed"))
-    return search.mutually_unique(born, removed, ["commit_id", "content_hash"]).select("born", "removed", "commit_id")
+    """Symbols born and removed in one commit with one kind and text, one of each."""
+    side = lambda born, name: h.lineage_sides.where(born).select("commit_id", "kind", "shape", F.col("symbol_id").alias(name))
+    return search.mutually_unique(side("born", "born"), side("NOT born", "removed"), ["commit_id", "kind", "shape"]).select("born", "removed", "commit_id")
 
 
 @register("u3_first_wins", "SELECT type, number, commit_id FROM (SELECT *, row_number() OVER (PARTITION BY type, number ORDER BY commit_id) AS n FROM discussions) d WHERE n = 1")

@@ -77,6 +77,13 @@ FROM lineitem""",
 SELECT l_partkey * 100000 + l_suppkey AS symbol_id, l_orderkey AS commit_id,
   md5(concat(cast(l_suppkey % 40 AS string), '/', cast(cast(max(l_quantity) AS bigint) % 7 AS string))) AS content_hash
 FROM lineitem GROUP BY l_partkey, l_suppkey, l_orderkey""",
+    # Eight orders stand for a squashed commit, so that symbols leave and appear in one; ten files share the parts.
+    "lineage_sides": """
+SELECT cast((l_orderkey - l_orderkey % 8) / 8 AS bigint) AS commit_id, l_partkey * 100000 + l_suppkey AS symbol_id, l_partkey % 10 AS file_id,
+  CASE l_suppkey % 6 WHEN 0 THEN 'class' WHEN 1 THEN 'method' ELSE 'function' END AS kind,
+  concat(CASE WHEN l_suppkey % 3 = 0 THEN 'Cart.' ELSE '' END, 'fn_', cast(l_suppkey % 40 AS string)) AS qualified_name,
+  md5(cast(cast(max(l_quantity) AS bigint) % 12 AS string)) AS shape, (l_partkey + l_suppkey) % 2 = 0 AS born
+FROM lineitem WHERE l_suppkey % 6 <> 2 GROUP BY cast((l_orderkey - l_orderkey % 8) / 8 AS bigint), l_partkey, l_suppkey""",
     "discussions": """
 SELECT o_orderkey AS commit_id, CASE WHEN o_orderkey % 3 = 0 THEN 'pull_request' ELSE 'issue' END AS type,
   CASE WHEN o_orderkey % 6 = 1 THEN concat('PROJ-', cast(o_orderkey % 90 + 1 AS string)) ELSE cast(o_orderkey % 500 + 1 AS string) END AS number,
