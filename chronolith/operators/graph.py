@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,47 +42,86 @@ def allowed_steps(relations: DataFrame, route: str) -> DataFrame:
     return oriented(relations).where(rule)
 
 
-def traverse(starts: DataFrame, relations: DataFrame, route: str, max_depth: int = 4, max_paths: int | None = 50, max_fan_out: int | None = 25, min_confidence: float = 0.0) -> DataFrame:
-    """(start, nodes, links, depth, confidence, level, cut): maximal paths of each start, all starts at once.
+def traverse(starts: DataFrame, relations: DataFrame, route: str, max_depth: int = 4) -> DataFrame:
+    """(start, nodes, links, depth, confidence, level): all maximal paths of each start, all starts at once.
 
     ``starts`` has one column, key. Paths have no cycle, multiply confidences and take the weakest
-    level. Each step follows the ``max_fan_out`` strongest links of each kind, each start keeps its
-    ``max_paths`` strongest paths; ``cut`` says why a path may go on. None means no such cap. Depth is
-    small, so the loop is a few joins; a level holds at most four times max_paths paths a start.
+    level. Depth is small, so the loop is a few joins. ``beam`` is the bounded form.
     """
-    steps = allowed_steps(relations, route).persist()
-    frontier = starts.select(F.col("key").alias("start"), F.array("key").alias("nodes"), F.array().cast("array<bigint>").alias("links"), F.lit(1.0).alias("confidence"), F.lit(0).alias("rank"), F.lit("").alias("cut"))
-    done: DataFrame | None = None
-    strongest = Window.partitionBy("start", "nodes", "relation", "direction").orderBy(F.desc("c"), F.desc("id"))
+    steps = allowed_steps(relations, route).select("from_key", "to_key", "id", F.col("confidence").cast("double").alias("c"), level_rank(F.col("level")).alias("r")).checkpoint()
+    frontier = starts.select(F.col("key").alias("start"), F.array("key").alias("nodes"), F.array().cast("array<bigint>").alias("links"), F.lit(1.0).alias("confidence"), F.lit(0).alias("rank"))
+    done: list[DataFrame] = []
+    for _ in range(max_depth):
+        links = frontier.withColumn("from_key", F.element_at("nodes", -1)).join(steps, "from_key").where("NOT array_contains(nodes, to_key)")
+        grown = links.select("start", F.concat("nodes", F.array("to_key")).alias("nodes"), F.concat("links", F.array("id")).alias("links"), (F.col("confidence") * F.col("c")).alias("confidence"), F.greatest("rank", "r").alias("rank"), F.col("nodes").alias("parent"))
+        done.append(frontier.join(grown.select("start", F.col("parent").alias("nodes")).distinct(), ["start", "nodes"], "left_anti"))
+        # Written out, so that a level's plan doesn't hold all levels before it.
+        frontier = grown.drop("parent").checkpoint()
+    ended = reduce(DataFrame.unionByName, [*done, frontier]).where(F.size("nodes") > 1)
+    return ended.select("start", "nodes", "links", (F.size("nodes") - 1).alias("depth"), "confidence", level_name(F.col("rank")).alias("level"))
+
+
+def strongest_links(steps: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Links to the ``most`` strongest targets of each (from_key, relation, direction), and (from_key, relation,
+    direction, of) where there are more links than that. Made once, so paths never meet all links of a hub."""
+    group = ["from_key", "relation", "direction"]
+    targets = steps.groupBy(*group, "to_key").agg(F.max(F.struct("c", "id")).alias("best"))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("best.c"), F.desc("best.id")))
+    kept = targets.withColumn("place", place).where(F.col("place") <= most).select(*group, "to_key")
+    hubs = steps.groupBy(*group).agg(F.count("*").alias("of"))
+    return steps.join(kept, [*group, "to_key"], "left_semi").checkpoint(), hubs
+
+
+def beam(starts: DataFrame, relations: DataFrame, route: str, max_depth: int = 4, max_paths: int = 50, max_fan_out: int = 25, min_confidence: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """The strongest paths of each start within bounds, and all that the bounds cut off.
+
+    Paths: start, nodes, links, depth, confidence, level; cuts: start, cut (each once). From a node
+    the ``max_fan_out`` strongest links of each kind are followed (by confidence, then id), links
+    that bring a path below ``min_confidence`` aren't, a start keeps four times ``max_paths`` open
+    paths and at last ``max_paths``, by confidence, then length, then nodes; paths end after ``max_depth`` links.
+    """
+    steps = allowed_steps(relations, route).select("from_key", "to_key", "relation", "direction", "id", F.col("confidence").cast("double").alias("c"), level_rank(F.col("level")).alias("r")).checkpoint()
+    # A path may hold max_depth of a node's targets already, so as many more are kept.
+    near, hubs = strongest_links(steps, max_fan_out + max_depth + 1)
+    hubs = hubs.where(F.col("of") > max_fan_out).checkpoint()
+    frontier = starts.select(F.col("key").alias("start"), F.array("key").alias("nodes"), F.array().cast("array<bigint>").alias("links"), F.lit(1.0).alias("confidence"), F.lit(0).alias("rank")).withColumn("path", F.monotonically_increasing_id()).checkpoint()
+    done: list[DataFrame] = []
+    cuts: list[DataFrame] = []
+    finished = starts.select(F.col("key").alias("start"), F.lit(0).alias("n")).limit(0)
     for depth in range(max_depth + 1):
         at = frontier.withColumn("from_key", F.element_at("nodes", -1))
-        links = at.join(steps.select("from_key", "to_key", "relation", "direction", "id", F.col("confidence").cast("double").alias("c"), level_rank(F.col("level")).alias("r")), "from_key").where("NOT array_contains(nodes, to_key)")
+        links = at.join(near, "from_key").where("NOT array_contains(nodes, to_key)")
         if depth == max_depth:
-            more = links.select("start", "nodes").distinct().withColumn("more", F.lit(True))
-            ended = frontier.join(more, ["start", "nodes"], "left").withColumn("cut", F.when(F.col("more"), f"stopped at depth {max_depth}").otherwise(F.col("cut"))).drop("more")
-            done = ended if done is None else done.unionByName(ended)
+            cuts.append(links.select("start", F.lit(f"stopped at depth {max_depth}").alias("cut")))
+            done.append(frontier)
             break
-        kept, cut = links, F.col("cut")
-        if max_fan_out is not None:
-            numbered = links.withColumn("n", F.row_number().over(strongest)).withColumn("of", F.count("*").over(Window.partitionBy("start", "nodes", "relation", "direction")))
-            kept = numbered.where(F.col("n") <= max_fan_out)
-            cut = F.when(F.col("of") > max_fan_out, F.concat(F.lit(f"followed {max_fan_out} of "), F.col("of").cast("string"))).otherwise(cut)
-        kept = kept.where(F.col("confidence") * F.col("c") >= min_confidence)
-        grown = kept.select("start", F.concat("nodes", F.array("to_key")).alias("nodes"), F.concat("links", F.array("id")).alias("links"), (F.col("confidence") * F.col("c")).alias("confidence"), F.greatest("rank", "r").alias("rank"), cut.alias("cut"), F.col("nodes").alias("parent"))
-        ended = frontier.join(grown.select("start", F.col("parent").alias("nodes")).distinct(), ["start", "nodes"], "left_anti")
-        if depth:
-            done = ended if done is None else done.unionByName(ended)
-        frontier = grown.drop("parent")
-        if max_paths is not None:
-            widest = Window.partitionBy("start").orderBy(F.desc("confidence"), "nodes")
-            frontier = frontier.withColumn("n", F.row_number().over(widest)).where(F.col("n") <= 4 * max_paths).drop("n")
-        # Written out, so that a level's plan doesn't hold all levels before it.
-        frontier = frontier.checkpoint()
-    final = Window.partitionBy("start").orderBy(F.desc("confidence"), F.desc(F.size("nodes")), "nodes")
-    ended = done.where(F.size("nodes") > 1)
-    if max_paths is not None:
-        ended = ended.withColumn("n", F.row_number().over(final)).where(F.col("n") <= max_paths)
-    return ended.select("start", "nodes", "links", (F.size("nodes") - 1).alias("depth"), "confidence", level_name(F.col("rank")).alias("level"), "cut")
+        cuts.append(_followed(at, steps, hubs, max_fan_out))
+        place = F.row_number().over(Window.partitionBy("path", "relation", "direction").orderBy(F.desc("c"), F.desc("id")))
+        taken = links.withColumn("place", place).where(F.col("place") <= max_fan_out).withColumn("next", F.col("confidence") * F.col("c"))
+        if min_confidence > 0:
+            cuts.append(taken.where(F.col("next") < min_confidence).select("start", F.lit(f"links below confidence {min_confidence} were not followed").alias("cut")))
+        grown = taken.where(F.col("next") >= min_confidence).select("start", F.concat("nodes", F.array("to_key")).alias("nodes"), F.concat("links", F.array("id")).alias("links"), F.col("next").alias("confidence"), F.greatest("rank", "r").alias("rank"), F.col("path").alias("parent")).checkpoint()
+        ended = frontier.join(grown.select(F.col("parent").alias("path")).distinct(), "path", "left_anti").where(F.size("nodes") > 1).checkpoint()
+        done.append(ended)
+        finished = finished.unionByName(ended.groupBy("start").agg(F.count("*").cast("int").alias("n")))
+        open_ = grown.groupBy("start").agg(F.count("*").cast("int").alias("n")).unionByName(finished).groupBy("start").agg(F.sum("n").alias("n"))
+        cuts.append(open_.where(F.col("n") > 4 * max_paths).select("start", F.lit(f"more than {max_paths} paths; kept the strongest").alias("cut")))
+        widest = F.row_number().over(Window.partitionBy("start").orderBy(F.desc("confidence"), "nodes"))
+        frontier = grown.drop("parent").withColumn("n", widest).where(F.col("n") <= 4 * max_paths).drop("n").withColumn("path", F.monotonically_increasing_id()).checkpoint()
+    ended = reduce(DataFrame.unionByName, done).where(F.size("nodes") > 1)
+    final = F.row_number().over(Window.partitionBy("start").orderBy(F.desc("confidence"), F.desc(F.size("nodes")), "nodes"))
+    ranked = ended.withColumn("n", final)
+    cuts.append(ranked.where(F.col("n") == max_paths + 1).select("start", F.lit(f"more than {max_paths} paths; kept the strongest").alias("cut")))
+    paths = ranked.where(F.col("n") <= max_paths).select("start", "nodes", "links", (F.size("nodes") - 1).alias("depth"), "confidence", level_name(F.col("rank")).alias("level"))
+    return paths, reduce(DataFrame.unionByName, cuts).distinct()
+
+
+def _followed(at: DataFrame, steps: DataFrame, hubs: DataFrame, max_fan_out: int) -> DataFrame:
+    """start and cut where a path's end has more links of a kind than are followed, not counting those back into the path."""
+    met = at.join(hubs, "from_key").select("path", "start", "nodes", "from_key", "relation", "direction", "of")
+    back = met.select("path", "from_key", "relation", "direction", F.explode("nodes").alias("to_key")).join(steps, ["from_key", "to_key", "relation", "direction"]).groupBy("path", "from_key", "relation", "direction").agg(F.count("*").alias("back"))
+    left = met.join(back, ["path", "from_key", "relation", "direction"], "left").withColumn("of", F.col("of") - F.coalesce("back", F.lit(0))).where(F.col("of") > max_fan_out)
+    return left.select("start", F.concat(F.col("relation"), F.lit(" ("), F.col("direction"), F.lit(") from "), F.col("from_key"), F.lit(f": followed {max_fan_out} of "), F.col("of").cast("string")).alias("cut"))
 
 
 def dependents(edges: DataFrame, max_depth: int = 5) -> DataFrame:
@@ -117,14 +158,25 @@ def copy_chain(copies: DataFrame, max_hops: int = 10) -> DataFrame:
     return chain.drop("seen")
 
 
-def neighbourhood(starts: DataFrame, relations: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Nodes (key, distance) within ``depth`` undirected hops, and the links among them."""
-    steps = oriented(relations).select("from_key", "to_key").distinct()
-    seen = frontier = starts.select("key", F.lit(0).alias("distance"))
+def neighbourhood(starts: DataFrame, relations: DataFrame, depth: int = 2, max_nodes: int = 5000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What lies within ``depth`` undirected hops of each start (key): nodes (start, key, distance), links (start, id), cuts (start, cut).
+
+    A start keeps ``max_nodes`` nodes, nearer ones first, then by key. Links are those that touch a
+    node nearer than ``depth`` and have both ends among the nodes.
+    """
+    steps = oriented(relations).select("from_key", "to_key", "id").checkpoint()
+    around = steps.select("from_key", "to_key").distinct()
+    seen = frontier = starts.select(F.col("key").alias("start"), "key", F.lit(0).alias("distance")).distinct().checkpoint()
+    cuts: list[DataFrame] = []
     for d in range(1, depth + 1):
-        fresh = frontier.join(steps, F.col("key") == F.col("from_key")).select(F.col("to_key").alias("key")).distinct()
-        frontier = fresh.join(seen, "key", "left_anti").select("key", F.lit(d).alias("distance")).checkpoint()
+        fresh = frontier.join(around, F.col("key") == F.col("from_key")).select("start", F.col("to_key").alias("key")).distinct().join(seen, ["start", "key"], "left_anti")
+        place = F.row_number().over(Window.partitionBy("start").orderBy("key"))
+        taken = seen.groupBy("start").agg(F.count("*").alias("taken"))
+        ranked = fresh.withColumn("place", place).where(F.col("place") <= max_nodes + 1).join(taken, "start").checkpoint()
+        fits = F.col("taken") + F.col("place") <= max_nodes
+        cuts.append(ranked.where(~fits).select("start", F.lit(f"stopped at {max_nodes} nodes").alias("cut")))
+        frontier = ranked.where(fits).select("start", "key", F.lit(d).alias("distance")).checkpoint()
         seen = seen.unionByName(frontier)
-    ends = relations.withColumns({"from_key": key(F.col("source_type"), F.col("source_id")), "to_key": key(F.col("target_type"), F.col("target_id"))})
-    inside = ends.join(seen.select(F.col("key").alias("from_key")), "from_key", "left_semi").join(seen.select(F.col("key").alias("to_key")), "to_key", "left_semi")
-    return seen, inside
+    touched = seen.where(F.col("distance") < depth).join(steps, F.col("key") == F.col("from_key")).select("start", F.col("to_key").alias("key"), "id")
+    links = touched.join(seen.select("start", "key"), ["start", "key"], "left_semi").select("start", "id").distinct()
+    return seen, links, reduce(DataFrame.unionByName, cuts).distinct()

@@ -28,32 +28,62 @@ PATHS_SQL = "SELECT start, array_to_string(nodes, '>') AS path, depth::INT AS de
 
 
 def _paths(table: DataFrame) -> DataFrame:
-    return table.select("start", F.array_join("nodes", ">").alias("path"), "depth", (F.floor(F.col("confidence") * 1000000 + 0.5) / 1000000).alias("confidence"), "level")
+    return table.select("start", F.array_join("nodes", ">").alias("path"), "depth", (F.floor(F.col("confidence") * 1000000 + 0.5) / 1000000).alias("confidence"), "level", *(c for c in table.columns if c == "cut"))
 
 
-@register("g1_traverse_origin", PATHS_SQL, route_ctes(3, ORIGIN_LINKS, "SELECT 'symbol:' || id AS key FROM symbols WHERE id % 10 = 1"), recursive=True)
+def keys_of(table: DataFrame, kind: str) -> DataFrame:
+    return table.select(graph.key(F.lit(kind), F.col("id")).alias("key"))
+
+
+@register("g1_traverse_origin", PATHS_SQL, route_ctes(4, ORIGIN_LINKS, "SELECT 'symbol:' || id AS key FROM symbols"), recursive=True)
 def traverse_origin(h: History) -> DataFrame:
-    starts = h.symbols.where("id % 10 = 1").select(F.concat(F.lit("symbol:"), F.col("id").cast("string")).alias("key"))
-    return _paths(graph.traverse(starts, h.relations, "origin", max_depth=3, max_paths=None, max_fan_out=None))
+    return _paths(graph.traverse(keys_of(h.symbols, "symbol"), h.relations, "origin"))
 
 
-@register("g3_traverse_history", PATHS_SQL, route_ctes(1, _IN + "relation = 'MODIFIES'", "SELECT 'file:' || id AS key FROM files WHERE id % 20 = 3"), recursive=True)
-def traverse_history(h: History) -> DataFrame:
-    starts = h.files.where("id % 20 = 3").select(F.concat(F.lit("file:"), F.col("id").cast("string")).alias("key"))
-    return _paths(graph.traverse(starts, h.relations, "history", max_depth=1, max_paths=None, max_fan_out=None))
+HISTORY_LINKS = _IN + "relation = 'MODIFIES' UNION ALL " + _IN + "relation IN ('IMPLEMENTED_BY', 'RESOLVED_BY') UNION ALL " + _OUT + "relation = 'REFERENCES'"
 
 
-@register("g4_traverse_callers", PATHS_SQL, route_ctes(4, _IN + "relation = 'CALLS'", "SELECT 'symbol:' || id AS key FROM symbols WHERE id % 10 = 3"), recursive=True)
-def traverse_callers(h: History) -> DataFrame:
-    starts = h.symbols.where("id % 10 = 3").select(F.concat(F.lit("symbol:"), F.col("id").cast("string")).alias("key"))
-    return _paths(graph.traverse(starts, h.relations, "callers", max_depth=4, max_paths=None, max_fan_out=None))
+@register("g3_traverse_history", PATHS_SQL, route_ctes(4, HISTORY_LINKS, "SELECT 'file:' || id AS key FROM files"), recursive=True)
+def traverse_history(h: History) -> DataFrame:
+    return _paths(graph.traverse(keys_of(h.files, "file"), h.relations, "history"))
 
 
-@register("g1_traverse_capped")
+@register("g4_traverse_callers", PATHS_SQL, route_ctes(4, _IN + "relation = 'CALLS'", "SELECT 'symbol:' || id AS key FROM symbols"), recursive=True)
+def traverse_callers(h: History) -> DataFrame:
+    return _paths(graph.traverse(keys_of(h.symbols, "symbol"), h.relations, "callers"))
+
+
+def beam_ctes(depth: int, paths: int, fan_out: int, starts: str) -> str:
+    """Bounded paths, a level after the other, and what was cut."""
+    told = f"'more than {paths} paths; kept the strongest'"
+    parts = [
+        f"links AS MATERIALIZED (SELECT l.*, r.relation, CASE WHEN r.source_type || ':' || r.source_id = l.from_key THEN 'out' ELSE 'in' END AS direction FROM ({HISTORY_LINKS}) l JOIN relations r ON r.id = l.id)",
+        f"p0 AS (SELECT key AS start, [key] AS nodes, 1.0::DOUBLE AS confidence, 0 AS rank FROM ({starts}) s)",
+    ]
+    for d in range(depth):
+        ended = " UNION ALL ".join(f"SELECT start FROM f{k}" for k in range(d + 1))
+        parts += [
+            f"e{d} AS MATERIALIZED (SELECT p.*, l.to_key, l.relation, l.direction, l.confidence AS c, l.rank AS r, row_number() OVER (PARTITION BY p.start, p.nodes, l.relation, l.direction ORDER BY l.confidence DESC, l.id DESC) AS n, count(*) OVER (PARTITION BY p.start, p.nodes, l.relation, l.direction) AS total FROM p{d} p JOIN links l ON l.from_key = p.nodes[-1] AND NOT list_contains(p.nodes, l.to_key))",
+            f"f{d} AS MATERIALIZED (SELECT * FROM p{d} p WHERE len(nodes) > 1 AND NOT EXISTS (SELECT 1 FROM e{d} e WHERE e.start = p.start AND e.nodes = p.nodes))",
+            f"x{d} AS MATERIALIZED (SELECT start, list_append(nodes, to_key) AS nodes, confidence * c AS confidence, greatest(rank, r) AS rank FROM e{d} WHERE n <= {fan_out})",
+            f"w{d} AS (SELECT start, {told} AS cut FROM (SELECT start FROM x{d} UNION ALL {ended}) o GROUP BY start HAVING count(*) > {4 * paths})",
+            f"p{d + 1} AS MATERIALIZED (SELECT start, nodes, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY confidence DESC, nodes) AS n FROM x{d}) y WHERE n <= {4 * paths})",
+        ]
+    parts += [
+        f"ranked AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY confidence DESC, len(nodes) DESC, nodes) AS n FROM ({' UNION ALL '.join(f'SELECT * FROM f{k}' for k in range(depth))} UNION ALL SELECT * FROM p{depth}) z)",
+        f"cuts AS (SELECT DISTINCT p.start, 'stopped at depth {depth}' AS cut FROM p{depth} p JOIN links l ON l.from_key = p.nodes[-1] AND NOT list_contains(p.nodes, l.to_key) UNION SELECT start, {told} FROM ranked WHERE n > {paths}"
+        + "".join(f" UNION SELECT * FROM w{k} UNION SELECT start, relation || ' (' || direction || ') from ' || nodes[-1] || ': followed {fan_out} of ' || total FROM e{k} WHERE total > {fan_out}" for k in range(depth)) + ")",
+        "told AS (SELECT start, string_agg(cut, '; ' ORDER BY cut) AS cut FROM cuts GROUP BY start)",
+    ]
+    return ",\n".join(parts)
+
+
+@register("g1_traverse_capped", "SELECT start, array_to_string(nodes, '>') AS path, (len(nodes) - 1)::INT AS depth, floor(confidence * 1000000 + 0.5) / 1000000 AS confidence, CASE rank WHEN 2 THEN 'INFERRED' WHEN 1 THEN 'DERIVED' ELSE 'FACT' END AS level, coalesce(cut, '') AS cut FROM ranked LEFT JOIN told USING (start) WHERE n <= 50", beam_ctes(4, 50, 25, "SELECT 'file:' || id AS key FROM files"))
 def traverse_capped(h: History) -> DataFrame:
-    """With the bounds that users get; what was cut is told. Caps per path are beyond one SQL statement."""
-    starts = h.files.where("id % 200 = 5").select(F.concat(F.lit("file:"), F.col("id").cast("string")).alias("key"))
-    return graph.traverse(starts, h.relations, "history").select("start", F.array_join("nodes", ">").alias("path"), "depth", "confidence", "level", "cut")
+    """With the bounds that users get, from every file; what was cut is told with each path of its start."""
+    paths, cuts = graph.beam(keys_of(h.files, "file"), h.relations, "history")
+    told = cuts.groupBy("start").agg(F.array_join(F.array_sort(F.collect_list("cut")), "; ").alias("cut"))
+    return _paths(paths.join(told, "start", "left")).withColumn("cut", F.coalesce("cut", F.lit("")))
 
 
 IMPACT_CTES = """hop AS (SELECT target AS root, source AS node, 1 AS distance, 0.95::DOUBLE AS confidence FROM (SELECT DISTINCT source, target FROM imports) i WHERE source <> target
@@ -75,12 +105,29 @@ def copy_chain(h: History) -> DataFrame:
     return graph.copy_chain(copies)
 
 
-@register("g6_neighbourhood", "SELECT r.id FROM relations r WHERE r.source_type || ':' || r.source_id IN (SELECT key FROM near) AND r.target_type || ':' || r.target_id IN (SELECT key FROM near)", """both_ways AS (
-SELECT source_type || ':' || source_id AS a, target_type || ':' || target_id AS b FROM relations UNION ALL SELECT target_type || ':' || target_id, source_type || ':' || source_id FROM relations),
-near AS (SELECT DISTINCT key FROM (SELECT 'file:11' AS key UNION ALL SELECT b FROM both_ways WHERE a = 'file:11' UNION ALL SELECT y.b FROM both_ways x JOIN both_ways y ON y.a = x.b WHERE x.a = 'file:11') k)""")
+#: Nodes that a neighbourhood shows.
+SHOWN = 120
+
+
+@register("g6_neighbourhood", "SELECT n.start, n.nodes, coalesce(l.links, 0) AS links, l.checksum, CASE WHEN n.start IN (SELECT start FROM over) THEN 'stopped at " + str(SHOWN) + " nodes' ELSE '' END AS cut FROM (SELECT start, count(*) AS nodes FROM seen GROUP BY start) n LEFT JOIN (SELECT start, count(*) AS links, sum(id % 1000003)::BIGINT AS checksum FROM inside GROUP BY start) l USING (start)", f"""steps AS MATERIALIZED (
+SELECT source_type AS t, source_id AS i, target_type AS t2, target_id AS i2, id FROM relations UNION ALL SELECT target_type, target_id, source_type, source_id, id FROM relations),
+h0 AS (SELECT id AS start, 'file' AS t, id AS i FROM files),
+f1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY start ORDER BY t || ':' || i) AS n FROM (SELECT DISTINCT h.start, s.t2 AS t, s.i2 AS i FROM h0 h JOIN steps s ON s.t = h.t AND s.i = h.i WHERE NOT (s.t2 = 'file' AND s.i2 = h.start)) d),
+h1 AS (SELECT start, t, i FROM f1 WHERE n + 1 <= {SHOWN}),
+near AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1),
+had AS (SELECT start, count(*) AS k FROM near GROUP BY start),
+f2 AS MATERIALIZED (SELECT d.*, row_number() OVER (PARTITION BY d.start ORDER BY d.t || ':' || d.i) AS n FROM (SELECT DISTINCT h.start, s.t2 AS t, s.i2 AS i FROM h1 h JOIN steps s ON s.t = h.t AND s.i = h.i) d LEFT JOIN near k ON k.start = d.start AND k.t = d.t AND k.i = d.i WHERE k.start IS NULL),
+h2 AS (SELECT f.start, t, i FROM f2 f JOIN had USING (start) WHERE n + k <= {SHOWN}),
+seen AS MATERIALIZED (SELECT * FROM near UNION ALL SELECT * FROM h2),
+over AS (SELECT start FROM f1 WHERE n + 1 > {SHOWN} UNION SELECT f.start FROM f2 f JOIN had USING (start) WHERE n + k > {SHOWN}),
+inside AS (SELECT DISTINCT a.start, s.id FROM near a JOIN steps s ON s.t = a.t AND s.i = a.i JOIN seen b ON b.start = a.start AND b.t = s.t2 AND b.i = s.i2)""")
 def neighbourhood(h: History) -> DataFrame:
-    starts = h.files.where("id = 11").select(F.concat(F.lit("file:"), F.col("id").cast("string")).alias("key"))
-    return graph.neighbourhood(starts, h.relations, 2)[1].select("id")
+    """Size of the shown neighbourhood of every file, and whether it goes on."""
+    nodes, links, cuts = graph.neighbourhood(keys_of(h.files, "file"), h.relations, 2, SHOWN)
+    sizes = nodes.groupBy("start").agg(F.count("*").alias("nodes"))
+    found = links.groupBy("start").agg(F.count("*").alias("links"), F.sum(F.col("id") % 1000003).alias("checksum"))
+    out = sizes.join(found, "start", "left").join(cuts, "start", "left")
+    return out.select(F.substring_index("start", ":", -1).cast("bigint").alias("start"), "nodes", F.coalesce("links", F.lit(0)).alias("links"), "checksum", F.coalesce("cut", F.lit("")).alias("cut"))
 
 
 @register("g10_unreachable_commits", "SELECT id FROM commits WHERE id NOT IN (SELECT id FROM back)", """tip AS (SELECT max(id) AS id FROM commits),

@@ -9,7 +9,7 @@ from ..functions import paths, text
 from ..operators import activity, graph, intent, search, stories
 from ..sources.driver_tables import History
 from .analyses import DEFECT_CTES, OWNERSHIP_CTES, _owned
-from .graphs import PATHS_SQL, _IN, _paths, route_ctes
+from .graphs import PATHS_SQL, _IN, _paths, keys_of, route_ctes
 from .registry import register
 
 
@@ -21,10 +21,9 @@ def vertex_labels(h: History) -> DataFrame:
     return stories.labelled(keys, stories.vertices(h.commits, h.files, h.symbols)).select("key", "label")
 
 
-@register("g5_traverse_impact", PATHS_SQL, route_ctes(3, _IN + "relation = 'CONTAINS' AND target_type = 'symbol' UNION ALL " + _IN + "relation = 'IMPORTS'", "SELECT 'symbol:' || id AS key FROM symbols WHERE id % 40 = 7"), recursive=True)
+@register("g5_traverse_impact", PATHS_SQL, route_ctes(3, _IN + "relation = 'CONTAINS' AND target_type = 'symbol' UNION ALL " + _IN + "relation = 'IMPORTS'", "SELECT 'symbol:' || id AS key FROM symbols"), recursive=True)
 def traverse_impact(h: History) -> DataFrame:
-    starts = h.symbols.where("id % 40 = 7").select(graph.key(F.lit("symbol"), F.col("id")).alias("key"))
-    return _paths(graph.traverse(starts, h.relations, "impact", max_depth=3, max_paths=None, max_fan_out=None))
+    return _paths(graph.traverse(keys_of(h.symbols, "symbol"), h.relations, "impact", max_depth=3))
 
 
 @register("q7_question_kinds", """

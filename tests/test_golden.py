@@ -137,10 +137,40 @@ def test_traversal_bounds(spark):
     rows = [(i, "commit", c, "MODIFIES", "file", 1, 1.0, "FACT") for i, c in enumerate((5, 6, 7))] + [(9, "issue", 3, "RESOLVED_BY", "commit", 7, 0.9, "DERIVED")]
     relations = spark.createDataFrame(rows, "id long, source_type string, source_id long, relation string, target_type string, target_id long, confidence double, level string")
     starts = spark.createDataFrame([("file:1",)], "key string")
-    (one,) = graph.traverse(starts, relations, "history", max_fan_out=1).collect()
-    assert one.nodes == ["file:1", "commit:7", "issue:3"] and one.cut == "followed 1 of 3" and one.level == "DERIVED" and one.confidence == 0.9
-    shallow = graph.traverse(starts, relations, "history", max_depth=1).collect()
-    assert {r.nodes[1]: r.cut for r in shallow} == {"commit:5": "", "commit:6": "", "commit:7": "stopped at depth 1"}
+    paths, cuts = graph.beam(starts, relations, "history", max_fan_out=1)
+    (one,) = paths.collect()
+    assert one.nodes == ["file:1", "commit:7", "issue:3"] and one.level == "DERIVED" and one.confidence == 0.9
+    assert [r.cut for r in cuts.collect()] == ["MODIFIES (in) from file:1: followed 1 of 3"]
+    shallow, cuts = graph.beam(starts, relations, "history", max_depth=1)
+    assert {r.nodes[1] for r in shallow.collect()} == {"commit:5", "commit:6", "commit:7"} and [r.cut for r in cuts.collect()] == ["stopped at depth 1"]
+    sure, cuts = graph.beam(starts, relations, "history", min_confidence=0.95)
+    assert {tuple(r.nodes) for r in sure.collect()} == {("file:1", f"commit:{c}") for c in (5, 6, 7)} and [r.cut for r in cuts.collect()] == ["links below confidence 0.95 were not followed"]
+    few, cuts = graph.beam(starts, relations, "history", max_paths=1, max_depth=1)
+    assert [r.nodes for r in few.collect()] == [["file:1", "commit:5"]] and {r.cut for r in cuts.collect()} == {"more than 1 paths; kept the strongest", "stopped at depth 1"}
+    whole, cuts = graph.beam(starts, relations, "history")
+    assert whole.count() == 3 and cuts.isEmpty()
+
+
+def test_fan_out_counts_what_leads_back_into_the_path(spark):
+    ready(spark)
+    rows = [(i, "symbol", 2, "CALLS", "symbol", 1, 1.0, "FACT") for i in range(5)] + [(10 + i, "symbol", 1, "CALLS", "symbol", 2, 1.0, "FACT") for i in range(4)] + [(20 + i, "symbol", 30 + i, "CALLS", "symbol", 2, 0.5, "DERIVED") for i in range(3)]
+    relations = spark.createDataFrame(rows, "id long, source_type string, source_id long, relation string, target_type string, target_id long, confidence double, level string")
+    paths, cuts = graph.beam(spark.createDataFrame([("symbol:1",)], "key string"), relations, "callers", max_fan_out=2)
+    assert {r.cut for r in cuts.collect()} == {"CALLS (in) from symbol:1: followed 2 of 5", "CALLS (in) from symbol:2: followed 2 of 3"}
+    assert sorted(r.nodes[2] for r in paths.collect()) == ["symbol:31", "symbol:31", "symbol:32", "symbol:32"]
+
+
+def test_neighbourhood_tells_its_cut(spark):
+    ready(spark)
+    rows = [(i, "commit", c, "MODIFIES", "file", f, 1.0, "FACT") for i, (c, f) in enumerate([(1, 1), (1, 2), (2, 2), (2, 3), (3, 1)])]
+    relations = spark.createDataFrame(rows, "id long, source_type string, source_id long, relation string, target_type string, target_id long, confidence double, level string")
+    starts = spark.createDataFrame([("file:1",), ("file:9",)], "key string")
+    nodes, links, cuts = graph.neighbourhood(starts, relations, 2)
+    assert {(r.start, r.key, r.distance) for r in nodes.collect()} == {("file:1", "file:1", 0), ("file:1", "commit:1", 1), ("file:1", "commit:3", 1), ("file:1", "file:2", 2), ("file:9", "file:9", 0)}
+    assert {r.id for r in links.collect()} == {0, 1, 4} and cuts.isEmpty()
+    nodes, links, cuts = graph.neighbourhood(starts, relations, 2, 2)
+    assert {r.key for r in nodes.where("start = 'file:1'").collect()} == {"file:1", "commit:1"} and {r.id for r in links.collect()} == {0}
+    assert [(r.start, r.cut) for r in cuts.collect()] == [("file:1", "stopped at 2 nodes")]
 
 
 def test_log_records(spark, tmp_path):
@@ -197,4 +227,4 @@ def test_long_rename_lineage(spark):
 def test_traversal_without_caps_keeps_every_path(spark):
     relations = spark.range(10_500).selectExpr("id", "'MODIFIES' AS relation", "'commit' AS source_type", "id AS source_id", "'file' AS target_type", "1L AS target_id", "1.0D AS confidence", "'FACT' AS level")
     starts = spark.createDataFrame([("file:1",)], "key string")
-    assert graph.traverse(starts, relations, "history", max_depth=1, max_paths=None, max_fan_out=None).count() == 10_500
+    assert graph.traverse(starts, relations, "history", max_depth=1).count() == 10_500
