@@ -57,3 +57,18 @@ def resolve_target(commits: DataFrame, files: DataFrame, symbols: DataFrame, inp
     current = F.max("current").over(Window.partitionBy("name"))
     named = named.withColumn("any", current).where("current OR NOT any").select(F.lit("symbol").alias("kind"), "id")
     return hashes.unionByName(ends).unionByName(named)
+
+
+#: Days for which a lookup that found nothing isn't made again.
+LOOKUP_DAYS = 7
+
+
+def due_lookups(wanted: DataFrame, checked: DataFrame, now: DataFrame, by: list[str], days: int = LOOKUP_DAYS) -> DataFrame:
+    """``wanted`` keys that are to be looked up, with reason: 'new' (never looked up) or 'expired' (``days`` ago or longer).
+
+    ``checked``: keys and checked_at of lookups that found nothing; ``now``: one row, now.
+    """
+    last = checked.groupBy(*by).agg(F.max("checked_at").alias("last"))
+    rows = wanted.join(last, by, "left").crossJoin(F.broadcast(now))
+    due = rows.where(F.col("last").isNull() | (F.col("last") <= F.col("now") - F.make_dt_interval(F.lit(days))))
+    return due.select(*by, F.when(F.col("last").isNull(), "new").otherwise("expired").alias("reason"))

@@ -88,9 +88,20 @@ def unused(rows: DataFrame, uses: list[DataFrame]) -> DataFrame:
     return reduce(lambda left, used: left.join(used.where("id IS NOT NULL"), "id", "left_anti"), uses, rows)
 
 
-def innermost(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(file_id, line, callee, caller_id): the shortest symbol around each call line; ties to the smaller id."""
-    around = calls.join(symbols.select("file_id", "id", "start_line", "end_line"), "file_id").where("line BETWEEN start_line AND end_line")
+#: Lines that share a bin where lines meet the symbols around them.
+LINE_BIN = 64
+
+
+def innermost(calls: DataFrame, symbols: DataFrame, named: bool = False) -> DataFrame:
+    """(file_id, line, callee, caller_id): the shortest symbol around each call line; ties to the smaller id.
+
+    With ``named`` only symbols whose name is the callee count.
+
+    Lines and spans meet by bins of lines, so a long file's calls aren't held against all its symbols.
+    """
+    names = [F.col("name").alias("callee")] if named else []
+    spans = symbols.where("start_line <= end_line").select("file_id", "id", "start_line", "end_line", *names, F.explode(F.expr(f"sequence(start_line div {LINE_BIN}, end_line div {LINE_BIN})")).alias("bin"))
+    around = calls.withColumn("bin", F.expr(f"line div {LINE_BIN}")).join(spans, ["file_id", "bin", *(["callee"] if named else [])]).where("line BETWEEN start_line AND end_line")
     return around.groupBy("file_id", "line", "callee").agg(F.min_by("id", F.struct(F.col("end_line") - F.col("start_line"), F.col("id"))).alias("caller_id"))
 
 

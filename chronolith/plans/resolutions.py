@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import resolvers
+from ..operators import call_graph, resolvers
 from ..sources.driver_tables import History
 from .registry import register
 
@@ -87,3 +87,31 @@ def _contents(h: History) -> DataFrame:
     own = brands.where("b % 4 <> 3").select(F.concat(F.lit("apps/b"), F.col("b").cast("string"), F.lit("/tsconfig.json")).alias("path"), F.concat(F.lit('{"extends": "../../base/b'), kind, F.lit('", /* see base */ }')).alias("content"))
     text = F.when(F.col("b") % 3 == 0, '{"compilerOptions": {"paths": {"@/*": ["../apps/b3/src/*"]}}}').when(F.col("b") % 3 == 1, '{"compilerOptions": {"baseUrl": "../apps/b1/src"}}').otherwise("{}")
     return own.unionByName(brands.select(F.concat(F.lit("base/b"), kind, F.lit(".json")).alias("path"), text.alias("content")).distinct())
+
+
+_INNER = "SELECT {keys}, arg_min(s.id, (s.end_line - s.start_line, s.id)) AS caller FROM {sites} c JOIN cur s ON s.file_id = c.{file} AND c.{line} BETWEEN s.start_line AND s.end_line{more} GROUP BY {keys}"
+CALL_CTES = f"""cur AS (SELECT * FROM symbols WHERE current),
+unique_in AS (SELECT file_id, qualified_name, min(id) AS id FROM cur GROUP BY 1, 2 HAVING count(*) = 1),
+unique_all AS (SELECT qualified_name, min(id) AS id FROM cur GROUP BY 1 HAVING count(*) = 1),
+callers AS ({_INNER.format(keys="c.file_id, c.line", sites="(SELECT DISTINCT file_id, line FROM call_sites)", file="file_id", line="line", more="")}),
+site AS (SELECT c.*, k.caller, split_part(callee, '.', 1) AS head, CASE WHEN contains(callee, '.') THEN split_part(callee, '.', 2) END AS rest FROM call_sites c LEFT JOIN callers k USING (file_id, line)
+  WHERE (c.file_id, c.line) NOT IN (SELECT (from_file, line) FROM checked_calls)),
+met AS (SELECT s.*, b.imported, b.target AS to_file, b.confidence AS sure FROM site s LEFT JOIN import_bindings b ON b.file_id = s.file_id AND b.local_name = s.head AND s.self_receiver = 0 AND s.local_head = 0),
+reading AS (SELECT m.*, u.id AS target, 'DERIVED' AS level, 1.0::DOUBLE AS c, 'same-class' AS method FROM met m JOIN cur k ON k.id = m.caller JOIN unique_in u ON u.file_id = m.file_id AND u.qualified_name = split_part(k.qualified_name, '.', 1) || '.' || m.rest WHERE m.self_receiver = 1 AND contains(k.qualified_name, '.')
+  UNION ALL SELECT m.*, u.id, 'DERIVED', least(0.95, sure), 'import-binding' FROM met m JOIN unique_in u ON u.file_id = m.to_file AND u.qualified_name = CASE WHEN m.imported = '*' THEN m.rest WHEN m.rest IS NULL THEN m.imported ELSE m.imported || '.' || m.rest END WHERE m.imported IS NOT NULL
+  UNION ALL SELECT m.*, u.id, 'DERIVED', 1.0, 'same-file' FROM met m JOIN unique_in u ON u.file_id = m.file_id AND u.qualified_name = m.callee WHERE m.imported IS NULL AND m.self_receiver = 0 AND m.local_head = 0
+  UNION ALL SELECT m.*, a.id, 'INFERRED', 0.6, 'qualified-name' FROM met m JOIN unique_all a ON a.qualified_name = m.callee LEFT JOIN unique_in u ON u.file_id = m.file_id AND u.qualified_name = m.callee AND m.local_head = 0 WHERE m.imported IS NULL AND m.self_receiver = 0 AND m.rest IS NOT NULL AND u.id IS NULL),
+weighed AS (SELECT r.file_id, r.line, r.callee, r.caller, r.target, CASE WHEN via = 'reference' THEN 'INFERRED' ELSE level END AS level, CASE WHEN via = 'reference' THEN least(0.8, c * f) ELSE c * f END AS confidence, method || CASE WHEN written IS NULL THEN '' ELSE '+stated-type' END || CASE WHEN via = 'reference' THEN '+passed-as-value' ELSE '' END AS method
+  FROM (SELECT *, CASE WHEN written IS NULL THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS f FROM reading) r JOIN cur t ON t.id = r.target WHERE via <> 'reference' OR t.kind IN ('function', 'method')),
+aims AS ({_INNER.format(keys="c.to_file, c.to_line, c.to_name", sites="(SELECT DISTINCT to_file, to_line, to_name FROM checked_calls)", file="to_file", line="to_line", more=" AND s.name = c.to_name")}),
+every AS (SELECT * FROM weighed UNION ALL SELECT c.from_file, c.line, c.to_name, k.caller, a.caller, 'DERIVED', 1.0, 'typescript-checker' FROM (SELECT DISTINCT * FROM checked_calls) c JOIN aims a USING (to_file, to_line, to_name) LEFT JOIN callers k ON k.file_id = c.from_file AND k.line = c.line),
+placed AS (SELECT *, CASE WHEN caller IS NULL THEN 'file' ELSE 'symbol' END AS source_type, coalesce(caller, file_id) AS source_id FROM every WHERE caller IS NULL OR caller <> target)"""
+
+
+@register("e17_call_edges", "SELECT source_type, source_id, target, level, floor(confidence * 1000000 + 0.5) / 1000000 AS confidence, method, line, callee FROM (SELECT *, row_number() OVER (PARTITION BY source_type, source_id, target ORDER BY CASE WHEN method = 'typescript-checker' THEN 0 ELSE 1 END, confidence DESC, file_id, line, callee) AS n FROM placed) p WHERE n = 1", CALL_CTES)
+def call_edges(h: History) -> DataFrame:
+    """All readings of a call: own class, bound names, the file, qualified names, stated types, functions passed, checked calls."""
+    calls = h.call_sites.withColumns({"self_receiver": F.col("self_receiver") == 1, "local_head": F.col("local_head") == 1})
+    bindings = h.import_bindings.withColumn("targets", F.array("target"))
+    found = call_graph.call_edges(calls, h.symbols.where("current"), bindings, h.checked_calls)
+    return found.withColumn("confidence", F.floor(F.col("confidence") * 1000000 + 0.5) / 1000000)

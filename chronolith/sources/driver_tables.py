@@ -96,6 +96,18 @@ FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 <> 3""",
     "calls": """
 SELECT DISTINCT l_partkey AS file_id, l_suppkey % 50 * 10 + l_linenumber AS line, concat('fn_', cast((l_suppkey + 1) % 40 AS string)) AS callee
 FROM lineitem WHERE l_linenumber <= 3""",
+    # Call sites as a parser would give them: plain, on the own object, qualified, through a module, passed by name, of a stated type, on a local variable.
+    "call_sites": """
+SELECT file_id, line, callee, min(self_receiver) AS self_receiver, min(local_head) AS local_head, min(via) AS via, min(written) AS written FROM (
+SELECT l_partkey AS file_id, l_suppkey % 50 * 10 + l_linenumber AS line,
+  concat(CASE l_linenumber WHEN 2 THEN 'this.' WHEN 3 THEN 'Cart.' WHEN 4 THEN 'mod.' WHEN 6 THEN 'Cart.' WHEN 7 THEN 'obj.' ELSE '' END, 'fn_', cast((l_suppkey * 3 + l_orderkey) % 40 AS string)) AS callee,
+  CASE WHEN l_linenumber = 2 THEN 1 ELSE 0 END AS self_receiver, CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS local_head,
+  CASE WHEN l_linenumber = 5 THEN 'reference' ELSE 'call' END AS via, CASE WHEN l_linenumber = 6 THEN 'c.f' END AS written FROM lineitem) s GROUP BY file_id, line, callee""",
+    "import_bindings": """
+SELECT source AS file_id, 'mod' AS local_name, '*' AS imported, min(target) AS target, cast(0.9 AS double) AS confidence FROM imports GROUP BY source
+UNION ALL SELECT source, concat('fn_', cast(target % 40 AS string)), concat('fn_', cast((target + 1) % 40 AS string)), min(target), max(CASE WHEN method = 0 THEN cast(1.0 AS double) ELSE cast(0.8 AS double) END) FROM imports GROUP BY source, target % 40, (target + 1) % 40""",
+    "checked_calls": """
+SELECT file_id AS from_file, line, file_id AS to_file, line + 7 AS to_line, substr(callee, 5) AS to_name FROM call_sites WHERE line % 10 = 4 AND callee LIKE 'mod.%'""",
     "line_coverage": """
 SELECT p_partkey AS file_id, p_size + 4 AS n_found, p_size % 5 + 1 AS step, p_partkey % 4 <> 0 AS fresh FROM part WHERE p_partkey % 3 = 0""",
     "relations": """
