@@ -258,6 +258,24 @@ def dead_intent(h: History) -> DataFrame:
     return table.select("file_id", "reasons", F.date_format("first_at", "yyyy-MM-dd").alias("first_day"), "confidence")
 
 
+def _dead(h: History) -> DataFrame:
+    minimums = h.spark.createDataFrame([("node", 18, 0), ("python", 3, 8), ("go", 1, 20)], "runtime string, major int, minor int")
+    return intent.dead_intent(h.files, h.dated_changes, h.commits, minimums, now="2025-01-01")
+
+
+@register("o5_dead_intent_order", "SELECT path, confidence, first_day FROM (SELECT f.path, t.first_at, strftime(t.first_at, '%Y-%m-%d') AS first_day, floor(least(0.8, 0.3 + CASE WHEN old_version THEN 0.25 ELSE 0 END + CASE WHEN overdue THEN 0.2 ELSE 0 END + CASE WHEN last_at <= TIMESTAMP '2025-01-01' - INTERVAL 365 DAY THEN 0.1 ELSE 0 END) * 100 + 0.5) / 100 AS confidence FROM targets t JOIN later l USING (file_id) JOIN files f ON f.id = t.file_id WHERE l.reworked < 3) d ORDER BY confidence DESC, first_at, path LIMIT 50", INTENT_CTES)
+def dead_intent_order(h: History) -> DataFrame:
+    """The surest first, then the oldest, then by path."""
+    top = _dead(h).join(h.files.select(F.col("id").alias("file_id"), "path"), "file_id").orderBy(F.desc("confidence"), "first_at", "path").limit(50)
+    return top.select("path", "confidence", F.date_format("first_at", "yyyy-MM-dd").alias("first_day"))
+
+
+@register("o4_longest_untouched", f"SELECT s.id, s.path, strftime(max(m.committed_at), '%Y-%m-%d') AS last_day FROM {STORY_SYMBOLS_SQL} s JOIN symbol_versions v ON v.symbol_id = s.id JOIN commits m ON m.id = v.commit_id GROUP BY s.id, s.path, s.start_line ORDER BY max(m.committed_at), s.path, s.start_line, s.id LIMIT 20")
+def longest_untouched(h: History) -> DataFrame:
+    return intent.longest_untouched(_story_symbols(h), h.symbol_versions, h.commits).select("id", "path", F.date_format("last_at", "yyyy-MM-dd").alias("last_day"))
+
+
+
 @register("a18_touched_symbols", """
 SELECT s.id, CASE WHEN bool_and(v.commit_id % 10 = 0) THEN CASE WHEN max(e.source_id) IS NOT NULL THEN 'copied' ELSE 'new' END ELSE 'changed' END AS change, coalesce(max(k.callers), 0) AS callers
 FROM symbols s JOIN symbol_versions v ON v.symbol_id = s.id LEFT JOIN relations e ON e.relation = 'COPIED_FROM' AND e.source_id = s.id
@@ -268,11 +286,32 @@ def touched(h: History) -> DataFrame:
     return intent.touched_symbols(h.symbols.where("current AND kind <> 'variable'"), h.symbol_versions, h.relations, in_range)
 
 
-@register("a19_symbol_story", """
-SELECT v.symbol_id, count(DISTINCT v.commit_id) AS changes, count(DISTINCT m.author_name) AS authors, count(DISTINCT d.commit_id) AS fixes, strftime(min(m.committed_at), '%Y-%m-%d') AS first_day, strftime(max(m.committed_at), '%Y-%m-%d') AS last_day
-FROM symbol_versions v JOIN commits m ON m.id = v.commit_id LEFT JOIN defects d ON d.commit_id = v.commit_id GROUP BY v.symbol_id""", DEFECT_CTES)
+#: Stories by ``key`` over rows (key, commit_id) and calls (key, caller).
+STORY_SQL = """SELECT key AS {name}, sum(n)::BIGINT AS changes, count(*) AS authors, sum(fix)::BIGINT AS fixes, coalesce(any_value(callers), 0) AS callers, string_agg(person || ' ' || share, '; ' ORDER BY place) FILTER (place <= 3) AS owners, strftime(min(first_at), '%Y-%m-%d') AS first_day, strftime(max(last_at), '%Y-%m-%d') AS last_day
+FROM (SELECT b.*, p.person, floor(b.n / sum(b.n) OVER (PARTITION BY b.key) * 1000 + 0.5) / 1000 AS share, row_number() OVER (PARTITION BY b.key ORDER BY b.n DESC, p.person, b.person_key) AS place FROM (
+  SELECT key, n.person_key, count(*) AS n, count(d.commit_id) AS fix, min(a.committed_at) AS first_at, max(a.committed_at) AS last_at FROM touched t JOIN authored a ON a.id = t.commit_id JOIN names n USING (name_key) LEFT JOIN defects d ON d.commit_id = t.commit_id GROUP BY 1, 2) b JOIN persons p USING (person_key)) o
+LEFT JOIN (SELECT key, count(DISTINCT caller) AS callers FROM called GROUP BY key) c USING (key) GROUP BY key"""
+
+
+def story_ctes(key: str = "v.symbol_id", join: str = "", called: str = "r.target_id", call_join: str = "") -> str:
+    return f"""{DEFECT_CTES},
+{PEOPLE_CTES},
+touched AS (SELECT DISTINCT {key} AS key, v.commit_id FROM symbol_versions v {join}),
+called AS (SELECT {called} AS key, r.source_id AS caller FROM relations r {call_join} WHERE r.relation = 'CALLS')"""
+
+
+def called_symbols(h: History) -> DataFrame:
+    return h.relations.where("relation = 'CALLS' AND target_type = 'symbol'").select(F.col("target_id").alias("symbol_id"), F.col("source_id").alias("caller"))
+
+
+def stories_of(h: History, versions: DataFrame, calls: DataFrame) -> DataFrame:
+    names = people.identities(h.commits)
+    return intent.symbol_stories(versions, h.commits, activity.classify_defects(h.commits, h.discussions), names, people.people(h.commits, names), calls)
+
+
+@register("a19_symbol_story", STORY_SQL.format(name="symbol_id"), story_ctes())
 def story(h: History) -> DataFrame:
-    return intent.symbol_stories(h.symbol_versions, h.commits, activity.classify_defects(h.commits, h.discussions))
+    return stories_of(h, h.symbol_versions, called_symbols(h))
 
 
 @register("a22_import_collapse", "SELECT source, target, max(0.9 - method * 0.1) AS confidence, string_agg(DISTINCT 'm' || method, '+' ORDER BY 'm' || method) AS methods FROM imports GROUP BY source, target")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import activity, graph, intent, search, stories
+from ..operators import graph, search, stories
 from ..sources.driver_tables import History
-from .analyses import DEFECT_CTES, OWNERSHIP_CTES, _owned
+from .analyses import OWNERSHIP_CTES, STORY_SQL, _owned, called_symbols, stories_of, story_ctes
 from .graphs import PATHS_SQL, _IN, _paths, keys_of, route_ctes
 from .registry import register
 
@@ -47,22 +47,20 @@ def grounding_words(h: History) -> DataFrame:
     return words.join(rare, "word").agg(F.count("*").alias("names"), F.countDistinct("page_id").alias("pages"))
 
 
-@register("a20_file_lens", """
-SELECT s.file_id, count(DISTINCT v.commit_id) AS changes, count(DISTINCT m.author_name) AS authors, count(DISTINCT d.commit_id) AS fixes
-FROM symbol_versions v JOIN symbols s ON s.id = v.symbol_id JOIN commits m ON m.id = v.commit_id LEFT JOIN defects d ON d.commit_id = v.commit_id GROUP BY s.file_id""", DEFECT_CTES)
+@register("a20_file_lens", STORY_SQL.format(name="file_id"), story_ctes(key="s.file_id", join="JOIN symbols s ON s.id = v.symbol_id", called="s.file_id", call_join="JOIN symbols s ON s.id = r.target_id"))
 def file_lens(h: History) -> DataFrame:
     """Stories of all symbols of a file together."""
-    rows = h.symbol_versions.join(h.symbols.select(F.col("id").alias("symbol_id"), "file_id"), "symbol_id").select(F.col("file_id").alias("symbol_id"), "commit_id")
-    found = intent.symbol_stories(rows, h.commits, activity.classify_defects(h.commits, h.discussions))
-    return found.select(F.col("symbol_id").alias("file_id"), "changes", "authors", "fixes")
+    of_file = h.symbols.select(F.col("id").alias("symbol_id"), "file_id")
+    by_file = lambda rows: rows.join(of_file, "symbol_id").drop("symbol_id").withColumnRenamed("file_id", "symbol_id")
+    return stories_of(h, by_file(h.symbol_versions.select("symbol_id", "commit_id")), by_file(called_symbols(h))).withColumnRenamed("symbol_id", "file_id")
 
 
 @register("x22_lens_titles", """
-SELECT symbol_id, concat_ws(' · ', n || CASE WHEN n = 1 THEN ' change' ELSE ' changes' END, CASE WHEN a > 0 THEN a || CASE WHEN a = 1 THEN ' author' ELSE ' authors' END END, CASE WHEN f > 0 THEN f || CASE WHEN f = 1 THEN ' fix' ELSE ' fixes' END END) AS title
-FROM (SELECT v.symbol_id, count(DISTINCT v.commit_id) AS n, count(DISTINCT m.author_name) AS a, count(DISTINCT d.commit_id) AS f FROM symbol_versions v JOIN commits m ON m.id = v.commit_id LEFT JOIN defects d ON d.commit_id = v.commit_id GROUP BY 1) x""", DEFECT_CTES)
+SELECT symbol_id, concat_ws(' · ', changes || CASE WHEN changes = 1 THEN ' change' ELSE ' changes' END, authors || CASE WHEN authors = 1 THEN ' author' ELSE ' authors' END, CASE WHEN fixes > 0 THEN fixes || CASE WHEN fixes = 1 THEN ' fix' ELSE ' fixes' END END, CASE WHEN callers > 0 THEN callers || CASE WHEN callers = 1 THEN ' caller' ELSE ' callers' END END) AS title
+FROM (""" + STORY_SQL.format(name="symbol_id") + ") x", story_ctes())
 def lens_titles(h: History) -> DataFrame:
-    found = intent.symbol_stories(h.symbol_versions, h.commits, activity.classify_defects(h.commits, h.discussions))
-    return found.select("symbol_id", stories.lens_title(F.col("changes"), F.col("authors"), F.col("fixes"), F.lit(0)).alias("title"))
+    found = stories_of(h, h.symbol_versions, called_symbols(h))
+    return found.select("symbol_id", stories.lens_title(F.col("changes"), F.col("authors"), F.col("fixes"), F.col("callers")).alias("title"))
 
 
 @register("a24_owners_sentence", "SELECT file_id, CASE WHEN count(*) = 1 THEN '1 person, ' ELSE count(*) || ' people, most by ' END || min_by(person, place) AS sentence FROM owned GROUP BY file_id", OWNERSHIP_CTES)
