@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..functions.levels import level_name, level_rank, round3
 
-#: Levels that the DuckDB SQL spells out; the operators follow renames to their end.
-RENAME_HOPS = 6
 REACH_DEPTH = 5
 
 

@@ -140,6 +140,40 @@ def dependents(edges: DataFrame, max_depth: int = 5) -> DataFrame:
     return seen
 
 
+def symbol_importers(symbols: DataFrame, edges: DataFrame, bindings: DataFrame, defined: DataFrame) -> DataFrame:
+    """(id, node, uses): the files that import each symbol's file, and whether they may use the symbol.
+
+    ``edges``: source, target; ``bindings``: source, target, imported (an edge without any may use
+    anything); ``defined``: file_id, qualified_name. A name that is another definition of the file
+    surely doesn't reach the symbol; the whole module, the symbol, its container, a member, or a
+    name that the file doesn't define may.
+    """
+    other = bindings.join(defined.select(F.col("file_id").alias("target"), F.col("qualified_name").alias("imported"), F.lit(True).alias("known")).distinct(), ["target", "imported"], "left")
+    links = edges.where("source <> target")
+    bound = links.join(bindings.select("source", "target").distinct().withColumn("bound", F.lit(True)), ["source", "target"], "left")
+    of_file = symbols.select("id", F.col("file_id").alias("target"), F.col("qualified_name").alias("q"))
+    all_ = of_file.join(bound, "target").select("id", F.col("source").alias("node"), F.col("bound").isNull().alias("anything"))
+    q, i = F.col("q"), F.col("imported")
+    may = i.isin("*", "default") | (i == q) | F.startswith(q, F.concat(i, F.lit("."))) | F.startswith(i, F.concat(q, F.lit("."))) | F.col("known").isNull()
+    named = of_file.join(other, "target").where(may).select("id", F.col("source").alias("node")).distinct().withColumn("named", F.lit(True))
+    return all_.join(named, ["id", "node"], "left").select("id", "node", (F.col("anything") | F.col("named").isNotNull()).alias("uses"))
+
+
+def symbol_impact(symbols: DataFrame, callers: DataFrame, importers: DataFrame) -> DataFrame:
+    """(id, direct_callers, transitive_callers, importers, tests, skipped, answer) of each symbol.
+
+    ``callers``: root, node, distance; ``importers``: id, node, uses, is_test. ``skipped`` counts files
+    that name only other things of the symbol's file.
+    """
+    called = callers.groupBy(F.col("root").alias("id")).agg(F.count_if(F.col("distance") == 1).alias("direct_callers"), F.count_if(F.col("distance") > 1).alias("transitive_callers"))
+    used = importers.groupBy("id").agg(F.count_if("uses").alias("importers"), F.count_if(F.col("uses") & F.col("is_test")).alias("tests"), F.count_if(~F.col("uses")).alias("skipped"))
+    rows = symbols.select("id").join(called, "id", "left").join(used, "id", "left").fillna(0)
+    text = lambda c: F.col(c).cast("string")
+    calls = F.when(F.col("direct_callers") == 0, "No call to it was resolved. ").otherwise(F.concat(text("direct_callers"), F.when(F.col("direct_callers") == 1, " caller calls it directly and ").otherwise(" callers call it directly and "), text("transitive_callers"), F.lit(" through other calls. ")))
+    files = F.when(F.col("importers") == 0, "Nothing in the index depends on it.").otherwise(F.concat(text("importers"), F.when(F.col("importers") == 1, " file imports").otherwise(" files import"), F.lit(" the file that defines it ("), text("tests"), F.lit(" of them tests).")))
+    return rows.withColumn("answer", F.concat(calls, files))
+
+
 def copy_chain(copies: DataFrame, max_hops: int = 10) -> DataFrame:
     """(id, origin, hops, confidence, inferred): where each copied symbol comes from; least confidence on the way.
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import paths
 
 SUFFIX_CONFIDENCE = 0.9
+#: Path patterns of one configuration, at most.
+PATTERNS = 10_000
 # What a relative specifier may stand for, in order of preference.
 EXTENSIONS = ("ts", "tsx", "mts", "cts", "d.ts", "js", "jsx", "mjs", "cjs", "json")
 
@@ -75,9 +77,11 @@ def longest_prefix(imports: DataFrame, known: DataFrame) -> DataFrame:
 def alias_targets(imports: DataFrame, patterns: DataFrame) -> DataFrame:
     """(import_id, target): specifiers through path patterns (pattern, replacement) with one wildcard each.
 
-    An exact pattern wins over wildcards, and the longest prefix wins among those. ``patterns`` is a
-    configuration of a few rows and is broadcast for that reason.
+    An exact pattern wins over wildcards, and the longest prefix wins among those. ``patterns`` is one
+    configuration; more than PATTERNS of them are refused, as all are held against each specifier.
     """
+    if patterns.count() > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} path patterns")
     split = patterns.select("pattern", "replacement", F.substring_index("pattern", "*", 1).alias("head"), F.when(F.col("pattern").contains("*"), F.substring_index("pattern", "*", -1)).alias("tail"))
     hit = F.when(F.col("tail").isNull(), F.col("specifier") == F.col("pattern")).otherwise(
         F.startswith("specifier", "head") & F.endswith("specifier", "tail") & (F.length("specifier") >= F.length("head") + F.length("tail"))

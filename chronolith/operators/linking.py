@@ -47,16 +47,40 @@ def gate(claims: DataFrame, known: DataFrame, ceiling: float) -> DataFrame:
     return sound.select("claim_id", round2(F.least(F.lit(ceiling), F.col("confidence"))).alias("confidence"))
 
 
-def resolve_target(commits: DataFrame, files: DataFrame, symbols: DataFrame, inputs: list[str]) -> DataFrame:
-    """(kind, id) of all that the inputs may name: commits by hash prefix, files by path ending, symbols by name."""
-    path, sha = F.col("path"), F.col("sha")
-    any_of = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
-    hashes = commits.where(any_of(sha.startswith(i) for i in inputs if all(c in "0123456789abcdef" for c in i))).select(F.lit("commit").alias("kind"), "id")
-    ends = files.where(any_of((path == i) | path.endswith(f"/{i}") | path.endswith(f"_{i}") for i in inputs)).select(F.lit("file").alias("kind"), "id")
-    named = symbols.where(F.col("name").isin(inputs) | F.col("qualified_name").isin(inputs))
-    current = F.max("current").over(Window.partitionBy("name"))
-    named = named.withColumn("any", current).where("current OR NOT any").select(F.lit("symbol").alias("kind"), "id")
-    return hashes.unionByName(ends).unionByName(named)
+# What an input may look like.
+ISSUE_NUMBER, DEPENDENCY, SHA_PREFIX, FILE_SYMBOL = r"(?i)^(?:#|GH-)(\d+)$", r"^(npm|go|cargo|pypi):(.+)$", r"(?i)^[0-9a-f]{7,64}$", r"^(.+\.[A-Za-z0-9]+):([^/:]+)$"
+
+
+def resolve_targets(inputs: DataFrame, commits: DataFrame, files: DataFrame, symbols: DataFrame, discussions: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(input, kind, id, how) of all that each input may name, for many inputs at once.
+
+    ``inputs``: input; ``discussions``: type, id, number; ``dependencies``: id, ecosystem, name. #12
+    or GH-12 is an issue or pull request, npm:zod a dependency, seven hexadecimal digits or more a
+    commit, a path a file (either slash), path:Symbol a symbol of that file, anything else that
+    isn't one of these a symbol's name, where the one current definition wins over former ones.
+    Every rule that applies contributes; an empty input names nothing.
+    """
+    given = inputs.select("input", F.trim("input").alias("t")).where("t <> ''").distinct()
+    kinds = lambda df, kind, how: df.select("input", (kind if not isinstance(kind, str) else F.lit(kind)).alias("kind"), F.col("id"), F.lit(how).alias("how"))
+    t = F.col("t")
+    numbered = given.where(t.rlike(ISSUE_NUMBER)).withColumn("number", F.regexp_extract(t, ISSUE_NUMBER, 1).try_cast("long"))
+    found = [kinds(numbered.join(discussions.select("type", "id", F.col("number").try_cast("long").alias("number")).distinct(), "number"), F.col("type"), "issue or pull request number")]
+    named = given.where(t.rlike(DEPENDENCY)).withColumn("ecosystem", F.regexp_extract(t, DEPENDENCY, 1)).withColumn("name", F.regexp_extract(t, DEPENDENCY, 2))
+    found.append(kinds(named.join(dependencies, ["ecosystem", "name"]), "dependency", "dependency"))
+    # Prefixes and hashes meet by their first seven digits.
+    prefixes = given.where(t.rlike(SHA_PREFIX)).withColumn("head", F.lower(F.substring(t, 1, 7)))
+    hashed = commits.select("id", "sha", F.substring("sha", 1, 7).alias("head"))
+    found.append(kinds(prefixes.join(hashed, "head").where(F.startswith("sha", F.lower(t))), "commit", "commit sha prefix"))
+    slashed = lambda column: F.replace(column, F.lit("\\"), F.lit("/"))
+    found.append(kinds(given.withColumn("path", slashed(t)).join(files.select("id", "path"), "path"), "file", "file path"))
+    both = symbols.select("id", "file_id", "current", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("name"))
+    within = given.where(t.rlike(FILE_SYMBOL)).withColumn("path", slashed(F.regexp_extract(t, FILE_SYMBOL, 1))).withColumn("name", F.regexp_extract(t, FILE_SYMBOL, 2))
+    found.append(kinds(within.join(files.select(F.col("id").alias("file_id"), "path"), "path").join(both, ["file_id", "name"]), "symbol", "symbol in file"))
+    free = given.where(~t.rlike(FILE_SYMBOL) & ~t.rlike(ISSUE_NUMBER) & ~t.rlike(DEPENDENCY)).withColumnRenamed("t", "name")
+    current = both.where("current").groupBy("name").agg(F.count("*").alias("n"))
+    matched = free.join(both, "name").join(current, "name", "left")
+    found.append(kinds(matched.where("current OR n IS NULL OR n <> 1"), "symbol", "symbol name"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 #: Days for which a lookup that found nothing isn't made again.

@@ -25,6 +25,12 @@ def search_files(files: DataFrame, part: str, limit: int = LIMIT) -> DataFrame:
     return files.where(F.lower("path").contains(part.lower())).orderBy("deleted", "path").limit(limit)
 
 
+def dependencies_by_name(dependencies: DataFrame, name: str, ecosystem: str | None = None, limit: int = LIMIT) -> DataFrame:
+    """Dependencies of that very name, of one ecosystem or of all, in order of ecosystem and id."""
+    found = dependencies.where(F.col("name") == name)
+    return (found.where(F.col("ecosystem") == ecosystem) if ecosystem else found).orderBy("ecosystem", "id").limit(limit)
+
+
 def recent_commits(commits: DataFrame, limit: int = LIMIT) -> DataFrame:
     return commits.orderBy(F.desc("committed_at"), F.desc("id")).limit(limit)
 

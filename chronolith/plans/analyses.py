@@ -14,6 +14,8 @@ from .registry import register
 RANKABLE_SQL = f"NOT {TEST_SQL} AND NOT {GENERATED_SQL} AND {CODE_SQL}"
 ROUND3 = "floor(({}) * 1000 + 0.5) / 1000"
 
+#: Levels of renames that the SQL spells out; the operators follow renames to their end.
+SQL_LEVELS = 6
 #: Rename lineage, level by level; a file's first bound counts.
 LINEAGE_CTES = ",\n".join(
     [
@@ -23,9 +25,9 @@ LINEAGE_CTES = ",\n".join(
             f"l{k} AS (SELECT root, previous AS file_id, renamed_at AS until FROM (SELECT l.root, r.previous, r.renamed_at, row_number() OVER (PARTITION BY l.root, r.previous ORDER BY r.renamed_at, r.change_id) AS n"
             f" FROM l{k - 1} l JOIN renames r ON l.file_id = r.file_id AND (l.until IS NULL OR r.renamed_at <= l.until)) x WHERE n = 1"
             f" AND NOT EXISTS (SELECT 1 FROM ({' UNION ALL '.join(f'SELECT root, file_id FROM l{j}' for j in range(k))}) s WHERE s.root = x.root AND s.file_id = x.previous))"
-            for k in range(1, activity.RENAME_HOPS + 1)
+            for k in range(1, SQL_LEVELS + 1)
         ],
-        f"lineage AS ({' UNION ALL '.join(f'SELECT * FROM l{k}' for k in range(activity.RENAME_HOPS + 1))})",
+        f"lineage AS ({' UNION ALL '.join(f'SELECT * FROM l{k}' for k in range(SQL_LEVELS + 1))})",
         "content AS (SELECT l.root, f.path, c.commit_id, c.additions, c.deletions, c.committed_at FROM lineage l JOIN dated_changes c ON l.file_id = c.file_id AND (l.until IS NULL OR c.committed_at <= l.until) JOIN files f ON f.id = l.root WHERE NOT (c.status = 'renamed' AND coalesce(c.additions, 0) + coalesce(c.deletions, 0) = 0))",
         "activity AS (SELECT root AS file_id, path, count(DISTINCT commit_id) AS commits, cast(sum(CASE WHEN additions IS NULL THEN 0 ELSE additions + coalesce(deletions, 0) END) AS bigint) AS churn, count(*) FILTER (additions IS NULL) AS binary_changes, max(committed_at) AS last_changed_at FROM content GROUP BY 1, 2)",
     ]
@@ -343,11 +345,11 @@ def top_owners(h: History) -> DataFrame:
     return files.orderBy(F.desc("at_risk"), F.desc("churn"), "path").limit(20)
 
 
-@register("a21_change_report", "SELECT c.commit_id, count(DISTINCT c.file_id) AS files, max(s.score) AS top_score, min(s.place) AS top_place FROM changes c JOIN (SELECT file_id, score, row_number() OVER (ORDER BY score DESC, commits DESC, path) AS place FROM scored) s ON s.file_id = c.file_id WHERE c.commit_id % 50 = 0 GROUP BY c.commit_id", HOTSPOT_CTES, recursive=True)
+@register("a21_change_report", "SELECT c.commit_id, count(DISTINCT c.file_id) AS files, max(s.score) AS top_score, min(s.place) AS top_place FROM changes c JOIN (SELECT file_id, score, row_number() OVER (ORDER BY score DESC, commits DESC, path) AS place FROM scored) s ON s.file_id = c.file_id GROUP BY c.commit_id", HOTSPOT_CTES, recursive=True)
 def change_report(h: History) -> DataFrame:
-    """For a range of commits: how the files they change rank among the hotspots."""
+    """For every commit: how the files it changes rank among the hotspots."""
     table = _hotspots(h)
-    wanted = h.changes.where("commit_id % 50 = 0").select("commit_id", "file_id")
+    wanted = h.changes.select("commit_id", "file_id")
     # A file's place is one more than the files ahead of it; counted by score first, so that only
     # files of equal score are numbered together.
     ahead = table.groupBy("score").agg(F.count("*").alias("n"))

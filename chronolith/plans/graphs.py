@@ -216,9 +216,3 @@ def answer_gate(h: History) -> DataFrame:
     cited = F.when(F.col("commit_id") % 5 == 0, F.array().cast("array<bigint>")).otherwise(F.array("commit_id"))
     claims = h.discussions.select(F.col("commit_id").alias("claim_id"), F.col("confidence").cast("double").alias("confidence"), cited.alias("cited"))
     return linking.gate(claims, h.commits.where(F.col("subject").contains("e")).select("id"), 0.6)
-
-
-@register("q6_resolve_target", "SELECT 'commit' AS kind, id FROM commits WHERE starts_with(sha, 'ab') UNION ALL SELECT 'file', id FROM files WHERE path LIKE '%\\_ab' ESCAPE '\\' UNION ALL SELECT 'symbol', id FROM symbols WHERE current AND (name = 'fn_2' OR qualified_name = 'fn_2')")
-def resolve_target(h: History) -> DataFrame:
-    """Every rule that an input fits contributes; current definitions win over historical ones."""
-    return linking.resolve_target(h.commits, h.files, h.symbols, ["ab", "fn_2"])

@@ -120,9 +120,9 @@ def places(h: History) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "commit_id")))
 
 
-@register("w4_reworked_since", "SELECT f.file_id, count(*) FILTER (c.commit_id > f.latest) AS later FROM (SELECT file_id, max(commit_id) AS latest FROM changes WHERE commit_id % 6 = 0 GROUP BY file_id) f JOIN changes c USING (file_id) GROUP BY f.file_id HAVING count(*) FILTER (c.commit_id > f.latest) < 3")
+@register("w4_reworked_since", "SELECT f.file_id, count(*) FILTER (c.commit_id > f.latest) AS later FROM (SELECT file_id, max(commit_id) AS latest FROM changes WHERE commit_id IN (SELECT id FROM commits WHERE subject LIKE 'Add %') GROUP BY file_id) f JOIN changes c USING (file_id) GROUP BY f.file_id HAVING count(*) FILTER (c.commit_id > f.latest) < 3")
 def reworked(h: History) -> DataFrame:
-    flagged = h.changes.where("commit_id % 6 = 0").groupBy("file_id").agg(F.max("commit_id").alias("latest"))
+    flagged = h.changes.join(h.commits.where("subject LIKE 'Add %'").select(F.col("id").alias("commit_id")), "commit_id", "left_semi").groupBy("file_id").agg(F.max("commit_id").alias("latest"))
     return h.changes.select("file_id", "commit_id").join(flagged, "file_id").groupBy("file_id").agg(F.count_if(F.col("commit_id") > F.col("latest")).alias("later")).where("later < 3")
 
 

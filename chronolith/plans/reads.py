@@ -145,12 +145,12 @@ def identical_texts(h: History) -> DataFrame:
 @register("j7_identical_symbols", """
 SELECT symbol_id, commit_id, copied_from FROM (
 SELECT a.symbol_id, a.commit_id, b.symbol_id AS copied_from, row_number() OVER (PARTITION BY a.symbol_id, a.commit_id ORDER BY b.commit_id DESC, b.symbol_id DESC) AS n
-FROM (SELECT v.*, s.file_id, s.name, s.kind FROM symbol_versions v JOIN symbols s ON v.symbol_id = s.id WHERE s.kind = 'method') a
-JOIN (SELECT v.*, s.file_id, s.name, s.kind FROM symbol_versions v JOIN symbols s ON v.symbol_id = s.id WHERE s.kind = 'method') b
+FROM (SELECT v.*, s.file_id, s.name, s.kind FROM symbol_versions v JOIN symbols s ON v.symbol_id = s.id WHERE s.kind <> 'variable') a
+JOIN (SELECT v.*, s.file_id, s.name, s.kind FROM symbol_versions v JOIN symbols s ON v.symbol_id = s.id WHERE s.kind <> 'variable') b
   ON a.content_hash = b.content_hash AND a.name = b.name AND a.kind = b.kind AND a.file_id <> b.file_id
   AND (b.commit_id < a.commit_id OR b.commit_id = a.commit_id AND b.symbol_id < a.symbol_id)) x WHERE n = 1""")
 def identical_symbols(h: History) -> DataFrame:
-    return search.identical_symbols(h.symbol_versions, h.symbols.where("kind = 'method'"))
+    return search.identical_symbols(h.symbol_versions, h.symbols.where("kind <> 'variable'"))
 
 
 @register("j10_cited_evidence", "SELECT DISTINCT e AS evidence_id FROM (SELECT unnest([commit_id, commit_id + 1]) AS e FROM discussions) x WHERE e IN (SELECT id FROM commits)")
@@ -191,12 +191,12 @@ def covered_lines(h: History) -> DataFrame:
 
 @register("j16_import_candidates", """
 SELECT p.page_id, p.link, arg_min(f.page_id, c.place * 1000000000 + f.page_id) AS target
-FROM (SELECT DISTINCT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) AS link FROM pages) q WHERE page_id % 5 = 0) p
+FROM (SELECT DISTINCT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) AS link FROM pages) q) p
 JOIN (SELECT 0 AS place, '' AS tail UNION ALL SELECT 1, '/' UNION ALL SELECT 2, '.') c ON true
 JOIN (SELECT page_id, regexp_extract(html, '<nav><ul><li><a href="/([^"]+)"', 1) AS path FROM pages) f ON f.path = p.link || c.tail GROUP BY 1, 2""")
 def import_candidates(h: History) -> DataFrame:
     """Links of pages resolved like imports: candidate paths in order, the first that exists wins."""
-    links = h.pages.where("page_id % 5 = 0").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1))).alias("link")).distinct()
+    links = h.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1))).alias("link")).distinct()
     known = h.pages.select(F.col("page_id").alias("target"), F.regexp_extract("html", '<nav><ul><li><a href="/([^"]+)"', 1).alias("path"))
     tried = links.select("page_id", "link", F.posexplode(F.array("link", F.concat("link", F.lit("/")), F.concat("link", F.lit(".")))).alias("place", "path"))
     return search.first_existing(tried, known, ["page_id", "link"])

@@ -14,8 +14,10 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Loops write checkpoints: to spark.checkpoint.dir, or to a fresh folder where it is unset (tests)."""
+    """Loops write checkpoints: to spark.checkpoint.dir, or to a fresh folder where it is unset and all runs on one machine (tests)."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return spark
 

@@ -59,6 +59,9 @@ SELECT l_orderkey * 10000000 + l_partkey AS id, l_orderkey AS commit_id, l_partk
   CASE WHEN l_orderkey % 58 = 0 THEN 0 WHEN (l_orderkey + l_partkey) % 23 = 0 THEN NULL ELSE cast(sum(l_quantity) AS bigint) END AS additions,
   CASE WHEN l_orderkey % 58 = 0 THEN 0 WHEN (l_orderkey + l_partkey) % 23 = 0 THEN NULL ELSE cast(floor(sum(l_quantity) / 4) AS bigint) END AS deletions
 FROM lineitem GROUP BY l_orderkey, l_partkey""",
+    "dependencies": """
+SELECT min(p_partkey) AS id, CASE p_partkey % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'go' WHEN 2 THEN 'cargo' ELSE 'pypi' END AS ecosystem, concat(replace(p_name, ' ', '-'), '-', cast(p_size AS string)) AS name
+FROM part GROUP BY CASE p_partkey % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'go' WHEN 2 THEN 'cargo' ELSE 'pypi' END, concat(replace(p_name, ' ', '-'), '-', cast(p_size AS string))""",
     "dated_changes": """
 SELECT c.id, c.commit_id, c.file_id, c.status, c.previous_file_id, c.additions, c.deletions, m.committed_at
 FROM changes c JOIN commits m ON c.commit_id = m.id""",

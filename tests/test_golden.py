@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.functions import levels, paths, text
-from chronolith.operators import activity, graph, intent, people
+from chronolith.operators import activity, commit_graph, graph, intent, linking, people
 from chronolith.plans.registry import ready
 from chronolith.sources import repository
 from chronolith.streaming import ingest
@@ -228,3 +228,41 @@ def test_traversal_without_caps_keeps_every_path(spark):
     relations = spark.range(10_500).selectExpr("id", "'MODIFIES' AS relation", "'commit' AS source_type", "id AS source_id", "'file' AS target_type", "1L AS target_id", "1.0D AS confidence", "'FACT' AS level")
     starts = spark.createDataFrame([("file:1",)], "key string")
     assert graph.traverse(starts, relations, "history", max_depth=1).count() == 10_500
+
+
+def test_targets_by_every_rule(spark):
+    commits = spark.createDataFrame([(1, "abcdef1234567890"), (2, "abcdef9999999999")], "id long, sha string")
+    files = spark.createDataFrame([(1, "src/a.ts"), (2, "src/b.ts")], "id long, path string")
+    symbols = spark.createDataFrame([(1, 1, "vat", "Tax.vat", True), (2, 2, "vat", "vat", False), (3, 1, "sum", "sum", True), (4, 2, "sum", "sum", True), (5, 2, "old", "old", False)], "id long, file_id long, name string, qualified_name string, current boolean")
+    talks = spark.createDataFrame([("issue", 7, 12), ("pull_request", 9, 12)], "type string, id long, number long")
+    needs = spark.createDataFrame([(3, "npm", "zod"), (4, "go", "zod")], "id long, ecosystem string, name string")
+    asked = ["#12", "GH-12", "npm:zod", "ABCDEF1", "abcdef12", "ab", "", "  ", "src\\a.ts", "src/b.ts:vat", "vat", "sum", "old", "Tax.vat"]
+    found = linking.resolve_targets(spark.createDataFrame([(a,) for a in asked], "input string"), commits, files, symbols, talks, needs)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.input, set()).add((r.kind, r.id))
+    assert got == {
+        "#12": {("issue", 7), ("pull_request", 9)}, "GH-12": {("issue", 7), ("pull_request", 9)}, "npm:zod": {("dependency", 3)}, "ABCDEF1": {("commit", 1)}, "abcdef12": {("commit", 1)}, "src\\a.ts": {("file", 1)},
+        "src/b.ts:vat": {("symbol", 2)}, "vat": {("symbol", 1)}, "sum": {("symbol", 3), ("symbol", 4)}, "old": {("symbol", 5)}, "Tax.vat": {("symbol", 1)},
+    }
+
+
+def test_importers_that_name_other_things_are_skipped(spark):
+    symbols = spark.createDataFrame([(1, 10, "f"), (2, 10, "C.m")], "id long, file_id long, qualified_name string")
+    defined = spark.createDataFrame([(10, "f"), (10, "C"), (10, "C.m")], "file_id long, qualified_name string")
+    edges = spark.createDataFrame([(s, 10) for s in range(20, 26)] + [(10, 10)], "source long, target long")
+    names = spark.createDataFrame([(20, 10, "f"), (21, 10, "C"), (22, 10, "*"), (23, 10, "alias"), (24, 10, "f"), (24, 10, "C.m")], "source long, target long, imported string")
+    uses = {(r.id, r.node): r.uses for r in graph.symbol_importers(symbols, edges, names, defined).collect()}
+    assert {n for (i, n), u in uses.items() if i == 1 and u} == {20, 22, 23, 24, 25} and {n for (i, n), u in uses.items() if i == 2 and u} == {21, 22, 23, 24, 25}
+    callers = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "root long, node long, distance int")
+    told = {r.id: r for r in graph.symbol_impact(symbols, callers, spark.createDataFrame([(1, 20, True, True), (1, 21, False, False)], "id long, node long, uses boolean, is_test boolean")).collect()}
+    assert told[1].answer == "1 caller calls it directly and 1 through other calls. 1 file imports the file that defines it (1 of them tests)." and told[1].skipped == 1
+    assert told[2].answer == "No call to it was resolved. Nothing in the index depends on it."
+
+
+def test_index_freshness(spark):
+    ready(spark)
+    places, cross = commit_graph.commit_graph(spark.createDataFrame([(i, i) for i in range(1, 6)], "commit_id long, number long"), spark.createDataFrame([(2, 1, 0), (3, 2, 0), (4, 2, 0), (5, 4, 0)], "commit_id long, parent_id long, ordinal int"))
+    cases = [(5, 5, "current"), (None, 5, "unindexed"), (2, 5, "behind"), (3, 5, "diverged"), (99, 5, "unknown"), (3, None, "diverged"), (None, None, "current")]
+    frame = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, indexed long, head long")
+    assert {r.k: r.freshness for r in commit_graph.index_freshness(frame, places, cross).collect()} == {k: c[2] for k, c in enumerate(cases)}
