@@ -124,14 +124,16 @@ def _followed(at: DataFrame, steps: DataFrame, hubs: DataFrame, max_fan_out: int
     return left.select("start", F.concat(F.col("relation"), F.lit(" ("), F.col("direction"), F.lit(") from "), F.col("from_key"), F.lit(f": followed {max_fan_out} of "), F.col("of").cast("string")).alias("cut"))
 
 
-def dependents(edges: DataFrame, max_depth: int = 5) -> DataFrame:
+def dependents(edges: DataFrame, max_depth: int = 5, roots: DataFrame | None = None) -> DataFrame:
     """(root, node, distance, confidence): shortest, then most confident route to each importer.
 
-    ``edges``: source, target, confidence. A level keeps the best route to each new node, which is
+    ``edges``: source, target, confidence; ``roots`` (root): only these are looked at, else all. A level keeps the best route to each new node, which is
     what the best route of the next level must continue.
     """
     best = edges.where("source <> target").groupBy(F.col("target").alias("at"), F.col("source").alias("next")).agg(F.max("confidence").alias("c"))
     seen = frontier = best.select(F.col("at").alias("root"), F.col("next").alias("node"), F.lit(1).alias("distance"), F.col("c").cast("double").alias("confidence"))
+    if roots is not None:
+        seen = frontier = seen.join(roots.select("root").distinct(), "root", "left_semi").checkpoint()
     for depth in range(2, max_depth + 1):
         step = frontier.join(best, frontier["node"] == best["at"]).where("root <> next")
         step = step.groupBy("root", F.col("next").alias("node")).agg(F.max(F.col("confidence") * F.col("c")).alias("confidence"))

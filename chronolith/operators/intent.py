@@ -52,6 +52,31 @@ def touched_symbols(symbols: DataFrame, versions: DataFrame, relations: DataFram
     return table.select("id", change.alias("change"), F.coalesce("callers", F.lit(0)).alias("callers"))
 
 
+# The order in which kinds of change are shown.
+TOUCH_ORDER = ("new", "renamed", "moved", "copied", "changed")
+
+
+def top_touched(touched: DataFrame, places: DataFrame, covered: DataFrame, limit: int) -> DataFrame:
+    """``touched`` (id, change, ...) with path, start_line and share: new symbols first, then the least covered, by path and line.
+
+    ``places``: id, path, start_line; ``covered``: id, found, hit. What no report covers comes last of its kind.
+    """
+    kind = F.array_position(F.array(*map(F.lit, TOUCH_ORDER)), F.col("change"))
+    rows = touched.join(places, "id").join(covered.where("found > 0").select("id", (F.col("hit") / F.col("found")).alias("share")), "id", "left")
+    return rows.orderBy(kind, F.coalesce("share", F.lit(2.0)), "path", "start_line", "id").limit(limit)
+
+
+def changed_by_impact(changed: DataFrame, edges: DataFrame, limit: int = 25) -> DataFrame:
+    """path and impact of the first ``limit`` changed files by path, those with most dependents first.
+
+    ``changed``: file_id, path; ``edges``: source, target, confidence. Only what is shown is traced.
+    """
+    shown = changed.distinct().orderBy("path").limit(limit).checkpoint()
+    reached = graph.dependents(edges, roots=shown.select(F.col("file_id").alias("root")))
+    sizes = reached.groupBy(F.col("root").alias("file_id")).agg(F.count("*").alias("impact"))
+    return shown.join(sizes, "file_id", "left").select("path", F.coalesce("impact", F.lit(0)).alias("impact")).orderBy(F.desc("impact"), "path")
+
+
 def symbol_stories(versions: DataFrame, commits: DataFrame, defects: DataFrame, names: DataFrame, persons: DataFrame, calls: DataFrame, owners: int = 3) -> DataFrame:
     """(symbol_id, changes, authors, fixes, callers, owners, first_day, last_day).
 

@@ -288,6 +288,29 @@ def touched(h: History) -> DataFrame:
     return intent.touched_symbols(h.symbols.where("current AND kind <> 'variable'"), h.symbol_versions, h.relations, in_range)
 
 
+@register("o10_touched_order", """
+SELECT t.id, t.change, f.path, s.start_line, hit / found AS share FROM (
+SELECT v.symbol_id AS id, CASE WHEN bool_and(v.commit_id % 10 = 0) THEN CASE WHEN v.symbol_id IN (SELECT source_id FROM relations WHERE relation = 'COPIED_FROM') THEN 'copied' ELSE 'new' END ELSE 'changed' END AS change FROM symbol_versions v GROUP BY v.symbol_id HAVING bool_or(v.commit_id % 10 = 0)) t
+JOIN symbols s ON s.id = t.id AND s.current AND s.kind <> 'variable' JOIN files f ON f.id = s.file_id
+LEFT JOIN (SELECT s.id, len(list_filter(range(1, v.n_found * 3, 3), lambda x: x BETWEEN s.start_line AND s.end_line)) AS found, len(list_filter(range(1, v.n_found * 3, 3), lambda x: x BETWEEN s.start_line AND s.end_line AND x % v.step <> 0)) AS hit FROM symbols s JOIN line_coverage v USING (file_id) WHERE v.fresh) c ON c.id = t.id AND c.found > 0
+ORDER BY CASE change WHEN 'new' THEN 0 WHEN 'copied' THEN 3 ELSE 4 END, coalesce(hit / found, 2), f.path, s.start_line, t.id LIMIT 500""")
+def touched_order(h: History) -> DataFrame:
+    """Symbols that every tenth commit touches, as the report shows them."""
+    lines = h.line_coverage.where("fresh").select("file_id", "step", F.sequence(F.lit(1), F.col("n_found") * 3 - 1, F.lit(3)).alias("lines"))
+    inside = h.symbols.join(lines, "file_id").withColumn("inside", F.expr("filter(lines, x -> x BETWEEN start_line AND end_line)"))
+    covered = inside.select("id", F.size("inside").alias("found"), F.expr("size(filter(inside, x -> x % step <> 0))").alias("hit"))
+    places = h.symbols.join(h.files.select(F.col("id").alias("file_id"), "path"), "file_id").select("id", "path", "start_line")
+    return intent.top_touched(touched(h).drop("callers"), places, covered, 500)
+
+
+@register("o9_changed_by_impact", "SELECT path, count(DISTINCT w.node) AS impact FROM (SELECT DISTINCT f.id, f.path FROM changes c JOIN files f ON f.id = c.file_id WHERE c.commit_id > (SELECT max(id) - 100 FROM commits) ORDER BY f.path LIMIT 25) c LEFT JOIN reached w ON w.root = c.id GROUP BY c.id, path", reach_ctes("SELECT source, target FROM imports"), recursive=True)
+def changed_by_impact(h: History) -> DataFrame:
+    """Files of the last hundred commits: the first 25 by path, those that most depend on first."""
+    last = h.commits.agg((F.max("id") - 100).alias("since"))
+    changed = h.changes.join(F.broadcast(last), F.col("commit_id") > F.col("since")).select("file_id").distinct().join(h.files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    return intent.changed_by_impact(changed, h.imports.select("source", "target").distinct().withColumn("confidence", F.lit(1.0)))
+
+
 #: Stories by ``key`` over rows (key, commit_id) and calls (key, caller).
 STORY_SQL = """SELECT key AS {name}, sum(n)::BIGINT AS changes, count(*) AS authors, sum(fix)::BIGINT AS fixes, coalesce(any_value(callers), 0) AS callers, string_agg(person || ' ' || share, '; ' ORDER BY place) FILTER (place <= 3) AS owners, strftime(min(first_at), '%Y-%m-%d') AS first_day, strftime(max(last_at), '%Y-%m-%d') AS last_day
 FROM (SELECT b.*, p.person, floor(b.n / sum(b.n) OVER (PARTITION BY b.key) * 1000 + 0.5) / 1000 AS share, row_number() OVER (PARTITION BY b.key ORDER BY b.n DESC, p.person, b.person_key) AS place FROM (
