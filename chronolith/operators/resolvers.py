@@ -277,3 +277,93 @@ def ecmascript_imports(imports: DataFrame, files: DataFrame, configs: DataFrame,
     pick = lambda k: reduce(lambda c, case: c.when(case[0], case[k] if isinstance(case[k], Column) else F.lit(case[k])), cases, F)
     parts.append(result(all_, pick(1), pick(2), pick(3), pick(4)))
     return reduce(DataFrame.unionByName, parts)
+
+
+# Languages whose imports name paths from a source root that nothing declares
+
+#: How sure a file is that was found by the end of its path.
+INFERRED_ROOT = 0.9
+# Names that belong to the platform.
+JAVA_PLATFORM, CSHARP_PLATFORM = r"^(java|javax|jdk|sun|com\.sun|org\.w3c|org\.xml)\.", r"^(System|Microsoft)(\.|$)"
+# The standard library of Ruby.
+RUBY_LIBRARY = (
+    "abbrev", "base64", "benchmark", "bigdecimal", "cgi", "csv", "date", "delegate", "digest", "English", "erb", "etc", "fileutils", "find", "forwardable", "io/console", "ipaddr", "json", "logger",
+    "monitor", "net/http", "objspace", "observer", "open-uri", "open3", "openssl", "optparse", "ostruct", "pathname", "pp", "prettyprint", "pstore", "psych", "rbconfig", "securerandom", "set", "shellwords",
+    "singleton", "socket", "stringio", "strscan", "tempfile", "time", "timeout", "tmpdir", "tsort", "uri", "weakref", "yaml", "zlib",
+)
+
+
+def endings(rows: DataFrame, column: str) -> DataFrame:
+    """(suffix, n, found): every ending of the paths at a slash, how many paths have it, and the first."""
+    parts = F.split(column, "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "/"))
+    return rows.select(F.col(column).alias("found"), F.explode(ends).alias("suffix")).groupBy("suffix").agg(F.count("*").alias("n"), F.min("found").alias("found"))
+
+
+def suffix_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(import_id, kind, targets, confidence, method, reason) of Java, C#, Ruby and PHP imports.
+
+    ``imports``: import_id, path, language, form, specifier. A class or a required file is the one
+    file whose path ends so; several are no answer. A Java package is all files of the one directory,
+    an inner class its outer one's file; Ruby prefers a lib folder; PHP drops leading namespaces
+    until a file is found. Relative paths are looked up as they are.
+    """
+    ext = {"java": ".java", "ruby": ".rb", "php": ".php"}
+    wanted = files.where(F.regexp_extract("path", r"\.[^./]+$", 0).isin(*ext.values())).select("path").distinct().checkpoint()
+    index = endings(wanted, "path").checkpoint()
+    spec = F.col("specifier")
+    none = F.lit(None).cast("string")
+
+    def given(df: DataFrame, found: Column, confidence: float, method: Column | str, reason: Column) -> DataFrame:
+        """``found``: array of paths, null where there is none."""
+        hit = found.isNotNull()
+        return df.select("import_id", F.when(hit, "files").otherwise("unresolved").alias("kind"), found.alias("targets"), F.when(hit, confidence).alias("confidence"), F.when(hit, method if isinstance(method, Column) else F.lit(method)).alias("method"), F.when(~hit, reason).alias("reason"))
+
+    def builtin(df: DataFrame) -> DataFrame:
+        return df.select("import_id", F.lit("builtin").alias("kind"), F.lit(None).cast("array<string>").alias("targets"), F.lit(None).cast("double").alias("confidence"), none.alias("method"), none.alias("reason"))
+
+    def by_ending(df: DataFrame, tried: Column, several: Column, missing: Column, method: str, sure_only: int = 0) -> DataFrame:
+        """The first ending that a file has decides; the first ``sure_only`` endings count only for one file."""
+        each = df.select("import_id", F.posexplode(tried).alias("place", "suffix")).join(index, "suffix").where((F.col("place") >= sure_only) | (F.col("n") == 1))
+        best = each.groupBy("import_id").agg(F.min_by(F.struct("n", "found"), "place").alias("b"))
+        rows = df.join(best, "import_id", "left")
+        return given(rows, F.when(F.col("b.n") == 1, F.array("b.found")), INFERRED_ROOT, method, F.when(F.col("b").isNull(), missing).otherwise(several))
+
+    def by_path(df: DataFrame, tried: Column, method: str, missing: str) -> DataFrame:
+        each = df.select("import_id", F.posexplode(tried).alias("place", "path")).join(wanted, "path").groupBy("import_id").agg(F.min_by("path", "place").alias("found"))
+        rows = df.join(each, "import_id", "left")
+        return given(rows, F.when(F.col("found").isNotNull(), F.array("found")), 1.0, method, F.lit(missing))
+
+    at = paths.directory(F.col("path"))
+    java = imports.where("language = 'java'")
+    platform = java.where(spec.rlike(JAVA_PLATFORM))
+    package = java.where(~spec.rlike(JAVA_PLATFORM) & spec.endswith(".*")).withColumn("suffix", F.replace(F.regexp_replace("specifier", r"\.\*$", ""), F.lit("."), F.lit("/")))
+    held = wanted.where(F.col("path").endswith(".java")).groupBy(paths.directory(F.col("path")).alias("dir")).agg(F.array_sort(F.collect_list("path")).alias("held"))
+    folders = endings(held.select("dir"), "dir")
+    package = package.join(folders, "suffix", "left").join(held.withColumnRenamed("dir", "found"), "found", "left")
+    parts = [
+        builtin(platform),
+        given(package, F.when(F.col("n") == 1, F.col("held")), INFERRED_ROOT, "java-package", F.when(F.col("n") > 1, F.concat(F.lit("package "), spec, F.lit(" matches several directories"))).otherwise(F.concat(F.lit("no package directory for "), spec))),
+    ]
+    names = F.split("specifier", r"\.")
+    outer = F.when(F.size(names) > 1, F.concat(F.array_join(F.slice(names, F.lit(1), F.greatest(F.size(names) - 1, F.lit(1))), "/"), F.lit(".java")))
+    classes = java.where(~spec.rlike(JAVA_PLATFORM) & ~spec.endswith(".*"))
+    parts.append(by_ending(classes, F.array_compact(F.array(F.concat(F.array_join(names, "/"), F.lit(".java")), outer)), F.concat(F.lit("class "), spec, F.lit(" matches several files")), F.concat(F.lit("class "), spec, F.lit(" is not in this repository")), "java-class-path"))
+
+    csharp = imports.where("language = 'csharp'")
+    parts += [builtin(csharp.where(spec.rlike(CSHARP_PLATFORM))), given(csharp.where(~spec.rlike(CSHARP_PLATFORM)), F.lit(None).cast("array<string>"), 0.0, "", F.lit("C# namespaces are not tied to files"))]
+
+    ruby = imports.where("language = 'ruby'").withColumn("bare", F.regexp_replace("specifier", r"\.rb$", ""))
+    near = F.col("bare").rlike(r"^\.\.?/")
+    file = F.concat("bare", F.lit(".rb"))
+    parts += [by_path(ruby.where(near), F.array(joined_path(at, file)), "ruby-require-relative", "no file matches the relative require"), builtin(ruby.where(~near & F.col("bare").isin(*RUBY_LIBRARY)))]
+    loaded = ruby.where(~near & ~F.col("bare").isin(*RUBY_LIBRARY))
+    parts.append(by_ending(loaded, F.array(F.concat(F.lit("lib/"), file), file), F.concat(file, F.lit(" matches several files")), F.concat("bare", F.lit(" is not a file in this repository (a gem?)")), "ruby-load-path", sure_only=1))
+
+    php = imports.where("language = 'php'")
+    required = F.array_compact(F.array(joined_path(at, spec), F.when(~spec.startswith("."), joined_path(F.lit(""), spec))))
+    parts.append(by_path(php.where("form = 'require'"), required, "php-require", "no file matches the required path"))
+    spaces = F.split(F.regexp_replace("specifier", r"^\\", ""), r"\\")
+    tried = F.transform(F.sequence(F.size(spaces), F.lit(1), F.lit(-1)), lambda n: F.concat(F.array_join(F.slice(spaces, -n, n), "/"), F.lit(".php")))
+    parts.append(by_ending(php.where("form <> 'require'"), tried, F.concat(F.lit("class "), spec, F.lit(" matches several files")), F.concat(F.lit("class "), spec, F.lit(" is not in this repository")), "php-class-path"))
+    return reduce(DataFrame.unionByName, parts)

@@ -115,3 +115,26 @@ def call_edges(h: History) -> DataFrame:
     bindings = h.import_bindings.withColumn("targets", F.array("target"))
     found = call_graph.call_edges(calls, h.symbols.where("current"), bindings, h.checked_calls)
     return found.withColumn("confidence", F.floor(F.col("confidence") * 1000000 + 0.5) / 1000000)
+
+
+SUFFIX_FILES = f"""SELECT DISTINCT concat('m', CASE WHEN t = 'economy' THEN '0' ELSE cast(b % 3 AS string) END, '/src/com/', t, '/', w, '.java') AS path FROM ({_PART}) p
+UNION SELECT concat(CASE WHEN b % 2 = 0 THEN 'lib/' ELSE 'app/' END, t, '/', w, '.rb') FROM ({_PART}) q UNION SELECT concat('src', cast(b % 2 AS string), '/', t, '/', w, '.php') FROM ({_PART}) r"""
+_TARGET = f"SELECT DISTINCT l_linenumber AS k, p.t, p.w FROM lineitem JOIN ({_PART}) p ON p.id = CASE WHEN l_suppkey % 2 = 0 THEN l_partkey ELSE l_suppkey END"
+SUFFIX_IMPORTS = f"""SELECT DISTINCT concat(language, ' ', specifier) AS import_id, 'x/y' AS path, language, 'use' AS form, specifier, k, t, CASE WHEN k = 3 THEN '' ELSE w END AS w FROM (
+SELECT k, t, w, CASE WHEN k <= 3 THEN 'java' WHEN k <= 5 THEN 'ruby' ELSE 'php' END AS language,
+  CASE k WHEN 1 THEN concat('com.', t, '.', w) WHEN 2 THEN concat('com.', t, '.', w, '.Inner') WHEN 3 THEN concat('com.', t, '.*') WHEN 4 THEN concat(t, '/', w) WHEN 5 THEN concat(t, '/', w, '.rb') ELSE concat('App', chr(92), t, chr(92), w) END AS specifier FROM ({_TARGET}) x WHERE k <= 6) i"""
+
+
+@register("e16_suffix_imports", """
+SELECT import_id, CASE WHEN target IS NULL THEN 'unresolved' ELSE 'files' END AS kind, target FROM (
+SELECT i.import_id, CASE k WHEN 1 THEN j.one WHEN 2 THEN j.one WHEN 3 THEN d.held WHEN 6 THEN h.one ELSE coalesce(l.path, CASE WHEN r.n = 1 THEN r.path END) END AS target FROM imp i
+LEFT JOIN (SELECT t, w, CASE WHEN count(*) = 1 THEN min(path) END AS one FROM fl WHERE path LIKE '%.java' GROUP BY 1, 2) j ON j.t = i.t AND j.w = i.w
+LEFT JOIN (SELECT t, CASE WHEN count(DISTINCT root) = 1 THEN string_agg(path, ';' ORDER BY path) END AS held FROM fl WHERE path LIKE '%.java' GROUP BY t) d ON d.t = i.t
+LEFT JOIN (SELECT t, w, CASE WHEN count(*) = 1 THEN min(path) END AS one FROM fl WHERE path LIKE '%.php' GROUP BY 1, 2) h ON h.t = i.t AND h.w = i.w
+LEFT JOIN (SELECT t, w, path FROM fl WHERE path LIKE 'lib/%') l ON l.t = i.t AND l.w = i.w
+LEFT JOIN (SELECT t, w, count(*) AS n, min(path) AS path FROM fl WHERE path LIKE '%.rb' GROUP BY 1, 2) r ON r.t = i.t AND r.w = i.w) x""", f"""raw AS ({SUFFIX_FILES}),
+fl AS (SELECT path, split_part(path, '/', 1) AS root, string_split(path, '/')[-2] AS t, regexp_replace(string_split(path, '/')[-1], '\\.[a-z]+$', '') AS w FROM raw), imp AS ({SUFFIX_IMPORTS})""")
+def suffix_imports(h: History) -> DataFrame:
+    """Java classes, inner classes and packages, Ruby and PHP files by the ends of their paths."""
+    rows = spark_sql(h, SUFFIX_IMPORTS).select("import_id", "path", "language", "form", "specifier").distinct()
+    return resolvers.suffix_imports(rows, spark_sql(h, SUFFIX_FILES)).select("import_id", "kind", F.array_join("targets", ";").alias("target"))

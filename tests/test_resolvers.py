@@ -97,3 +97,23 @@ def test_configuration_text():
     assert resolvers.parse_config('{"a": "// no, /* comment */ ,}", "extends": 5}') == ([], None, None)
     assert resolvers.parse_config("[]") is None and resolvers.parse_config("{/*") is None
     assert resolvers.parse_config('{"compilerOptions": {"baseUrl": ".", "paths": {"x": "y", "z": ["a*b*", 3, "c"],},},}') == ([], ".", [{"pattern": "x", "targets": ["y"]}, {"pattern": "z", "targets": ["c"]}])
+
+
+SUFFIX_FILES = ("src/main/java/com/acme/tax/Rates.java", "src/main/java/com/acme/tax/Vat.java", "src/main/java/com/acme/shop/Cart.java", "a/util/Dup.java", "b/util/Dup.java", "Shop/Cart.cs", "lib/shop/cart.rb", "lib/shop/tax/rates.rb", "lib/shop.rb", "app/shop/cart.rb", "x/dup.rb", "y/dup.rb", "src/Tax/Rates.php", "src/Shop/Cart.php", "src/helpers.php", "Top.java")
+TAX = ["src/main/java/com/acme/tax/Rates.java", "src/main/java/com/acme/tax/Vat.java"]
+SUFFIX_CASES = [
+    ("java", "import", "s/A.java", "com.acme.tax.Rates", "files", TAX[:1]), ("java", "import", "s/A.java", "com.acme.tax.Rates.Inner", "files", TAX[:1]), ("java", "import", "s/A.java", "com.acme.tax.*", "files", TAX), ("java", "import", "s/A.java", "util.*", "unresolved", None),
+    ("java", "import", "s/A.java", "java.util.List", "builtin", None), ("java", "import", "s/A.java", "util.Dup", "unresolved", None), ("java", "import", "s/A.java", "org.junit.Test", "unresolved", None), ("java", "import", "s/A.java", "Top", "files", ["Top.java"]),
+    ("csharp", "using", "Shop/Cart.cs", "System.Linq", "builtin", None), ("csharp", "using", "Shop/Cart.cs", "Acme.Tax", "unresolved", None),
+    ("ruby", "require", "lib/shop/cart.rb", "./tax/rates", "files", ["lib/shop/tax/rates.rb"]), ("ruby", "require", "bin/run.rb", "shop/cart", "files", ["lib/shop/cart.rb"]), ("ruby", "require", "bin/run.rb", "json", "builtin", None), ("ruby", "require", "bin/run.rb", "rails", "unresolved", None),
+    ("ruby", "require", "bin/run.rb", "dup.rb", "unresolved", None), ("ruby", "require", "bin/run.rb", "../../x", "unresolved", None), ("php", "require", "src/Shop/Cart.php", "./../helpers.php", "files", ["src/helpers.php"]), ("php", "require", "src/Shop/Cart.php", "src/helpers.php", "files", ["src/helpers.php"]),
+    ("php", "use", "src/Shop/Cart.php", "App\\Tax\\Rates", "files", ["src/Tax/Rates.php"]), ("php", "use", "src/Shop/Cart.php", "\\Vendor\\Lib\\Thing", "unresolved", None),
+]
+
+
+def test_java_csharp_ruby_and_php(spark):
+    rows = spark.createDataFrame([(i, c[2], c[0], c[1], c[3]) for i, c in enumerate(SUFFIX_CASES)], "import_id long, path string, language string, form string, specifier string")
+    found = answers(resolvers.suffix_imports(rows, files_of(spark, *SUFFIX_FILES)))
+    assert {i: (r.kind, r.targets) for i, r in found.items()} == {i: c[4:] for i, c in enumerate(SUFFIX_CASES)}
+    assert found[3].reason == "package util.* matches several directories" and found[5].reason == "class util.Dup matches several files" and found[14].reason == "dup.rb matches several files" and found[9].reason == "C# namespaces are not tied to files"
+    assert found[0].confidence == 0.9 and found[10].confidence == 1.0 and found[11].method == "ruby-load-path" and found[17].method == "php-require"
