@@ -25,6 +25,12 @@ def search_files(files: DataFrame, part: str, limit: int = LIMIT) -> DataFrame:
     return files.where(F.lower("path").contains(part.lower())).orderBy("deleted", "path").limit(limit)
 
 
+def runtime_evidence(evidence: DataFrame) -> DataFrame:
+    """Evidence of runtime versions that manifests declare: its rows with path and runtime, read from the locator."""
+    rows = evidence.where(F.col("locator").contains("#runtime:"))
+    return rows.withColumn("path", F.substring_index("locator", "#runtime:", 1)).withColumn("runtime", F.substring_index("locator", "#runtime:", -1))
+
+
 def dependencies_by_name(dependencies: DataFrame, name: str, ecosystem: str | None = None, limit: int = LIMIT) -> DataFrame:
     """Dependencies of that very name, of one ecosystem or of all, in order of ecosystem and id."""
     found = dependencies.where(F.col("name") == name)

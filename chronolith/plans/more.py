@@ -37,14 +37,14 @@ def question_kinds(h: History) -> DataFrame:
 
 
 @register("q13_grounding", """
-WITH words AS (SELECT page_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(url), '[^a-z0-9_./]+'), lambda w: length(w) >= 4))) AS word FROM pages),
-rare AS (SELECT word FROM words GROUP BY word HAVING count(*) <= 3)
-SELECT count(*) AS names, count(DISTINCT page_id) AS pages FROM words JOIN rare USING (word)""")
-def grounding_words(h: History) -> DataFrame:
-    """How many rare words the page addresses offer as evidence targets."""
-    words = h.pages.select("page_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("url"), "[^a-z0-9_./]+"), lambda w: F.length(w) >= 4))).alias("word"))
-    rare = words.groupBy("word").agg(F.count("*").alias("n")).where("n <= 3")
-    return words.join(rare, "word").agg(F.count("*").alias("names"), F.countDistinct("page_id").alias("pages"))
+SELECT id AS question_id, lower(path) AS word, 'file:' || id AS key FROM files UNION ALL SELECT f.id, m.sha, 'commit:' || m.id FROM files f JOIN commits m ON m.id = f.id""")
+def grounding(h: History) -> DataFrame:
+    """A question about every file, its place in a commit and a common name: path and hash tell what is meant, the name doesn't."""
+    asked = h.files.join(h.commits.select("id", "sha"), "id", "left")
+    text_ = F.concat(F.lit("Why does "), "path", F.lit(" call fn_"), (F.col("id") % 40).cast("string"), F.lit(" after "), F.coalesce("sha", F.lit("all")), F.lit("?"))
+    entity = lambda df, kind, word: df.select(graph.key(F.lit(kind), F.col("id")).alias("key"), F.lower(word).alias("word"))
+    entities = entity(h.files, "file", F.col("path")).unionByName(entity(h.commits, "commit", F.col("sha"))).unionByName(entity(h.symbols, "symbol", F.col("name")))
+    return stories.grounding(asked.select(F.col("id").alias("question_id"), text_.alias("text")), entities)
 
 
 @register("a20_file_lens", STORY_SQL.format(name="file_id"), story_ctes(key="s.file_id", join="JOIN symbols s ON s.id = v.symbol_id", called="s.file_id", call_join="JOIN symbols s ON s.id = r.target_id"))
@@ -92,9 +92,10 @@ def parse_once(h: History) -> DataFrame:
     return stories.parse_once(h.documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
 
 
-@register("x7_merge_request_references", "SELECT id, 0::BIGINT AS requests, CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END::BIGINT AS issues FROM commits")
+@register("x7_merge_request_references", "SELECT id, CASE WHEN id % 7 = 1 THEN 1 ELSE 0 END::BIGINT AS requests, CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END::BIGINT AS issues FROM commits")
 def merge_request_references(h: History) -> DataFrame:
-    issues, requests = stories.gitlab_references(F.col("body"))
+    """Messages as a host writes them that marks merge requests with !; a number of another project isn't one of this."""
+    issues, requests = stories.gitlab_references(F.replace("body", F.lit("GH-"), F.lit("!")))
     return h.commits.select("id", F.size(requests).cast("bigint").alias("requests"), F.size(issues).cast("bigint").alias("issues"))
 
 

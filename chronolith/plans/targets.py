@@ -46,6 +46,11 @@ def dependencies_by_name(h: History) -> DataFrame:
     return search.dependencies_by_name(h.dependencies, "hot-gear-37").select("id", "ecosystem", "name")
 
 
+@register("p21_runtime_evidence", "SELECT id, split_part(locator, '#runtime:', 1) AS path, split_part(locator, '#runtime:', 2) AS runtime FROM evidence WHERE locator LIKE '%#runtime:%'")
+def runtime_evidence(h: History) -> DataFrame:
+    return search.runtime_evidence(h.evidence).select("id", "path", "runtime")
+
+
 @register("j5_first_parents", "SELECT c.id, f.path, strftime(c.committed_at, '%Y-%m-%d') AS day, p.parent_id AS first_parent FROM dated_changes c JOIN files f ON f.id = c.file_id LEFT JOIN commit_parents p ON p.commit_id = c.commit_id AND p.ordinal = 0")
 def first_parents(h: History) -> DataFrame:
     """Each change with the version that it is diffed against; a root commit has none."""

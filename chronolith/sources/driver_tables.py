@@ -62,6 +62,8 @@ FROM lineitem GROUP BY l_orderkey, l_partkey""",
     "dependencies": """
 SELECT min(p_partkey) AS id, CASE p_partkey % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'go' WHEN 2 THEN 'cargo' ELSE 'pypi' END AS ecosystem, concat(replace(p_name, ' ', '-'), '-', cast(p_size AS string)) AS name
 FROM part GROUP BY CASE p_partkey % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'go' WHEN 2 THEN 'cargo' ELSE 'pypi' END, concat(replace(p_name, ' ', '-'), '-', cast(p_size AS string))""",
+    "evidence": """
+SELECT id, concat(path, CASE WHEN id % 5 = 0 THEN '#runtime:node' WHEN id % 7 = 0 THEN '#runtime:python' ELSE concat('#L', cast(id % 90 AS string)) END) AS locator FROM files""",
     "dated_changes": """
 SELECT c.id, c.commit_id, c.file_id, c.status, c.previous_file_id, c.additions, c.deletions, m.committed_at
 FROM changes c JOIN commits m ON c.commit_id = m.id""",
