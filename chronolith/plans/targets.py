@@ -99,3 +99,11 @@ def dependents(h: History) -> DataFrame:
     found = graph.dependents(h.imports.select("source", "target").distinct().withColumn("confidence", F.lit(0.95)), 5).join(h.files.select(F.col("id").alias("node"), "path"), "node")
     place = F.row_number().over(Window.partitionBy("root").orderBy("distance", "path", "node"))
     return found.withColumn("place", place).where("place <= 20").select("root", "node", F.col("place").cast("long").alias("place"))
+
+
+@register("e9_followed_symbols")
+def followed_symbols(h: History) -> DataFrame:
+    """Where each symbol is after all renames; what the new file holds decides one by one, which SQL can't say."""
+    born = h.symbol_versions.join(h.commits.select(F.col("id").alias("commit_id"), "committed_at"), "commit_id").groupBy(F.col("symbol_id").alias("id")).agg(F.min("committed_at").alias("born_at"))
+    renames = h.dated_changes.where("status = 'renamed' AND previous_file_id IS NOT NULL").select(F.col("id").alias("rename_id"), F.col("previous_file_id").alias("from_id"), F.col("file_id").alias("to_id"), F.col("committed_at").alias("at"))
+    return search.follow_renames(h.symbols.select("id", "file_id").join(born, "id"), renames)

@@ -108,3 +108,21 @@ def test_lookups_are_due_after_a_week(spark):
     wanted = spark.createDataFrame([("A-1",), ("A-2",), ("A-3",)], "number string")
     due = linking.due_lookups(wanted, asked, spark.createDataFrame([(now,)], "now timestamp"), ["number"])
     assert {tuple(r) for r in due.collect()} == {("A-1", "expired"), ("A-3", "new")}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_symbols_follow_renames_in_order(spark, seed):
+    ready(spark)
+    rnd = __import__("random").Random(seed)
+    day = lambda n: dt.datetime(2026, 1, 1) + dt.timedelta(days=n)
+    symbols = [(i, rnd.randrange(12), day(rnd.randrange(40))) for i in range(25)]
+    renames = [(i, rnd.randrange(14), rnd.randrange(14), day(rnd.randrange(40))) for i in range(30)]
+    where = {i: f for i, f, _ in symbols}
+    since = {i: t for i, _, t in symbols}
+    for _, a, b, t in sorted((r for r in renames if r[1] != r[2]), key=lambda r: (r[3], r[0])):
+        if not any(where[i] == b and since[i] <= t for i in where):
+            for i in where:
+                if where[i] == a and since[i] <= t:
+                    where[i], since[i] = b, t
+    found = search.follow_renames(spark.createDataFrame(symbols, "id long, file_id long, born_at timestamp"), spark.createDataFrame(renames, "rename_id long, from_id long, to_id long, at timestamp"))
+    assert {r.id: r.now for r in found.collect()} == where and any(r.now != r.file_id for r in found.collect())
