@@ -63,7 +63,7 @@ def lens_titles(h: History) -> DataFrame:
     return found.select("symbol_id", stories.lens_title(F.col("changes"), F.col("authors"), F.col("fixes"), F.col("callers")).alias("title"))
 
 
-@register("a24_owners_sentence", "SELECT file_id, CASE WHEN count(*) = 1 THEN '1 person, ' ELSE count(*) || ' people, most by ' END || min_by(person, place) AS sentence FROM owned GROUP BY file_id", OWNERSHIP_CTES)
+@register("a24_owners_sentence", "SELECT file_id, CASE WHEN count(*) = 1 THEN '1 person, ' ELSE count(*) || ' people, most by ' END || min_by(person, place) AS sentence FROM owned GROUP BY file_id", OWNERSHIP_CTES, recursive=True)
 def owners_sentence(h: History) -> DataFrame:
     return stories.owners_sentence(_owned(h))
 

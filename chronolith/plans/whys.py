@@ -65,7 +65,7 @@ def why_symbols(h: History) -> DataFrame:
 
 
 # The shared lineages start from live files; the answers are for all files.
-FILE_CTES = f"""{LINEAGE_CTES.replace("FROM files WHERE NOT deleted)", "FROM files)")}, {CONTEXT_CTES},
+FILE_CTES = f"""{LINEAGE_CTES.replace("FROM files WHERE NOT deleted UNION ALL", "FROM files UNION ALL")}, {CONTEXT_CTES},
 entries AS (SELECT l.root AS key, f.path AS at_path, c.id AS change_id, c.commit_id, c.status, c.previous_file_id, c.additions, c.deletions, c.committed_at, row_number() OVER (PARTITION BY l.root ORDER BY c.committed_at, c.commit_id, c.id) AS n FROM lineage l JOIN files f ON f.id = l.file_id JOIN dated_changes c ON c.file_id = l.file_id AND (l.until IS NULL OR c.committed_at <= l.until)),
 born AS (SELECT e.*, f.path FROM entries e JOIN files f ON f.id = e.key WHERE n = 1 AND status = 'added'),
 since AS (SELECT key, commit_id, committed_at FROM entries WHERE n > 1 AND NOT (status = 'renamed' AND coalesce(additions, 1) + coalesce(deletions, 1) = 0)),
@@ -77,7 +77,7 @@ st AS (SELECT id AS key, 0 AS s, '' AS o, path || CASE WHEN deleted THEN ' was d
   UNION ALL {LATER.format(step=6, level="FACT", targets="(SELECT id AS key FROM files)", rows="since")})"""
 
 
-@register("q1_why_files", CONCLUDE, FILE_CTES)
+@register("q1_why_files", CONCLUDE, FILE_CTES, recursive=True)
 def why_files(h: History) -> DataFrame:
     return shown(why.files_why(h.files, h.dated_changes, h.relations, h.commits))
 
