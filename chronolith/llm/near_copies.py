@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix, length, position and bitmap filters, then the texts."""
+"""Near copies by exact Jaccard similarity of word shingles: SimHash chains first, then prefix, length, position and bitmap filters; the texts decide."""
 
 from __future__ import annotations
 
@@ -8,25 +8,27 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, chunks, materialise, small_batches
 from .components import connected_components
-from .simhash import LINK_ROWS, popcount
+from .simhash import BITS, LINK_ROWS, fingerprint, popcount, ring_pairs
 
 #: Similarity of 4/5, kept as whole numbers so that the limit itself is met exactly.
 SHINGLE, SIMILAR, OF = 5, 4, 5
+#: Bits by which fingerprints of likely near copies differ at most, and the segments of their chains.
+DISTANCE, SEGMENTS = 7, 8
 #: Documents that tell which shingles are common, and common shingles that are kept. They only set the order.
 ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
 #: Sets with copies whose copies are left out before anything is shuffled (the largest groups; others meet in their buckets).
 COPIED_SETS = 1_000_000
 #: Rows of ids that are broadcast at most, so that the texts they pick stay where they are; more are joined by a shuffle.
 SENT_IDS = 1_000_000
-#: Neighbours in a bucket, by size, that a set is held against at first; and so many first sets of the bucket.
+#: Fingerprints that follow one in a crowded run and are held against it.
 NEAR = 32
 #: Partners of larger components that a set is given in a bucket in a round, and rounds at most. All pairs that are left follow, so they change speed, not results.
-TRIED, ROUNDS = 4, 2
+TRIED, ROUNDS = 4, 1
 #: Longs of a set's parity bitmap; 256 bits are full at some 580 shingles and tell nothing then, 512 at twice as many.
 BITMAP = 8
 MAPS = [f"b{i}" for i in range(BITMAP)]
@@ -63,16 +65,17 @@ def sets_of_batch(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[np.ndar
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node, number of shingles, bitmap and wide map of each text."""
+    """doc_id, node, SimHash fingerprint, number of shingles, bitmap and wide map of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, nodes, sets in sets_of_batch(batch, shingle):
                 sizes, wide = np.array([len(d) // 8 for d in sets], np.int64), [wide_map(d) for d in sets]
-                columns = [ids, nodes, sizes, *(np.ascontiguousarray(c) for c in bitmaps(sets).T)]
+                fps = np.array([fingerprint(np.frombuffer(d, np.uint64)) for d in sets], np.uint64).view(np.int64)
+                columns = [ids, nodes, fps, sizes, *(np.ascontiguousarray(c) for c in bitmaps(sets).T)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(wide, pa.binary())], names)
 
-    names = ["doc_id", "node", "n", *MAPS, "wide"]
+    names = ["doc_id", "node", "fp", "n", *MAPS, "wide"]
     return texts.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'wide' else 'long'}" for c in names))
 
 
@@ -240,31 +243,22 @@ def _bounds(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(begins, ends - begins), np.repeat(ends, ends - begins)
 
 
-def possible_pairs(data: pa.Table, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (a < b) of entries with the same key whose sets may be similar.
+def possible_pairs(data: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (a < b) of entries with the same key and of different components whose sets may be similar.
 
-    With ``every``, all between different components (whose rows stand together in a bucket), so a large
-    group costs nothing by itself; else those between near rows and with the first ones (sorted by key, size, node).
+    The rows of a component stand together in a bucket, so a large group costs nothing by itself.
     """
     key, size = data["key"].to_numpy(), data["size"].to_numpy()
     n, pos = size >> 32, size & 0xFFFFFFFF
     maps = [data[m].to_numpy().view(np.uint64) for m in MAPS]
-    begin, end = _bounds(key)
-    row = np.arange(len(key))
-    if every:
-        wanted = [(_bounds(key, component_of(data))[1], end)]
-    else:
-        near = np.minimum(end, row + 1 + NEAR)
-        wanted = [(row + 1, near), (near, np.where(row - begin < NEAR, end, near))]
-    for first, stop in wanted:
-        for a, b in _ranges(first, stop):
-            both = n[a].astype(np.int64) + n[b]
-            ok = OF * np.minimum(n[a], n[b]).astype(np.int64) >= SIMILAR * np.maximum(n[a], n[b]).astype(np.int64)
-            least = -(-SIMILAR * both // (SIMILAR + OF))
-            ok &= np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least
-            a, b, both, least = a[ok], b[ok], both[ok], least[ok]
-            ok = both - sum(popcount(x[a] ^ x[b]) for x in maps) >= 2 * least
-            yield a[ok], b[ok]
+    for a, b in _ranges(_bounds(key, component_of(data))[1], _bounds(key)[1]):
+        both = n[a].astype(np.int64) + n[b]
+        ok = OF * np.minimum(n[a], n[b]).astype(np.int64) >= SIMILAR * np.maximum(n[a], n[b]).astype(np.int64)
+        least = -(-SIMILAR * both // (SIMILAR + OF))
+        ok &= np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least
+        a, b, both, least = a[ok], b[ok], both[ok], least[ok]
+        ok = both - sum(popcount(x[a] ^ x[b]) for x in maps) >= 2 * least
+        yield a[ok], b[ok]
 
 
 def component_of(data: pa.Table) -> np.ndarray:
@@ -293,33 +287,63 @@ def first_ones(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.
     return a[ok], b[ok]
 
 
-def candidate_pairs(entries: DataFrame, maps: DataFrame, labels: DataFrame | None = None, seed: int | None = None) -> DataFrame:
-    """Pairs (u, v) that the filters let pass.
+def close_pairs(owners: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets whose fingerprints differ by DISTANCE bits or fewer, one partner u of each v in a bucket.
 
-    Without ``labels`` (node, component) one partner u of each set v in a bucket; with them and a seed a few
-    partners of larger components, drawn by the seed; with labels alone all pairs between different components.
+    Pigeonring: a pair within the distance has a chain of segments, from one of the SEGMENTS starts on, that
+    keeps to its share of the distance all along. A fingerprint goes to a bucket for each start by the
+    segment there, which must be equal. Sets with equal fingerprints are one node of this.
     """
-    every = labels is not None
+    width = BITS // SEGMENTS
+    least = owners.groupBy("fp").agg(F.min("node").alias("u"))
+    same = owners.join(least, "fp").where("node <> u").select("u", F.col("node").alias("v"))
+    turned = [F.struct(F.lit(k).alias("chain"), (F.shiftleft("fp", width * k).bitwiseOR(F.shiftrightunsigned("fp", BITS - width * k)) if k else F.col("fp")).alias("ring")) for k in range(SEGMENTS)]
+    spread = least.select(F.col("u").alias("node"), F.explode(F.array(*turned)).alias("r")).select("node", "r.ring", "r.chain")
+    entries = spread.select((F.col("chain") * (1 << width) + F.shiftrightunsigned("ring", BITS - width)).cast("long").alias("key"), "ring", "node")
 
     def link(data: pa.Table) -> pa.RecordBatch | None:
-        data = by_component(data, seed or 0) if every else data.sort_by([(c, "ascending") for c in ("key", "size", "node")])
+        chain, found = data["key"].to_numpy() >> width, [np.zeros((0, 2), np.int64)]
+        for c in np.unique(chain):
+            part = data.filter(pa.array(chain == c))
+            ring, node = part["ring"].to_numpy().view(np.uint64), part["node"].to_numpy()
+            order = np.argsort(ring)
+            ring, node = ring[order], node[order]
+            for a, b in ring_pairs(ring, DISTANCE, SEGMENTS, NEAR, PAIR_ROWS):
+                a, b = first_ones(a, b, 1)
+                found.append(np.stack([node[a], node[b]], axis=1))
+        return pair_batch(np.sort(np.concatenate(found), axis=1))
+
+    return by_bucket(entries, link, "u long, v long").unionByName(same).distinct()
+
+
+def pair_batch(pairs: np.ndarray) -> pa.RecordBatch | None:
+    pairs = np.unique(pairs, axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], ["u", "v"]) if len(pairs) else None
+
+
+def candidate_pairs(entries: DataFrame, maps: DataFrame, labels: DataFrame, seed: int | None = None) -> DataFrame:
+    """Pairs (u, v) between different components that the filters let pass.
+
+    ``labels``: node, component. With a seed a few partners of larger components for each set in a bucket,
+    drawn by the seed; else all pairs.
+    """
+
+    def link(data: pa.Table) -> pa.RecordBatch | None:
+        data = by_component(data, seed or 0)
         node = data["node"].to_numpy()
         u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b in possible_pairs(data, every):
-            if not every or seed is not None:
-                a, b = first_ones(a, b, TRIED if every else 1)
+        for a, b in possible_pairs(data):
+            if seed is not None:
+                a, b = first_ones(a, b, TRIED)
             u.append(a)
             v.append(b)
         a, b = np.concatenate(u), np.concatenate(v)
         if seed is not None:
             a, b = first_ones(a, b, TRIED)
         pairs = np.stack([node[a], node[b]], axis=1)
-        if seed is None:
-            pairs.sort(axis=1)
-        pairs = np.unique(pairs, axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], ["u", "v"]) if len(pairs) else None
+        return pair_batch(np.sort(pairs, axis=1) if seed is None else pairs)
 
-    return by_bucket(entries, link, "u long, v long", maps, *([labels] if every else [])).distinct()
+    return by_bucket(entries, link, "u long, v long", maps, labels).distinct()
 
 
 def likely_pairs(pairs: DataFrame, owners: DataFrame) -> DataFrame:
@@ -365,46 +389,52 @@ def similar_pairs(pairs: DataFrame, owners: DataFrame, texts: DataFrame, shingle
     return pairs.join(x, "u").join(y, "v").select("u", "v", "data_u", "data_v").mapInArrow(run, "u long, v long")
 
 
+def collect(spark: SparkSession) -> None:
+    """Broadcasts and shuffles of jobs that are done are let go once the driver has collected them."""
+    spark._jvm.System.gc()
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable) over texts with a shingle similarity of 0.8 or more.
 
     Texts are lower-cased (A-Z only) and cut at ASCII white space. No similar pair is missed: two
     similar sets share a shingle of their prefixes, and the filters after that only drop what can't
-    be similar. First each set is held against a few neighbours in a bucket, which joins large groups
-    by few pairs; then, in a few rounds, against one partner of a larger group; at last all pairs that
-    are still between different groups are checked. Equal sets are one node (by 64 bits of
+    be similar. First sets meet by SimHash fingerprints, along chains of segments; that joins most
+    groups by one pair a set. Then each set is held against one partner of a larger group that shares
+    a prefix shingle; at last all such pairs that are still between different groups are checked. Equal sets are one node (by 64 bits of
     their digest), and all texts without words are one. Rows without a doc_id take no part in links.
     An empty table gives no rows. The result is written once; what was written on the way is removed.
     """
     texts = texts_of(docs)
     scratch = Scratch(docs.sparkSession, "near-copies")
     members = scratch.write(shingle_sets(texts, shingle), "members")
-    owners = scratch.write(members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", *MAPS, "wide"))), "owners")
+    owners = scratch.write(members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("fp", "n", *MAPS, "wide"))), "owners")
     entries = scratch.write(prefix_entries(owners, texts, shingle), "prefixes")
     maps = owners.select("node", *MAPS)
 
-    def likely(labels: DataFrame | None = None, seed: int | None = None) -> DataFrame:
-        return scratch.write(likely_pairs(candidate_pairs(entries, maps, labels, seed), owners), "likely")
+    def likely(pairs: DataFrame) -> DataFrame:
+        return scratch.write(likely_pairs(pairs, owners), "likely")
 
     def sure(pairs: DataFrame) -> DataFrame:
-        return scratch.write(similar_pairs(scratch.write(pairs, "pairs"), owners, texts, shingle), "similar")
+        found = scratch.write(similar_pairs(scratch.write(pairs, "pairs"), owners, texts, shingle), "similar")
+        collect(docs.sparkSession)
+        return found
 
     def components(links: DataFrame) -> DataFrame:
         return scratch.write(connected_components(links, scratch.write), "labels")
 
-    labels = components(sure(one_partner(likely(), 0)))
+    labels = components(sure(one_partner(likely(close_pairs(owners)), 0)))
     for seed in range(1, ROUNDS + 1):
-        links = sure(one_partner(likely(labels, seed), seed))
+        links = sure(one_partner(likely(candidate_pairs(entries, maps, labels, seed)), seed))
         if links.isEmpty():
             break
         labels = components(labels.toDF("u", "v").unionByName(links))
-    links = sure(likely(labels))
+    links = sure(likely(candidate_pairs(entries, maps, labels)))
     if not links.isEmpty():
         labels = components(labels.toDF("u", "v").unionByName(links))
     named = members.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = materialise(named.join(least, "component").select("doc_id", "component_id"), "near-copies-found")
     scratch.clear()
-    # Broadcasts and shuffles of these many jobs are let go once the driver has collected them.
-    docs.sparkSession._jvm.System.gc()
+    collect(docs.sparkSession)
     return found

@@ -23,6 +23,21 @@ PAIR_ROWS = 2_000_000
 PROBED_RUN = 4096
 
 
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits that over half of n hashes have set."""
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(h: np.ndarray, part: int = 500_000) -> int:
+    """SimHash of an array of hashes; zero without any."""
+    return majority(sum((bit_counts(h[a : a + part]) for a in range(0, len(h), part)), np.zeros(BITS, np.int64)), len(h))
+
+
 def simhash(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     """Bit k is set if it is set in over half of the shingles' XXH64 values; no words: zero."""
     from xxhash import xxh64_intdigest
@@ -36,8 +51,8 @@ def simhash(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     for begin in range(0, n, 500_000):
         size = min(500_000, n - begin)
         h = np.fromiter(map(xxh64_intdigest, map(b" ".join, (s for s, _ in zip(shingles, range(size)))) if n > 500_000 else map(b" ".join, shingles), repeat(seed)), np.uint64, size)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        ones += bit_counts(h)
+    return majority(ones, n)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -58,9 +73,9 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def chain_budgets(distance: int) -> list[int]:
+def chain_budgets(distance: int, segments: int = SEGMENTS) -> list[int]:
     """Largest sum of differences that a chain of 1, 2, ... segments may have: its share of the distance."""
-    return [k * distance // SEGMENTS for k in range(1, SEGMENTS + 1)]
+    return [k * distance // segments for k in range(1, segments + 1)]
 
 
 def chain_masks(distance: int) -> list[int]:
@@ -75,7 +90,7 @@ def chain_masks(distance: int) -> list[int]:
     return masks
 
 
-def ring_pairs(ring: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def ring_pairs(ring: np.ndarray, distance: int, segments: int = SEGMENTS, near: int | None = None, pair_rows: int = PAIR_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (a < b) in a sorted array of rotated fingerprints that pass every chain budget.
 
     ``ring`` is rotated so that the chain's first segment is on top. A pair within the distance has
@@ -83,23 +98,35 @@ def ring_pairs(ring: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np
     by at most their budget, and so on. Partners are looked up by the first two segments: equal, or
     one bit apart in the second; the other budgets prune what is found, and the last is the full check.
     Where very many agree in those, each looks for what the budgets allow instead, so the work is in
-    proportion to their number. ``ring`` has no value twice.
+    proportion to their number; with ``near``, which is for candidates alone, each is held against so
+    many of the rows that follow it there. ``ring`` has no value twice.
     """
-    budgets = chain_budgets(distance)
+    width, budgets = BITS // segments, chain_budgets(distance, segments)
     if budgets[0] != 0 or budgets[1] > 1:
-        raise ValueError("distance must be below 4")
-    top = (ring >> np.uint64(2 * WIDTH)).astype(np.uint64)
+        raise ValueError(f"distance must be below {segments}")
+    top = (ring >> np.uint64(BITS - 2 * width)).astype(np.uint64)
+
+    def within(diff: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        for k in range(2, segments + 1):
+            ok[ok] = popcount(diff[ok] >> np.uint64(BITS - k * width)) <= budgets[k - 1]
+        return ok
+
     first = np.flatnonzero(np.r_[True, top[1:] != top[:-1]]) if len(ring) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(first, len(ring)))
     crowded = np.repeat(sizes > PROBED_RUN, sizes)
-    if crowded.any():
-        own = np.flatnonzero(crowded)
+    own = np.flatnonzero(crowded)
+    if len(own) and near is not None:
+        for step in range(1, near + 1):
+            a = own[own + step < len(ring)]
+            a = a[within(ring[a] ^ ring[a + step], np.ones(len(a), bool))]
+            yield a, a + step
+    elif len(own):
         for mask in chain_masks(distance):
             wanted = ring[own] ^ np.uint64(mask)
             at = np.minimum(np.searchsorted(ring, wanted), len(ring) - 1)
             ok = (ring[at] == wanted) & ((own < at) | ~crowded[at])
             yield np.minimum(own[ok], at[ok]), np.maximum(own[ok], at[ok])
-    probes = [0] + ([1 << bit for bit in range(WIDTH)] if budgets[1] else [])
+    probes = [0] + ([1 << bit for bit in range(width)] if budgets[1] else [])
     for flip in probes:
         wanted = top ^ np.uint64(flip)
         lo, hi = np.searchsorted(top, wanted, "left"), np.searchsorted(top, wanted, "right")
@@ -110,15 +137,12 @@ def ring_pairs(ring: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np
         begin = 0
         while begin < len(rows):
             base = ends[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(ends, base + PAIR_ROWS, "right")))
+            end = max(begin + 1, int(np.searchsorted(ends, base + pair_rows, "right")))
             part = rows[begin:end]
             n = counts[part]
             a = np.repeat(part, n)
             b = np.repeat(lo[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            diff = ring[a] ^ ring[b]
-            ok = ~crowded[b]
-            for k in range(2, SEGMENTS + 1):
-                ok[ok] = popcount(diff[ok] >> np.uint64(BITS - k * WIDTH)) <= budgets[k - 1]
+            ok = within(ring[a] ^ ring[b], ~crowded[b])
             yield a[ok], b[ok]
             begin = end
 

@@ -9,6 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from chronolith.llm import near_copies as near_module
 from chronolith.llm import simhash as simhash_module
 from chronolith.llm import suffix_dedup
 from chronolith.llm.common import Scratch
@@ -225,6 +226,29 @@ def test_near_copies_against_brute_force(spark):
     assert near_copies(docs.limit(0)).count() == 0
 
 
+def test_fingerprint_chains_find_all_pairs_within_seven_bits(spark):
+    random.seed(5)
+    fps = {random.getrandbits(64): 2 * i for i in range(300)}
+    for f, i in list(fps.items()):
+        fps[f ^ sum(1 << b for b in random.sample(range(64), i // 2 % 10))] = i + 1
+    nodes = [(f - (f >> 63 << 64), n) for f, n in fps.items()] + [(next(iter(fps)) - (next(iter(fps)) >> 63 << 64), 900)]
+    found = {(r.u, r.v) for r in near_module.close_pairs(spark.createDataFrame(nodes, "fp long, node long")).collect()}
+    items = list(fps.items())
+    want = {(min(i, j), max(i, j)) for k, (f, i) in enumerate(items) for g, j in items[:k] if (f ^ g).bit_count() <= 7}
+    assert found == want | {(items[0][1], 900)} and len(want) > 200
+    ring = np.sort(np.array([(7 << 60) + (1 << b) + (1 << c) for b in range(40) for c in range(b)], np.uint64))
+    pairs = [(int(a), int(b)) for x, y in ring_pairs(ring, 7, 8, 3) for a, b in zip(x, y)]
+    assert all((int(ring[a]) ^ int(ring[b])).bit_count() <= 7 for a, b in pairs) and len(pairs) > len(ring)
+
+
+def test_near_copies_start_from_fingerprints(spark, monkeypatch):
+    words = [f"w{i}" for i in range(300)]
+    texts = [words, [*words[:150], "other", *words[151:]], words[::-1]]
+    monkeypatch.setattr(near_module, "candidate_pairs", lambda *_: spark.createDataFrame([], "u long, v long"))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_copies(docs).collect()) == [(0, 0), (1, 0), (2, 2)]
+
+
 def test_pipeline_drops_near_copies(spark):
     import corpus_pipeline
 
