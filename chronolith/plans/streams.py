@@ -36,6 +36,8 @@ def symbol_states(h: History) -> DataFrame:
 
 #: Changes of a batch, at least, unless fewer are left.
 BATCH = 10_000
+#: Batches that are written by one job.
+TOGETHER = 256
 
 
 @register("t4_work_batches", "SELECT k AS batch, count(*) AS commits, sum(n)::BIGINT AS changes, arg_min(commit_id, cum) AS first_commit, arg_max(commit_id, cum) AS last_commit FROM cums JOIN ends ON cum > start AND cum <= stop GROUP BY k", f"""
@@ -46,7 +48,7 @@ def work_batches(h: History) -> DataFrame:
     """All pending changes done in batches that end with a commit, as the marks tell."""
     pending = h.dated_changes.where("status IN ('added', 'modified') AND additions IS NOT NULL").select("id", "commit_id", "committed_at").checkpoint()
     queue = work_queue.WorkQueue(h.spark, ingest.stream_path(h.spark, "queue"))
-    queue.run(pending, "committed_at", "commit_id", BATCH, lambda batch: batch)
+    queue.run(pending, "committed_at", "commit_id", BATCH, lambda rows: rows, together=TOGETHER)
     order = F.struct("committed_at", "commit_id")
     return queue.results().groupBy(F.col("batch").cast("int").alias("batch")).agg(F.countDistinct("commit_id").alias("commits"), F.count("*").alias("changes"), F.min_by("commit_id", order).alias("first_commit"), F.max_by("commit_id", order).alias("last_commit"))
 

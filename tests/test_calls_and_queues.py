@@ -1,6 +1,7 @@
 """Call rules, containment by bins, and a queue that breaks off between any two steps."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,36 @@ def test_a_queue_goes_on_after_a_break_between_any_two_steps(spark, tmp_path, mo
     assert sorted((r.batch, r.id) for r in queue.results().collect()) == want
 
 
+def test_batches_that_one_job_writes_are_those_of_single_jobs(spark, tmp_path):
+    rnd = random.Random(3)
+    groups = [(c, dt.datetime(2026, 1, 1) + dt.timedelta(hours=c // 4), 300 if c == 60 else rnd.choice([1, 1, 2, 3])) for c in range(120)]
+    rows = [(c * 100 + i, c, at) for c, at, n in groups for i in range(n)]
+    pending = spark.createDataFrame([*rows, (-1, None, groups[0][1]), (-2, 1, None)], "id long, commit_id long, at timestamp").repartition(3)
+    want, total, end = [], 0, 0  # last row number of each batch
+    for _, _, n in groups:
+        total += n
+        if total >= end + 7:
+            end = total
+            want.append(end)
+    want += [total] if total > end else []
+    queue, calls = WorkQueue(spark, str(tmp_path / "many")), []
+
+    def work(rows):
+        calls.append(1)
+        return rows.select("id", "batch")
+
+    assert queue.run(pending, "at", "commit_id", 7, work, budget=3, together=16) == 3 and len(calls) == 1
+    spark.range(5).write.parquet(f"{queue.path}/rows/batch=3")  # left behind
+    assert queue.run(pending, "at", "commit_id", 7, work, together=16) == len(want) - 3
+    assert len(calls) <= 2 + len(want) // 8 < len(want) and queue.mark()["number"] == len(want) - 1
+    found = {}
+    for r in queue.results().collect():
+        found.setdefault(r.batch, set()).add(r.id)
+    ids = [i for i, _, _ in rows]
+    assert found == {k: set(ids[a:b]) for k, (a, b) in enumerate(zip([0, *want], want))}
+    assert queue.run(pending, "at", "commit_id", 7, work, together=16) == 0
+
+
 def test_a_cursor_takes_what_is_newer(spark, tmp_path):
     queue = WorkQueue(spark, str(tmp_path / "cursor"))
     pages = changes(spark, 12)
