@@ -64,3 +64,15 @@ def test_versions_of_one_symbol_merge():
     once = symbol_state.merged(None, [(5, 2, "b"), (1, 1, "a")])
     assert once == ([1, 5], [1, 2], ["a", "b"])
     assert symbol_state.merged(once, [(5, 2, "b"), (5, 2, "a"), (3, 7, "c")]) == ([1, 3, 5], [1, 7, 2], ["a", "c", "b"])
+
+
+def test_present_rows_follow_the_rule_of_merged_versions(spark):
+    rnd = random.Random(8)
+    rows = [(k, 7, [(rnd.randrange(4), rnd.randrange(5), rnd.choice("ab")) for _ in range(rnd.randint(1, 9))]) for k in range(60)]
+    rows = [(f, s, list(set(v))) for f, s, v in rows]
+    found = symbol_state.present_rows(spark.createDataFrame(rows, "file_id long, symbol_id long, found array<struct<commit_id: long, at: long, content_hash: string>>"))
+    want = set()
+    for file, symbol, versions in rows:
+        _, commits, hashes = symbol_state.merged(None, [(t, c, h) for c, t, h in versions])
+        want.add((file, symbol, commits[0], commits[-1], hashes[-1], len(commits), 1 + sum(a != b for a, b in zip(hashes, hashes[1:]))))
+    assert {tuple(r) for r in found.collect()} == want
