@@ -91,12 +91,17 @@ def conclude(statements: DataFrame, related: DataFrame | None = None) -> DataFra
     """key, answer, confidence, level, statements (their number), evidence (struct of name and reasons, by name) and related (sorted keys).
 
     ``related``: key, related. Evidence that several statements rest on is cited once, for all their roles.
+    Statements are made and shuffled once: the answer and its evidence come from the same group.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("step", "place", "text")))
-    answers = statements.groupBy("key").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), " ").alias("answer"), F.min("confidence").alias("confidence"), weakest(F.col("level")).alias("level"), F.count("*").alias("statements"))
-    cited = statements.select("key", F.explode(F.array_distinct("cited")).alias("name"), "role").groupBy("key", "name").agg(F.array_join(F.array_sort(F.collect_set("role")), "; ").alias("reasons"))
-    evidence = cited.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("name", "reasons"))).alias("evidence"))
-    out = answers.join(evidence, "key", "left")
+    said = F.collect_list(F.struct("step", "place", "text"))
+    cited = F.flatten(F.collect_list(F.transform("cited", lambda name: F.struct(name.alias("name"), F.col("role").alias("role")))))
+    groups = statements.repartition("key").groupBy("key").agg(said.alias("said"), F.min("confidence").alias("confidence"), weakest(F.col("level")).alias("level"), F.count("*").alias("statements"), cited.alias("cited"))
+    pairs = groups.withColumn("cited", F.array_sort(F.array_distinct("cited")))
+    # Where the next name begins among the sorted pairs; a name's roles are the slice up to there.
+    begins = pairs.withColumn("begins", F.expr("filter(transform(cited, (c, i) -> IF(i = 0 OR c.name <> cited[i - 1].name, i, -1)), i -> i >= 0)"))
+    evidence = F.expr("transform(begins, (b, k) -> struct(cited[b].name AS name, array_join(transform(slice(cited, b + 1, coalesce(get(begins, k + 1), size(cited)) - b), c -> c.role), '; ') AS reasons))")
+    answer = F.array_join(F.transform(F.array_sort("said"), lambda s: s["text"]), " ")
+    out = begins.select("key", answer.alias("answer"), "confidence", "level", "statements", F.when(F.size("cited") > 0, evidence).alias("evidence"))
     if related is None:
         return out.withColumn("related", F.array().cast("array<string>"))
     return out.join(related.groupBy("key").agg(F.array_sort(F.collect_set("related")).alias("related")), "key", "left")
