@@ -195,19 +195,28 @@ def first_files(rows: DataFrame, files: DataFrame, entries: DataFrame) -> DataFr
     ``rows``: import_id, turn (bases of a lower one come first), base, typed (whether the importer is
     TypeScript, for which an output's name stands for its source). ``entries``: dir, target of packages' main entries.
     """
+    # Files lie by their path less an ending that may be left out, so that a base is one row and not one for each ending.
+    ends = lambda values: F.explode(F.array(*[F.struct(F.lit(e).alias("end"), F.lit(i).alias("place")) for i, e in enumerate(values)])).alias("e")
+    plain = files.select("path", ends(("", *ES_EXTENSIONS))).where(F.endswith("path", F.col("e.end"))).select(F.expr("substring(path, 1, length(path) - length(e.end))").alias("key"), F.lit(False).alias("index"), "e.*")
+    named = files.select("path", F.regexp_extract("path", "[^/]+$", 0).alias("name"), paths.directory(F.col("path")).alias("key")).where(F.startswith("name", F.lit("index.")))
+    named = named.select("*", ends([f"index{e}" for e in ES_EXTENSIONS])).where((F.col("name") == F.col("e.end")) & (F.col("path") == child_path(F.col("key"), F.col("name")))).select("key", F.lit(True).alias("index"), "e.*")
     ending = F.regexp_extract("base", r"\.[cm]?jsx?$", 0)
-    stem = F.expr("substring(base, 1, length(base) - length(ending))")
-    rows = rows.withColumn("ending", ending).withColumn("stem", stem)
-    swaps = [F.when(F.col("typed") & (F.col("ending") == out), F.concat("stem", F.lit(source))) for out, sources in ES_SOURCES.items() for source in sources]
-    named = F.col("base") != ""
-    plain = [F.when(named, F.concat("base", F.lit(e))) for e in ("", *ES_EXTENSIONS)]
-    index = [child_path(F.col("base"), F.lit(f"index{e}")) for e in ES_EXTENSIONS]
-    own = rows.select("import_id", "turn", F.posexplode(F.array(*swaps, *plain)).alias("place", "path")).withColumn("group", F.lit(0))
-    package = rows.join(entries.withColumnRenamed("dir", "base"), "base").withColumn("entry", joined_path(F.col("base"), F.col("target"))).where("entry IS NOT NULL")
-    package = package.select("import_id", "turn", F.posexplode(F.array(*[F.concat("entry", F.lit(e)) for e in ("", *ES_EXTENSIONS)])).alias("place", "path")).withColumn("group", F.lit(1))
-    inner = rows.select("import_id", "turn", F.posexplode(F.array(*index)).alias("place", "path")).withColumn("group", F.lit(2))
-    tried = own.unionByName(package).unionByName(inner).where("path IS NOT NULL")
-    return tried.join(files.select("path"), "path").groupBy("import_id").agg(F.min_by("path", F.struct("turn", "group", "place")).alias("target"))
+    own = rows.select("import_id", "turn", F.col("base").alias("key"), F.lit("base").alias("of"), F.lit(None).cast("string").alias("output"))
+    output = rows.where("typed").withColumn("output", ending).where(F.col("output").isin(*ES_SOURCES))
+    output = output.select("import_id", "turn", F.expr("substring(base, 1, length(base) - length(output))").alias("key"), F.lit("output").alias("of"), "output")
+    package = rows.join(entries.withColumnRenamed("dir", "base"), "base").withColumn("key", joined_path(F.col("base"), F.col("target"))).where("key IS NOT NULL")
+    package = package.select("import_id", "turn", "key", F.lit("package").alias("of"), F.lit(None).cast("string").alias("output"))
+    met = own.unionByName(output).unionByName(package).join(plain.unionByName(named), "key")
+    # Sources of an output file come first, then the base itself, its package's entry, its index.
+    turns = [(out, source) for out, sources in ES_SOURCES.items() for source in sources]
+    source_place = reduce(lambda c, k: c.when((F.col("output") == turns[k][0]) & (F.col("end") == turns[k][1]), F.lit(k)), range(len(turns)), F)
+    index, of, place = F.col("index"), F.col("of"), F.col("place")
+    rank = (
+        F.when((of == "output") & ~index & source_place.isNotNull(), F.array(F.lit(0), source_place)).when((of == "base") & ~index & (F.col("key") != ""), F.array(F.lit(1), place))
+        .when((of == "package") & ~index, F.array(F.lit(2), place)).when((of == "base") & index, F.array(F.lit(3), place))
+    )
+    path = F.when(index, child_path(F.col("key"), F.col("end"))).otherwise(F.concat("key", "end"))
+    return met.withColumn("rank", rank).where("rank IS NOT NULL").groupBy("import_id").agg(F.min_by(path, F.struct("turn", "rank")).alias("target"))
 
 
 def ecmascript_imports(imports: DataFrame, files: DataFrame, configs: DataFrame, packages: DataFrame) -> DataFrame:

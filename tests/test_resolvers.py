@@ -117,3 +117,29 @@ def test_java_csharp_ruby_and_php(spark):
     assert {i: (r.kind, r.targets) for i, r in found.items()} == {i: c[4:] for i, c in enumerate(SUFFIX_CASES)}
     assert found[3].reason == "package util.* matches several directories" and found[5].reason == "class util.Dup matches several files" and found[14].reason == "dup.rb matches several files" and found[9].reason == "C# namespaces are not tied to files"
     assert found[0].confidence == 0.9 and found[10].confidence == 1.0 and found[11].method == "ruby-load-path" and found[17].method == "php-require"
+
+
+def test_first_files_moves_a_base_once(spark):
+    """Each base was a row for each of some 25 paths that it may stand for; result and order are those of trying them one by one."""
+    known = {"a.ts", "a.d.ts", "a.js.ts", "p/a.tsx", "p/index.ts", "p/index.d.ts", "index.js", "p/b.cjs", "p/b.cts", "/index.ts", "p/q.mts", "p/q/index.mjs"}
+    bases = ["", "a", "a.d", "a.js", "p", "p/a.js", "p/a.jsx", "p/b.cjs", "p/b", "p/q.mjs", "p/q", "p/index", "none"]
+    rows = [(f"{base} {typed} {turn}", turn, base, typed) for base in bases for typed in (True, False) for turn in (0, 1)] + [("two", 1, "a", True), ("two", 0, "p", True)]
+    entries = {"none": ("../p/b", "p/b"), "p": ("./q", "p/q")}
+
+    def tried(base, typed):
+        stem, dot, end = base.rpartition(".")
+        yield from (stem + source for source in resolvers.ES_SOURCES.get(dot + end, ()) if typed)
+        yield from (base + e for e in ("", *resolvers.ES_EXTENSIONS) if base)
+        yield from (entries[base][1] + e for e in ("", *resolvers.ES_EXTENSIONS) if base in entries)
+        yield from ((base + "/" if base else "") + "index" + e for e in resolvers.ES_EXTENSIONS)
+
+    want = {}
+    for id_, _, base, typed in sorted(rows, key=lambda row: row[1]):
+        hit = next((p for p in tried(base, typed) if p in known), None)
+        if hit:
+            want.setdefault(id_, hit)
+    frame = spark.createDataFrame(rows, "import_id string, turn int, base string, typed boolean")
+    at = spark.createDataFrame([(d, to) for d, (to, _) in entries.items()], "dir string, target string")
+    found = resolvers.first_files(frame, spark.createDataFrame([(p,) for p in known], "path string"), at)
+    assert {tuple(r) for r in found.collect()} == set(want.items())
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
