@@ -32,6 +32,8 @@ PIECE_CHARS = 200_000
 LONG_SPACE = re.compile(r"\s{20000}")
 #: Links that one join makes at a time.
 JOIN_LINKS = 2_000_000
+#: Chunks, each a row of some ten megabytes, that a task writes or reads at once.
+GROUP_CHUNKS = 2
 #: Bits of a pair's key that hold the second id.
 SECOND_BITS = 24
 
@@ -238,7 +240,7 @@ def align_corpus(docs: DataFrame, byte_path: str | None = None, piece_path: str
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "alignment")
-    aligned = scratch.write(align_documents(docs, byte_path or vocabulary("byte_bpe_50k.json"), piece_path or vocabulary("piece_bpe_32k.model")), "chunks")
+    aligned = scratch.write(align_documents(docs, byte_path or vocabulary("byte_bpe_50k.json"), piece_path or vocabulary("piece_bpe_32k.model")), "chunks", GROUP_CHUNKS)
     counts = scratch.write(pair_counts(aligned), "pairs")
     wanted = aligned.select(F.col("chunk").alias("of_chunk"), F.posexplode("pair").alias("at", "pair"))
     totals = wanted.join(counts.select("pair", "documents", "best"), "pair").select("of_chunk", "at", "documents", "best")

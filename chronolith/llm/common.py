@@ -47,10 +47,15 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.number = spark, fresh_path(spark, name), 0
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+        """``group_rows``: most rows of a row group, for rows of megabytes. The writer looks at its memory every hundred
+        rows only, and a reader takes up to 4096 rows of a group at once."""
         self.number += 1
         path = f"{self.path}/{self.number:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        if group_rows:
+            writer = writer.option("parquet.block.row.count.limit", group_rows)
+        writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:

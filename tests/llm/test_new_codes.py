@@ -4,14 +4,17 @@ import hashlib
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 import public_tokenizers
-from chronolith.llm.alignment import JOIN_LINKS, align_chunk, align_corpus, op11_token_alignment, tokenizer_pair
+from chronolith.llm.alignment import GROUP_CHUNKS, JOIN_LINKS, align_chunk, align_corpus, op11_token_alignment, tokenizer_pair
 from chronolith.llm.bpe import PairEncoder, decode_documents, encode_documents, op12_bpe_round_trip
 from chronolith.llm.codes import compress_vectors, digest, error_by_label, nearest, op13_vector_codes, sequency_matrix
+from chronolith.llm.common import shared_dir
 
 FOLDER = "/root/testdata/sf0.001"
 BYTE, PIECE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"))
@@ -130,6 +133,21 @@ def test_links_of_one_group_are_joined_in_stretches(monkeypatch):
     assert JOIN_LINKS > 3 and align_chunk(texts, tokenizers)[1].sort_by([("document", "ascending"), ("pair", "ascending")]) == whole
 
 
+def test_a_task_holds_a_few_chunks_however_many_it_has(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    records, folder = spark.conf.get(key), Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("alignment-*"))
+    spark.conf.set(key, "1")
+    try:
+        scored, _ = align_corpus(documents(spark, [f"text {k}" for k in range(7)]).coalesce(1))
+        assert scored.count() == 7
+    finally:
+        spark.conf.set(key, records)
+    files = [pq.ParquetFile(f).metadata for made in set(folder.glob("alignment-*")) - before for f in made.glob("*-chunks/*.parquet")]
+    assert sum(f.num_rows for f in files) == 7
+    assert all(f.row_group(k).num_rows <= GROUP_CHUNKS for f in files for k in range(f.num_row_groups))
+
+
 def test_alignment_query_has_a_row_for_each_document(spark):
     found = op11_token_alignment(spark, FOLDER)
     assert found.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
