@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -18,3 +19,10 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files of steps that are written out go now. They lie on disk until the driver's JVM collects what
+    refers to them, which a small driver over large tables may not do before the disk is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -123,11 +123,11 @@ over AS (SELECT start FROM f1 WHERE n + 1 > {SHOWN} UNION SELECT f.start FROM f2
 inside AS (SELECT DISTINCT a.start, s.id FROM near a JOIN steps s ON s.t = a.t AND s.i = a.i JOIN seen b ON b.start = a.start AND b.t = s.t2 AND b.i = s.i2)""")
 def neighbourhood(h: History) -> DataFrame:
     """Size of the shown neighbourhood of every file, and whether it goes on."""
-    nodes, links, cuts = graph.neighbourhood(keys_of(h.files, "file"), h.relations, 2, SHOWN)
-    sizes = nodes.groupBy("start").agg(F.count("*").alias("nodes"))
-    found = links.groupBy("start").agg(F.count("*").alias("links"), F.sum(F.col("id") % 1000003).alias("checksum"))
-    out = sizes.join(found, "start", "left").join(cuts, "start", "left")
-    return out.select(F.substring_index("start", ":", -1).cast("bigint").alias("start"), "nodes", F.coalesce("links", F.lit(0)).alias("links"), "checksum", F.coalesce("cut", F.lit("")).alias("cut"))
+    checksum = F.when(F.size("links") > 0, F.aggregate("links", F.lit(0).cast("bigint"), lambda total, id_: total + id_ % 1000003))
+    cut = F.when(F.col("over"), F.lit(f"stopped at {SHOWN} nodes")).otherwise(F.lit(""))
+    kept = [F.size("nodes").cast("bigint").alias("nodes"), F.size("links").cast("bigint").alias("links"), checksum.alias("checksum"), cut.alias("cut")]
+    found = graph.neighbourhoods(keys_of(h.files, "file"), h.relations, 2, SHOWN, *kept)
+    return found.withColumn("start", F.substring_index("start", ":", -1).cast("bigint"))
 
 
 @register("g10_unreachable_commits", "SELECT id FROM commits WHERE id NOT IN (SELECT id FROM back)", """tip AS (SELECT max(id) AS id FROM commits),
