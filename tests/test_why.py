@@ -60,6 +60,12 @@ def test_a_copied_symbol_is_traced_to_its_origin(tables):
     assert "no longer exists at HEAD; it was last seen in b.ts" in found[12].answer and "instrumented" not in found[12].answer
 
 
+def test_kinds_of_statements_are_made_one_after_the_other(tables):
+    found = why.symbols_why(*(tables[n] for n in ("symbols", "files", "versions", "relations", "commits", "covered")))
+    # Left to do: statements and related entities come to their symbol.
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 1 and len(found.inputFiles()) > 0
+
+
 def test_files_commits_and_work(spark, tables):
     change = "id long, commit_id long, file_id long, status string, previous_file_id long, additions long, deletions long, committed_at timestamp_ntz"
     day = lambda n: dt.datetime(2025, 1, n)
