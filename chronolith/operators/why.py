@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.levels import level_rank, weakest
-from ..functions.stored import release, written
+from ..functions.stored import settled, written
 from . import activity, graph, people
 
 #: Longest chain of copies that is followed.
@@ -37,13 +37,6 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def told(part: DataFrame) -> DataFrame:
-    """``part``, statements of one kind or what several kinds are made from, written out; what it was made from leaves the disk before the next one is made."""
-    out = written(part)
-    release(part.sparkSession)
-    return out
-
-
 def counted(n: Column, one: str, many: str) -> Column:
     return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many))
 
@@ -104,11 +97,12 @@ def conclude(statements: DataFrame, related: DataFrame | None = None) -> DataFra
     said = F.collect_list(F.struct("step", "place", "text"))
     cited = F.flatten(F.collect_list(F.transform("cited", lambda name: F.struct(name.alias("name"), F.col("role").alias("role")))))
     groups = statements.repartition("key").groupBy("key").agg(said.alias("said"), F.min("confidence").alias("confidence"), weakest(F.col("level")).alias("level"), F.count("*").alias("statements"), cited.alias("cited"))
-    pairs = groups.withColumn("cited", F.array_sort(F.array_distinct("cited")))
+    # Sorted, equal pairs lie side by side; array_distinct would hold each pair of structs against all others.
+    pairs = groups.withColumn("cited", F.sort_array("cited")).withColumn("cited", F.expr("filter(cited, (c, i) -> i = 0 OR NOT (c <=> cited[i - 1]))"))
     # Where the next name begins among the sorted pairs; a name's roles are the slice up to there.
     begins = pairs.withColumn("begins", F.expr("filter(transform(cited, (c, i) -> IF(i = 0 OR c.name <> cited[i - 1].name, i, -1)), i -> i >= 0)"))
     evidence = F.expr("transform(begins, (b, k) -> struct(cited[b].name AS name, array_join(transform(slice(cited, b + 1, coalesce(get(begins, k + 1), size(cited)) - b), c -> c.role), '; ') AS reasons))")
-    answer = F.array_join(F.transform(F.array_sort("said"), lambda s: s["text"]), " ")
+    answer = F.array_join(F.transform(F.sort_array("said"), lambda s: s["text"]), " ")
     out = begins.select("key", answer.alias("answer"), "confidence", "level", "statements", F.when(F.size("cited") > 0, evidence).alias("evidence"))
     if related is None:
         return out.withColumn("related", F.array().cast("array<string>"))
@@ -154,22 +148,22 @@ def symbols_why(symbols: DataFrame, files: DataFrame, versions: DataFrame, relat
     """
     commit = written(described(commits))
     changed = written(versions.select(F.col("symbol_id").alias("key"), "commit_id").distinct())
-    place = told(symbols.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select(F.col("id").alias("key"), F.concat_ws(" ", "kind", "qualified_name").alias("named"), "path", "start_line", "end_line", "current"))
+    place = settled(symbols.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select(F.col("id").alias("key"), F.concat_ws(" ", "kind", "qualified_name").alias("named"), "path", "start_line", "end_line", "current"))
     contained = relations.where("relation = 'CONTAINS' AND target_type = 'symbol'").groupBy(F.col("target_id").alias("key")).agg(F.array(F.min(relation_evidence(F.col("id")))).alias("holds"))
     lines = F.concat(F.lit(" at lines "), F.col("start_line").cast("string"), F.lit("–"), F.col("end_line").cast("string"), F.lit("."))
     defined = F.when(F.col("current"), F.concat("named", F.lit(" is defined in "), "path", lines)).otherwise(F.concat("named", F.lit(" no longer exists at HEAD; it was last seen in "), "path", F.lit(".")))
-    parts = [told(statement(place.join(contained, "key", "left"), F.col("key"), 0, defined, "definition", "FACT", 1.0, F.coalesce("holds", F.array().cast("array<string>"))))]
+    parts = [settled(statement(place.join(contained, "key", "left"), F.col("key"), 0, defined, "definition", "FACT", 1.0, F.coalesce("holds", F.array().cast("array<string>"))))]
     ran = covered.where("found > 0").join(place.where("current").select("key"), "key", "left_semi")
-    parts.append(told(statement(ran, F.col("key"), 1, F.concat(F.col("hit").cast("string"), F.lit(" of its "), F.col("found").cast("string"), F.lit(" instrumented lines ran in the tests.")), "line coverage", "DERIVED", 1.0)))
+    parts.append(settled(statement(ran, F.col("key"), 1, F.concat(F.col("hit").cast("string"), F.lit(" of its "), F.col("found").cast("string"), F.lit(" instrumented lines ran in the tests.")), "line coverage", "DERIVED", 1.0)))
 
-    first = told(changed.join(commit.select("commit_id", "committed_at"), "commit_id").groupBy("key").agg(F.min_by("commit_id", F.struct("committed_at", "commit_id")).alias("commit_id")))
+    first = settled(changed.join(commit.select("commit_id", "committed_at"), "commit_id").groupBy("key").agg(F.min_by("commit_id", F.struct("committed_at", "commit_id")).alias("commit_id")))
     copies = links_of(relations, "COPIED_FROM", "symbol", "symbol")
     if "method" in relations.columns:
         copies = copies.join(relations.select(relation_evidence(F.col("id")).alias("link"), "method"), "link")
     else:
         copies = copies.withColumn("method", F.lit("identical-content"))
     copies = copies.join(symbols.select(F.col("id").alias("target_id")), "target_id", "left_semi")
-    hops = told(copy_hops(copies))
+    hops = settled(copy_hops(copies))
     source = place.select(F.col("key").alias("source_id"), F.concat("named", F.lit(" in "), "path").alias("origin_text"))
     when = first.withColumnRenamed("key", "at").join(commit.select("commit_id", "commit_text", "commit_evidence"), "commit_id").drop("commit_id")
     copied = hops.join(source, "source_id").join(when, "at", "left")
@@ -182,26 +176,26 @@ def symbols_why(symbols: DataFrame, files: DataFrame, versions: DataFrame, relat
         .otherwise(F.concat(subject, F.lit(" was copied, with identical content, from "), "origin_text", when_text, F.lit(".")))
     )
     role = F.when(renamed, "renamed from").when(moved, "moved from").otherwise("copied from")
-    parts.append(told(statement(copied, F.col("key"), 2, copied_text, role, F.col("level"), F.col("c"), F.array_compact(F.array("link", "commit_evidence")), F.lpad(F.col("hop").cast("string"), 2, "0"))))
+    parts.append(settled(statement(copied, F.col("key"), 2, copied_text, role, F.col("level"), F.col("c"), F.array_compact(F.array("link", "commit_evidence")), F.lpad(F.col("hop").cast("string"), 2, "0"))))
 
     ends = hops.groupBy("key").agg(F.max_by("source_id", "hop").alias("origin"), F.min_by("at", "hop").alias("copy"))
     born = links_of(relations, "INTRODUCED_BY", "symbol", "commit").join(commit.select(F.col("commit_id").alias("target_id")), "target_id", "left_semi")
     born = born.groupBy(F.col("source_id").alias("origin")).agg(F.min_by(F.struct(F.col("target_id").alias("commit_id"), "link", "level", "c"), "link").alias("b")).select("origin", "b.*")
     traced = place.select("key").join(ends, "key", "left").withColumn("origin_of", F.coalesce("origin", "key"))
-    with_birth = told(traced.join(born.withColumnRenamed("origin", "origin_of"), "origin_of", "left").join(commit.select("commit_id", "commit_text", "commit_evidence"), "commit_id", "left"))
+    with_birth = settled(traced.join(born.withColumnRenamed("origin", "origin_of"), "origin_of", "left").join(commit.select("commit_id", "commit_text", "commit_evidence"), "commit_id", "left"))
     known_birth, unknown = with_birth.where("commit_id IS NOT NULL"), with_birth.where("commit_id IS NULL")
     introduced = F.concat(F.when(F.col("origin").isNotNull(), "That code").otherwise("It"), F.lit(" was introduced in "), "commit_text", F.lit("."))
-    parts.append(told(statement(known_birth, F.col("key"), 3, introduced, "introducing commit", F.col("level"), F.col("c"), F.array("link", "commit_evidence"))))
-    parts.append(told(statement(unknown, F.col("key"), 3, F.lit(NO_ORIGIN), "absence of origin evidence", "FACT", 1.0)))
+    parts.append(settled(statement(known_birth, F.col("key"), 3, introduced, "introducing commit", F.col("level"), F.col("c"), F.array("link", "commit_evidence"))))
+    parts.append(settled(statement(unknown, F.col("key"), 3, F.lit(NO_ORIGIN), "absence of origin evidence", "FACT", 1.0)))
     explained, related = context(relations, commits)
-    parts.append(told(in_context(known_birth.select("key", "commit_id", F.col("c").alias("base")), explained, 3)))
-    mentioned = told(known_birth.select("key", "commit_id").join(related, "commit_id").select("key", "related"))
+    parts.append(settled(in_context(known_birth.select("key", "commit_id", F.col("c").alias("base")), explained, 3)))
+    mentioned = settled(known_birth.select("key", "commit_id").join(related, "commit_id").select("key", "related"))
 
     # For a copy the commit that made it, else the one that introduced it, isn't a later change.
     made = with_birth.where("origin IS NOT NULL").select("key").join(first, "key").select("key", "commit_id")
     made = made.unionByName(known_birth.join(made.select("key"), "key", "left_anti").select("key", "commit_id"))
-    parts.append(told(later_changes(changed.join(made, ["key", "commit_id"], "left_anti"), place, commit, 7, "DERIVED")))
-    parts.append(told(authors(changed, commits, commit, known)))
+    parts.append(settled(later_changes(changed.join(made, ["key", "commit_id"], "left_anti"), place, commit, 7, "DERIVED")))
+    parts.append(settled(authors(changed, commits, commit, known)))
     return conclude(union(parts), mentioned)
 
 

@@ -84,6 +84,15 @@ def test_files_commits_and_work(spark, tables):
     assert work["pull_request:7"].level == "INFERRED" and work["issue:9"].answer.startswith("Issue #9 is known. It is resolved by commit 0000001") and work["issue:3"].related == ["pull_request:7"]
 
 
+def test_evidence_of_a_hub_is_sorted_not_compared_pair_by_pair(spark):
+    rows = spark.range(3000).selectExpr("'k' AS key", "1 AS step", "'' AS place", "'t' AS text", "IF(id % 3 = 0, 'a', 'b') AS role", "'FACT' AS level", "1D AS confidence", "array(concat('e', lpad(id % 500, 3, '0'))) AS cited")
+    found = why.conclude(rows)
+    # array_distinct holds each pair of structs against all others: the square of the statements of a key.
+    assert "array_distinct" not in found._jdf.queryExecution().optimizedPlan().toString()
+    (one,) = found.collect()
+    assert one.statements == 3000 and [(e.name, e.reasons) for e in one.evidence] == [(f"e{k:03d}", "a; b") for k in range(500)]
+
+
 def test_nothing_gives_no_answers(tables):
     none = {k: v.limit(0) for k, v in tables.items()}
     assert why.symbols_why(*(none[n] for n in ("symbols", "files", "versions", "relations", "commits", "covered"))).isEmpty()
