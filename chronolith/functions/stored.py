@@ -16,7 +16,10 @@ def written(df: DataFrame) -> DataFrame:
     memory. Files have a size of their own.
     """
     spark = df.sparkSession
-    path = f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{folder}/written-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stored import settled
 from . import search
 
 # How sure each reading is.
@@ -36,8 +37,9 @@ def read_sites(sites: DataFrame, symbols: DataFrame, bindings: DataFrame) -> Dat
     path = F.split("callee", r"\.")
     rows = sites.withColumn("n", F.size(path)).withColumn("head", path[0]).withColumn("name", F.element_at(path, -1)).withColumn("rest", F.array_join(F.slice(path, F.lit(2), F.size(path)), "."))
     rows = rows.where(~F.col("name").isin("", "*") & (F.col("head") != "*"))
-    in_file, anywhere = alone(symbols, ["file_id", "qualified_name"]), alone(symbols, ["qualified_name"])
-    given = lambda df, level, confidence, method: df.select("site", "target", F.lit(level).alias("level"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).cast("double").alias("confidence"), F.lit(method).alias("method"))
+    in_file, anywhere = settled(alone(symbols, ["file_id", "qualified_name"])), settled(alone(symbols, ["qualified_name"]))
+    # Each reading is written out, so that its shuffles leave the disk before the next.
+    given = lambda df, level, confidence, method: settled(df.select("site", "target", F.lit(level).alias("level"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).cast("double").alias("confidence"), F.lit(method).alias("method")))
 
     own = rows.where("self_receiver AND n = 2").join(symbols.select(F.col("id").alias("caller_id"), F.col("qualified_name").alias("caller_name")), "caller_id").where(F.col("caller_name").contains("."))
     own = own.withColumn("qualified_name", F.concat(F.regexp_replace("caller_name", r"\.[^.]*$", ""), F.lit("."), "name"))
@@ -45,7 +47,7 @@ def read_sites(sites: DataFrame, symbols: DataFrame, bindings: DataFrame) -> Dat
 
     others = rows.where("NOT self_receiver")
     named = bindings.select("file_id", F.col("local_name").alias("head"), "imported", "targets", F.col("confidence").alias("sure"))
-    met = others.where("NOT local_head").join(named, ["file_id", "head"], "left")
+    met = settled(others.where("NOT local_head").join(named, ["file_id", "head"], "left"))
     bound = met.where("imported IS NOT NULL")
     whole, only_named = F.col("imported") == "*", ~F.col("imported").isin("*", "default")
     member = F.when((F.col("n") == 1) & only_named, F.col("imported")).when((F.col("n") >= 2) & whole, F.col("rest")).when((F.col("n") >= 2) & only_named, F.concat_ws(".", "imported", "rest"))
@@ -54,6 +56,7 @@ def read_sites(sites: DataFrame, symbols: DataFrame, bindings: DataFrame) -> Dat
     parts.append(given(reached, "DERIVED", F.least(F.lit(BINDING), F.col("sure")), "import-binding"))
 
     free = met.where("imported IS NULL").withColumn("qualified_name", F.col("callee")).join(in_file, ["file_id", "qualified_name"], "left")
+    free = settled(free.select("site", "qualified_name", "n", "target"))
     parts.append(given(free.where("target IS NOT NULL"), "DERIVED", 1.0, "same-file"))
     far = free.where("target IS NULL AND n >= 2").select("site", "qualified_name").unionByName(others.where("local_head AND n >= 2").select("site", F.col("callee").alias("qualified_name")))
     parts.append(given(far.join(anywhere, "qualified_name"), "INFERRED", QUALIFIED, "qualified-name"))
@@ -69,25 +72,26 @@ def call_edges(calls: DataFrame, symbols: DataFrame, bindings: DataFrame, checke
     to_name. The caller is the innermost symbol around the line, else the file. Of several sites the
     surest is cited, then the first by line and callee; a symbol doesn't call itself.
     """
-    calls = calls.withColumn("site", F.struct("file_id", "line", "callee"))
+    symbols = settled(symbols.select("id", "file_id", "name", "qualified_name", "kind", "start_line", "end_line"))
+    calls = settled(calls.withColumn("site", F.struct("file_id", "line", "callee")))
     if checked is not None:
         calls = calls.join(checked.select(F.col("from_file").alias("file_id"), "line").distinct(), ["file_id", "line"], "left_anti")
     around = search.innermost(calls.select("file_id", "line", "callee"), symbols)
-    sites = calls.join(around, ["file_id", "line", "callee"], "left")
-    found = read_sites(sites, symbols, bindings).join(symbols.select(F.col("id").alias("target"), "kind"), "target")
+    sites = settled(calls.join(around, ["file_id", "line", "callee"], "left"))
+    found = settled(read_sites(sites, symbols, bindings).join(symbols.select(F.col("id").alias("target"), "kind"), "target"))
     told = sites.select("site", "file_id", "line", "callee", "caller_id", "via", "written").join(found, "site")
     passed, typed = F.col("via") == "reference", F.col("written").isNotNull()
     told = told.where(~passed | F.col("kind").isin(*FUNCTION_KINDS))
     sure = F.when(typed, F.col("confidence") * STATED_TYPE).otherwise(F.col("confidence"))
     method = F.concat("method", F.when(typed, "+stated-type").otherwise(""), F.when(passed, "+passed-as-value").otherwise(""))
-    read = told.select("file_id", "line", "callee", "caller_id", "target", F.when(passed, "INFERRED").otherwise(F.col("level")).alias("level"), F.when(passed, F.least(sure, F.lit(PASSED))).otherwise(sure).alias("confidence"), method.alias("method"))
+    read = settled(told.select("file_id", "line", "callee", "caller_id", "target", F.when(passed, "INFERRED").otherwise(F.col("level")).alias("level"), F.when(passed, F.least(sure, F.lit(PASSED))).otherwise(sure).alias("confidence"), method.alias("method")))
     if checked is not None:
-        spots = checked.select(F.col("from_file").alias("file_id"), "line", "to_file", "to_line", "to_name").distinct()
+        spots = settled(checked.select(F.col("from_file").alias("file_id"), "line", "to_file", "to_line", "to_name").distinct())
         aims = spots.select(F.col("to_file").alias("file_id"), F.col("to_line").alias("line"), F.col("to_name").alias("callee")).distinct()
         # Only definitions of the name are looked at, so a bin holds those alone.
         hit = search.innermost(aims, symbols.join(aims.select("file_id", F.col("callee").alias("name")).distinct(), ["file_id", "name"], "left_semi"), named=True)
-        hit = hit.select(F.col("file_id").alias("to_file"), F.col("line").alias("to_line"), F.col("callee").alias("to_name"), F.col("caller_id").alias("target"))
-        from_ = search.innermost(spots.select("file_id", "line", F.lit("").alias("callee")).distinct(), symbols).drop("callee")
+        hit = settled(hit.select(F.col("file_id").alias("to_file"), F.col("line").alias("to_line"), F.col("callee").alias("to_name"), F.col("caller_id").alias("target")))
+        from_ = settled(search.innermost(spots.select("file_id", "line", F.lit("").alias("callee")).distinct(), symbols).drop("callee"))
         exact = spots.join(hit, ["to_file", "to_line", "to_name"]).join(from_, ["file_id", "line"], "left")
         read = read.unionByName(exact.select("file_id", "line", F.col("to_name").alias("callee"), "caller_id", "target", F.lit("DERIVED").alias("level"), F.lit(1.0).alias("confidence"), F.lit("typescript-checker").alias("method")))
     read = read.where("caller_id IS NULL OR caller_id <> target")
