@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.stored import settled
 from . import search
 
 # How sure each reading is.
@@ -78,13 +79,14 @@ def symbol_lineage(born: DataFrame, removed: DataFrame) -> DataFrame:
     one candidate of both sides counts; a null name or shape fits nothing.
     """
     names = ["commit_id", "symbol_id", "file_id", "kind", "qualified_name", "shape"]
-    left, right = born.select(*names).distinct(), removed.select(*names).distinct()
+    left, right = settled(born.select(*names).distinct()), settled(removed.select(*names).distinct())
     found = []
     for method, level, confidence, by, apart in LINEAGE_RULES:
         there = " AND ".join(f"{c} IS NOT NULL" for c in by)
-        mine, theirs = only_partners(left.where(there), right.where(there), by, apart), only_partners(right.where(there), left.where(there), by, apart)
-        both = mine.toDF("commit_id", "born", "removed").join(theirs.toDF("commit_id", "removed", "born"), ["commit_id", "born", "removed"]).checkpoint()
+        mine, theirs = settled(only_partners(left.where(there), right.where(there), by, apart)), settled(only_partners(right.where(there), left.where(there), by, apart))
+        both = settled(mine.toDF("commit_id", "born", "removed").join(theirs.toDF("commit_id", "removed", "born"), ["commit_id", "born", "removed"]))
         found.append(both.select("commit_id", "born", "removed", F.lit(method).alias("method"), F.lit(level).alias("level"), F.lit(confidence).alias("confidence")))
-        left = left.join(both.select("commit_id", F.col("born").alias("symbol_id")), ["commit_id", "symbol_id"], "left_anti")
-        right = right.join(both.select("commit_id", F.col("removed").alias("symbol_id")), ["commit_id", "symbol_id"], "left_anti")
+        if method != LINEAGE_RULES[-1][0]:
+            left = settled(left.join(both.select("commit_id", F.col("born").alias("symbol_id")), ["commit_id", "symbol_id"], "left_anti"))
+            right = settled(right.join(both.select("commit_id", F.col("removed").alias("symbol_id")), ["commit_id", "symbol_id"], "left_anti"))
     return reduce(DataFrame.unionByName, found)
