@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import round2, weakest
+from ..functions.stored import settled
 
 
 def conclude(statements: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -60,8 +61,9 @@ def resolve_targets(inputs: DataFrame, commits: DataFrame, files: DataFrame, sym
     isn't one of these a symbol's name, where the one current definition wins over former ones.
     Every rule that applies contributes; an empty input names nothing.
     """
-    given = inputs.select("input", F.trim("input").alias("t")).where("t <> ''").distinct()
-    kinds = lambda df, kind, how: df.select("input", (kind if not isinstance(kind, str) else F.lit(kind)).alias("kind"), F.col("id"), F.lit(how).alias("how"))
+    given = settled(inputs.select("input", F.trim("input").alias("t")).where("t <> ''").distinct())
+    # Kinds and ways differ from rule to rule, so each rule's rows are made distinct apart, and written out before the next.
+    kinds = lambda df, kind, how: settled(df.select("input", (kind if not isinstance(kind, str) else F.lit(kind)).alias("kind"), F.col("id"), F.lit(how).alias("how")).distinct())
     t = F.col("t")
     numbered = given.where(t.rlike(ISSUE_NUMBER)).withColumn("number", F.regexp_extract(t, ISSUE_NUMBER, 1).try_cast("long"))
     found = [kinds(numbered.join(discussions.select("type", "id", F.col("number").try_cast("long").alias("number")).distinct(), "number"), F.col("type"), "issue or pull request number")]
@@ -73,14 +75,14 @@ def resolve_targets(inputs: DataFrame, commits: DataFrame, files: DataFrame, sym
     found.append(kinds(prefixes.join(hashed, "head").where(F.startswith("sha", F.lower(t))), "commit", "commit sha prefix"))
     slashed = lambda column: F.replace(column, F.lit("\\"), F.lit("/"))
     found.append(kinds(given.withColumn("path", slashed(t)).join(files.select("id", "path"), "path"), "file", "file path"))
-    both = symbols.select("id", "file_id", "current", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("name"))
+    both = settled(symbols.select("id", "file_id", "current", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("name")))
     within = given.where(t.rlike(FILE_SYMBOL)).withColumn("path", slashed(F.regexp_extract(t, FILE_SYMBOL, 1))).withColumn("name", F.regexp_extract(t, FILE_SYMBOL, 2))
     found.append(kinds(within.join(files.select(F.col("id").alias("file_id"), "path"), "path").join(both, ["file_id", "name"]), "symbol", "symbol in file"))
     free = given.where(~t.rlike(FILE_SYMBOL) & ~t.rlike(ISSUE_NUMBER) & ~t.rlike(DEPENDENCY)).withColumnRenamed("t", "name")
     current = both.where("current").groupBy("name").agg(F.count("*").alias("n"))
     matched = free.join(both, "name").join(current, "name", "left")
     found.append(kinds(matched.where("current OR n IS NULL OR n <> 1"), "symbol", "symbol name"))
-    return reduce(DataFrame.unionByName, found).distinct()
+    return reduce(DataFrame.unionByName, found)
 
 
 #: Days for which a lookup that found nothing isn't made again.
