@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from ..functions.stored import settled, written
 
 LIMIT = 20
 
@@ -174,18 +175,19 @@ def follow_renames(symbols: DataFrame, renames: DataFrame) -> DataFrame:
     all that are the first one left for both their files, so rounds are the longest chain of renames
     and not their number. Only symbols of renamed files move.
     """
-    left = renames.where("from_id <> to_id AND at IS NOT NULL").select("rename_id", "from_id", "to_id", "at").distinct().checkpoint()
+    symbols = settled(symbols.select("id", "file_id", "born_at"))
+    left = settled(renames.where("from_id <> to_id AND at IS NOT NULL").select("rename_id", "from_id", "to_id", "at").distinct())
     named = left.select(F.col("from_id").alias("file_id")).unionByName(left.select(F.col("to_id").alias("file_id"))).distinct()
-    state = symbols.join(named, "file_id", "left_semi").select("id", F.col("file_id").alias("now"), F.col("born_at").alias("since")).checkpoint()
+    state = settled(symbols.join(named, "file_id", "left_semi").select("id", F.col("file_id").alias("now"), F.col("born_at").alias("since")))
     while not left.isEmpty():
         turn = F.struct("at", "rename_id")
         ends = left.select(F.col("from_id").alias("file"), turn.alias("turn")).unionByName(left.select(F.col("to_id").alias("file"), turn.alias("turn")))
         first = ends.groupBy("file").agg(F.min("turn").alias("turn"))
-        ready = left.join(first.select(F.col("file").alias("from_id"), F.col("turn").alias("a")), "from_id").join(first.select(F.col("file").alias("to_id"), F.col("turn").alias("b")), "to_id").where((F.col("a") == turn) & (F.col("b") == turn)).select("rename_id", "from_id", "to_id", "at").checkpoint()
+        ready = written(left.join(first.select(F.col("file").alias("from_id"), F.col("turn").alias("a")), "from_id").join(first.select(F.col("file").alias("to_id"), F.col("turn").alias("b")), "to_id").where((F.col("a") == turn) & (F.col("b") == turn)).select("rename_id", "from_id", "to_id", "at"))
         busy = ready.join(state, F.col("to_id") == F.col("now")).where("since <= at").select("rename_id").distinct()
         move = ready.join(busy, "rename_id", "left_anti").select(F.col("from_id").alias("now"), "to_id", "at")
         moved = state.join(move, "now", "left")
         goes = F.col("to_id").isNotNull() & (F.col("since") <= F.col("at"))
-        state = moved.select("id", F.when(goes, F.col("to_id")).otherwise(F.col("now")).alias("now"), F.when(goes, F.col("at")).otherwise(F.col("since")).alias("since")).checkpoint()
-        left = left.join(ready.select("rename_id"), "rename_id", "left_anti").checkpoint()
+        state = written(moved.select("id", F.when(goes, F.col("to_id")).otherwise(F.col("now")).alias("now"), F.when(goes, F.col("at")).otherwise(F.col("since")).alias("since")))
+        left = settled(left.join(ready.select("rename_id"), "rename_id", "left_anti"))
     return symbols.select("id", "file_id").join(state.select("id", "now"), "id", "left").select("id", "file_id", F.coalesce("now", "file_id").alias("now"))
