@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..functions.levels import round2, round3
+from ..functions.stored import settled
 from . import graph
 
 # What each kind of signal adds, and how far a commit's words reach.
@@ -84,13 +85,15 @@ def symbol_stories(versions: DataFrame, commits: DataFrame, defects: DataFrame,
     person_key, person). ``owners`` names those with most commits and their share. ``calls``:
     symbol_id, caller, each counted once.
     """
+    # What belongs to a commit comes together before it meets the symbols, which then move once.
     who = commits.select(F.col("id").alias("commit_id"), text.name_key(F.col("author_name")).alias("name_key"), "committed_at").join(names, "name_key").drop("name_key")
-    rows = versions.select("symbol_id", "commit_id").distinct().join(who, "commit_id").join(defects.select("commit_id", F.lit(1).alias("fix")), "commit_id", "left")
-    by_person = rows.groupBy("symbol_id", "person_key").agg(F.count("*").alias("n"), F.count("fix").alias("fix"), F.min("committed_at").alias("first_at"), F.max("committed_at").alias("last_at")).join(persons.select("person_key", "person"), "person_key")
+    made = settled(who.join(defects.select("commit_id", F.lit(1).alias("fix")), "commit_id", "left"))
+    changed = settled(versions.select("symbol_id", "commit_id").distinct())
+    by_person = settled(changed.join(made, "commit_id").groupBy("symbol_id", "person_key").agg(F.count("*").alias("n"), F.count("fix").alias("fix"), F.min("committed_at").alias("first_at"), F.max("committed_at").alias("last_at")).join(persons.select("person_key", "person"), "person_key"))
     shares = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "person", "person_key")))
-    summed = by_person.groupBy("symbol_id").agg(F.sum("n").alias("changes"), F.count("*").alias("authors"), F.sum("fix").alias("fixes"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), shares.alias("shares"))
+    summed = settled(by_person.groupBy("symbol_id").agg(F.sum("n").alias("changes"), F.count("*").alias("authors"), F.sum("fix").alias("fixes"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), shares.alias("shares")))
     named = F.transform(F.slice("shares", 1, owners), lambda s: F.concat(s["person"], F.lit(" "), round3(-s["less"] / F.col("changes")).cast("string")))
-    called = calls.groupBy("symbol_id").agg(F.countDistinct("caller").alias("callers"))
+    called = settled(calls.groupBy("symbol_id").agg(F.countDistinct("caller").alias("callers")))
     return summed.join(called, "symbol_id", "left").select("symbol_id", "changes", "authors", "fixes", F.coalesce("callers", F.lit(0)).alias("callers"), F.array_join(named, "; ").alias("owners"), text.day(F.col("first_at")).alias("first_day"), text.day(F.col("last_at")).alias("last_day"))
 
 
